@@ -89,3 +89,28 @@ def with_halo(df: DataFrame, idx_col: str, chunk_rows: int, back: int, fwd: int
         chunks = F.when(pos < F.lit(fwd), F.array_prepend(chunks, c - 1)).otherwise(chunks)
     return (df.withColumn(chunk_col, F.explode(chunks))
             .withColumn(own_col, F.col(chunk_col) == c))
+
+
+def top_k_per_group(df: DataFrame, keys: list[str], order_cols: list[str], k: int,
+                    chunk: Column, rank_col: str = "rank") -> DataFrame:
+    """First ``k`` rows per group in ``order_cols`` order, exact.
+
+    Stage 1 keeps the local top ``k`` of each (group, chunk) - chunks are
+    bounded spans - and stage 2 ranks only those candidates (at most ``k``
+    per chunk) per group, so no task ever holds a whole group.
+    ``chunk`` must be monotone in the ordering (e.g. a time chunk)."""
+    ordering = [F.col(c) for c in order_cols]
+    x = df.withColumn("_tk_chunk", chunk)
+    w1 = Window.partitionBy(*keys, "_tk_chunk").orderBy(*ordering)
+    cand = x.withColumn("_tk_r", F.row_number().over(w1)).where(F.col("_tk_r") <= k)
+    # chunks before the one holding the k-th row are complete; a group's
+    # candidates are at most k per chunk, so keep only its first k chunks
+    wc = Window.partitionBy(*keys).orderBy("_tk_chunk")
+    firsts = (cand.groupBy(*keys, "_tk_chunk").agg(F.count(F.lit(1)).alias("_tk_n"))
+              .withColumn("_tk_before", F.coalesce(F.sum("_tk_n").over(
+                  wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .where(F.col("_tk_before") < k).select(*keys, "_tk_chunk"))
+    cand = cand.join(firsts, [*keys, "_tk_chunk"], "left_semi")
+    w2 = Window.partitionBy(*keys).orderBy(*ordering)
+    return (cand.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k)
+            .drop("_tk_chunk", "_tk_r"))

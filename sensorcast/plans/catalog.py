@@ -71,3 +71,714 @@ def ar_rolling(spark, sf):
 def q_metrics_by_model(spark, sf):
     p, fc = ar_rolling(spark, sf)
     return rounded(EV.metrics(EV.align(fc, p), ("model", "series_id")))
+
+
+# ------------------------------------------------------- ingest and cleaning
+from ..operators import clean as CL  # noqa: E402
+from ..operators import ingest as IN  # noqa: E402
+from ..operators import split as SP  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import readers as RD  # noqa: E402
+from ..sources import writers as WR  # noqa: E402
+from ..sources.tables import sensor_raw_text  # noqa: E402
+
+CFG = EVENTS
+(INV_S, INV_E), = CFG.invalid_intervals
+RAW = O.raw_cte()
+CLEAN_CHAIN = ",\n".join([RAW, O.clean_cte(CFG)])
+CHAIN = O.prep_chain(CFG)
+REAL = "NOT isnan(value)"
+
+
+@query("quality_filter", O.with_(RAW) + "SELECT * FROM raw WHERE quality = 'Good'")
+def q_quality_filter(spark, sf):
+    return IN.filter_quality(sensor_raw(spark, sf))
+
+
+@query("normalise_columns",
+       "SELECT event_type AS series_id, ts, value FROM events")
+def q_normalise_columns(spark, sf):
+    return IN.normalise_columns(RD.table(spark, sf, "events"),
+                                {"event_type": "series_id", "ts": "ts", "value": "value"})
+
+
+def raw_text(spark, sf):
+    return sensor_raw_text(spark, sf).select(
+        "series_id", F.col("DateTime").alias("ts_raw"), F.col("Value").alias("value_raw"),
+        F.col("QualityStatus").alias("quality"))
+
+
+@query("parse_ts_coerce", "SELECT event_type AS series_id, ts FROM events")
+def q_parse_ts_coerce(spark, sf):
+    return IN.parse_ts(raw_text(spark, sf), strict=False).select("series_id", "ts")
+
+
+@query("parse_value_coerce", "SELECT event_type AS series_id, value FROM events")
+def q_parse_value_coerce(spark, sf):
+    return IN.parse_value(raw_text(spark, sf)).select("series_id", "value")
+
+
+@query("drop_missing", O.with_(RAW) + f"""
+SELECT series_id, ts, value FROM raw WHERE ts IS NOT NULL AND value IS NOT NULL AND {REAL}""")
+def q_drop_missing(spark, sf):
+    x = IN.parse_value(IN.parse_ts(raw_text(spark, sf), strict=True))
+    return IN.drop_missing(x.select("series_id", "ts", "value"), ["ts", "value"])
+
+
+@query("exclude_interval", O.with_(RAW) + f"""
+SELECT series_id, ts, value FROM raw
+WHERE NOT (ts BETWEEN TIMESTAMP '{INV_S}' AND TIMESTAMP '{INV_E}')""")
+def q_exclude_interval(spark, sf):
+    return CL.exclude_interval(sensor_raw(spark, sf).select("series_id", "ts", "value"),
+                               CFG.invalid_intervals)
+
+
+@query("segment_ab", O.with_(CLEAN_CHAIN) + "SELECT series_id, ts, value, segment_id FROM clean")
+def q_segment_ab(spark, sf):
+    return P.clean(sensor_raw(spark, sf), CFG)
+
+
+@query("invalid_remaining", O.with_(
+    RAW, O.clean_cte(CFG), O.buckets_cte(CFG), O.filled_cte(CFG),
+    O.clean_cte(CFG.with_(per_segment=False)).replace("good AS", "good2 AS").replace(
+        "clean AS", "clean2 AS").replace("FROM good", "FROM good2"),
+    O.buckets_cte(CFG, "clean2").replace("buckets AS", "buckets2 AS"),
+    O.filled_cte(CFG, src="buckets2").replace("nx AS", "nx2 AS").replace("FROM nx", "FROM nx2")
+    .replace("gp AS", "gp2 AS").replace("FROM gp", "FROM gp2").replace("gk AS", "gk2 AS")
+    .replace("FROM gk", "FROM gk2").replace("filled AS", "filled2 AS")) + f"""
+SELECT 'per_segment' AS variant,
+       CAST(count_if(ts BETWEEN TIMESTAMP '{INV_S}' AND TIMESTAMP '{INV_E}') AS BIGINT) AS invalid_rows
+FROM filled
+UNION ALL
+SELECT 'per_series', CAST(count_if(ts BETWEEN TIMESTAMP '{INV_S}' AND TIMESTAMP '{INV_E}') AS BIGINT)
+FROM filled2""")
+def q_invalid_remaining(spark, sf):
+    raw = sensor_raw(spark, sf)
+    out = []
+    for name, cfg in (("per_segment", CFG), ("per_series", CFG.with_(per_segment=False))):
+        reg = P.regularise(P.clean(raw, cfg), cfg)
+        out.append(CL.invalid_remaining(reg, cfg.invalid_intervals)
+                   .select(F.lit(name).alias("variant"), "invalid_rows"))
+    return out[0].unionByName(out[1])
+
+
+@query("time_split", O.with_(CHAIN) + "SELECT series_id, segment_id, ts, " + O.r("value")
+       + ", filled, split FROM prep")
+def q_time_split(spark, sf):
+    return rounded(prepared(spark, sf))
+
+
+@query("flag_interval", O.with_(RAW, O.clean_cte(CFG), O.buckets_cte(CFG), O.filled_cte(CFG)) + f"""
+SELECT series_id, ts, CAST(ts BETWEEN TIMESTAMP '{CFG.eval_start}' AND TIMESTAMP '{CFG.eval_end}'
+       AS INTEGER) AS is_eval FROM filled""")
+def q_flag_interval(spark, sf):
+    reg = P.regularise(P.clean(sensor_raw(spark, sf), CFG), CFG)
+    return SP.flag_interval(reg, CFG.eval_start, CFG.eval_end).select("series_id", "ts", "is_eval")
+
+
+@query("split_counts", O.with_(RAW, O.clean_cte(CFG), O.buckets_cte(CFG), O.filled_cte(CFG)) + f"""
+SELECT CAST(ts BETWEEN TIMESTAMP '{CFG.eval_start}' AND TIMESTAMP '{CFG.eval_end}' AS INTEGER)
+       AS is_eval, count(*) AS n_rows FROM filled GROUP BY 1""")
+def q_split_counts(spark, sf):
+    reg = P.regularise(P.clean(sensor_raw(spark, sf), CFG), CFG)
+    return SP.split_counts(SP.flag_interval(reg, CFG.eval_start, CFG.eval_end))
+
+
+def indexed(spark, sf, cfg=CFG):
+    from ..operators.segments import dense_time_index
+    return dense_time_index(prepared(spark, sf, cfg), cfg.freq, chunk_buckets=cfg.chunk_buckets)
+
+
+CUT_SQL = O.with_(CHAIN, O.indexed_cte(), """cut AS (
+  SELECT i.*, c.cutoff, CASE WHEN i.time_idx <= c.cutoff THEN 'train' ELSE 'eval' END AS part
+  FROM idx i JOIN (SELECT series_id, max(time_idx) AS cutoff FROM idx WHERE split = 'train'
+                   GROUP BY series_id) c USING (series_id))""")
+
+
+@query("time_index", O.with_(CHAIN, O.indexed_cte()) + "SELECT series_id, ts, time_idx FROM idx")
+def q_time_index(spark, sf):
+    return indexed(spark, sf).select("series_id", "ts", "time_idx")
+
+
+@query("cutoff_split", CUT_SQL + "SELECT series_id, ts, time_idx, cutoff, part FROM cut")
+def q_cutoff_split(spark, sf):
+    return SP.split_at_cutoff(indexed(spark, sf)).select("series_id", "ts", "time_idx", "cutoff",
+                                                          "part")
+
+
+@query("eval_halo", CUT_SQL + f"""
+SELECT series_id, ts, time_idx, part FROM cut WHERE time_idx > cutoff - {CFG.context}""")
+def q_eval_halo(spark, sf):
+    c = SP.split_at_cutoff(indexed(spark, sf))
+    return SP.eval_with_halo(c, CFG.context).select("series_id", "ts", "time_idx", "part")
+
+
+@query("series_key", "SELECT 'events' AS series_id, ts, value FROM events")
+def q_series_key(spark, sf):
+    ev = RD.table(spark, sf, "events").select("ts", "value")
+    return IN.with_series_id(ev, "events").select("series_id", "ts", "value")
+
+
+@query("cast_float32", O.with_(CLEAN_CHAIN) + "SELECT series_id, ts, CAST(value AS FLOAT) AS value FROM clean")
+def q_cast_float32(spark, sf):
+    return IN.cast_value(P.clean(sensor_raw(spark, sf), CFG), "float").select("series_id", "ts",
+                                                                                "value")
+
+
+@query("min_length_report", O.with_(CHAIN) + f"""
+SELECT series_id, split, count(*) AS n_rows, CAST({CFG.context + CFG.horizon} AS BIGINT) AS needed,
+       count(*) >= {CFG.context + CFG.horizon} AS ok
+FROM prep GROUP BY series_id, split""")
+def q_min_length_report(spark, sf):
+    return SP.min_length_report(prepared(spark, sf), CFG.context, CFG.horizon)
+
+
+# ---------------------------------------------------------- sources and sinks
+@query("scan_csv", O.with_(RAW) + f"""
+SELECT series_id, ts, value FROM raw WHERE quality = 'Good' AND {REAL}""")
+def q_scan_csv(spark, sf):
+    path = WR.write_raw_csv(sensor_raw_text(spark, sf), scratch_path(spark, "raw_csv"))
+    return IN.clean_readings(RD.read_raw(spark, path, series_col="series_id"))
+
+
+@query("scan_prepared", O.with_(CHAIN) + "SELECT series_id, segment_id, ts, " + O.r("value")
+       + ", filled, split FROM prep")
+def q_scan_prepared(spark, sf):
+    path = WR.write_prepared(prepared(spark, sf), scratch_path(spark, "prepared_csv"), fmt="csv",
+                             partition_by=())
+    from pyspark.sql import types as T
+    schema = T.StructType(list(RD.PREPARED_SCHEMA.fields) + [T.StructField("split", T.StringType())])
+    return rounded(RD.read_prepared(spark, path, "csv", schema))
+
+
+@query("sink_prepared", O.with_(CHAIN) + "SELECT series_id, segment_id, ts, " + O.r("value")
+       + ", filled, split FROM prep")
+def q_sink_prepared(spark, sf):
+    path = WR.write_prepared(prepared(spark, sf), scratch_path(spark, "prepared"))
+    return rounded(RD.read_prepared(spark, path).select("series_id", "segment_id", "ts", "value",
+                                                        "filled", "split"))
+
+
+@query("split_timestamps", O.with_(CHAIN) + "SELECT series_id, ts FROM prep WHERE split = 'eval'")
+def q_split_timestamps(spark, sf):
+    return WR.split_timestamps(prepared(spark, sf), "eval")
+
+
+@query("scaler_params", O.with_(CHAIN, O.params_cte()) + f"""
+SELECT series_id, {O.r('mean')}, {O.r('std')} FROM params""")
+def q_scaler_params(spark, sf):
+    from ..operators.scaling import fit_scaler
+    path = WR.save_params(fit_scaler(prepared(spark, sf)), scratch_path(spark, "scaler"))
+    return rounded(RD.load_params(spark, path))
+
+
+@query("model_params", SQL["ar_fit"])
+def q_model_params(spark, sf):
+    p = prepared(spark, sf, HOURLY)
+    path = WR.save_model(autoreg.ar_fit(p, HOURLY.freq, HOURLY.chunk_buckets),
+                         scratch_path(spark, "ar_model"))
+    return rounded(RD.load_params(spark, path))
+
+
+@query("forecast_table", SQL["ar_forecast"])
+def q_forecast_table(spark, sf):
+    p = prepared(spark, sf, HOURLY)
+    fc = autoreg.ar_forecast(p, autoreg.ar_fit(p, HOURLY.freq, HOURLY.chunk_buckets),
+                             HOURLY.horizon, HOURLY.freq, "last")
+    path = WR.write_forecasts(fc, scratch_path(spark, "forecasts"))
+    return rounded(spark.read.parquet(path).select(*fc.columns))
+
+
+# ------------------------------------------- aggregates, fill, segments, index
+from ..operators import features as FE  # noqa: E402
+from ..operators import report as RP  # noqa: E402
+from ..operators import scaling as SC  # noqa: E402
+from ..operators import segments as SG  # noqa: E402
+from ..operators import windows as WN  # noqa: E402
+from ..operators.resample import fill_gaps, resample_mean  # noqa: E402
+
+BUCKET_CHAIN = ",\n".join([RAW, O.clean_cte(CFG), O.buckets_cte(CFG)])
+FILL_CHAIN = ",\n".join([BUCKET_CHAIN, O.filled_cte(CFG)])
+
+
+def clean_df(spark, sf, cfg=CFG):
+    return P.clean(sensor_raw(spark, sf), cfg)
+
+
+@query("resample_mean", O.with_(BUCKET_CHAIN) + "SELECT series_id, segment_id, ts, "
+       + O.r("value") + " FROM buckets")
+def q_resample_mean(spark, sf):
+    return rounded(resample_mean(clean_df(spark, sf), CFG.freq))
+
+
+@query("fill_gaps", O.with_(FILL_CHAIN) + "SELECT series_id, segment_id, ts, " + O.r("value")
+       + ", filled FROM filled")
+def q_fill_gaps(spark, sf):
+    b = resample_mean(clean_df(spark, sf), CFG.freq)
+    return rounded(fill_gaps(b, CFG.freq, CFG.fill_limit, chunk_buckets=CFG.chunk_buckets))
+
+
+_UNL = CFG.with_(per_segment=False, fill_limit=None)
+
+
+@query("fill_gaps_unlimited", O.with_(RAW, O.clean_cte(_UNL), O.buckets_cte(_UNL),
+                                      O.filled_cte(_UNL)) + "SELECT series_id, ts, "
+       + O.r("value") + ", filled FROM filled")
+def q_fill_gaps_unlimited(spark, sf):
+    b = resample_mean(clean_df(spark, sf, _UNL), _UNL.freq)
+    return rounded(fill_gaps(b, _UNL.freq, None, chunk_buckets=_UNL.chunk_buckets)
+                   .select("series_id", "ts", "value", "filled"))
+
+
+@query("time_gaps", O.with_(CLEAN_CHAIN) + """
+SELECT series_id, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY series_id ORDER BY ts)))
+       / 1e6 AS gap_seconds FROM clean""")
+def q_time_gaps(spark, sf):
+    return SG.gap_seconds(clean_df(spark, sf), CFG.freq, chunk_buckets=CFG.chunk_buckets).select(
+        "series_id", "ts", "gap_seconds")
+
+
+def cont_cte(src: str, max_gap_us: int, name: str = "cs") -> str:
+    return f"""{name}_l AS (
+  SELECT *, lag(ts) OVER w AS p_ts, lag(segment_id) OVER w AS p_seg
+  FROM {src} WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+{name} AS (
+  SELECT * EXCLUDE (p_ts, p_seg, segment_id),
+         CAST(sum(CASE WHEN p_ts IS NOT NULL AND (epoch_us(ts) - epoch_us(p_ts) > {max_gap_us}
+                                                OR p_seg <> segment_id) THEN 1 ELSE 0 END)
+              OVER (PARTITION BY series_id ORDER BY ts
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS segment_id
+  FROM {name}_l)"""
+
+
+@query("continuous_segments", O.with_(BUCKET_CHAIN, cont_cte("buckets", 3_600_000_000))
+       + "SELECT series_id, ts, " + O.r("value") + ", segment_id FROM cs")
+def q_continuous_segments(spark, sf):
+    b = resample_mean(clean_df(spark, sf), CFG.freq)
+    return rounded(SG.continuous_segments(b, "60 minutes", CFG.freq,
+                                          chunk_buckets=CFG.chunk_buckets)
+                   .select("series_id", "ts", "value", "segment_id"))
+
+
+@query("long_segments", O.with_(BUCKET_CHAIN, cont_cte("buckets", 3_600_000_000)) + """
+SELECT series_id, ts, """ + O.r("value") + """, segment_id FROM cs
+WHERE (series_id, segment_id) IN (SELECT series_id, segment_id FROM cs
+                                  GROUP BY series_id, segment_id HAVING count(*) >= 3)""")
+def q_long_segments(spark, sf):
+    b = resample_mean(clean_df(spark, sf), CFG.freq)
+    s = SG.continuous_segments(b, "60 minutes", CFG.freq, chunk_buckets=CFG.chunk_buckets)
+    return rounded(SG.keep_long_segments(s, 3).select("series_id", "ts", "value", "segment_id"))
+
+
+@query("segment_lengths", O.with_(FILL_CHAIN, cont_cte("filled", 3_600_000_000)) + """
+SELECT series_id, segment_id, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts
+FROM cs GROUP BY series_id, segment_id""")
+def q_segment_lengths(spark, sf):
+    reg = P.regularise(clean_df(spark, sf), CFG)
+    s = SG.continuous_segments(reg, "60 minutes", CFG.freq, chunk_buckets=CFG.chunk_buckets)
+    return SG.segment_lengths(s)
+
+
+@query("scaler_fit", O.with_(CHAIN, O.params_cte()) + f"""
+SELECT series_id, {O.r('mean')}, {O.r('std')} FROM params""")
+def q_scaler_fit(spark, sf):
+    return rounded(SC.fit_scaler(prepared(spark, sf)))
+
+
+SCALED_CHAIN = O.with_(CHAIN, O.params_cte(), """scaled AS (
+  SELECT p.*, (p.value - s.mean) / s.std AS value_scaled FROM prep p JOIN params s USING (series_id))""")
+
+
+def scaled_df(spark, sf):
+    p = prepared(spark, sf)
+    return SC.scale(p, SC.fit_scaler(p))
+
+
+@query("scale_apply", SCALED_CHAIN + "SELECT series_id, ts, split, " + O.r("value_scaled")
+       + " FROM scaled")
+def q_scale_apply(spark, sf):
+    return rounded(scaled_df(spark, sf).select("series_id", "ts", "split", "value_scaled"))
+
+
+@query("scaled_stats", SCALED_CHAIN + f"""
+SELECT series_id, split, {O.r('avg(value_scaled)', 'mean_scaled')},
+       {O.r('stddev_pop(value_scaled)', 'std_scaled')} FROM scaled GROUP BY series_id, split""")
+def q_scaled_stats(spark, sf):
+    return rounded(SC.scaled_stats(scaled_df(spark, sf)))
+
+
+@query("time_extent", O.with_(CLEAN_CHAIN) + """
+SELECT series_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows
+FROM clean GROUP BY series_id""")
+def q_time_extent(spark, sf):
+    return RP.time_extent(clean_df(spark, sf))
+
+
+@query("stage_counts", O.with_(CHAIN) + f"""
+SELECT stage, CAST(n_rows AS BIGINT) AS n_rows FROM (
+  SELECT 'raw' AS stage, count(*) AS n_rows, 1 AS o FROM raw
+  UNION ALL SELECT 'good', count(*), 2 FROM good
+  UNION ALL SELECT 'valid', count(*), 3 FROM clean
+  UNION ALL SELECT 'observed_buckets', count_if(NOT filled), 4 FROM prep
+  UNION ALL SELECT 'filled_buckets', count_if(filled), 5 FROM prep
+  UNION ALL SELECT 'regular_rows', count(*), 6 FROM prep
+  UNION ALL SELECT 'train_rows', count_if(split = 'train'), 7 FROM prep
+  UNION ALL SELECT 'eval_rows', count_if(split = 'eval'), 8 FROM prep)""")
+def q_stage_counts(spark, sf):
+    return RP.stage_counts(sensor_raw(spark, sf), prepared(spark, sf), CFG.invalid_intervals)
+
+
+@query("prep_summary", O.with_(CHAIN) + f"""
+SELECT item, value FROM (
+  SELECT 'Total raw data' AS item, CAST(count(*) AS VARCHAR) AS value FROM raw
+  UNION ALL SELECT 'Final valid data', CAST(count(*) AS VARCHAR) FROM prep
+  UNION ALL SELECT 'Train data', CAST(count_if(split = 'train') AS VARCHAR) FROM prep
+  UNION ALL SELECT 'Evaluation data', CAST(count_if(split = 'eval') AS VARCHAR) FROM prep
+  UNION ALL SELECT 'Resample frequency', '{CFG.freq}'
+  UNION ALL SELECT 'Interpolation limit', '{CFG.fill_limit}')""")
+def q_prep_summary(spark, sf):
+    return RP.prep_summary(sensor_raw(spark, sf), prepared(spark, sf), CFG.freq, CFG.fill_limit)
+
+
+@query("calendar_features", O.with_(CHAIN) + """
+SELECT series_id, ts, CAST(minute(ts) AS INTEGER) AS minute, CAST(hour(ts) AS INTEGER) AS hour,
+       CAST(day(ts) AS INTEGER) AS day, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week,
+       CAST(month(ts) AS INTEGER) AS month, CAST(isodow(ts) - 1 >= 5 AS INTEGER) AS is_weekend
+FROM prep""")
+def q_calendar_features(spark, sf):
+    return FE.calendar_features(prepared(spark, sf)).select(
+        "series_id", "ts", "minute", "hour", "day", "day_of_week", "month", "is_weekend")
+
+
+@query("combine_segments", O.with_(FILL_CHAIN) + "SELECT series_id, segment_id, ts, "
+       + O.r("value") + ", filled FROM filled")
+def q_combine_segments(spark, sf):
+    c = clean_df(spark, sf)
+    parts = [P.regularise(c.where(F.col("segment_id") == s), CFG) for s in (0, 1)]
+    return rounded(WN.combine(*parts))
+
+
+@query("chart_feed", O.with_(CHAIN) + """
+SELECT series_id, ts, """ + O.r("value") + """, row_no FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS row_no FROM prep)
+WHERE row_no <= 500""")
+def q_chart_feed(spark, sf):
+    return rounded(WN.chart_feed(prepared(spark, sf), 500, CFG.freq, chunk_buckets=CFG.chunk_buckets)
+                   .select("series_id", "ts", "value", F.col("row_no").cast("long")))
+
+
+# ------------------------------------------------------------- windows (hourly)
+W_CFG = HOURLY
+W_GAP_US = 7_200_000_000
+
+
+def windows_src(spark, sf):
+    """Hourly prepared rows, continuous segments (gap > 120 min), dense index."""
+    p = prepared(spark, sf, W_CFG)
+    s = SG.continuous_segments(p, "120 minutes", W_CFG.freq, chunk_buckets=W_CFG.chunk_buckets)
+    return SG.dense_time_index(s, W_CFG.freq, chunk_buckets=W_CFG.chunk_buckets)
+
+
+def windows_df(spark, sf):
+    return WN.make_windows(windows_src(spark, sf), W_CFG.context, W_CFG.horizon, chunk_rows=64)
+
+
+L_, H_ = W_CFG.context, W_CFG.horizon
+WIN_SQL = O.with_(H_CHAIN, cont_cte("prep", W_GAP_US), O.indexed_cte("cs"), f"""wn AS (
+  SELECT series_id, ts AS origin_ts, time_idx AS origin_idx,
+         list(value) OVER (w ROWS BETWEEN {L_ - 1} PRECEDING AND CURRENT ROW) AS x,
+         list(value) OVER (w ROWS BETWEEN 1 FOLLOWING AND {H_} FOLLOWING) AS y,
+         min(time_idx) OVER (w ROWS BETWEEN {L_ - 1} PRECEDING AND {H_} FOLLOWING) AS lo,
+         max(time_idx) OVER (w ROWS BETWEEN {L_ - 1} PRECEDING AND {H_} FOLLOWING) AS hi,
+         min(segment_id) OVER (w ROWS BETWEEN {L_ - 1} PRECEDING AND {H_} FOLLOWING) AS smin,
+         max(segment_id) OVER (w ROWS BETWEEN {L_ - 1} PRECEDING AND {H_} FOLLOWING) AS smax
+  FROM idx WINDOW w AS (PARTITION BY series_id ORDER BY time_idx)),
+wins AS (
+  SELECT series_id, origin_ts, origin_idx, x, y FROM wn
+  WHERE lo = origin_idx - {L_ - 1} AND hi = origin_idx + {H_} AND smin = smax)""")
+RL = "list_transform({0}, lambda v: " + O.rnd("v") + ") AS {0}"
+
+
+@query("windows_pairs", WIN_SQL + f"""
+SELECT series_id, origin_ts, origin_idx, {RL.format('x')}, {RL.format('y')} FROM wins""")
+def q_windows_pairs(spark, sf):
+    return rounded(windows_df(spark, sf))
+
+
+@query("window_count", O.with_(H_CHAIN, cont_cte("prep", W_GAP_US)) + f"""
+SELECT series_id, CAST(sum(n) AS BIGINT) AS n_rows, CAST(greatest(sum(n) - {L_ + H_} + 1, 0) AS BIGINT) AS windows_full,
+       CAST(sum(n) - {L_ + H_} AS BIGINT) AS windows_reference,
+       CAST(sum(greatest(n - {L_ + H_} + 1, 0)) AS BIGINT) AS windows_in_segments
+FROM (SELECT series_id, segment_id, count(*) AS n FROM cs GROUP BY series_id, segment_id)
+GROUP BY series_id""")
+def q_window_count(spark, sf):
+    return WN.window_count(windows_src(spark, sf), L_, H_)
+
+
+@query("last_window", O.with_(H_CHAIN, O.indexed_cte()) + f"""
+SELECT series_id, ts, time_idx, {O.r('value')}, pos, CASE WHEN pos < {L_} THEN 'context' ELSE 'horizon' END AS role
+FROM (SELECT i.*, i.time_idx - (c.n - {L_ + H_}) AS pos FROM idx i
+      JOIN (SELECT series_id, count(*) AS n FROM idx GROUP BY series_id) c USING (series_id))
+WHERE pos >= 0""")
+def q_last_window(spark, sf):
+    x = SG.dense_time_index(prepared(spark, sf, W_CFG), W_CFG.freq,
+                            chunk_buckets=W_CFG.chunk_buckets)
+    return rounded(WN.last_window(x, L_, H_).select("series_id", "ts", "time_idx", "value", "pos",
+                                                    "role"))
+
+
+@query("explode_windows", WIN_SQL + f"""
+SELECT series_id, origin_ts, CAST(unnest(range(1, len(y) + 1)) AS INTEGER) AS step,
+       {O.rnd("unnest(y)")} AS actual FROM wins""")
+def q_explode_windows(spark, sf):
+    return rounded(WN.explode_forecast(windows_df(spark, sf)))
+
+
+@query("window_slice", WIN_SQL + f"""
+SELECT series_id, origin_ts, list_transform((x || y)[1:{L_}], lambda v: {O.rnd("v")}) AS context,
+       list_transform((x || y)[{L_ + 1}:{L_ + H_}], lambda v: {O.rnd("v")}) AS horizon FROM wins""")
+def q_window_slice(spark, sf):
+    w = windows_df(spark, sf).withColumn("_w", F.concat("x", "y"))
+    return rounded(w.select("series_id", "origin_ts",
+                            WN.window_slice("_w", 0, L_).alias("context"),
+                            WN.window_slice("_w", L_, H_).alias("horizon")))
+
+
+# ------------------------------------------------------------ model features
+HCUT_SQL = O.with_(H_CHAIN, O.indexed_cte(), """cut AS (
+  SELECT i.*, c.cutoff FROM idx i JOIN (SELECT series_id, max(time_idx) AS cutoff FROM idx
+  WHERE split = 'train' GROUP BY series_id) c USING (series_id))""")
+
+
+def hourly_cut(spark, sf):
+    x = SG.dense_time_index(prepared(spark, sf, W_CFG), W_CFG.freq,
+                            chunk_buckets=W_CFG.chunk_buckets)
+    return SP.split_at_cutoff(x)
+
+
+@query("relative_time", HCUT_SQL + f"""
+SELECT series_id, ts, time_idx, (time_idx - cutoff) / {float(L_)} AS relative_time_idx
+FROM cut WHERE time_idx > cutoff - {L_}""")
+def q_relative_time(spark, sf):
+    x = SP.eval_with_halo(hourly_cut(spark, sf), L_)
+    return FE.relative_time_idx(x, "cutoff", context=L_).select("series_id", "ts", "time_idx",
+                                                                "relative_time_idx")
+
+
+@query("target_scales", O.with_(H_CHAIN) + f"""
+SELECT p.series_id, p.ts, {O.r('s.target_center', 'target_center')}, {O.r('s.target_scale', 'target_scale')}
+FROM prep p JOIN (SELECT series_id, avg(value) AS target_center, stddev_pop(value) AS target_scale
+                  FROM prep WHERE split = 'train' GROUP BY series_id) s USING (series_id)""")
+def q_target_scales(spark, sf):
+    return rounded(FE.target_scales(prepared(spark, sf, W_CFG)).select(
+        "series_id", "ts", "target_center", "target_scale"))
+
+
+@query("encoder_length", O.with_(H_CHAIN, O.indexed_cte()) + f"""
+SELECT series_id, ts, CAST(least(time_idx + 1, {L_}) AS BIGINT) AS encoder_length FROM idx""")
+def q_encoder_length(spark, sf):
+    x = SG.dense_time_index(prepared(spark, sf, W_CFG), W_CFG.freq,
+                            chunk_buckets=W_CFG.chunk_buckets)
+    return FE.encoder_length(x, L_).select("series_id", "ts", "encoder_length")
+
+
+@query("encode_series", """
+SELECT series_id, CAST(dense_rank() OVER (ORDER BY series_id) - 1 AS BIGINT) AS series_code
+FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS series_id FROM events)""")
+def q_encode_series(spark, sf):
+    raw = sensor_raw(spark, sf, key="user_id")
+    return FE.encode_series(raw).select("series_id", "series_code").distinct()
+
+
+# ------------------------------------------------------ forecasters F1-F8
+from ..functions.timefn import freq_micros  # noqa: E402
+from ..operators.forecast import basis, causal, patch, score  # noqa: E402
+from ..operators.forecast import quantile as QF  # noqa: E402
+from ..operators.forecast import select as SEL  # noqa: E402
+
+PERIOD, HARM = 24, 3
+PATCH, STRIDE = 8, 4
+CHUNK_ROWS = 64
+US_H = freq_micros(HOURLY.freq)
+IDX_H = O.with_(H_CHAIN, O.indexed_cte())
+
+
+def hourly_indexed(spark, sf):
+    return indexed(spark, sf, HOURLY)
+
+
+def _patch_sql() -> str:
+    n = patch.n_patches(L_, PATCH, STRIDE)
+    lags = ", ".join(
+        (f"pm - ctx_mean AS p_{j}" if L_ - PATCH - j * STRIDE == 0 else
+         f"lag(pm, {L_ - PATCH - j * STRIDE}) OVER w - ctx_mean AS p_{j}") for j in range(n))
+    leads = ", ".join(f"lead(value, {h}) OVER w - ctx_mean AS y_{h}" for h in range(1, H_ + 1))
+    outs = ", ".join([O.r("ctx_mean")] + [O.r(f"p_{j}") for j in range(n)]
+                     + [O.r(f"y_{h}") for h in range(1, H_ + 1)])
+    return IDX_H + f""", pf1 AS (
+  SELECT *, avg(value) OVER (w ROWS BETWEEN {PATCH - 1} PRECEDING AND CURRENT ROW) AS pm,
+         avg(value) OVER (w ROWS BETWEEN {L_ - 1} PRECEDING AND CURRENT ROW) AS ctx_mean,
+         count(*) OVER (w ROWS BETWEEN {L_ - 1} PRECEDING AND CURRENT ROW) AS nc,
+         min(ts) OVER (w ROWS BETWEEN {L_ - 1} PRECEDING AND CURRENT ROW) AS t0,
+         count(*) OVER (w ROWS BETWEEN 1 FOLLOWING AND {H_} FOLLOWING) AS nh,
+         max(ts) OVER (w ROWS BETWEEN 1 FOLLOWING AND {H_} FOLLOWING) AS t1,
+         lead(split, {H_}) OVER w AS target_split
+  FROM idx WINDOW w AS (PARTITION BY series_id ORDER BY time_idx)),
+pf AS (
+  SELECT *, {lags}, {leads} FROM pf1 WINDOW w AS (PARTITION BY series_id ORDER BY time_idx))
+SELECT series_id, ts AS origin_ts, time_idx AS origin_idx, split, target_split,
+       (nh = {H_} AND epoch_us(t1) - epoch_us(ts) = {H_ * US_H}) AS targets_ok, {outs}
+FROM pf WHERE nc = {L_} AND epoch_us(ts) - epoch_us(t0) = {(L_ - 1) * US_H}"""
+
+
+@query("patch_features", _patch_sql())
+def q_patch_features(spark, sf):
+    return rounded(patch.patch_features(hourly_indexed(spark, sf), L_, H_, PATCH, STRIDE,
+                                        HOURLY.freq, CHUNK_ROWS))
+
+
+@query("patch_linear_forecast")
+def q_patch_linear_forecast(spark, sf):
+    fc, _ = patch.patch_linear_forecast(hourly_indexed(spark, sf), L_, H_, PATCH, STRIDE,
+                                        HOURLY.freq, CHUNK_ROWS)
+    return rounded(fc)
+
+
+def _causal_sql() -> str:
+    back = (causal.KERNEL - 1) * max(causal.DILATIONS)
+    cols = [f"value - lag(value, {d}) OVER w AS diff_{d}" for d in causal.DILATIONS]
+    for d in causal.DILATIONS:
+        taps = " + ".join(["value"] + [f"lag(value, {k * d}) OVER w" for k in range(1, causal.KERNEL)])
+        cols.append(f"({taps}) / {float(causal.KERNEL)} - value AS smooth_{d}")
+    outs = ", ".join(O.r(c) for c in ["value", *causal.filter_names()])
+    return IDX_H + f""", cf AS (
+  SELECT *, {', '.join(cols)}, lag(ts, {back}) OVER w AS t0
+  FROM idx WINDOW w AS (PARTITION BY series_id ORDER BY time_idx))
+SELECT series_id, ts, time_idx, split, {outs} FROM cf
+WHERE epoch_us(ts) - epoch_us(t0) = {back * US_H}"""
+
+
+@query("causal_filter_bank", _causal_sql())
+def q_causal_filter_bank(spark, sf):
+    return rounded(causal.causal_filter_bank(hourly_indexed(spark, sf), HOURLY.freq,
+                                             chunk_rows=CHUNK_ROWS))
+
+
+@query("filter_linear_forecast")
+def q_filter_linear_forecast(spark, sf):
+    fc, _ = causal.filter_linear_forecast(hourly_indexed(spark, sf), H_, HOURLY.freq, CHUNK_ROWS)
+    return rounded(fc)
+
+
+def basis_fit(p):
+    tr = basis.trend_fit(p, HOURLY.freq)
+    return tr, basis.seasonal_fit(p, tr, HOURLY.freq, PERIOD, HARM)
+
+
+BASIS = O.basis_ctes(HOURLY, PERIOD, HARM)
+
+
+@query("trend_fit", O.with_(H_CHAIN, BASIS) + f"""
+SELECT series_id, {O.r('slope')}, {O.r('intercept')}, n FROM tr""")
+def q_trend_fit(spark, sf):
+    return rounded(basis.trend_fit(prepared(spark, sf, HOURLY), HOURLY.freq))
+
+
+@query("seasonal_fit", O.with_(H_CHAIN, BASIS) + "SELECT series_id, " + ", ".join(
+    O.r(f"{c}_{k}") for k in range(1, HARM + 1) for c in "ab") + " FROM se")
+def q_seasonal_fit(spark, sf):
+    return rounded(basis_fit(prepared(spark, sf, HOURLY))[1])
+
+
+DEC = O.decompose_fc_cte(HOURLY, PERIOD, HARM)
+FC_COLS = "model, series_id, origin_ts, step, target_ts, q"
+
+
+@query("decompose_forecast", O.with_(H_CHAIN, BASIS, DEC) + f"""
+SELECT {FC_COLS}, {O.r('predicted')} FROM dcfc""")
+def q_decompose_forecast(spark, sf):
+    p = prepared(spark, sf, HOURLY)
+    tr, se = basis_fit(p)
+    return rounded(basis.decompose_forecast(p, tr, se, H_, HOURLY.freq, PERIOD, HARM))
+
+
+QP = O.profile_cte()
+
+
+@query("quantile_profile", O.with_(H_CHAIN, QP) + f"""
+SELECT series_id, hour, is_weekend, q, {O.r('value')} FROM qp""")
+def q_quantile_profile(spark, sf):
+    return rounded(QF.quantile_profile(prepared(spark, sf, HOURLY)))
+
+
+QFC = O.quantile_fc_cte(HOURLY)
+
+
+def quantile_fc(spark, sf, p=None):
+    p = p if p is not None else prepared(spark, sf, HOURLY)
+    return QF.quantile_forecast(p, QF.quantile_profile(p), H_, HOURLY.freq)
+
+
+@query("quantile_forecast", O.with_(H_CHAIN, QP, QFC) + f"""
+SELECT {FC_COLS}, {O.r('predicted')} FROM qfc""")
+def q_quantile_forecast(spark, sf):
+    return rounded(quantile_fc(spark, sf))
+
+
+@query("quantile_pick", O.with_(H_CHAIN, QP, QFC) + f"""
+SELECT {FC_COLS}, {O.r('predicted')} FROM qfc WHERE q = 0.5""")
+def q_quantile_pick(spark, sf):
+    return rounded(QF.pick_quantile(quantile_fc(spark, sf), 0.5))
+
+
+@query("pinball_loss", O.with_(H_CHAIN, QP, QFC, O.aligned_cte("qfc")) + f"""
+SELECT model, q, {O.r('avg(greatest(q * (actual - predicted), (q - 1) * (actual - predicted)))', 'pinball')},
+       count(*) AS n
+FROM aligned WHERE actual IS NOT NULL AND NOT isnan(actual) GROUP BY model, q""")
+def q_pinball_loss(spark, sf):
+    p = prepared(spark, sf, HOURLY)
+    return rounded(EV.pinball_loss(EV.align(quantile_fc(spark, sf, p), p)))
+
+
+@query("gaussian_nll", O.with_(H_CHAIN, O.ar_params_cte(HOURLY),
+                               O.ar_forecast_cte(HOURLY, "eval", "fc"), O.aligned_cte("fc")) + f"""
+SELECT model, {O.r('avg(0.9189385332046727 + ln(sd) + (actual - predicted) * (actual - predicted) / (2.0 * sd * sd))', 'nll')},
+       count(*) AS n
+FROM aligned WHERE actual IS NOT NULL AND NOT isnan(actual) AND sd > 0 GROUP BY model""")
+def q_gaussian_nll(spark, sf):
+    p, fc = ar_rolling(spark, sf)
+    return rounded(EV.gaussian_nll(EV.align(fc, p)))
+
+
+VAL_START = "2024-01-21 00:00:00"
+
+
+def _select_sql() -> str:
+    where = f"split = 'train' AND ts < TIMESTAMP '{VAL_START}'"
+    t = f"CAST(epoch_us(v.ts) // {US_H} AS BIGINT)"
+    cands = ", ".join(f"pow(v.value - {O.decompose_expr(t, PERIOD, k)}, 2) AS se_{k}"
+                      for k in range(0, 4))
+    return O.with_(H_CHAIN, O.basis_ctes(HOURLY, PERIOD, 3, where)) + f""", val AS (
+  SELECT v.series_id, {cands}
+  FROM prep v JOIN tr USING (series_id) JOIN se USING (series_id)
+  WHERE v.split = 'train' AND v.ts >= TIMESTAMP '{VAL_START}'),
+scores AS (
+  SELECT series_id, k AS harmonics, avg(se) AS mse FROM (
+    {' UNION ALL '.join(f'SELECT series_id, {k} AS k, se_{k} AS se FROM val' for k in range(4))})
+  GROUP BY series_id, k)
+SELECT series_id, CAST(arg_min(harmonics, mse) AS INTEGER) AS best_harmonics, {O.r('min(mse)', 'best_mse')}
+FROM scores GROUP BY series_id"""
+
+
+@query("select_best", _select_sql())
+def q_select_best(spark, sf):
+    return rounded(SEL.select_best(prepared(spark, sf, HOURLY), HOURLY.freq, PERIOD, VAL_START))
+
+
+@query("score_windows", WIN_SQL + f"""
+SELECT 'user' AS model, series_id, origin_ts, CAST(step AS INTEGER) AS step,
+       origin_ts + to_microseconds(step * {US_H}) AS target_ts, CAST(NULL AS DOUBLE) AS q,
+       {O.r('m', 'predicted')}
+FROM (SELECT series_id, origin_ts, list_avg(x) AS m, unnest(range(1, {H_} + 1)) AS step FROM wins)""")
+def q_score_windows(spark, sf):
+    return rounded(score.score_windows(windows_df(spark, sf), H_, HOURLY.freq))

@@ -10,12 +10,21 @@ from __future__ import annotations
 from ..config import EVENTS, PipelineConfig
 from ..functions.timefn import freq_micros
 
-# Fixed value: digits kept in every reported DOUBLE (both sides round alike).
-DIGITS = 6
+# Fixed value: reported DOUBLEs are rounded to a binary grid of 2^-20 (about
+# 1e-6) with the same IEEE arithmetic in both engines, floor(x * 2^20 + 0.5) /
+# 2^20. A decimal grid would put exact decimal ties (a mean such as 36.5421875)
+# on a rounding boundary, where summation order decides the last bit; data with
+# decimal fractions does not land on the half-points of a binary grid.
+DIGITS = 20
+SCALE = 2.0 ** DIGITS
+
+
+def rnd(expr: str) -> str:
+    return f"floor(({expr}) * {SCALE!r} + 0.5) / {SCALE!r}"
 
 
 def r(expr: str, alias: str | None = None) -> str:
-    return f"round({expr}, {DIGITS}) AS {alias or expr}"
+    return f"{rnd(expr)} AS {alias or expr}"
 
 
 def raw_cte(key: str = "event_type") -> str:
@@ -167,3 +176,70 @@ GROUP BY {by}"""
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# ----------------------------------------------------------------- forecasters
+def basis_ctes(cfg: PipelineConfig, period: int, harmonics: int, where: str = "split = 'train'",
+               suffix: str = "") -> str:
+    """tr{suffix}: trend per series; se{suffix}: harmonics of the residual."""
+    us = freq_micros(cfg.freq)
+    t = f"CAST(epoch_us(ts) // {us} AS BIGINT)"
+    harm = ",\n         ".join(
+        f"2.0 * avg(r * cos(2.0 * pi() * {k} * (t % {period}) / {period})) AS a_{k}, "
+        f"2.0 * avg(r * sin(2.0 * pi() * {k} * (t % {period}) / {period})) AS b_{k}"
+        for k in range(1, harmonics + 1))
+    return f"""tr{suffix} AS (
+  SELECT series_id, regr_slope(value, CAST({t} AS DOUBLE)) AS slope,
+         regr_intercept(value, CAST({t} AS DOUBLE)) AS intercept, count(*) AS n
+  FROM prep WHERE {where} GROUP BY series_id),
+se{suffix} AS (
+  SELECT series_id, {harm}
+  FROM (SELECT p.series_id, {t.replace('ts', 'p.ts')} AS t,
+               p.value - (tr.intercept + tr.slope * CAST({t.replace('ts', 'p.ts')} AS DOUBLE)) AS r
+        FROM prep p JOIN tr{suffix} tr USING (series_id) WHERE {where.replace('split', 'p.split').replace('ts <', 'p.ts <')})
+  GROUP BY series_id)"""
+
+
+def decompose_expr(t: str, period: int, harmonics: int) -> str:
+    e = f"(intercept + slope * CAST({t} AS DOUBLE))"
+    for k in range(1, harmonics + 1):
+        e = (f"({e} + (a_{k} * cos(2.0 * pi() * {k} * ({t} % {period}) / {period})"
+             f" + b_{k} * sin(2.0 * pi() * {k} * ({t} % {period}) / {period})))")
+    return e
+
+
+def steps_cte(cfg: PipelineConfig, name: str, origins: str = "eval") -> str:
+    us = freq_micros(cfg.freq)
+    return f"""{name} AS (
+  SELECT series_id, origin_ts, CAST(step AS INTEGER) AS step,
+         origin_ts + to_microseconds(step * {us}) AS target_ts
+  FROM (SELECT series_id, ts AS origin_ts, unnest(range(1, {cfg.horizon} + 1)) AS step
+        FROM prep WHERE split = '{origins}'))"""
+
+
+def decompose_fc_cte(cfg: PipelineConfig, period: int, harmonics: int, name: str = "dcfc") -> str:
+    us = freq_micros(cfg.freq)
+    t = f"CAST(epoch_us(target_ts) // {us} AS BIGINT)"
+    return steps_cte(cfg, f"{name}_s") + f""",
+{name} AS (
+  SELECT 'decompose' AS model, series_id, origin_ts, step, target_ts, CAST(NULL AS DOUBLE) AS q,
+         {decompose_expr(t, period, harmonics)} AS predicted
+  FROM {name}_s JOIN tr USING (series_id) JOIN se USING (series_id))"""
+
+
+def profile_cte(qs=(0.1, 0.5, 0.9), name: str = "qp") -> str:
+    parts = [f"""SELECT series_id, CAST(hour(ts) AS INTEGER) AS hour,
+         CAST(isodow(ts) - 1 >= 5 AS INTEGER) AS is_weekend, CAST({q} AS DOUBLE) AS q,
+         quantile_cont(value, {q}) AS value
+  FROM prep WHERE split = 'train' GROUP BY ALL""" for q in qs]
+    return f"{name} AS (\n  " + "\n  UNION ALL ".join(parts) + ")"
+
+
+def quantile_fc_cte(cfg: PipelineConfig, name: str = "qfc") -> str:
+    return steps_cte(cfg, f"{name}_s") + f""",
+{name} AS (
+  SELECT 'quantile_profile' AS model, s.series_id, s.origin_ts, s.step, s.target_ts, p.q,
+         p.value AS predicted
+  FROM {name}_s s JOIN qp p ON p.series_id = s.series_id
+   AND p.hour = CAST(hour(s.target_ts) AS INTEGER)
+   AND p.is_weekend = CAST(isodow(s.target_ts) - 1 >= 5 AS INTEGER))"""

@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .oracle import DIGITS
+from .oracle import DIGITS, SCALE
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every DOUBLE column (float sums differ in the last bits by order)."""
-    return df.select([F.round(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c)
-                      for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = DIGITS, keep=("q",)) -> DataFrame:
+    """Round every DOUBLE column to a grid of 2^-digits with floor(x*2^d+0.5)/2^d
+    (float sums differ in the last bits by evaluation order). Exact constants
+    such as quantile levels (``keep``) stay as they are."""
+    scale = 2.0 ** digits if digits != DIGITS else SCALE
+
+    def rnd(v):
+        return F.floor(v * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+
+    def one(c, t):
+        if c in keep:
+            return F.col(c)
+        if t == "double":
+            return rnd(F.col(c)).alias(c)
+        if t == "array<double>":
+            return F.transform(F.col(c), rnd).alias(c)
+        return F.col(c)
+    return df.select([one(c, t) for c, t in df.dtypes])
