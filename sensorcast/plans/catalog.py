@@ -782,3 +782,300 @@ SELECT 'user' AS model, series_id, origin_ts, CAST(step AS INTEGER) AS step,
 FROM (SELECT series_id, origin_ts, list_avg(x) AS m, unnest(range(1, {H_} + 1)) AS step FROM wins)""")
 def q_score_windows(spark, sf):
     return rounded(score.score_windows(windows_df(spark, sf), H_, HOURLY.freq))
+
+
+# --------------------------------------------------------------- evaluation
+from ..operators import monitor as MO  # noqa: E402
+from ..operators.forecast.common import FORECAST_COLS, with_prev  # noqa: E402
+
+AR_EVAL = O.ar_params_cte(HOURLY) + ",\n" + O.ar_forecast_cte(HOURLY, "eval", "fc")
+MODELS_SQL = O.with_(H_CHAIN, AR_EVAL, BASIS, DEC, QP, QFC, f"""allfc AS (
+  SELECT {FC_COLS}, predicted FROM fc
+  UNION ALL SELECT {FC_COLS}, predicted FROM dcfc
+  UNION ALL SELECT {FC_COLS}, predicted FROM qfc WHERE q = 0.5)""", O.aligned_cte("allfc"))
+VALID = "actual IS NOT NULL AND NOT isnan(actual) AND predicted IS NOT NULL AND NOT isnan(predicted)"
+
+
+def model_forecasts(p):
+    """Point forecasts of the SQL-checkable forecasters from every eval origin:
+    AR(1), trend + seasonality, and the median of the quantile profile."""
+    ar = autoreg.ar_forecast(p, autoreg.ar_fit(p, HOURLY.freq, HOURLY.chunk_buckets), H_,
+                             HOURLY.freq, "eval")
+    tr, se = basis_fit(p)
+    dc = basis.decompose_forecast(p, tr, se, H_, HOURLY.freq, PERIOD, HARM)
+    qm = QF.pick_quantile(QF.quantile_forecast(p, QF.quantile_profile(p), H_, HOURLY.freq), 0.5)
+    return ar.select(*FORECAST_COLS).unionByName(dc).unionByName(qm)
+
+
+def aligned_models(spark, sf):
+    p = prepared(spark, sf, HOURLY)
+    return EV.align(model_forecasts(p), p)
+
+
+SQL["metrics_by_model"] = MODELS_SQL + O.metric_select("model, series_id")
+
+
+@query("metrics_by_model", SQL["metrics_by_model"])
+def q_metrics_by_model(spark, sf):  # noqa: F811 - the flagship covers all checkable models
+    return rounded(EV.metrics(aligned_models(spark, sf), ("model", "series_id")))
+
+
+@query("align_forecast", O.with_(H_CHAIN, AR_EVAL, O.aligned_cte("fc")) + f"""
+SELECT model, series_id, origin_ts, step, target_ts, {O.r('predicted')}, {O.r('actual')} FROM aligned""")
+def q_align_forecast(spark, sf):
+    p, fc = ar_rolling(spark, sf)
+    return rounded(EV.align(fc, p).select("model", "series_id", "origin_ts", "step", "target_ts",
+                                          "predicted", "actual"))
+
+
+@query("valid_pairs", O.with_(H_CHAIN, AR_EVAL, O.aligned_cte("fc")) + f"""
+SELECT model, series_id, origin_ts, step, target_ts, {O.r('predicted')}, {O.r('actual')}
+FROM aligned WHERE {VALID}""")
+def q_valid_pairs(spark, sf):
+    p, fc = ar_rolling(spark, sf)
+    return rounded(EV.valid_pairs(EV.align(fc, p)).select(
+        "model", "series_id", "origin_ts", "step", "target_ts", "predicted", "actual"))
+
+
+@query("sample_pairs", MODELS_SQL + f"""
+SELECT model, series_id, origin_ts, step, target_ts, {O.r('actual')}, {O.r('predicted')},
+       {O.r('abs(actual - predicted)', 'abs_error')}, row_no
+FROM (SELECT *, row_number() OVER (PARTITION BY model, series_id ORDER BY target_ts, origin_ts) AS row_no
+      FROM aligned WHERE {VALID}) WHERE row_no <= 10""")
+def q_sample_pairs(spark, sf):
+    s = WN.sample_pairs(aligned_models(spark, sf), 10, HOURLY.freq, chunk_buckets=HOURLY.chunk_buckets)
+    return rounded(s.select("model", "series_id", "origin_ts", "step", "target_ts", "actual",
+                            "predicted", "abs_error", F.col("row_no").cast("long")))
+
+
+@query("unscale", O.with_(H_CHAIN, AR_EVAL, O.aligned_cte("fc")) + f"""
+SELECT series_id, origin_ts, step, {O.r('actual')}, {O.r('predicted')} FROM aligned""")
+def q_unscale(spark, sf):
+    p, fc = ar_rolling(spark, sf)
+    params = SC.fit_scaler(p)
+    a = EV.align(fc, p).join(params, "series_id")
+    scaled = a.select("series_id", "origin_ts", "step",
+                      ((F.col("actual") - F.col("mean")) / F.col("std")).alias("actual"),
+                      ((F.col("predicted") - F.col("mean")) / F.col("std")).alias("predicted"),
+                      F.lit(True).alias("scaled"))
+    once = SC.unscale(scaled, params)
+    twice = SC.unscale(once, params)  # guarded: a second inverse changes nothing
+    return rounded(twice.select("series_id", "origin_ts", "step", "actual", "predicted"))
+
+
+GLOBAL_METRICS = O.metric_select("model")
+
+
+@query("variance_check", MODELS_SQL + f"""
+SELECT model, {O.r('var_pop(actual)', 'var_actual')}, {O.r('var_pop(predicted)', 'var_predicted')},
+       {O.r('corr(actual, predicted)', 'corr')}
+FROM aligned WHERE {VALID} GROUP BY model""")
+def q_variance_check(spark, sf):
+    return rounded(EV.variance_check(aligned_models(spark, sf)))
+
+
+# Metric labels of the reference's Metric/Value table.
+_LABELS = [("mae", "MAE"), ("mse", "MSE"), ("rmse", "RMSE"), ("smape", "SMAPE (%)"),
+           ("r2", "R-Squared")]
+
+
+@query("metrics_long", MODELS_SQL + ", m AS (" + GLOBAL_METRICS + ")\n" + " UNION ALL ".join(
+    f"SELECT model, '{lab}' AS metric, {k} AS value FROM m" for k, lab in _LABELS))
+def q_metrics_long(spark, sf):
+    return EV.metrics_long(rounded(EV.metrics(aligned_models(spark, sf))))
+
+
+@query("leaderboard", MODELS_SQL + ", m AS (" + GLOBAL_METRICS + "),\nl AS ("
+       + " UNION ALL ".join(f"SELECT model, '{k}' AS metric, {k} AS value FROM m"
+                            for k in EV.METRICS) + """)
+SELECT model, metric, value,
+       CAST(rank() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'r2' THEN -value ELSE value END
+                         ASC NULLS LAST) AS INTEGER) AS rank,
+       rank() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'r2' THEN -value ELSE value END
+                    ASC NULLS LAST) = 1 AS is_best
+FROM l""")
+def q_leaderboard(spark, sf):
+    return EV.leaderboard(rounded(EV.metrics(aligned_models(spark, sf)))).drop("n")
+
+
+@query("forecast_stats", MODELS_SQL + "SELECT model, " + ", ".join(
+    O.r(f"{f}({c})", f"{c}_{n}") for c in ("actual", "predicted")
+    for f, n in (("min", "min"), ("max", "max"), ("avg", "mean"), ("stddev_pop", "std")))
+    + f" FROM aligned WHERE {VALID} GROUP BY model")
+def q_forecast_stats(spark, sf):
+    return rounded(EV.forecast_stats(aligned_models(spark, sf)))
+
+
+@query("metrics_all_models")
+def q_metrics_all_models(spark, sf):
+    """All forecasters, the linear heads included (no exact SQL for their fit)."""
+    p = prepared(spark, sf, HOURLY)
+    x = SG.dense_time_index(p, HOURLY.freq, chunk_buckets=HOURLY.chunk_buckets)
+    pl, _ = patch.patch_linear_forecast(x, L_, H_, PATCH, STRIDE, HOURLY.freq, CHUNK_ROWS)
+    fl, _ = causal.filter_linear_forecast(x, H_, HOURLY.freq, CHUNK_ROWS)
+    fc = model_forecasts(p).unionByName(pl).unionByName(fl)
+    return rounded(EV.metrics(EV.align(fc, p)))
+
+
+# ------------------------------------------------------- extensions X1-X7
+@query("interval_coverage", O.with_(H_CHAIN, QP, QFC, O.aligned_cte("qfc")) + f"""
+SELECT lo.model, {O.r('avg(CAST(lo.actual >= lo.predicted AND lo.actual <= hi.predicted AS DOUBLE))', 'coverage')},
+       count(*) AS n
+FROM aligned lo JOIN aligned hi ON lo.model = hi.model AND lo.series_id = hi.series_id
+ AND lo.origin_ts = hi.origin_ts AND lo.step = hi.step AND hi.q = 0.9
+WHERE lo.q = 0.1 AND lo.actual IS NOT NULL AND NOT isnan(lo.actual) GROUP BY lo.model""")
+def q_interval_coverage(spark, sf):
+    p = prepared(spark, sf, HOURLY)
+    return rounded(MO.interval_coverage(EV.align(quantile_fc(spark, sf, p), p)))
+
+
+@query("early_warning", O.with_(H_CHAIN, O.ar_params_cte(HOURLY), O.ar_forecast_cte(HOURLY, "last"),
+                                O.params_cte()) + f"""
+SELECT f.series_id, f.target_ts, f.step, {O.r('f.predicted', 'predicted')},
+       {O.r('s.mean + 2.0 * s.std', 'limit')},
+       {O.r('1.0 / (1.0 + exp(-1.702 * ((f.predicted - (s.mean + 2.0 * s.std)) / f.sd)))', 'prob_breach')}
+FROM arfc f JOIN params s USING (series_id)""")
+def q_early_warning(spark, sf):
+    p = prepared(spark, sf, HOURLY)
+    fc = autoreg.ar_forecast(p, autoreg.ar_fit(p, HOURLY.freq, HOURLY.chunk_buckets), H_,
+                             HOURLY.freq, "last")
+    limits = SC.fit_scaler(p).select("series_id", (F.col("mean") + F.lit(2.0) * F.col("std"))
+                                     .alias("limit"))
+    return rounded(MO.breach_probability(fc, limits).select(
+        "series_id", "target_ts", "step", "predicted", "limit", "prob_breach"))
+
+
+@query("anomaly_flags", O.with_(H_CHAIN, BASIS) + f""", ex AS (
+  SELECT p.series_id, p.ts, p.value, p.split,
+         {O.decompose_expr(f'CAST(epoch_us(p.ts) // {US_H} AS BIGINT)', PERIOD, HARM)} AS expected
+  FROM prep p JOIN tr USING (series_id) JOIN se USING (series_id)),
+st AS (SELECT series_id, avg(value - expected) AS rm, stddev_pop(value - expected) AS rs
+       FROM ex WHERE split = 'train' GROUP BY series_id)
+SELECT series_id, ts, {O.r('value')}, {O.r('expected')}, {O.r('value - expected', 'resid')},
+       {O.r('((value - expected) - rm) / rs', 'z')}, abs(((value - expected) - rm) / rs) > 3.0 AS is_anomaly
+FROM ex JOIN st USING (series_id)""")
+def q_anomaly_flags(spark, sf):
+    p = prepared(spark, sf, HOURLY)
+    tr, se = basis_fit(p)
+    from ..functions.timefn import bucket_index
+    expected = (p.select("series_id", "ts").join(tr, "series_id").join(se, "series_id")
+                .select("series_id", "ts", basis.decompose_value(bucket_index("ts", HOURLY.freq),
+                                                                 HARM, PERIOD).alias("expected")))
+    return rounded(MO.flag_anomalies(p, expected).select(
+        "series_id", "ts", "value", "expected", "resid", "z", "is_anomaly"))
+
+
+VAL_CFG = HOURLY.with_(train_end="2024-01-20 23:59:59", eval_start=VAL_START,
+                       eval_end=HOURLY.train_end)
+
+
+def _ensemble_sql() -> str:
+    v_split = O.split_cte(VAL_CFG).replace("prep AS", "prepv AS")
+    v_ar = O.renamed(O.ar_params_cte(HOURLY) + ",\n" + O.ar_forecast_cte(HOURLY, "eval", "fc"),
+                     ["prep", "pv_l", "pv", "arp", "fc_o", "fc_s", "fc"], "v")
+    v_basis = O.renamed(O.basis_ctes(HOURLY, PERIOD, HARM) + ",\n" + O.decompose_fc_cte(
+        HOURLY, PERIOD, HARM), ["prep", "tr", "se", "dcfc_s", "dcfc"], "v")
+    v_al = O.renamed(O.aligned_cte("allfc"), ["prep", "allfc", "aligned"], "v")
+    return O.with_(H_CHAIN, AR_EVAL, BASIS, DEC, v_split, v_ar, v_basis, f"""allfcv AS (
+  SELECT {FC_COLS}, predicted FROM fcv UNION ALL SELECT {FC_COLS}, predicted FROM dcfcv)""", v_al,
+                   f"""vm AS (
+  SELECT series_id, model, 1.0 / sqrt(avg((actual - predicted) * (actual - predicted))) AS inv
+  FROM alignedv WHERE {VALID} GROUP BY series_id, model),
+wt AS (SELECT series_id, model, inv / sum(inv) OVER (PARTITION BY series_id) AS weight FROM vm),
+duo AS (SELECT {FC_COLS}, predicted FROM fc UNION ALL SELECT {FC_COLS}, predicted FROM dcfc)""") + f"""
+SELECT 'ensemble' AS model, series_id, origin_ts, CAST(step AS INTEGER) AS step, target_ts,
+       CAST(NULL AS DOUBLE) AS q, {O.r('sum(weight * predicted) / sum(weight)', 'predicted')}
+FROM duo JOIN wt USING (series_id, model) GROUP BY series_id, origin_ts, step, target_ts"""
+
+
+@query("ensemble_forecast", _ensemble_sql())
+def q_ensemble_forecast(spark, sf):
+    def two_models(p):
+        ar = autoreg.ar_forecast(p, autoreg.ar_fit(p, HOURLY.freq, HOURLY.chunk_buckets), H_,
+                                 HOURLY.freq, "eval").select(*FORECAST_COLS)
+        tr, se = basis_fit(p)
+        return ar.unionByName(basis.decompose_forecast(p, tr, se, H_, HOURLY.freq, PERIOD, HARM))
+    pv = prepared(spark, sf, VAL_CFG)   # validation run: eval = last days of train
+    weights = MO.inverse_rmse_weights(EV.metrics(EV.align(two_models(pv), pv),
+                                                 ("series_id", "model")))
+    p = prepared(spark, sf, HOURLY)
+    return rounded(MO.ensemble(two_models(p), weights))
+
+
+# The five event types of the driver's events table (the sensors).
+SENSORS = ["click", "error", "purchase", "signup", "view"]
+WIDE_SQL = O.with_(CHAIN, "wide AS (SELECT ts, " + ", ".join(
+    f"first(value) FILTER (WHERE series_id = '{s}') AS \"{s}\"" for s in SENSORS)
+    + " FROM prep GROUP BY ts)")
+
+
+@query("multivariate_wide", WIDE_SQL + "SELECT ts, " + ", ".join(O.r(f'"{s}"', f'"{s}"')
+                                                             for s in SENSORS) + " FROM wide")
+def q_multivariate_wide(spark, sf):
+    return rounded(MO.to_wide(prepared(spark, sf)))
+
+
+@query("cross_correlation", WIDE_SQL + " UNION ALL ".join(
+    f"""SELECT '{a}' AS series_a, '{b}' AS series_b, {O.r(f'corr("{a}", "{b}")', 'corr')},
+       count(*) FILTER (WHERE "{a}" IS NOT NULL AND "{b}" IS NOT NULL) AS n FROM wide"""
+    for i, a in enumerate(SENSORS) for b in SENSORS[i + 1:]))
+def q_cross_correlation(spark, sf):
+    wide = MO.to_wide(prepared(spark, sf))
+    series = sorted(c for c in wide.columns if c != "ts")
+    return rounded(MO.cross_correlation(wide, series))
+
+
+@query("spike_flags", O.with_(CHAIN, O.prev_cte(CFG)) + f""", d AS (
+  SELECT *, value - prev_value AS diff FROM pv WHERE prev_value IS NOT NULL),
+sd AS (SELECT series_id, stddev_pop(diff) AS s FROM d WHERE split = 'train' GROUP BY series_id)
+SELECT series_id, ts, {O.r('value')}, {O.r('diff')}, {O.r('4.0 * s', 'threshold')}
+FROM d JOIN sd USING (series_id) WHERE abs(diff) > 4.0 * s""")
+def q_spike_flags(spark, sf):
+    x = with_prev(prepared(spark, sf), CFG.freq, CFG.chunk_buckets)
+    return rounded(MO.flag_spikes(x, 4.0).select("series_id", "ts", "value", "diff", "threshold"))
+
+
+@query("kpi_rollup", O.with_(CHAIN) + f"""
+SELECT series_id, time_bucket(INTERVAL '1 day', ts) AS day,
+       CASE WHEN grouping(time_bucket(INTERVAL '1 hour', ts)) = 0 THEN time_bucket(INTERVAL '1 hour', ts) END AS hour,
+       {O.r('min(value)', 'min_value')}, {O.r('avg(value)', 'avg_value')}, {O.r('max(value)', 'max_value')},
+       count(*) AS n,
+       CASE WHEN grouping(time_bucket(INTERVAL '1 hour', ts)) = 1 THEN 'day' ELSE 'hour' END AS level
+FROM prep
+GROUP BY GROUPING SETS ((series_id, time_bucket(INTERVAL '1 day', ts)),
+                        (series_id, time_bucket(INTERVAL '1 day', ts), time_bucket(INTERVAL '1 hour', ts)))""")
+def q_kpi_rollup(spark, sf):
+    return rounded(MO.kpi_rollup(prepared(spark, sf)))
+
+
+# -------------------------------------------------------------- streaming X8
+from ..streaming import stream as ST  # noqa: E402
+
+
+def events_stream(spark, sf):
+    path = f"{sf.rstrip('/')}/events.parquet"
+    ev = ST.file_stream(spark, path, RD.table(spark, sf, "events").schema)
+    from ..sources.tables import _quality
+    return ev.select(F.col("event_type").alias("series_id"), "ts", "value",
+                     _quality().alias("quality"))
+
+
+@query("stream_resample", """
+SELECT event_type AS series_id, time_bucket(INTERVAL '3600 seconds', ts) AS ts,
+       """ + O.r("avg(value)", "value") + """, count(*) AS n
+FROM events GROUP BY event_type, time_bucket(INTERVAL '3600 seconds', ts)""")
+def q_stream_resample(spark, sf):
+    s = ST.stream_resample(events_stream(spark, sf), "1 hour", "10 minutes")
+    return rounded(ST.run_to_table(spark, s, "stream_resample", "complete"))
+
+
+@query("stream_alerts", O.with_(CHAIN, O.params_cte()) + f"""
+SELECT r.series_id, r.ts, {O.r('r.value', 'value')}, {O.r('(r.value - s.mean) / s.std', 'z')}
+FROM raw r JOIN params s USING (series_id)
+WHERE r.quality = 'Good' AND abs((r.value - s.mean) / s.std) > 3.0""")
+def q_stream_alerts(spark, sf):
+    params_path = WR.save_params(SC.fit_scaler(prepared(spark, sf)), scratch_path(spark, "scaler"))
+    params = RD.load_params(spark, params_path)
+    readings = events_stream(spark, sf).where(F.col("quality") == "Good")
+    s = ST.stream_alerts(readings, params, 3.0)
+    return rounded(ST.run_to_table(spark, s, "stream_alerts", "append"))

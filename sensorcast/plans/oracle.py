@@ -243,3 +243,12 @@ def quantile_fc_cte(cfg: PipelineConfig, name: str = "qfc") -> str:
   FROM {name}_s s JOIN qp p ON p.series_id = s.series_id
    AND p.hour = CAST(hour(s.target_ts) AS INTEGER)
    AND p.is_weekend = CAST(isodow(s.target_ts) - 1 >= 5 AS INTEGER))"""
+
+
+def renamed(sql: str, names: list[str], suffix: str) -> str:
+    """Rename CTE names (whole words) - used to build a second, validation
+    copy of a CTE chain next to the first."""
+    import re
+    for n in names:
+        sql = re.sub(rf"\b{n}\b", n + suffix, sql)
+    return sql
