@@ -1079,3 +1079,53 @@ def q_stream_alerts(spark, sf):
     readings = events_stream(spark, sf).where(F.col("quality") == "Good")
     s = ST.stream_alerts(readings, params, 3.0)
     return rounded(ST.run_to_table(spark, s, "stream_alerts", "append"))
+
+
+# ------------------------------------------------ many series, other tables
+from ..sources.tables import daily_supplier_sales  # noqa: E402
+
+MINUTE = EVENTS.with_(freq="1 minute", fill_limit=30, chunk_buckets=1440)
+
+
+@query("prepare_minutely", O.with_(O.prep_chain(MINUTE), O.params_cte(), """scaled AS (
+  SELECT p.*, (p.value - s.mean) / s.std AS value_scaled FROM prep p JOIN params s USING (series_id))""")
+       + "SELECT series_id, segment_id, ts, " + O.r("value") + ", filled, split, "
+       + O.r("value_scaled") + " FROM scaled")
+def q_prepare_minutely(spark, sf):
+    """The whole preparation at 1-minute buckets, limit 30 (reference defaults)."""
+    out, _ = P.prepare(sensor_raw(spark, sf), MINUTE)
+    return rounded(out)
+
+
+USERS = EVENTS.with_(freq="1 day", fill_limit=3, horizon=3, chunk_buckets=8)
+
+
+@query("metrics_many_series", O.with_(O.prep_chain(USERS, key="user_id"), O.ar_params_cte(USERS),
+                                      O.ar_forecast_cte(USERS, "eval", "fc"), O.aligned_cte("fc"))
+       + O.metric_select("model, series_id"))
+def q_metrics_many_series(spark, sf):
+    """One daily sensor per user (150 at sf0.01, 1,500 at sf0.1): AR(1) per
+    series from every eval origin, scored per series."""
+    p = prepared(spark, sf, USERS, key="user_id")
+    fc = autoreg.ar_forecast(p, autoreg.ar_fit(p, USERS.freq, USERS.chunk_buckets), USERS.horizon,
+                             USERS.freq, "eval")
+    return rounded(EV.metrics(EV.align(fc, p), ("model", "series_id")))
+
+
+SUPPLIERS = PipelineConfig(freq="7 days", fill_limit=2, train_end="1997-12-31 23:59:59",
+                           eval_start="1998-01-01 00:00:00", eval_end="1998-12-31 23:59:59",
+                           context=8, horizon=4, chunk_buckets=26)
+
+
+@query("supplier_weekly_metrics", O.with_(O.prep_chain(SUPPLIERS, key="supplier"),
+                                          O.ar_params_cte(SUPPLIERS),
+                                          O.ar_forecast_cte(SUPPLIERS, "eval", "fc"),
+                                          O.aligned_cte("fc")) + O.metric_select("model"))
+def q_supplier_weekly_metrics(spark, sf):
+    """lineitem as one weekly sales series per supplier; AR(1) per supplier,
+    scored over all suppliers."""
+    raw = daily_supplier_sales(spark, sf)
+    p = P.split(P.regularise(P.clean(raw, SUPPLIERS), SUPPLIERS), SUPPLIERS)
+    fc = autoreg.ar_forecast(p, autoreg.ar_fit(p, SUPPLIERS.freq, SUPPLIERS.chunk_buckets),
+                             SUPPLIERS.horizon, SUPPLIERS.freq, "eval")
+    return rounded(EV.metrics(EV.align(fc, p)))

@@ -10,17 +10,24 @@ from __future__ import annotations
 from ..config import EVENTS, PipelineConfig
 from ..functions.timefn import freq_micros
 
-# Fixed value: reported DOUBLEs are rounded to a binary grid of 2^-20 (about
-# 1e-6) with the same IEEE arithmetic in both engines, floor(x * 2^20 + 0.5) /
-# 2^20. A decimal grid would put exact decimal ties (a mean such as 36.5421875)
-# on a rounding boundary, where summation order decides the last bit; data with
-# decimal fractions does not land on the half-points of a binary grid.
+# Reported DOUBLEs are rounded to a binary grid that grows with
+# the magnitude: 2^-20 below 2^10, then one step of 2^10 per decade of 2^10
+# (about 6-9 significant digits), none from 2^60 on. Both engines use the same
+# exact IEEE operations, floor(x / g + 0.5) * g, and pick g by exact threshold
+# comparisons. A decimal grid would put exact decimal ties (a mean such as
+# 36.5421875) on a rounding boundary, where summation order decides the last
+# bit; data with decimal fractions does not land on a binary grid's half-points.
 DIGITS = 20
 SCALE = 2.0 ** DIGITS
+GRID = [(2.0 ** 10, 2.0 ** -20), (2.0 ** 20, 2.0 ** -10), (2.0 ** 30, 1.0),
+        (2.0 ** 40, 2.0 ** 10), (2.0 ** 50, 2.0 ** 20), (2.0 ** 60, 2.0 ** 30)]
 
 
 def rnd(expr: str) -> str:
-    return f"floor(({expr}) * {SCALE!r} + 0.5) / {SCALE!r}"
+    x = f"({expr})"
+    arms = " ".join(f"WHEN abs({x}) < {lim!r} THEN floor({x} / {g!r} + 0.5) * {g!r}"
+                    for lim, g in GRID)
+    return f"CASE {arms} ELSE {x} END"
 
 
 def r(expr: str, alias: str | None = None) -> str:
@@ -28,6 +35,11 @@ def r(expr: str, alias: str | None = None) -> str:
 
 
 def raw_cte(key: str = "event_type") -> str:
+    if key == "supplier":
+        return """raw AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS series_id, l_shipdate AS ts, l_extendedprice AS value,
+         'Good' AS quality
+  FROM lineitem)"""
     return f"""raw AS (
   SELECT CAST({key} AS VARCHAR) AS series_id, ts, value,
          CASE WHEN TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) < 5
@@ -36,6 +48,11 @@ def raw_cte(key: str = "event_type") -> str:
 
 
 def clean_cte(cfg: PipelineConfig = EVENTS) -> str:
+    if not cfg.invalid_intervals:
+        return """good AS (
+  SELECT series_id, ts, value FROM raw
+  WHERE quality = 'Good' AND ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
+clean AS (SELECT series_id, ts, value, 0 AS segment_id FROM good)"""
     (s, e), = cfg.invalid_intervals
     seg = (f"CAST(ts > TIMESTAMP '{e}' AS INTEGER)" if cfg.per_segment else "0")
     return f"""good AS (
@@ -48,7 +65,7 @@ clean AS (
 
 def buckets_cte(cfg: PipelineConfig = EVENTS, src: str = "clean") -> str:
     sec = freq_micros(cfg.freq) // 1_000_000
-    b = f"time_bucket(INTERVAL '{sec} seconds', ts)"
+    b = f"time_bucket(INTERVAL '{sec} seconds', ts, TIMESTAMP '1970-01-01 00:00:00')"
     return f"""buckets AS (
   SELECT series_id, segment_id, {b} AS ts, avg(value) AS value
   FROM {src} GROUP BY series_id, segment_id, {b})"""

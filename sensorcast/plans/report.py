@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .oracle import DIGITS, SCALE
+from .oracle import DIGITS, GRID
 
 
 def rounded(df: DataFrame, digits: int = DIGITS, keep=("q",)) -> DataFrame:
-    """Round every DOUBLE column to a grid of 2^-digits with floor(x*2^d+0.5)/2^d
-    (float sums differ in the last bits by evaluation order). Exact constants
+    """Round every DOUBLE column to the magnitude-scaled binary grid of
+    ``oracle.GRID`` with floor(x / g + 0.5) * g (float sums differ in the last
+    bits by evaluation order). Exact constants
     such as quantile levels (``keep``) stay as they are."""
-    scale = 2.0 ** digits if digits != DIGITS else SCALE
+    grid = GRID if digits == DIGITS else [(lim, g * 2.0 ** (DIGITS - digits)) for lim, g in GRID]
 
     def rnd(v):
-        return F.floor(v * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+        out = None
+        for lim, g in grid:
+            arm = F.floor(v / F.lit(g) + F.lit(0.5)).cast("double") * F.lit(g)
+            out = (F.when(F.abs(v) < F.lit(lim), arm) if out is None
+                   else out.when(F.abs(v) < F.lit(lim), arm))
+        return out.otherwise(v)
 
     def one(c, t):
         if c in keep:
