@@ -16,6 +16,27 @@ from ..sources.tables import sensor_raw
 from . import oracle as O
 from . import prepare as P
 from .report import rounded
+from ..operators import clean as CL
+from ..operators import ingest as IN
+from ..operators import split as SP
+from ..session import scratch_path
+from ..sources import readers as RD
+from ..sources.tables import sensor_raw_text
+from ..operators import features as FE
+from ..operators import report as RP
+from ..operators import scaling as SC
+from ..operators import segments as SG
+from ..operators import windows as WN
+from ..operators.resample import fill_gaps, resample_mean
+from ..functions.timefn import freq_micros
+from ..operators.forecast import basis, causal, patch, score
+from ..operators.forecast import quantile as QF
+from ..operators.forecast import select as SEL
+from ..operators import monitor as MO
+from ..operators.forecast.common import FORECAST_COLS, with_prev
+from ..streaming import stream as ST
+from ..sources.tables import daily_supplier_sales
+from ..sources import writers as WR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,10 +52,20 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def regular(spark: SparkSession, sf: str, cfg: PipelineConfig = EVENTS,
+            key: str = "event_type", materialize: bool = False) -> DataFrame:
+    """events -> regular series (series_id, segment_id, ts, value, filled).
+    ``materialize`` writes it once to the shared checkpoint folder (the
+    preprocess / train boundary), for queries where several branches - fits,
+    forecasts, alignment - read it."""
+    out = P.regularise(P.clean(sensor_raw(spark, sf, key), cfg), cfg)
+    return WR.materialize(out, "regular") if materialize else out
+
+
 def prepared(spark: SparkSession, sf: str, cfg: PipelineConfig = EVENTS,
-             key: str = "event_type") -> DataFrame:
+             key: str = "event_type", materialize: bool = False) -> DataFrame:
     """events -> (series_id, segment_id, ts, value, filled, split)."""
-    return P.split(P.regularise(P.clean(sensor_raw(spark, sf, key), cfg), cfg), cfg)
+    return P.split(regular(spark, sf, cfg, key, materialize), cfg)
 
 
 # ---------------------------------------------------------------- forecasters
@@ -74,13 +105,6 @@ def q_metrics_by_model(spark, sf):
 
 
 # ------------------------------------------------------- ingest and cleaning
-from ..operators import clean as CL  # noqa: E402
-from ..operators import ingest as IN  # noqa: E402
-from ..operators import split as SP  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sources import readers as RD  # noqa: E402
-from ..sources import writers as WR  # noqa: E402
-from ..sources.tables import sensor_raw_text  # noqa: E402
 
 CFG = EVENTS
 (INV_S, INV_E), = CFG.invalid_intervals
@@ -290,12 +314,6 @@ def q_forecast_table(spark, sf):
 
 
 # ------------------------------------------- aggregates, fill, segments, index
-from ..operators import features as FE  # noqa: E402
-from ..operators import report as RP  # noqa: E402
-from ..operators import scaling as SC  # noqa: E402
-from ..operators import segments as SG  # noqa: E402
-from ..operators import windows as WN  # noqa: E402
-from ..operators.resample import fill_gaps, resample_mean  # noqa: E402
 
 BUCKET_CHAIN = ",\n".join([RAW, O.clean_cte(CFG), O.buckets_cte(CFG)])
 FILL_CHAIN = ",\n".join([BUCKET_CHAIN, O.filled_cte(CFG)])
@@ -591,10 +609,6 @@ def q_encode_series(spark, sf):
 
 
 # ------------------------------------------------------ forecasters F1-F8
-from ..functions.timefn import freq_micros  # noqa: E402
-from ..operators.forecast import basis, causal, patch, score  # noqa: E402
-from ..operators.forecast import quantile as QF  # noqa: E402
-from ..operators.forecast import select as SEL  # noqa: E402
 
 PERIOD, HARM = 24, 3
 PATCH, STRIDE = 8, 4
@@ -785,8 +799,6 @@ def q_score_windows(spark, sf):
 
 
 # --------------------------------------------------------------- evaluation
-from ..operators import monitor as MO  # noqa: E402
-from ..operators.forecast.common import FORECAST_COLS, with_prev  # noqa: E402
 
 AR_EVAL = O.ar_params_cte(HOURLY) + ",\n" + O.ar_forecast_cte(HOURLY, "eval", "fc")
 MODELS_SQL = O.with_(H_CHAIN, AR_EVAL, BASIS, DEC, QP, QFC, f"""allfc AS (
@@ -808,7 +820,7 @@ def model_forecasts(p):
 
 
 def aligned_models(spark, sf):
-    p = prepared(spark, sf, HOURLY)
+    p = prepared(spark, sf, HOURLY, materialize=True)
     return EV.align(model_forecasts(p), p)
 
 
@@ -909,7 +921,7 @@ def q_forecast_stats(spark, sf):
 @query("metrics_all_models")
 def q_metrics_all_models(spark, sf):
     """All forecasters, the linear heads included (no exact SQL for their fit)."""
-    p = prepared(spark, sf, HOURLY)
+    p = prepared(spark, sf, HOURLY, materialize=True)
     x = SG.dense_time_index(p, HOURLY.freq, chunk_buckets=HOURLY.chunk_buckets)
     pl, _ = patch.patch_linear_forecast(x, L_, H_, PATCH, STRIDE, HOURLY.freq, CHUNK_ROWS)
     fl, _ = causal.filter_linear_forecast(x, H_, HOURLY.freq, CHUNK_ROWS)
@@ -995,10 +1007,11 @@ def q_ensemble_forecast(spark, sf):
                                  HOURLY.freq, "eval").select(*FORECAST_COLS)
         tr, se = basis_fit(p)
         return ar.unionByName(basis.decompose_forecast(p, tr, se, H_, HOURLY.freq, PERIOD, HARM))
-    pv = prepared(spark, sf, VAL_CFG)   # validation run: eval = last days of train
+    reg = regular(spark, sf, HOURLY, materialize=True)
+    pv = P.split(reg, VAL_CFG)   # validation run: eval = the last days of train
     weights = MO.inverse_rmse_weights(EV.metrics(EV.align(two_models(pv), pv),
                                                  ("series_id", "model")))
-    p = prepared(spark, sf, HOURLY)
+    p = P.split(reg, HOURLY)
     return rounded(MO.ensemble(two_models(p), weights))
 
 
@@ -1049,7 +1062,6 @@ def q_kpi_rollup(spark, sf):
 
 
 # -------------------------------------------------------------- streaming X8
-from ..streaming import stream as ST  # noqa: E402
 
 
 def events_stream(spark, sf):
@@ -1082,7 +1094,6 @@ def q_stream_alerts(spark, sf):
 
 
 # ------------------------------------------------ many series, other tables
-from ..sources.tables import daily_supplier_sales  # noqa: E402
 
 MINUTE = EVENTS.with_(freq="1 minute", fill_limit=30, chunk_buckets=1440)
 

@@ -18,6 +18,7 @@ from ..operators.resample import fill_gaps, resample_mean
 from ..operators.scaling import fit_scaler, scale
 from ..operators.segments import continuous_segments, dense_time_index, keep_long_segments
 from ..operators.split import time_split
+from ..sources.writers import materialize as write_materialized
 
 
 def clean(raw: DataFrame, cfg: PipelineConfig) -> DataFrame:
@@ -50,12 +51,18 @@ def split(regular: DataFrame, cfg: PipelineConfig) -> DataFrame:
     return time_split(regular, cfg.train_end, cfg.eval_start, cfg.eval_end)
 
 
-def prepare(raw: DataFrame, cfg: PipelineConfig, with_index: bool = False
-            ) -> tuple[DataFrame, DataFrame]:
+def prepare(raw: DataFrame, cfg: PipelineConfig, with_index: bool = False,
+            materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """Full preparation. Returns ``(prepared, params)`` where ``prepared`` has
     series_id, segment_id, ts, value, filled, split, value_scaled [, time_idx]
-    and ``params`` is the scaler table (series_id, mean, std)."""
+    and ``params`` is the scaler table (series_id, mean, std).
+
+    With ``materialize`` the split, regular series is written once to the
+    shared checkpoint folder; the scaler fit and the scaling both read that
+    table instead of re-running scan, resample and fill."""
     sp = split(regularise(clean(raw, cfg), cfg), cfg)
+    if materialize:
+        sp = write_materialized(sp, "regular")
     keys = ("series_id",) if cfg.scale_by_series else ()
     params = fit_scaler(sp, keys)
     out = scale(sp, params, keys) if cfg.scale else sp.withColumn("value_scaled", F.col("value"))

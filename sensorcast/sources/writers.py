@@ -52,3 +52,19 @@ def write_forecasts(fc: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Long-form forecasts (with actuals when aligned), by model."""
     fc.write.mode(mode).partitionBy("model").parquet(path)
     return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under the cluster's shared checkpoint folder
+    (``spark.checkpoint.dir``) and return the table read back.
+
+    Used at stage boundaries that several later branches read (the prepared
+    series feeds the scaler fit, every forecaster and the alignment): the
+    upstream scan, shuffles and windows run once, later plans start from a
+    columnar table with exact size statistics, and lineage is cut, so a lost
+    executor never replays the preparation."""
+    from ..session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
