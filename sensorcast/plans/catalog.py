@@ -1140,3 +1140,52 @@ def q_supplier_weekly_metrics(spark, sf):
     fc = autoreg.ar_forecast(p, autoreg.ar_fit(p, SUPPLIERS.freq, SUPPLIERS.chunk_buckets),
                              SUPPLIERS.horizon, SUPPLIERS.freq, "eval")
     return rounded(EV.metrics(EV.align(fc, p)))
+
+
+
+# ----------------------------------------------- reference variants, metrics sink
+from .variants import on_events, variant_counts  # noqa: E402
+from ..config import PRESETS  # noqa: E402
+
+
+def _variant_sql() -> str:
+    ctes, sels = [O.raw_cte()], []
+    # "filled" is also a column name: rename only its CTE definition and uses
+    names = ["good", "clean", "buckets", "nx", "gp", "gk", "prep", "cs_l", "cs"]
+    for n in PRESETS:
+        cfg = on_events(n)
+        chain = [O.clean_cte(cfg), O.buckets_cte(cfg), O.filled_cte(cfg)]
+        src = "filled"
+        if cfg.continuity_split:
+            chain.append(cont_cte("filled", freq_micros(cfg.max_gap)))
+            chain.append(f"""long AS (SELECT * FROM cs WHERE (series_id, segment_id) IN (
+  SELECT series_id, segment_id FROM cs GROUP BY ALL HAVING count(*) >= {cfg.min_segment_rows}))""")
+            src = "long"
+        chain.append(O.split_cte(cfg, src))
+        if not cfg.filter_quality:
+            chain[0] = chain[0].replace("WHERE quality = 'Good' AND", "WHERE")
+        text = O.renamed(",\n".join(chain), names + ["long"], "_" + n)
+        text = text.replace("filled AS (", f"filled_{n} AS (").replace("FROM filled", f"FROM filled_{n}")
+        ctes.append(text)
+        sels.append(f"""SELECT '{n}' AS variant, count(*) AS n_rows, count_if(filled) AS n_filled,
+       count_if(split = 'train') AS n_train, count_if(split = 'eval') AS n_eval FROM prep_{n}""")
+    body = " UNION ALL ".join(sels)
+    return O.with_(*ctes) + f"""SELECT variant, CAST(n_rows AS BIGINT) AS n_rows,
+  CAST(n_filled AS BIGINT) AS n_filled, CAST(n_train AS BIGINT) AS n_train,
+  CAST(n_eval AS BIGINT) AS n_eval FROM ({body})"""
+
+
+@query("variant_counts", _variant_sql())
+def q_variant_counts(spark, sf):
+    """The five reference variants (V1-V10 flags) on the events sensors."""
+    return variant_counts(sensor_raw(spark, sf))
+
+
+@query("metrics_table", MODELS_SQL + ", m AS (" + GLOBAL_METRICS + ")\n" + " UNION ALL ".join(
+    f"SELECT model, '{lab}' AS metric, {k} AS value FROM m" for k, lab in _LABELS))
+def q_metrics_table(spark, sf):
+    """The Metric/Value rows appended to a metrics table partitioned by
+    model, read back."""
+    m = EV.metrics_long(rounded(EV.metrics(aligned_models(spark, sf))))
+    path = WR.write_metrics(m, scratch_path(spark, "metrics"))
+    return spark.read.parquet(path).select("model", "metric", "value")
