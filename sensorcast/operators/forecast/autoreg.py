@@ -54,7 +54,7 @@ def ar_forecast(df: DataFrame, params: DataFrame, horizon: int, freq: str,
     x = explode_steps(o.join(params, "series_id"), horizon, freq)
     mean, sd = _mean_sd(F.col("step"), F.col("phi"), F.col("c"), F.col("sigma"),
                         F.col("origin_value"))
-    x = x.withColumn("predicted", mean).withColumn("sd", sd)
+    x = x.select("*", mean.alias("predicted"), sd.alias("sd"))
     return forecast_frame(x, model, F.col("predicted"), extra=[
         F.col("sd"), (F.col("predicted") - F.lit(Z80) * F.col("sd")).alias("lower"),
         (F.col("predicted") + F.lit(Z80) * F.col("sd")).alias("upper")])

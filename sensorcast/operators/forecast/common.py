@@ -21,8 +21,8 @@ def with_prev(df: DataFrame, freq: str, chunk_buckets: int, value_col: str = "va
     ok = F.timestamp_diff("MICROSECOND", F.col("_pv_ts"), F.col("ts")) == F.lit(freq_micros(freq))
     if "segment_id" in df.columns:
         ok = ok & (F.col("_pv_segment_id") == F.col("segment_id"))
-    return (x.withColumn(out_col, F.when(ok, F.col(f"_pv_{value_col}")))
-            .drop(CHUNK, *[f"_pv_{c}" for c in ["ts", *cols]]))
+    return x.select(*[F.col(c) for c in df.columns],
+                    F.when(ok, F.col(f"_pv_{value_col}")).alias(out_col))
 
 
 def last_origin(df: DataFrame, split_value: str = "train", keys=("series_id",),
@@ -37,8 +37,8 @@ def last_origin(df: DataFrame, split_value: str = "train", keys=("series_id",),
 
 def explode_steps(df: DataFrame, horizon: int, freq: str, origin_col: str = "origin_ts") -> DataFrame:
     """One row per step 1..H with its true target time."""
-    return (df.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-            .withColumn("target_ts", add_steps(origin_col, F.col("step"), freq)))
+    x = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    return x.select("*", add_steps(origin_col, F.col("step"), freq).alias("target_ts"))
 
 
 def forecast_frame(df: DataFrame, model: str, predicted: Column, q: Column | None = None,

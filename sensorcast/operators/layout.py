@@ -38,10 +38,10 @@ def neighbour(df: DataFrame, keys: list[str], order_col: str, chunk_col: str,
     carry = edge.select(*keys, chunk_col, fn("_edge").over(ws).alias("_carry"))
     out = local.join(carry, [*keys, chunk_col], "left")
     at_border = F.col(f"_nb_{order_col}").isNull()
-    for c in names:
-        out = out.withColumn(prefix + c, F.when(at_border, F.col("_carry").getField(c))
-                             .otherwise(F.col(f"_nb_{c}")))
-    return out.drop("_carry", *[f"_nb_{c}" for c in names])
+    keep = [F.col(c) for c in df.columns]
+    picked = [F.when(at_border, F.col("_carry").getField(c)).otherwise(F.col(f"_nb_{c}"))
+              .alias(prefix + c) for c in names]
+    return out.select(*keep, *picked)
 
 
 def running_total(df: DataFrame, keys: list[str], order_col: str, chunk_col: str,
@@ -50,7 +50,7 @@ def running_total(df: DataFrame, keys: list[str], order_col: str, chunk_col: str
     ``order_col`` (inclusive or exclusive of the current row), across chunks."""
     w = (Window.partitionBy(*keys, chunk_col).orderBy(order_col)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = df.withColumn("_rv", value).withColumn("_run", F.sum("_rv").over(w))
+    local = df.select("*", value.alias("_rv")).select("*", F.sum("_rv").over(w).alias("_run"))
     totals = local.groupBy(*keys, chunk_col).agg(F.sum("_rv").alias("_tot"))
     ws = (Window.partitionBy(*keys).orderBy(chunk_col)
           .rowsBetween(Window.unboundedPreceding, -1))
@@ -60,7 +60,7 @@ def running_total(df: DataFrame, keys: list[str], order_col: str, chunk_col: str
     total = F.col("_off") + F.col("_run")
     if not inclusive:
         total = total - F.col("_rv")
-    return res.withColumn(out_col, total).drop("_rv", "_run", "_off")
+    return res.select(*[F.col(c) for c in df.columns], total.alias(out_col))
 
 
 def row_index(df: DataFrame, keys: list[str], order_col: str, chunk_col: str,
@@ -87,8 +87,9 @@ def with_halo(df: DataFrame, idx_col: str, chunk_rows: int, back: int, fwd: int
         chunks = F.when(pos >= F.lit(chunk_rows - back), F.array_append(chunks, c + 1)).otherwise(chunks)
     if fwd > 0:
         chunks = F.when(pos < F.lit(fwd), F.array_prepend(chunks, c - 1)).otherwise(chunks)
-    return (df.withColumn(chunk_col, F.explode(chunks))
-            .withColumn(own_col, F.col(chunk_col) == c))
+    return (df.select("*", c.alias("_home"), F.explode(chunks).alias(chunk_col))
+            .select(*[F.col(x) for x in df.columns], chunk_col,
+                    (F.col(chunk_col) == F.col("_home")).alias(own_col)))
 
 
 def top_k_per_group(df: DataFrame, keys: list[str], order_cols: list[str], k: int,

@@ -32,17 +32,14 @@ def stage_counts(raw: DataFrame, prepared: DataFrame, intervals, ok=("Good",)) -
 
 
 def prep_summary(raw: DataFrame, prepared: DataFrame, freq: str, limit) -> DataFrame:
-    """Item / Value table (values as text) of a preparation run."""
-    r = raw.agg(F.count(F.lit(1)).alias("n"))
-    p = prepared.agg(F.count(F.lit(1)).alias("final"),
-                     F.count_if(F.col("split") == "train").alias("train"),
-                     F.count_if(F.col("split") == "eval").alias("eval"))
-    both = r.withColumn("_k", F.lit(0)).join(p.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    """Item / Value table (values as text) of a preparation run: two
+    one-row aggregates unpivoted and stacked, no join."""
     # The item labels of the reference's summary table.
-    items = [("Total raw data", F.col("n")), ("Final valid data", F.col("final")),
-             ("Train data", F.col("train")), ("Evaluation data", F.col("eval")),
-             ("Resample frequency", F.lit(freq)),
-             ("Interpolation limit", F.lit("none" if limit is None else str(limit)))]
-    return both.select(F.explode(F.array(*[F.struct(F.lit(i).alias("item"),
-                                                    v.cast("string").alias("value"))
-                                           for i, v in items])).alias("r")).select("r.*")
+    r = raw.agg(F.count(F.lit(1)).cast("string").alias("Total raw data"),
+                F.lit(freq).alias("Resample frequency"),
+                F.lit("none" if limit is None else str(limit)).alias("Interpolation limit"))
+    p = prepared.agg(F.count(F.lit(1)).cast("string").alias("Final valid data"),
+                     F.count_if(F.col("split") == "train").cast("string").alias("Train data"),
+                     F.count_if(F.col("split") == "eval").cast("string").alias("Evaluation data"))
+    return (r.unpivot([], r.columns, "item", "value")
+            .unionByName(p.unpivot([], p.columns, "item", "value")))

@@ -47,9 +47,10 @@ def fill_gaps(df: DataFrame, freq: str, limit: int | None = 30,
         n_fill = F.least(gap, F.lit(limit))
     else:
         n_fill = F.when(gap <= F.lit(limit), gap).otherwise(F.lit(0))
-    x = x.withColumn("_gap", gap).withColumn(
-        "_k", F.explode(F.sequence(F.lit(0).cast("long"),
-                                   F.when(same & (gap > 0), n_fill).otherwise(F.lit(0)).cast("long"))))
+    x = x.select("*", gap.alias("_gap"),
+                 F.explode(F.sequence(F.lit(0).cast("long"),
+                                      F.when(same & (gap > 0), n_fill).otherwise(F.lit(0))
+                                      .cast("long"))).alias("_k"))
     v, nv, k = F.col(value_col), F.col(f"_n_{value_col}"), F.col("_k")
     value = F.when(k == 0, v).otherwise(v + (nv - v) * k / (F.col("_gap") + F.lit(1)))
     out = [F.col(c) for c in keys]

@@ -24,17 +24,17 @@ def apply_params(df: DataFrame, params: DataFrame, keys=("series_id",)) -> DataF
     (AQE re-checks at run time) and falls back to a shuffle join otherwise."""
     if keys:
         return df.join(params, list(keys), "left")
-    # one global row: join on a constant key (a one-row broadcast)
-    return (df.withColumn("_gk", F.lit(0))
-            .join(params.withColumn("_gk", F.lit(0)), "_gk", "left").drop("_gk"))
+    # one global parameter row: read it (a few numbers) and apply as literals
+    row = params.first()
+    return df.select("*", *[F.lit(row[c]).alias(c) for c in params.columns])
 
 
 def scale(df: DataFrame, params: DataFrame, keys=("series_id",), value_col: str = "value",
           out_col: str = "value_scaled") -> DataFrame:
     """(x - mean) / std with the fitted parameters."""
     x = apply_params(df, params, keys)
-    return x.withColumn(out_col, (F.col(value_col) - F.col("mean")) / F.col("std")).drop(
-        "mean", "std")
+    return x.select(*[F.col(c) for c in df.columns],
+                    ((F.col(value_col) - F.col("mean")) / F.col("std")).alias(out_col))
 
 
 def unscale(df: DataFrame, params: DataFrame, cols=("actual", "predicted"),
@@ -44,10 +44,14 @@ def unscale(df: DataFrame, params: DataFrame, cols=("actual", "predicted"),
     so a second inverse is a no-op. Sets the marker to false."""
     x = apply_params(df, params, keys)
     is_scaled = F.col(marker) if marker in df.columns else F.lit(True)
-    for c in cols:
-        x = x.withColumn(c, F.when(is_scaled, F.col(c) * F.col("std") + F.col("mean"))
-                         .otherwise(F.col(c)))
-    return x.withColumn(marker, F.lit(False)).drop("mean", "std")
+    out = []
+    for c in df.columns:
+        if c in cols:
+            out.append(F.when(is_scaled, F.col(c) * F.col("std") + F.col("mean"))
+                       .otherwise(F.col(c)).alias(c))
+        elif c != marker:
+            out.append(F.col(c))
+    return x.select(*out, F.lit(False).alias(marker))
 
 
 def scaled_stats(df: DataFrame, keys=("series_id",), col: str = "value_scaled",

@@ -156,3 +156,11 @@ def test_g10_invalid_interval(spark):
     per_series = spark.createDataFrame([("s", T("2025-08-01 00:00:00"), T("2026-04-30 23:59:59"))],
                                        "series_id string, start timestamp_ntz, end timestamp_ntz")
     assert clean.exclude_interval(df, per_series).count() == 2
+
+
+def test_g3_global_scaler(spark):
+    rows = [("a", T("2024-01-01 00:00:00"), 2.0, "train"), ("b", T("2024-01-01 00:00:00"), 4.0, "train")]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, value double, split string")
+    params = scaling.fit_scaler(df, keys=())
+    got = sorted(r.value_scaled for r in scaling.scale(df, params, keys=()).collect())
+    assert got == pytest.approx([-1.0, 1.0])
