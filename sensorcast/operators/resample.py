@@ -47,10 +47,23 @@ def fill_gaps(df: DataFrame, freq: str, limit: int | None = 30,
         n_fill = F.least(gap, F.lit(limit))
     else:
         n_fill = F.when(gap <= F.lit(limit), gap).otherwise(F.lit(0))
-    x = x.select("*", gap.alias("_gap"),
-                 F.explode(F.sequence(F.lit(0).cast("long"),
-                                      F.when(same & (gap > 0), n_fill).otherwise(F.lit(0))
-                                      .cast("long"))).alias("_k"))
+    n = F.when(same & (gap > 0), n_fill).otherwise(F.lit(0)).cast("long")
+    if limit is not None and limit <= chunk_buckets:
+        # at most `limit` (<= one chunk) rows per origin: generate in place
+        x = x.select("*", gap.alias("_gap"),
+                     F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("_k"))
+    else:
+        # unbounded fills: cut each gap into pieces of one chunk, spread the
+        # pieces over tasks by (series, chunk of the piece), then generate,
+        # so a year-long hole is not produced by one task
+        B = F.lit(chunk_buckets).cast("long")
+        x = x.select("*", gap.alias("_gap"), n.alias("_n"),
+                     F.explode(F.sequence(F.lit(0).cast("long"),
+                                          F.floor(n / B).cast("long"))).alias("_piece"))
+        x = x.repartition(*keys, F.col(CHUNK) + F.col("_piece"))
+        lo = F.col("_piece") * B
+        hi = F.least(lo + B - F.lit(1), F.col("_n"))
+        x = x.select("*", F.explode(F.sequence(lo, hi)).alias("_k")).drop("_n", "_piece")
     v, nv, k = F.col(value_col), F.col(f"_n_{value_col}"), F.col("_k")
     value = F.when(k == 0, v).otherwise(v + (nv - v) * k / (F.col("_gap") + F.lit(1)))
     out = [F.col(c) for c in keys]

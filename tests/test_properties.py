@@ -37,6 +37,10 @@ def test_chunk_size_does_not_change_results(spark, clean15):
     a = fill_gaps(b, EVENTS.freq, 3, chunk_buckets=5)
     z = fill_gaps(b, EVENTS.freq, 3, chunk_buckets=100_000)
     assert rows(a, cols) == rows(z, cols)
+    u1 = fill_gaps(b, EVENTS.freq, None, segment_col=None, chunk_buckets=5)
+    u2 = fill_gaps(b, EVENTS.freq, None, segment_col=None, chunk_buckets=100_000)
+    ucols = ["series_id", "ts", "value", "filled"]
+    assert rows(u1, ucols) == rows(u2, ucols)
     i1 = segments.dense_time_index(a, EVENTS.freq, chunk_buckets=3)
     i2 = segments.dense_time_index(a, EVENTS.freq, chunk_buckets=100_000)
     assert rows(i1, ["series_id", "ts", "time_idx"]) == rows(i2, ["series_id", "ts", "time_idx"])
