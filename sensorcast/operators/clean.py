@@ -48,3 +48,6 @@ def invalid_remaining(df: DataFrame, intervals, ts_col: str = "ts") -> DataFrame
     """Number of rows still inside a removed period (expected 0)."""
     return df.agg(F.count_if(_in_any(F.col(ts_col), intervals)).cast("long")
                   .alias("invalid_rows"))
+
+
+assert_excluded = invalid_remaining

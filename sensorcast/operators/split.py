@@ -59,3 +59,9 @@ def min_length_report(df: DataFrame, context: int, horizon: int, keys=("series_i
         rep = rep.withColumn("ok", F.when(F.col("ok"), F.col("ok")).otherwise(
             F.raise_error(F.lit(f"split shorter than context + horizon = {need}")).cast("boolean")))
     return rep
+
+
+def require_min_length(df: DataFrame, context: int, horizon: int, keys=("series_id",),
+                       split_col: str = "split") -> DataFrame:
+    """B16 guard form: the report with a job failure on any short split."""
+    return min_length_report(df, context, horizon, keys, split_col, fail=True)
