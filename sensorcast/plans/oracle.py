@@ -35,6 +35,11 @@ def r(expr: str, alias: str | None = None) -> str:
 
 
 def raw_cte(key: str = "event_type") -> str:
+    if key == "orders":
+        return """raw AS (
+  SELECT o_orderpriority AS series_id, o_orderdate AS ts, o_totalprice AS value,
+         'Good' AS quality
+  FROM orders)"""
     if key == "supplier":
         return """raw AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS series_id, l_shipdate AS ts, l_extendedprice AS value,
