@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefn import calendar_columns
+from ..sources.writers import materialize
 
 
 def calendar_features(df: DataFrame, ts_col: str = "ts") -> DataFrame:
@@ -47,8 +48,8 @@ def encode_series(df: DataFrame, col: str = "series_id", out_col: str = "series_
     partition (bounded by the partition count) turns those ids into a dense
     rank. No single-task global window."""
     keys = df.select(col).distinct().orderBy(col)
-    keys = keys.withColumn("_mid", F.monotonically_increasing_id())
-    keys = keys.withColumn("_part", F.shiftright("_mid", 33))
+    keys = keys.select("*", F.monotonically_increasing_id().alias("_mid"))
+    keys = materialize(keys.select("*", F.shiftright("_mid", 33).alias("_part")), "series_codes")
     parts = keys.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     # prefix over the per-partition table: a self join on the (tiny) partition table
     p2 = parts.select(F.col("_part").alias("_q"), F.col("_n").alias("_qn"))

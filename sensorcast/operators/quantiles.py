@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.writers import materialize
+
 
 def group_quantiles(df: DataFrame, keys: list[str], value_col: str, qs: list[float],
                     method: str = "exact", accuracy: int = 10000) -> DataFrame:
@@ -28,8 +30,11 @@ def group_quantiles(df: DataFrame, keys: list[str], value_col: str, qs: list[flo
         ).select(*keys, "q", "value")
     v = df.select(*keys, F.col(value_col).alias("_x")).where(F.col("_x").isNotNull())
     s = (v.repartitionByRange(*keys, "_x").sortWithinPartitions(*keys, "_x")
-         .withColumn("_mid", F.monotonically_increasing_id())
-         .withColumn("_pid", F.shiftright("_mid", 33)))
+         .select("*", F.monotonically_increasing_id().alias("_mid"))
+         .select("*", F.shiftright("_mid", 33).alias("_pid")))
+    # the numbered frame feeds four branches: write it once, so the range
+    # sampling, sort and ids run once and every branch sees the same ids
+    s = materialize(s, "quantile_ranks")
     per = s.groupBy(*keys, "_pid").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_pn"))
     wp = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     per = (per.withColumn("_off", F.coalesce(F.sum("_pn").over(wp), F.lit(0)))
