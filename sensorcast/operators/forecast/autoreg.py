@@ -22,9 +22,13 @@ def ar_fit(df: DataFrame, freq: str, chunk_buckets: int = 1440, value_col: str =
         x = x.where(F.col("split") == split_value)
     x = x.where(F.col("prev_value").isNotNull())
     y, p = F.col(value_col), F.col("prev_value")
-    resid_var = F.var_pop(y) - F.covar_pop(p, y) * F.covar_pop(p, y) / F.var_pop(p)
+    # a constant history (var_pop(x) = 0) has no slope: phi = 0, c = mean(y)
+    explained = F.when(F.var_pop(p) > 0,
+                       F.covar_pop(p, y) * F.covar_pop(p, y) / F.var_pop(p)).otherwise(F.lit(0.0))
+    resid_var = F.var_pop(y) - explained
     return x.groupBy("series_id").agg(
-        F.regr_slope(y, p).alias("phi"), F.regr_intercept(y, p).alias("c"),
+        F.coalesce(F.regr_slope(y, p), F.lit(0.0)).alias("phi"),
+        F.coalesce(F.regr_intercept(y, p), F.avg(y)).alias("c"),
         F.sqrt(F.greatest(resid_var, F.lit(0.0))).alias("sigma"),
         F.count(F.lit(1)).alias("n_pairs"))
 

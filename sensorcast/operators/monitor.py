@@ -24,7 +24,8 @@ def flag_anomalies(df: DataFrame, expected: DataFrame, z_limit: float = 3.0) ->
     x = df.join(expected, ["series_id", "ts"]).withColumn("resid", F.col("value") - F.col("expected"))
     st = (x.where(F.col("split") == "train").groupBy("series_id")
           .agg(F.avg("resid").alias("_rm"), F.stddev_pop("resid").alias("_rs")))
-    x = x.join(st, "series_id").withColumn("z", (F.col("resid") - F.col("_rm")) / F.col("_rs"))
+    z = F.when(F.col("_rs") > 0, (F.col("resid") - F.col("_rm")) / F.col("_rs"))
+    x = x.join(st, "series_id").withColumn("z", z)
     return x.withColumn("is_anomaly", F.abs(F.col("z")) > F.lit(z_limit)).drop("_rm", "_rs")
 
 
@@ -32,8 +33,10 @@ def breach_probability(fc: DataFrame, limits: DataFrame, sd_col: str = "sd") ->
     """P(value > limit) per forecast row from its mean and sd, with the
     logistic approximation of the normal CDF. ``limits``: (series_id, limit)."""
     z = (F.col("predicted") - F.col("limit")) / F.col(sd_col)
-    return (fc.join(limits, "series_id")
-            .withColumn("prob_breach", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(LOGISTIC_K) * z))))
+    certain = F.when(F.col("predicted") > F.col("limit"), F.lit(1.0)).otherwise(F.lit(0.0))
+    prob = F.when(F.col(sd_col) > 0, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(LOGISTIC_K) * z))
+                  ).otherwise(certain)
+    return fc.join(limits, "series_id").withColumn("prob_breach", prob)
 
 
 def interval_coverage(aligned_q: DataFrame, lower_q: float = 0.1, upper_q: float = 0.9,
@@ -52,7 +55,9 @@ def interval_coverage(aligned_q: DataFrame, lower_q: float = 0.1, upper_q: float
 def inverse_rmse_weights(metrics_df: DataFrame, keys=("series_id",)) -> DataFrame:
     """Weights proportional to 1 / RMSE per key, normalised to sum to one.
     Feed metrics from a validation run, never from the evaluation range."""
-    inv = metrics_df.select(*keys, "model", (F.lit(1.0) / F.col("rmse")).alias("_inv"))
+    # a perfect model (rmse 0) gets a large finite weight instead of 1/0
+    inv = metrics_df.select(*keys, "model", (F.lit(1.0) / F.greatest(F.col("rmse"), F.lit(1e-12)))
+                            .alias("_inv"))
     tot = inv.groupBy(*keys).agg(F.sum("_inv").alias("_tot"))
     return inv.join(tot, list(keys)).select(*keys, "model",
                                             (F.col("_inv") / F.col("_tot")).alias("weight"))

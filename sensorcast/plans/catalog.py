@@ -945,7 +945,7 @@ def q_interval_coverage(spark, sf):
                                 O.params_cte()) + f"""
 SELECT f.series_id, f.target_ts, f.step, {O.r('f.predicted', 'predicted')},
        {O.r('s.mean + 2.0 * s.std', 'limit')},
-       {O.r('1.0 / (1.0 + exp(-1.702 * ((f.predicted - (s.mean + 2.0 * s.std)) / f.sd)))', 'prob_breach')}
+       {O.r("CASE WHEN f.sd > 0 THEN 1.0 / (1.0 + exp(-1.702 * ((f.predicted - (s.mean + 2.0 * s.std)) / f.sd))) WHEN f.predicted > s.mean + 2.0 * s.std THEN 1.0 ELSE 0.0 END", 'prob_breach')}
 FROM arfc f JOIN params s USING (series_id)""")
 def q_early_warning(spark, sf):
     p = prepared(spark, sf, HOURLY)
@@ -964,7 +964,8 @@ def q_early_warning(spark, sf):
 st AS (SELECT series_id, avg(value - expected) AS rm, stddev_pop(value - expected) AS rs
        FROM ex WHERE split = 'train' GROUP BY series_id)
 SELECT series_id, ts, {O.r('value')}, {O.r('expected')}, {O.r('value - expected', 'resid')},
-       {O.r('((value - expected) - rm) / rs', 'z')}, abs(((value - expected) - rm) / rs) > 3.0 AS is_anomaly
+       {O.r('CASE WHEN rs > 0 THEN ((value - expected) - rm) / rs END', 'z')},
+       CASE WHEN rs > 0 THEN abs(((value - expected) - rm) / rs) END > 3.0 AS is_anomaly
 FROM ex JOIN st USING (series_id)""")
 def q_anomaly_flags(spark, sf):
     p = prepared(spark, sf, HOURLY)
@@ -991,7 +992,7 @@ def _ensemble_sql() -> str:
     return O.with_(H_CHAIN, AR_EVAL, BASIS, DEC, v_split, v_ar, v_basis, f"""allfcv AS (
   SELECT {FC_COLS}, predicted FROM fcv UNION ALL SELECT {FC_COLS}, predicted FROM dcfcv)""", v_al,
                    f"""vm AS (
-  SELECT series_id, model, 1.0 / sqrt(avg((actual - predicted) * (actual - predicted))) AS inv
+  SELECT series_id, model, 1.0 / greatest(sqrt(avg((actual - predicted) * (actual - predicted))), 1e-12) AS inv
   FROM alignedv WHERE {VALID} GROUP BY series_id, model),
 wt AS (SELECT series_id, model, inv / sum(inv) OVER (PARTITION BY series_id) AS weight FROM vm),
 duo AS (SELECT {FC_COLS}, predicted FROM fc UNION ALL SELECT {FC_COLS}, predicted FROM dcfc)""") + f"""

@@ -143,9 +143,11 @@ def prev_cte(cfg: PipelineConfig, src: str = "prep", name: str = "pv") -> str:
 def ar_params_cte(cfg: PipelineConfig, src: str = "prep") -> str:
     return prev_cte(cfg, src) + """,
 arp AS (
-  SELECT series_id, regr_slope(value, prev_value) AS phi, regr_intercept(value, prev_value) AS c,
-         sqrt(greatest(var_pop(value) - covar_pop(prev_value, value) * covar_pop(prev_value, value)
-                       / var_pop(prev_value), 0.0)) AS sigma,
+  SELECT series_id, coalesce(regr_slope(value, prev_value), 0.0) AS phi,
+         coalesce(regr_intercept(value, prev_value), avg(value)) AS c,
+         sqrt(greatest(var_pop(value) - CASE WHEN var_pop(prev_value) > 0
+                                             THEN covar_pop(prev_value, value) * covar_pop(prev_value, value)
+                                                  / var_pop(prev_value) ELSE 0.0 END, 0.0)) AS sigma,
          count(*) AS n_pairs
   FROM pv WHERE split = 'train' AND prev_value IS NOT NULL GROUP BY series_id)"""
 

@@ -164,3 +164,18 @@ def test_g3_global_scaler(spark):
     params = scaling.fit_scaler(df, keys=())
     got = sorted(r.value_scaled for r in scaling.scale(df, params, keys=()).collect())
     assert got == pytest.approx([-1.0, 1.0])
+
+
+def test_constant_sensor_under_ansi(spark):
+    """ANSI mode (Spark 4 default) raises on x / 0: a flat sensor must still fit."""
+    rows = [("s", T("2024-01-01 00:00:00") + dt.timedelta(hours=i), 5.0,
+             "train" if i < 20 else "eval", 0) for i in range(30)]
+    df = spark.createDataFrame(
+        rows, "series_id string, ts timestamp_ntz, value double, split string, segment_id int")
+    p = autoreg.ar_fit(df, "1 hour").first()
+    assert (p.phi, p.c, p.sigma) == (0.0, 5.0, 0.0)
+    fc = autoreg.ar_forecast(df, autoreg.ar_fit(df, "1 hour"), 3, "1 hour", "eval")
+    assert {r.predicted for r in fc.collect()} == {5.0}
+    from sensorcast.operators.monitor import breach_probability
+    lim = spark.createDataFrame([("s", 4.0)], "series_id string, limit double")
+    assert {r.prob_breach for r in breach_probability(fc, lim).collect()} == {1.0}
