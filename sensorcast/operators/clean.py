@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.timefn import ts_literal
 
 
-def _in_any(ts: Column, intervals) -> Column:
+def _in_any(ts: Column, intervals, half_open: bool = False) -> Column:
     cond = F.lit(False)
     for start, end in intervals:
-        cond = cond | ts.between(ts_literal(start), ts_literal(end))
+        if half_open:
+            cond = cond | ((ts >= ts_literal(start)) & (ts < ts_literal(end)))
+        else:
+            cond = cond | ts.between(ts_literal(start), ts_literal(end))
     return cond
 
 
 def exclude_interval(df: DataFrame, intervals, ts_col: str = "ts",
-                     series_col: str = "series_id") -> DataFrame:
-    """Drop readings inside closed intervals.
+                     series_col: str = "series_id", half_open: bool = False) -> DataFrame:
+    """Drop readings inside closed intervals (``half_open``: [start, end),
+    for ends given as the next period's first instant - a closed end of
+    23:59:59 lets 23:59:59.5 escape, as it does in the reference).
 
     ``intervals`` is a list of ``(start, end)`` text pairs valid for every
     series, or a DataFrame ``(series_id, start, end)`` of per-series periods,
@@ -31,7 +36,7 @@ def exclude_interval(df: DataFrame, intervals, ts_col: str = "ts",
         return df.join(iv, cond, "left_anti")
     if not intervals:
         return df
-    return df.where(~_in_any(F.col(ts_col), intervals))
+    return df.where(~_in_any(F.col(ts_col), intervals, half_open))
 
 
 def label_segment(df: DataFrame, intervals, ts_col: str = "ts",

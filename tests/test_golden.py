@@ -153,6 +153,8 @@ def test_g10_invalid_interval(spark):
     assert kept == [T(stamps[0]), T(stamps[3])]
     seg = clean.label_segment(clean.exclude_interval(df, iv), iv).orderBy("ts").collect()
     assert [r.segment_id for r in seg] == [0, 1]
+    ho = (("2025-08-01 00:00:00", "2026-05-01 00:00:00"),)
+    assert clean.exclude_interval(df, ho, half_open=True).count() == 2
     per_series = spark.createDataFrame([("s", T("2025-08-01 00:00:00"), T("2026-04-30 23:59:59"))],
                                        "series_id string, start timestamp_ntz, end timestamp_ntz")
     assert clean.exclude_interval(df, per_series).count() == 2

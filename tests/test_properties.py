@@ -70,10 +70,20 @@ def test_eval_rows_do_not_move_fits(spark):
     p = P.split(P.regularise(P.clean(sensor_raw(spark, SF_SMALL), cfg), cfg), cfg).cache()
     q = p.withColumn("value", F.when(F.col("split") == "eval", F.col("value") * 7 + 100)
                      .otherwise(F.col("value")))
+    from sensorcast.operators.forecast import basis
+    from sensorcast.operators.forecast import quantile as QF
     for fit in (lambda d: scaling.fit_scaler(d),
-                lambda d: autoreg.ar_fit(d, cfg.freq, cfg.chunk_buckets)):
+                lambda d: autoreg.ar_fit(d, cfg.freq, cfg.chunk_buckets),
+                lambda d: basis.trend_fit(d, cfg.freq),
+                lambda d: basis.seasonal_fit(d, basis.trend_fit(d, cfg.freq), cfg.freq, 24, 3),
+                lambda d: QF.quantile_profile(d)):
         a, b = fit(p), fit(q)
         assert rows(a, a.columns) == rows(b, b.columns)
+    xi = segments.dense_time_index(p, cfg.freq)
+    xq = segments.dense_time_index(q, cfg.freq)
+    _, wa = patch.patch_linear_forecast(xi, 24, 6, 8, 4, cfg.freq, 32)
+    _, wb = patch.patch_linear_forecast(xq, 24, 6, 8, 4, cfg.freq, 32)
+    assert np.allclose(wa, wb)
 
 
 def test_unscale_scale_round_trip(spark, clean15):
