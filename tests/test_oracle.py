@@ -35,3 +35,15 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert {"model", "series_id", "mae", "rmse", "r2"} <= set(df.columns)
+
+
+@pytest.mark.parametrize("name", ["fill_gaps", "calendar_features", "kpi_rollup",
+                                  "stream_resample", "decompose_forecast", "scan_csv"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        ok, msg = compare(QUERIES[name](spark, SF_SMALL).toPandas(), con.execute(SQLS[name]).df())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert ok, msg
