@@ -18,12 +18,13 @@ from .layout import CHUNK, top_k_per_group, with_halo
 
 def make_windows(df: DataFrame, context: int, horizon: int, within_segment: bool = True,
                  chunk_rows: int = 4096, idx_col: str = "time_idx", value_col: str = "value",
-                 keys=("series_id",)) -> DataFrame:
+                 keys=("series_id",), drop_last: bool = False) -> DataFrame:
     """Every full (context, horizon) pair at stride 1, keyed by its origin
     (the last context row). Input needs a dense ``time_idx``. Chunks of
     ``chunk_rows`` index positions with a halo of L-1 rows behind and H ahead
     keep each task bounded. ``within_segment`` drops windows that straddle two
-    segments. Output: keys, origin_ts, origin_idx, x ARRAY, y ARRAY."""
+    segments. ``drop_last`` drops each series' last window (the reference's
+    one-short count n - L - H). Output: keys, origin_ts, origin_idx, x, y."""
     L, H = context, horizon
     x = with_halo(df, idx_col, chunk_rows, back=L - 1, fwd=H)
     w = Window.partitionBy(*keys, CHUNK).orderBy(idx_col)
@@ -37,7 +38,11 @@ def make_windows(df: DataFrame, context: int, horizon: int, within_segment: bool
         ok = ok & (F.min("segment_id").over(span) == F.max("segment_id").over(span))
     out = x.select(*keys, F.col("ts").alias("origin_ts"), F.col(idx_col).alias("origin_idx"),
                    xs.alias("x"), ys.alias("y"), ok.alias("_ok"), "_own")
-    return out.where(F.col("_own") & F.col("_ok")).drop("_own", "_ok")
+    out = out.where(F.col("_own") & F.col("_ok")).drop("_own", "_ok")
+    if drop_last:
+        last = out.groupBy(*keys).agg(F.max("origin_idx").alias("_last"))
+        out = out.join(last, list(keys)).where(F.col("origin_idx") < F.col("_last")).drop("_last")
+    return out
 
 
 def window_count(df: DataFrame, context: int, horizon: int, keys=("series_id",),

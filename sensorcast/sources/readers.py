@@ -25,20 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_raw(spark: SparkSession, path: str, series_id: str | None = None,
              ts_col: str = RAW_TS, value_col: str = RAW_VALUE,
-             quality_col: str = RAW_QUALITY, series_col: str | None = "series_id") -> DataFrame:
+             quality_col: str = RAW_QUALITY, series_col: str | None = "series_id",
+             schema: T.StructType | None = None) -> DataFrame:
     """A1: read raw sensor csv files with a header; every column stays text.
 
     Columns are picked by header name, so extra columns are ignored and never
-    parsed. ``series_id`` comes from a column of the file or from the argument
-    (one file = one sensor).
+    parsed; nothing is inferred. With ``schema`` the files are read with that
+    explicit schema instead (its field names must include the three columns).
+    ``series_id`` comes from a column of the file or from the argument (one
+    file = one sensor).
     """
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    r = spark.read.option("header", True)
+    df = (r.schema(schema).option("enforceSchema", False).csv(path) if schema is not None
+          else r.option("inferSchema", False).csv(path))
     sid = (F.lit(series_id) if series_id is not None or series_col not in df.columns
            else F.col(series_col))
     return df.select(sid.cast("string").alias("series_id"),
-                     F.col(ts_col).alias("ts_raw"),
-                     F.col(value_col).alias("value_raw"),
-                     F.col(quality_col).alias("quality"))
+                     F.col(ts_col).cast("string").alias("ts_raw"),
+                     F.col(value_col).cast("string").alias("value_raw"),
+                     F.col(quality_col).cast("string").alias("quality"))
 
 
 def read_prepared(spark: SparkSession, path: str, fmt: str = "parquet",

@@ -186,3 +186,30 @@ def test_stream_equals_batch(spark):
     raw = sensor_raw(spark, SF_SMALL).withColumn("segment_id", F.lit(0))
     batch = resample_mean(raw, "1 hour", ("series_id",))
     assert rows(streamed, ["series_id", "ts", "value"]) == rows(batch, ["series_id", "ts", "value"])
+
+
+def test_windows_drop_last_and_counts(spark):
+    from sensorcast.operators.windows import make_windows, window_count
+    x = hourly_indexed(spark).where("segment_id = 1")
+    full = make_windows(x, 24, 6, chunk_rows=40)
+    short = make_windows(x, 24, 6, chunk_rows=40, drop_last=True)
+    n_series = full.select("series_id").distinct().count()
+    assert full.count() - short.count() == n_series
+    # contiguous index inside one segment: windows = n - L - H + 1 per series
+    wc = {r.series_id: r.windows_full for r in window_count(x, 24, 6).collect()}
+    got = {r.series_id: r["count"] for r in full.groupBy("series_id").count().collect()}
+    assert got == {k: v for k, v in wc.items() if v > 0}
+
+
+def test_read_raw_with_explicit_schema(spark, tmp_path_factory):
+    from pyspark.sql import types as T
+    from sensorcast.session import scratch_path
+    from sensorcast.sources.readers import read_raw
+    path = scratch_path(spark, "raw_schema")
+    spark.createDataFrame([("2024-01-01 00:00:00", "1.5", "Good", "x")],
+                          "DateTime string, Value string, QualityStatus string, Other string"
+                          ).write.option("header", True).csv(path)
+    schema = T.StructType([T.StructField(c, T.StringType())
+                           for c in ("DateTime", "Value", "QualityStatus", "Other")])
+    r = read_raw(spark, path, series_id="s", schema=schema).first()
+    assert (r.series_id, r.ts_raw, r.value_raw, r.quality) == ("s", "2024-01-01 00:00:00", "1.5", "Good")
