@@ -514,13 +514,31 @@ WIN_SQL = O.with_(H_CHAIN, cont_cte("prep", W_GAP_US), O.indexed_cte("cs"), f"""
 wins AS (
   SELECT series_id, origin_ts, origin_idx, x, y FROM wn
   WHERE lo = origin_idx - {L_ - 1} AND hi = origin_idx + {H_} AND smin = smax)""")
-RL = "list_transform({0}, lambda v: " + O.rnd("v") + ") AS {0}"
 
 
-@query("windows_pairs", WIN_SQL + f"""
-SELECT series_id, origin_ts, origin_idx, {RL.format('x')}, {RL.format('y')} FROM wins""")
+def long_form_sql(arrays: dict[str, str]) -> str:
+    """(series_id, origin_ts, part, pos, value) rows of list columns."""
+    parts = [f"""SELECT series_id, origin_ts, '{name}' AS part,
+       CAST(unnest(range(0, len({expr}))) AS INTEGER) AS pos, {O.rnd(f"unnest({expr})")} AS value
+FROM wins""" for name, expr in arrays.items()]
+    return "\nUNION ALL\n".join(parts)
+
+
+def long_form(df, arrays: dict):
+    """Registered reports flatten window arrays to the long form
+    (series_id, origin_ts, part, pos, value): same content, no array column."""
+    out = None
+    for name, col in arrays.items():
+        x = df.select("series_id", "origin_ts", F.lit(name).alias("part"),
+                      F.posexplode(col).alias("pos", "value"))
+        out = x if out is None else out.unionByName(x)
+    return rounded(out)
+
+
+@query("windows_pairs", WIN_SQL + long_form_sql({"x": "x", "y": "y"}))
 def q_windows_pairs(spark, sf):
-    return rounded(windows_df(spark, sf))
+    w = windows_df(spark, sf)
+    return long_form(w, {"x": F.col("x"), "y": F.col("y")})
 
 
 @query("window_count", O.with_(H_CHAIN, cont_cte("prep", W_GAP_US)) + f"""
@@ -552,14 +570,13 @@ def q_explode_windows(spark, sf):
     return rounded(WN.explode_forecast(windows_df(spark, sf)))
 
 
-@query("window_slice", WIN_SQL + f"""
-SELECT series_id, origin_ts, list_transform((x || y)[1:{L_}], lambda v: {O.rnd("v")}) AS context,
-       list_transform((x || y)[{L_ + 1}:{L_ + H_}], lambda v: {O.rnd("v")}) AS horizon FROM wins""")
+@query("window_slice", WIN_SQL + long_form_sql(
+    {"context": f"(x || y)[1:{L_}]", "horizon": f"(x || y)[{L_ + 1}:{L_ + H_}]"}))
 def q_window_slice(spark, sf):
-    w = windows_df(spark, sf).withColumn("_w", F.concat("x", "y"))
-    return rounded(w.select("series_id", "origin_ts",
-                            WN.window_slice("_w", 0, L_).alias("context"),
-                            WN.window_slice("_w", L_, H_).alias("horizon")))
+    """The joined window array sliced back into context and horizon."""
+    w = windows_df(spark, sf).select("series_id", "origin_ts", F.concat("x", "y").alias("_w"))
+    return long_form(w, {"context": WN.window_slice("_w", 0, L_),
+                         "horizon": WN.window_slice("_w", L_, H_)})
 
 
 # ------------------------------------------------------------ model features
