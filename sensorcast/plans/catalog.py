@@ -1229,3 +1229,42 @@ def q_priority_daily_forecast(spark, sf):
     se = basis.seasonal_fit(p, tr, PRIORITY.freq, P_PERIOD, P_HARM)
     fc = basis.decompose_forecast(p, tr, se, PRIORITY.horizon, PRIORITY.freq, P_PERIOD, P_HARM)
     return rounded(EV.metrics(EV.align(fc, p), ("model", "series_id")))
+
+
+# --------------------------------------------------- more operator variants
+@query("fill_gaps_short_only", O.with_(BUCKET_CHAIN, O.filled_cte(CFG).replace(
+    "least(gap, 3)", "CASE WHEN gap <= 3 THEN gap ELSE 0 END")) + "SELECT series_id, segment_id, ts, "
+    + O.r("value") + ", filled FROM filled")
+def q_fill_gaps_short_only(spark, sf):
+    """W1 with fill_long_gaps=False: gaps longer than the limit stay untouched."""
+    b = resample_mean(clean_df(spark, sf), CFG.freq)
+    return rounded(fill_gaps(b, CFG.freq, CFG.fill_limit, chunk_buckets=CFG.chunk_buckets,
+                             fill_long_gaps=False))
+
+
+def worst_days(raw):
+    """Per sensor, the day with the most Bad readings (ties: the earliest) as
+    a closed invalid period - per-series intervals derived from the data."""
+    from ..functions.timefn import bucket_start, to_micros
+    bad = (raw.where(F.col("quality") != "Good")
+           .groupBy("series_id", bucket_start("ts", "1 day").alias("day"))
+           .agg(F.count(F.lit(1)).alias("n")))
+    best = bad.groupBy("series_id").agg(
+        F.max(F.struct("n", (-to_micros("day")).alias("k"), "day"))
+        .alias("b"))
+    return best.select("series_id", F.col("b.day").alias("start"),
+                       F.timestamp_add("MICROSECOND", F.lit(86_400_000_000 - 1), F.col("b.day"))
+                       .alias("end"))
+
+
+@query("exclude_interval_per_series", O.with_(RAW) + """, bad AS (
+  SELECT series_id, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01 00:00:00') AS day, count(*) AS n
+  FROM raw WHERE quality <> 'Good' GROUP BY ALL),
+iv AS (
+  SELECT series_id, arg_max(day, (n, -epoch_us(day))) AS start FROM bad GROUP BY series_id)
+SELECT r.series_id, r.ts, r.value FROM raw r
+WHERE NOT EXISTS (SELECT 1 FROM iv WHERE iv.series_id = r.series_id
+                  AND r.ts >= iv.start AND r.ts <= iv.start + INTERVAL '86399999999 microseconds')""")
+def q_exclude_interval_per_series(spark, sf):
+    raw = sensor_raw(spark, sf)
+    return CL.exclude_interval(raw.select("series_id", "ts", "value"), worst_days(raw))
