@@ -181,3 +181,20 @@ def test_constant_sensor_under_ansi(spark):
     from sensorcast.operators.monitor import breach_probability
     lim = spark.createDataFrame([("s", 4.0)], "series_id string, limit double")
     assert {r.prob_breach for r in breach_probability(fc, lim).collect()} == {1.0}
+
+
+def test_baseline_window_counts(spark):
+    """BASELINE: 498,240 train rows and 27,875 eval rows at L = 144, H = 12 give
+    498,085 train windows and, with 144 train rows as warm-up before the
+    cutoff, 27,864 eval windows."""
+    from sensorcast.operators.split import eval_with_halo, split_at_cutoff
+    n_train, n_eval = 498_240, 27_875
+    df = spark.range(n_train + n_eval).select(
+        F.lit("s").alias("series_id"), F.lit(0).alias("segment_id"),
+        F.col("id").alias("time_idx"),
+        F.when(F.col("id") < n_train, F.lit("train")).otherwise(F.lit("eval")).alias("split"))
+    cut = split_at_cutoff(df)
+    train = window_count(cut.where("part = 'train'"), 144, 12).first()
+    assert train.windows_full == 498_085
+    ev = window_count(eval_with_halo(cut, 144).where("time_idx > cutoff - 144"), 144, 12).first()
+    assert ev.n_rows == n_eval + 144 and ev.windows_full == 27_864
