@@ -46,6 +46,11 @@ class PipelineConfig:
     relative_metric: str = "smape"
     # rows per (series, chunk) after resampling; bounds every window task
     chunk_buckets: int = 1440
+    # True: shuffle the raw readings once by (series, chunk) and share that
+    # exchange between resample and gap fill - right for about one reading per
+    # bucket, as with 1-minute sensors on a 1-minute grid (the default);
+    # False: combine readings map-side first (many readings per bucket)
+    shuffle_raw_once: bool = True
     extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "PipelineConfig":
@@ -79,5 +84,6 @@ EVENTS = PipelineConfig(
     context=24,
     horizon=6,
     chunk_buckets=96,
+    shuffle_raw_once=False,     # several readings per 15-minute / hourly bucket
 )
 EVENTS_HOURLY = EVENTS.with_(freq="1 hour")

@@ -10,13 +10,24 @@ from .layout import CHUNK, neighbour
 
 
 def resample_mean(df: DataFrame, freq: str, keys=("series_id", "segment_id"),
-                  ts_col: str = "ts", value_col: str = "value") -> DataFrame:
+                  ts_col: str = "ts", value_col: str = "value",
+                  chunk_buckets: int | None = None) -> DataFrame:
     """Mean per left-closed, left-labelled bucket; merges duplicate stamps.
 
-    Planned as partial aggregate -> hash exchange -> final aggregate, so a hot
-    sensor is pre-aggregated on the map side before anything is shuffled."""
-    return (df.groupBy(*keys, bucket_start(ts_col, freq).alias(ts_col))
-            .agg(F.avg(value_col).alias(value_col)))
+    Default plan: partial aggregate -> hash exchange -> final aggregate, so a
+    dense sensor is combined on the map side before anything is shuffled.
+
+    With ``chunk_buckets`` the readings are instead hash-partitioned once by
+    (series, chunk) and the chunk is kept as a grouping column: the aggregate
+    and every later ordered window on (series, chunk) share that single
+    exchange. Better when there is about one reading per bucket (nothing to
+    combine); the output keeps the chunk column for ``fill_gaps``."""
+    b = bucket_start(ts_col, freq)
+    if chunk_buckets is None:
+        return df.groupBy(*keys, b.alias(ts_col)).agg(F.avg(value_col).alias(value_col))
+    x = df.select("*", chunk_index(ts_col, freq, chunk_buckets).alias(CHUNK))
+    x = x.repartition(keys[0], CHUNK)
+    return (x.groupBy(*keys, CHUNK, b.alias(ts_col)).agg(F.avg(value_col).alias(value_col)))
 
 
 def fill_gaps(df: DataFrame, freq: str, limit: int | None = 30,
@@ -35,7 +46,9 @@ def fill_gaps(df: DataFrame, freq: str, limit: int | None = 30,
     """
     keys = list(keys)
     cols = [value_col] + ([segment_col] if segment_col else [])
-    x = df.withColumn(CHUNK, chunk_index(ts_col, freq, chunk_buckets))
+    # a chunk column from resample_mean(chunk_buckets=...) is reused as is, so
+    # the window sits on the aggregate's partitioning (no second exchange)
+    x = df if CHUNK in df.columns else df.withColumn(CHUNK, chunk_index(ts_col, freq, chunk_buckets))
     x = neighbour(x, keys, ts_col, CHUNK, cols, "next", prefix="_n_")
     same = F.col(f"_n_{ts_col}").isNotNull()
     if segment_col:

@@ -1113,7 +1113,7 @@ def q_stream_alerts(spark, sf):
 
 # ------------------------------------------------ many series, other tables
 
-MINUTE = EVENTS.with_(freq="1 minute", fill_limit=30, chunk_buckets=1440)
+MINUTE = EVENTS.with_(freq="1 minute", fill_limit=30, chunk_buckets=1440, shuffle_raw_once=True)
 
 
 @query("prepare_minutely", O.with_(O.prep_chain(MINUTE), O.params_cte(), """scaled AS (
@@ -1212,7 +1212,8 @@ def q_metrics_table(spark, sf):
 
 PRIORITY = PipelineConfig(freq="1 day", fill_limit=3, train_end="1997-12-31 23:59:59",
                           eval_start="1998-01-01 00:00:00", eval_end="1998-12-31 23:59:59",
-                          context=28, horizon=7, chunk_buckets=64)
+                          context=28, horizon=7, chunk_buckets=64,
+                          shuffle_raw_once=False)  # many orders per day: combine first
 P_PERIOD, P_HARM = 7, 2
 
 

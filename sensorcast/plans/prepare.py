@@ -37,7 +37,8 @@ def clean(raw: DataFrame, cfg: PipelineConfig) -> DataFrame:
 
 def regularise(clean_df: DataFrame, cfg: PipelineConfig) -> DataFrame:
     """Resample and fill: (series_id, segment_id, ts, value, filled)."""
-    buckets = resample_mean(clean_df, cfg.freq, ("series_id", "segment_id"))
+    buckets = resample_mean(clean_df, cfg.freq, ("series_id", "segment_id"),
+                            chunk_buckets=cfg.chunk_buckets if cfg.shuffle_raw_once else None)
     out = fill_gaps(buckets, cfg.freq, cfg.fill_limit, ("series_id",), "segment_id",
                     chunk_buckets=cfg.chunk_buckets)
     if cfg.continuity_split:

@@ -213,3 +213,14 @@ def test_read_raw_with_explicit_schema(spark, tmp_path_factory):
                            for c in ("DateTime", "Value", "QualityStatus", "Other")])
     r = read_raw(spark, path, series_id="s", schema=schema).first()
     assert (r.series_id, r.ts_raw, r.value_raw, r.quality) == ("s", "2024-01-01 00:00:00", "1.5", "Good")
+
+
+def test_single_exchange_plan_gives_the_same_series(spark, clean15):
+    import re
+    cols = ["series_id", "segment_id", "ts", "value", "filled"]
+    a = P.regularise(clean15, EVENTS.with_(shuffle_raw_once=False, chunk_buckets=7))
+    b = P.regularise(clean15, EVENTS.with_(shuffle_raw_once=True, chunk_buckets=7))
+    assert rows(a, cols) == rows(b, cols)
+    ex = lambda d: len(re.findall(r"Exchange hashpartitioning",
+                                  d._jdf.queryExecution().executedPlan().toString()))
+    assert ex(b) < ex(a)
