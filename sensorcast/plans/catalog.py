@@ -493,8 +493,8 @@ W_GAP_US = 7_200_000_000
 def windows_src(spark, sf):
     """Hourly prepared rows, continuous segments (gap > 120 min), dense index."""
     p = prepared(spark, sf, W_CFG)
-    s = SG.continuous_segments(p, "120 minutes", W_CFG.freq, chunk_buckets=W_CFG.chunk_buckets)
-    return SG.dense_time_index(s, W_CFG.freq, chunk_buckets=W_CFG.chunk_buckets)
+    return SG.continuous_segments(p, "120 minutes", W_CFG.freq, chunk_buckets=W_CFG.chunk_buckets,
+                                  index_col="time_idx")
 
 
 def windows_df(spark, sf):
