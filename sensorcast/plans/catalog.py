@@ -1269,3 +1269,13 @@ WHERE NOT EXISTS (SELECT 1 FROM iv WHERE iv.series_id = r.series_id
 def q_exclude_interval_per_series(spark, sf):
     raw = sensor_raw(spark, sf)
     return CL.exclude_interval(raw.select("series_id", "ts", "value"), worst_days(raw))
+
+
+@query("segment_lengths_5min", O.with_(FILL_CHAIN, cont_cte("filled", 300_000_000)) + """
+SELECT series_id, segment_id, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts
+FROM cs GROUP BY series_id, segment_id""")
+def q_segment_lengths_5min(spark, sf):
+    """D8, the 5-minute view: any missing 15-minute bucket starts a segment."""
+    reg = P.regularise(clean_df(spark, sf), CFG)
+    s = SG.continuous_segments(reg, "5 minutes", CFG.freq, chunk_buckets=CFG.chunk_buckets)
+    return SG.segment_lengths(s)
