@@ -1271,11 +1271,12 @@ def q_exclude_interval_per_series(spark, sf):
     return CL.exclude_interval(raw.select("series_id", "ts", "value"), worst_days(raw))
 
 
-@query("segment_lengths_5min", O.with_(FILL_CHAIN, cont_cte("filled", 300_000_000)) + """
+@query("segment_lengths_strict", O.with_(FILL_CHAIN, cont_cte("filled", 900_000_000)) + """
 SELECT series_id, segment_id, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts
 FROM cs GROUP BY series_id, segment_id""")
-def q_segment_lengths_5min(spark, sf):
-    """D8, the 5-minute view: any missing 15-minute bucket starts a segment."""
+def q_segment_lengths_strict(spark, sf):
+    """D8, the fine view (the reference's 5-minute view on 1-minute data):
+    any missing bucket - a gap above one 15-minute step - starts a segment."""
     reg = P.regularise(clean_df(spark, sf), CFG)
-    s = SG.continuous_segments(reg, "5 minutes", CFG.freq, chunk_buckets=CFG.chunk_buckets)
+    s = SG.continuous_segments(reg, CFG.freq, CFG.freq, chunk_buckets=CFG.chunk_buckets)
     return SG.segment_lengths(s)
