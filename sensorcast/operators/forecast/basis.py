@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.timefn import bucket_index
-from .common import explode_steps, forecast_frame
+from .common import explode_steps, forecast_frame, origin_rows
 
 
 def _t(ts: str | Column, freq: str) -> Column:
@@ -62,9 +62,10 @@ def decompose_value(t: Column, harmonics: int, period: int) -> Column:
 
 def decompose_forecast(df: DataFrame, trend: DataFrame, seasonal: DataFrame, horizon: int,
                        freq: str, period: int, harmonics: int,
-                       model: str = "decompose") -> DataFrame:
-    """Forecast from every eval origin for steps 1..H: the fitted function of
-    the target's time (the origin only fixes which targets are asked for)."""
-    o = df.where(F.col("split") == "eval").select("series_id", F.col("ts").alias("origin_ts"))
+                       model: str = "decompose", origins: str = "eval") -> DataFrame:
+    """Forecast for steps 1..H from every eval origin (or the last train row):
+    the fitted function of the target's time (the origin only fixes which
+    targets are asked for)."""
+    o = origin_rows(df, origins)
     x = explode_steps(o, horizon, freq).join(trend, "series_id").join(seasonal, "series_id")
     return forecast_frame(x, model, decompose_value(_t("target_ts", freq), harmonics, period))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ...functions.timefn import freq_micros
 from ..layout import CHUNK, with_halo
 from . import linear
+from .common import pick_origins
 
 # Kernel size and dilations of the reference network.
 KERNEL = 3
@@ -55,12 +56,12 @@ def causal_filter_bank(df: DataFrame, freq: str, horizon: int = 0, dilations=DIL
 
 
 def filter_linear_forecast(df: DataFrame, horizon: int, freq: str, chunk_rows: int = 4096,
-                           model: str = "filter_linear"):
+                           model: str = "filter_linear", origins: str = "eval"):
     feat = causal_filter_bank(df, freq, horizon, chunk_rows=chunk_rows)
     fnames = filter_names()
     tnames = [f"y_{h}" for h in range(1, horizon + 1)]
     train = feat.where((F.col("split") == "train") & F.col("targets_ok")
                        & (F.col("target_split") == "train"))
     w = linear.fit_head(train, fnames, tnames)
-    ev = feat.where(F.col("split") == "eval").withColumnRenamed("ts", "origin_ts")
+    ev = pick_origins(feat.withColumnRenamed("ts", "origin_ts"), origins, "origin_ts")
     return linear.predict_head(ev, w, fnames, "value", freq, model), w

@@ -47,3 +47,21 @@ def forecast_frame(df: DataFrame, model: str, predicted: Column, q: Column | Non
                      F.col("step").cast("int").alias("step"), "target_ts",
                      (q if q is not None else F.lit(None).cast("double")).alias("q"),
                      predicted.cast("double").alias("predicted"), *(extra or []))
+
+
+def origin_rows(df: DataFrame, origins: str = "eval") -> DataFrame:
+    """Forecast origins: every eval row (all windows) or, per series, the last
+    train row (one last window, the origin of a live forecast)."""
+    if origins == "last":
+        return last_origin(df).select("series_id", "origin_ts")
+    return df.where(F.col("split") == "eval").select("series_id", F.col("ts").alias("origin_ts"))
+
+
+def pick_origins(feat: DataFrame, origins: str, ts_col: str = "origin_ts") -> DataFrame:
+    """Feature rows to forecast from: eval rows, or each series' last train
+    row (a per-series max joined back, no per-series sort)."""
+    if origins != "last":
+        return feat.where(F.col("split") == "eval")
+    tr = feat.where(F.col("split") == "train")
+    last = tr.groupBy("series_id").agg(F.max(ts_col).alias("_last"))
+    return tr.join(last, "series_id").where(F.col(ts_col) == F.col("_last")).drop("_last")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ...functions.timefn import calendar_columns
 from ..quantiles import group_quantiles
-from .common import explode_steps, forecast_frame
+from .common import explode_steps, forecast_frame, origin_rows
 
 # The quantile levels reported (the reference's library default
 # list is 0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98; its point forecast took 0.1).
@@ -29,9 +29,10 @@ def quantile_profile(df: DataFrame, qs=QUANTILES, method: str = "exact") -> Data
 
 
 def quantile_forecast(df: DataFrame, profile: DataFrame, horizon: int, freq: str,
-                      model: str = "quantile_profile") -> DataFrame:
-    """Every eval origin, steps 1..H, one row per quantile level."""
-    o = df.where(F.col("split") == "eval").select("series_id", F.col("ts").alias("origin_ts"))
+                      model: str = "quantile_profile", origins: str = "eval") -> DataFrame:
+    """Every eval origin (or the last train row), steps 1..H, one row per
+    quantile level."""
+    o = origin_rows(df, origins)
     x = explode_steps(o, horizon, freq).select("*", *_slots("target_ts"))
     x = x.join(profile.withColumnRenamed("value", "_qv"), PROFILE_KEYS)
     return forecast_frame(x, model, F.col("_qv"), q=F.col("q"))

@@ -44,29 +44,32 @@ def preprocess_job(spark: SparkSession, raw_path: str, out_dir: str, cfg: Pipeli
 
 def forecast(prep: DataFrame, cfg: PipelineConfig, models=MODELS, period: int = 24,
              harmonics: int = 3, patch_len: int = 8, stride: int = 4,
-             chunk_rows: int = 4096) -> DataFrame:
-    """Point forecasts (quantile median for the profile) from every eval
-    origin, one long table for all ``models``."""
+             chunk_rows: int = 4096, origins: str = "eval") -> DataFrame:
+    """Point forecasts (quantile median for the profile), one long table for
+    all ``models``: from every eval origin (all windows) or, with
+    ``origins="last"``, from each series' last train row (one last window)."""
     L, H, freq = cfg.context, cfg.horizon, cfg.freq
     parts = []
     if "ar1" in models:
         parts.append(autoreg.ar_forecast(prep, autoreg.ar_fit(prep, freq, cfg.chunk_buckets), H,
-                                         freq, "eval").select(*FORECAST_COLS))
+                                         freq, origins).select(*FORECAST_COLS))
     if "decompose" in models:
         tr = basis.trend_fit(prep, freq)
         se = basis.seasonal_fit(prep, tr, freq, period, harmonics)
-        parts.append(basis.decompose_forecast(prep, tr, se, H, freq, period, harmonics))
+        parts.append(basis.decompose_forecast(prep, tr, se, H, freq, period, harmonics,
+                                              origins=origins))
     if "quantile_profile" in models:
-        fc = QF.quantile_forecast(prep, QF.quantile_profile(prep), H, freq)
+        fc = QF.quantile_forecast(prep, QF.quantile_profile(prep), H, freq, origins=origins)
         parts.append(QF.pick_quantile(fc, 0.5))
     if {"patch_linear", "filter_linear"} & set(models):
         x = prep if "time_idx" in prep.columns else dense_time_index(
             prep, freq, chunk_buckets=cfg.chunk_buckets)
         if "patch_linear" in models:
             parts.append(patch.patch_linear_forecast(x, L, H, patch_len, stride, freq,
-                                                     chunk_rows)[0])
+                                                     chunk_rows, origins=origins)[0])
         if "filter_linear" in models:
-            parts.append(causal.filter_linear_forecast(x, H, freq, chunk_rows)[0])
+            parts.append(causal.filter_linear_forecast(x, H, freq, chunk_rows,
+                                                       origins=origins)[0])
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -30,3 +30,14 @@ def test_preprocess_then_forecast(spark):
     assert m.groupBy("model").count().where("count <> 5").count() == 0
     lb = spark.read.parquet(res["leaderboard"])
     assert lb.where("is_best").select("metric").distinct().count() == 6
+
+
+def test_one_last_window_per_series(spark):
+    from sensorcast import EVENTS_HOURLY, forecast
+    from sensorcast.plans.catalog import prepared
+    p = prepared(spark, SF_MID, EVENTS_HOURLY)
+    fc = forecast(p, EVENTS_HOURLY, origins="last", chunk_rows=64)
+    per = fc.groupBy("model", "series_id").agg(F.countDistinct("origin_ts").alias("o"),
+                                              F.count(F.lit(1)).alias("n")).collect()
+    assert {r.o for r in per} == {1} and {r.n for r in per} == {EVENTS_HOURLY.horizon}
+    assert len({r.model for r in per}) == 5
