@@ -1280,3 +1280,10 @@ def q_segment_lengths_strict(spark, sf):
     reg = P.regularise(clean_df(spark, sf), CFG)
     s = SG.continuous_segments(reg, CFG.freq, CFG.freq, chunk_buckets=CFG.chunk_buckets)
     return SG.segment_lengths(s)
+
+
+@query("quantile_profile_approx")
+def q_quantile_profile_approx(spark, sf):
+    """F5 with the bounded-memory sketch (``percentile_approx``) instead of
+    exact ranks - the large-scale switch; rows-only (sketches differ by engine)."""
+    return rounded(QF.quantile_profile(prepared(spark, sf, HOURLY), method="approx"))
