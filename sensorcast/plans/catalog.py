@@ -96,13 +96,6 @@ def ar_rolling(spark, sf):
     return p, autoreg.ar_forecast(p, params, HOURLY.horizon, HOURLY.freq, "eval")
 
 
-@query("metrics_by_model", O.with_(H_CHAIN, O.ar_params_cte(HOURLY),
-                                   O.ar_forecast_cte(HOURLY, "eval", "fc"),
-                                   O.aligned_cte("fc")) + O.metric_select("model, series_id"))
-def q_metrics_by_model(spark, sf):
-    p, fc = ar_rolling(spark, sf)
-    return rounded(EV.metrics(EV.align(fc, p), ("model", "series_id")))
-
 
 # ------------------------------------------------------- ingest and cleaning
 
@@ -841,11 +834,10 @@ def aligned_models(spark, sf):
     return EV.align(model_forecasts(p), p)
 
 
-SQL["metrics_by_model"] = MODELS_SQL + O.metric_select("model, series_id")
-
-
-@query("metrics_by_model", SQL["metrics_by_model"])
-def q_metrics_by_model(spark, sf):  # noqa: F811 - the flagship covers all checkable models
+@query("metrics_by_model", MODELS_SQL + O.metric_select("model, series_id"))
+def q_metrics_by_model(spark, sf):
+    """Flagship: AR(1), trend + seasonality and the quantile-profile median
+    from every eval origin, aligned with the actuals, scored per sensor."""
     return rounded(EV.metrics(aligned_models(spark, sf), ("model", "series_id")))
 
 
