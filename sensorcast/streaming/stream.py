@@ -37,7 +37,10 @@ def event_time(ts_col: str = "ts"):
 def stream_resample(readings: DataFrame, freq: str = "1 hour", watermark: str = "10 minutes"
                     ) -> DataFrame:
     """Tumbling mean per (series, window) with a watermark; the group key is
-    the whole ``window`` struct (grouping by its start loses the watermark)."""
+    the whole ``window`` struct (grouping by its start loses the watermark).
+    Run it in append mode in production: each window is emitted once when the
+    watermark passes it and its state is dropped. Complete mode keeps every
+    window's state and is only for comparing a finished stream with batch."""
     x = readings.withColumn("_et", event_time()).withWatermark("_et", watermark)
     g = x.groupBy("series_id", F.window("_et", freq)).agg(F.avg("value").alias("value"),
                                                         F.count(F.lit(1)).alias("n"))
