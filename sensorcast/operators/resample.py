@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefn import add_steps, bucket_start, chunk_index, steps_between
-from .layout import CHUNK, neighbour
+from .layout import CHUNK, neighbour, running_total
 
 
 def resample_mean(df: DataFrame, freq: str, keys=("series_id", "segment_id"),
@@ -33,7 +33,8 @@ def resample_mean(df: DataFrame, freq: str, keys=("series_id", "segment_id"),
 def fill_gaps(df: DataFrame, freq: str, limit: int | None = 30,
               keys=("series_id",), segment_col: str | None = "segment_id",
               ts_col: str = "ts", value_col: str = "value",
-              chunk_buckets: int = 1440, fill_long_gaps: bool = True) -> DataFrame:
+              chunk_buckets: int = 1440, fill_long_gaps: bool = True,
+              index_col: str | None = None) -> DataFrame:
     """Time-linear interpolation of missing buckets.
 
     For each observed bucket and the next observed bucket of the same series
@@ -42,7 +43,10 @@ def fill_gaps(df: DataFrame, freq: str, limit: int | None = 30,
     generated (pandas ``interpolate(limit=...)`` then ``dropna``). ``limit=None``
     fills every gap. ``fill_long_gaps=False`` leaves gaps longer than the limit
     untouched. No dense grid is built: cost is O(observed + filled rows).
-    Adds ``filled`` (BOOLEAN).
+    Adds ``filled`` (BOOLEAN). With ``index_col`` also the dense 0-based row
+    index per series of the output (W6) - the rows generated before an origin
+    are a running count over the origins in this same partitioning, so no
+    separate index pass (and its shuffle) is needed.
     """
     keys = list(keys)
     cols = [value_col] + ([segment_col] if segment_col else [])
@@ -61,6 +65,9 @@ def fill_gaps(df: DataFrame, freq: str, limit: int | None = 30,
     else:
         n_fill = F.when(gap <= F.lit(limit), gap).otherwise(F.lit(0))
     n = F.when(same & (gap > 0), n_fill).otherwise(F.lit(0)).cast("long")
+    if index_col:
+        x = x.select("*", (n + F.lit(1)).alias("_cnt"))
+        x = running_total(x, keys, ts_col, CHUNK, F.col("_cnt"), "_before", inclusive=False)
     if limit is not None and limit <= chunk_buckets:
         # at most `limit` (<= one chunk) rows per origin: generate in place
         x = x.select("*", gap.alias("_gap"),
@@ -82,5 +89,6 @@ def fill_gaps(df: DataFrame, freq: str, limit: int | None = 30,
     out = [F.col(c) for c in keys]
     if segment_col and segment_col not in keys:
         out.append(F.col(segment_col))
+    extra = [(F.col("_before") + k).cast("long").alias(index_col)] if index_col else []
     return x.select(*out, add_steps(ts_col, k, freq).alias(ts_col), value.alias(value_col),
-                    (k > 0).alias("filled"))
+                    (k > 0).alias("filled"), *extra)

@@ -248,3 +248,12 @@ def test_require_min_length_fails_on_short_split(spark):
     df = spark.createDataFrame([("s", "train"), ("s", "eval")], "series_id string, split string")
     with pytest.raises(Exception):
         require_min_length(df, 2, 1).collect()
+
+
+def test_index_from_fill_equals_dense_index(spark, clean15):
+    b = resample_mean(clean15, EVENTS.freq)
+    for limit in (3, None):
+        f = fill_gaps(b, EVENTS.freq, limit, chunk_buckets=5, index_col="time_idx")
+        ref = segments.dense_time_index(f.drop("time_idx"), EVENTS.freq, chunk_buckets=100_000)
+        cols = ["series_id", "ts", "time_idx"]
+        assert rows(f, cols) == rows(ref, cols)
