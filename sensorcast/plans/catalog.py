@@ -1279,3 +1279,12 @@ def q_quantile_profile_approx(spark, sf):
     """F5 with the bounded-memory sketch (``percentile_approx``) instead of
     exact ranks - the large-scale switch; rows-only (sketches differ by engine)."""
     return rounded(QF.quantile_profile(prepared(spark, sf, HOURLY), method="approx"))
+
+
+@query("loss_table", MODELS_SQL + f"""
+SELECT model, {O.r('avg((actual - predicted) * (actual - predicted))', 'mse')},
+       {O.r('sqrt(avg((actual - predicted) * (actual - predicted)))', 'rmse')}
+FROM aligned WHERE {VALID} GROUP BY model""")
+def q_loss_table(spark, sf):
+    """the MSE / RMSE loss view of every checkable forecaster."""
+    return rounded(EV.loss_table(aligned_models(spark, sf)))
