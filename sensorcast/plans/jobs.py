@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import PipelineConfig
 from ..operators import evaluate as EV
 from ..operators.features import calendar_features
-from ..operators.forecast import autoreg, basis, causal, patch
+from ..operators.forecast import autoreg, basis, causal, linear, patch
 from ..operators.forecast import quantile as QF
 from ..operators.forecast.common import FORECAST_COLS
 from ..operators.segments import dense_time_index
@@ -44,15 +44,19 @@ def preprocess_job(spark: SparkSession, raw_path: str, out_dir: str, cfg: Pipeli
 
 def forecast(prep: DataFrame, cfg: PipelineConfig, models=MODELS, period: int = 24,
              harmonics: int = 3, patch_len: int = 8, stride: int = 4,
-             chunk_rows: int = 4096, origins: str = "eval") -> DataFrame:
+             chunk_rows: int = 4096, origins: str = "eval",
+             fitted: dict | None = None) -> DataFrame:
     """Point forecasts (quantile median for the profile), one long table for
     all ``models``: from every eval origin (all windows) or, with
-    ``origins="last"``, from each series' last train row (one last window)."""
+    ``origins="last"``, from each series' last train row (one last window).
+    ``fitted``, when given, receives the fitted parameter tables by model."""
     L, H, freq = cfg.context, cfg.horizon, cfg.freq
     parts = []
+    fitted = {} if fitted is None else fitted
     if "ar1" in models:
-        parts.append(autoreg.ar_forecast(prep, autoreg.ar_fit(prep, freq, cfg.chunk_buckets), H,
-                                         freq, origins).select(*FORECAST_COLS))
+        ar = autoreg.ar_fit(prep, freq, cfg.chunk_buckets)
+        fitted["ar1"] = ar
+        parts.append(autoreg.ar_forecast(prep, ar, H, freq, origins).select(*FORECAST_COLS))
     if "decompose" in models:
         tr = basis.trend_fit(prep, freq)
         se = basis.seasonal_fit(prep, tr, freq, period, harmonics)
@@ -64,12 +68,18 @@ def forecast(prep: DataFrame, cfg: PipelineConfig, models=MODELS, period: int =
     if {"patch_linear", "filter_linear"} & set(models):
         x = prep if "time_idx" in prep.columns else dense_time_index(
             prep, freq, chunk_buckets=cfg.chunk_buckets)
+        spark = prep.sparkSession
         if "patch_linear" in models:
-            parts.append(patch.patch_linear_forecast(x, L, H, patch_len, stride, freq,
-                                                     chunk_rows, origins=origins)[0])
+            fc, w = patch.patch_linear_forecast(x, L, H, patch_len, stride, freq, chunk_rows,
+                                                origins=origins)
+            names = [f"p_{j}" for j in range(patch.n_patches(L, patch_len, stride))]
+            fitted["patch_linear"] = linear.coefficients_frame(spark, w, names, "patch_linear")
+            parts.append(fc)
         if "filter_linear" in models:
-            parts.append(causal.filter_linear_forecast(x, H, freq, chunk_rows,
-                                                       origins=origins)[0])
+            fc, w = causal.filter_linear_forecast(x, H, freq, chunk_rows, origins=origins)
+            fitted["filter_linear"] = linear.coefficients_frame(spark, w, causal.filter_names(),
+                                                                "filter_linear")
+            parts.append(fc)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -78,12 +88,16 @@ def forecast(prep: DataFrame, cfg: PipelineConfig, models=MODELS, period: int =
 
 def forecast_job(spark: SparkSession, prepared_path: str, out_dir: str, cfg: PipelineConfig,
                  models=MODELS, **kw) -> dict[str, str]:
-    """Prepared table -> forecasts (with actuals), metrics, leaderboard."""
+    """Prepared table -> fitted model tables, forecasts (with actuals),
+    metrics, leaderboard."""
     prep = RD.read_prepared(spark, prepared_path).select(
         "series_id", "segment_id", "ts", "value", "filled", "split", "time_idx")
-    aligned = EV.align(forecast(prep, cfg, models, **kw), prep)
+    fitted: dict = {}
+    aligned = EV.align(forecast(prep, cfg, models, fitted=fitted, **kw), prep)
     out = {"forecasts": f"{out_dir}/forecasts", "metrics": f"{out_dir}/metrics",
            "leaderboard": f"{out_dir}/leaderboard"}
+    for name, table in fitted.items():          # A10: fitted models as tables
+        out[f"model_{name}"] = WR.save_model(table, f"{out_dir}/models/{name}")
     WR.write_forecasts(aligned, out["forecasts"])
     scored = spark.read.parquet(out["forecasts"])
     m = EV.metrics(scored)

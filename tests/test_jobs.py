@@ -28,6 +28,9 @@ def test_preprocess_then_forecast(spark):
     m = spark.read.parquet(res["metrics"])
     assert m.select("model").distinct().count() == 5
     assert m.groupBy("model").count().where("count <> 5").count() == 0
+    assert spark.read.parquet(res["model_ar1"]).count() == 5
+    heads = spark.read.parquet(res["model_patch_linear"])
+    assert heads.select("step").distinct().count() == EVENTS_HOURLY.horizon
     lb = spark.read.parquet(res["leaderboard"])
     assert lb.where("is_best").select("metric").distinct().count() == 6
 
