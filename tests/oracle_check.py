@@ -75,7 +75,7 @@ def main(argv: list[str]) -> int:
     names = argv[2:]
     import __spark_entry__ as E
     from sensorcast.session import get_spark
-    spark = get_spark()
+    spark = get_spark(cpus="*", shuffle_partitions=8)
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0
