@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .common import table
+from .language import fit, identify
 from .licenses import scan_licenses
 from .mixing import mix_sources
+from .packing import byte_bpe, pack
 from .quality import quality_rules
 from .url_filter import filter_urls
 
@@ -51,3 +53,20 @@ def _licenses(spark, sf_dir):
 @query("op8_quality_rules")
 def _quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op9_language_id")
+def _language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def tokenizer():
+    import public_tokenizers as P
+    return byte_bpe(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op7_packing")
+def _pack(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), tokenizer(), with_ids=False).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
