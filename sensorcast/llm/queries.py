@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 from .common import table
 from .language import fit, identify
 from .licenses import scan_licenses
 from .mixing import mix_sources
+from .neighbours import nearest
 from .packing import byte_bpe, pack
 from .quality import quality_rules
 from .url_filter import filter_urls
@@ -70,3 +72,8 @@ def tokenizer():
 def _pack(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer(), with_ids=False).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op10_nearest_neighbours")
+def _nearest(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
