@@ -18,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
-#: The classifier is fitted on at most so many labelled documents per language,
-#: those with the smallest hash of their id, and on at most FIT_WORDS words of each.
+#: The classifier is fitted on about so many labelled documents per language, chosen by
+#: the hash of their id, and on at most FIT_WORDS words of each.
 FIT_DOCS = 2000
+MAX_LANGS = 1000          # languages with the most labelled documents that it learns
 FIT_WORDS = 2000
 BUCKETS = 1 << 16         # rows of the hashed feature table
 SWITCH_PENALTY = 6.0      # log-probability a change of language costs
@@ -121,19 +121,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Model:
     """Model from the documents that have a language and are not held out.
 
-    The fitting sample is bounded (FIT_DOCS per language); its counts are summed
-    per task before the shuffle, and BUCKETS x languages numbers come to the
-    driver.
+    The fitting sample is bounded (FIT_DOCS per language, MAX_LANGS languages); its
+    counts are summed per task before the shuffle, and BUCKETS x languages numbers
+    come to the driver.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+    lang = F.col(lang_col).cast("string")
+    known = docs.where(lang.isNotNull() & F.col(text_col).isNotNull()
                        & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    ranked = (known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-              .withColumn("h", F.xxhash64("id")).distinct()
-              .withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "id")))
-              .where(F.col("k") <= FIT_DOCS).select("id", "lang"))
-    sample = (known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
-                           F.col(text_col).alias("text"))
-              .join(ranked, ["id", "lang"], "left_semi"))
+    sizes = known.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    shares = {r["lang"]: min(1.0, FIT_DOCS / r["count"]) for r in sizes.collect()}
+    if not shares:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
+    share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[lang]
+    # a hash of the id in [0, 1) below the language's share: a filter, no shuffle of texts
+    chance = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 11) / F.lit(float(1 << 53))
+    sample = known.where(chance < share).select(lang.alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches):
         tables: dict[str, np.ndarray] = {}
@@ -156,7 +158,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 "item": np.concatenate([at, -1 - sc]).astype(np.int64),
                 "n": np.concatenate([t[at], scripts[lang][sc]]).astype(np.int64)})
 
-    rows = (sample.select("lang", "text").mapInArrow(count, "lang string, item long, n long")
+    rows = (sample.mapInArrow(count, "lang string, item long, n long")
             .groupBy("lang", "item").agg(F.sum("n").alias("n")).toPandas())
     langs = sorted(rows["lang"].unique())
     scores = np.zeros((BUCKETS, len(langs)))
