@@ -155,6 +155,8 @@ def pack(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_col: str = "te
     queue = (parts.withColumn("ahead", F.coalesce(F.sum("tokens").over(
                 by_source.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
              .withColumn("total", F.sum("tokens").over(by_source)))
+    # written, so that its size is known: a small one is broadcast and no ids are shuffled
+    queue = written(queue, "pack-queues")
     n_sources, total = queue.agg(F.countDistinct("no_source", "name"), F.sum("tokens")).first()
     groups = max(1, -(-(total or 0) // (window * group_windows)))
     stride = group_windows + 2 + (n_sources or 0) // window
