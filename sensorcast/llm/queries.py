@@ -12,6 +12,7 @@ from .common import table
 from .language import fit, identify
 from .licenses import scan_licenses
 from .mixing import mix_sources
+from .near import ngram_jaccard
 from .neighbours import nearest
 from .packing import byte_bpe, pack
 from .quality import quality_rules
@@ -77,3 +78,8 @@ def _pack(spark, sf_dir):
 @query("op10_nearest_neighbours")
 def _nearest(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op6_ngram_jaccard", sql.JACCARD)
+def _jaccard(spark, sf_dir):
+    return ngram_jaccard(table(spark, sf_dir, "documents")).drop("keep")
