@@ -16,6 +16,7 @@ from .near import ngram_jaccard
 from .neighbours import nearest
 from .packing import byte_bpe, pack
 from .quality import quality_rules
+from .substrings import remove_repeats
 from .url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,9 @@ def _nearest(spark, sf_dir):
 @query("op6_ngram_jaccard", sql.JACCARD)
 def _jaccard(spark, sf_dir):
     return ngram_jaccard(table(spark, sf_dir, "documents")).drop("keep")
+
+
+@query("op4_substring_dedup", sql.REPEATS)
+def _repeats(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
