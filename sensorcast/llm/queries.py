@@ -11,6 +11,7 @@ from . import sql
 from .common import table
 from .language import fit, identify
 from .licenses import scan_licenses
+from .lines import dedup_lines
 from .mixing import mix_sources
 from .near import ngram_jaccard
 from .neighbours import nearest
@@ -90,3 +91,9 @@ def _jaccard(spark, sf_dir):
 def _repeats(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op5_line_dedup", sql.LINES)
+def _lines(spark, sf_dir):
+    return dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -97,3 +97,34 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
        sha256(coalesce(t, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id)
 """
+
+# Runs of 1, 2, 4, ... 64 lines; at 64 lines a run has 60 characters anyway.
+_RUNS = "\n  UNION ALL ".join(
+    f"""SELECT doc_id, i, {k} AS len, md5(array_to_string(l[i:i + {k - 1}], chr(10))) AS s,
+         list_sum(list_transform(l[i:i + {k - 1}], lambda x: length(x))) AS chars
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) - {k - 2})) AS i FROM docs WHERE len(l) >= {k})"""
+    for k in (1, 2, 4, 8, 16, 32, 64))
+
+LINES = rf"""
+WITH docs AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS every,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+runs AS ({_RUNS}),
+firsts AS (SELECT len, s, min({{'d': doc_id, 'i': i}}) AS first FROM runs GROUP BY len, s),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + len)) AS seq
+  FROM runs JOIN firsts USING (len, s) WHERE {{'d': doc_id, 'i': i}} > first AND chars >= 60),
+lines AS (
+  SELECT doc_id, p, every[p] AS line, regexp_matches(every[p], '[^\x20\x09-\x0D]') AS worded,
+         sum(regexp_matches(every[p], '[^\x20\x09-\x0D]')::INT) OVER (PARTITION BY doc_id ORDER BY p) AS seq
+  FROM (SELECT doc_id, every, unnest(range(1, len(every) + 1)) AS p FROM docs)),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT removed) AS t,
+         count(*) FILTER (WHERE removed) AS n_removed
+  FROM (SELECT l.*, worded AND g.seq IS NOT NULL AS removed
+        FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.seq = l.seq) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(every), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       CASE WHEN text IS NULL THEN NULL ELSE sha256(coalesce(t, '')) END AS kept_sha256
+FROM docs d LEFT JOIN kept USING (doc_id)
+"""
