@@ -16,7 +16,8 @@ from pyspark.sql import Window as W
 
 from .common import SPACE, WORD, n_words, salted, written
 
-ROWS_PER_RANGE = 20_000
+#: Few enough for a window to hold in memory, with their texts.
+ROWS_PER_RANGE = 4_000
 MAX_EPOCHS = 3
 
 

@@ -85,13 +85,14 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  n: int = N, percent: int = PERCENT) -> DataFrame:
+                  n: int = N, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of ``percent`` or more.
 
     A document's set: its distinct n-word shingles (A-Z lower-cased, words
     between white space); with fewer words the whole sequence is the one
     element; without words the set is empty and linked with nothing. One row per
-    input row: (id_col, n_shingles, component_id, keep). ``component_id``: the
+    input row: (id_col, n_shingles, component_id, keep) and the columns in
+    ``carry``, whose names must differ from these. ``component_id``: the
     smallest id reachable by links, the own one included; null only where no
     member has an id. ``keep`` is true for one row of every component, that with
     the smallest id (of equal ones any). Null texts have empty sets; rows
@@ -99,7 +100,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     result.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id")).alias("payload"),
+    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"),
+                                F.struct(F.lit(0).alias("_"), *carry).alias("carried")).alias("payload"),
                        text.cast("binary").alias("raw"))
     chars = docs.agg(F.sum(F.length(text))).first()[0]
     words = (chars or 0) // 6
@@ -111,7 +113,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = F.length("shared") / 6 * 100 >= F.lit(percent) * F.col("n")
     marked = written(marked.select(
         F.monotonically_increasing_id().alias("row"), F.col("payload.id").alias("id"),
-        "n", "a", "b", F.when(full & (F.col("n") > 0), F.col("shared")).alias("shared")), "near-marked")
+        F.col("payload.carried").alias("carried"), "n", "a", "b", F.when(full & (F.col("n") > 0), F.col("shared")).alias("shared")), "near-marked")
     suspects = marked.where("shared is not null")
 
     # Classes of equal sets; once more, shared means shared with another class.
@@ -180,14 +182,15 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labels = _merged(labels, links)
 
     # From classes back to rows; sets with empty or unshared parts stand alone.
-    grouped = written(salted(suspects.select("row", "id", "n", "a"), labels.withColumnRenamed("node", "a"), ["a"], "left")
-                      .select("row", "id", "n", F.coalesce("label", "a").alias("label")), "near-rows")
+    grouped = written(salted(suspects.select("row", "id", "carried", "n", "a"), labels.withColumnRenamed("node", "a"), ["a"], "left")
+                      .select("row", "id", "carried", "n", F.coalesce("label", "a").alias("label")), "near-rows")
     best = grouped.groupBy("label").agg(
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best"))
     named = (salted(grouped, best, ["label"])
-             .select("id", "n", F.col("best.id").alias("component_id"),
+             .select("id", "carried", "n", F.col("best.id").alias("component_id"),
                      (F.col("row") == F.col("best.row")).alias("keep")))
-    alone = marked.where("shared is null").select("id", "n", F.col("id").alias("component_id"),
+    alone = marked.where("shared is null").select("id", "carried", "n", F.col("id").alias("component_id"),
                                                   F.lit(True).alias("keep"))
     return named.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                                     "component_id", "keep")
+                                     "component_id", "keep",
+                                     *[F.col(f"carried.`{c}`").alias(c) for c in carry])
