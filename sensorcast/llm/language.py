@@ -182,8 +182,8 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     """
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     lengths = np.array([len(scores[i]) for i in order])
-    out: list[np.ndarray] = [np.empty(0, np.int16)] * len(scores)
-    if not len(lengths) or not lengths[0]:
+    out: list[np.ndarray] = [np.zeros(len(s), np.int16) for s in scores]
+    if not len(lengths) or not lengths[0] or not scores[0].shape[1]:
         return out
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     flat = np.concatenate([scores[i] for i in order])
