@@ -93,10 +93,10 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 # ---------------------------------------------------------------------------
 BITS = 48                 # of a fingerprint
-BLOCK_ENTRIES = 1_500_000
-BLOCK_ROWS = 30_000
+BLOCK_ENTRIES = 400_000
+BLOCK_ROWS = 20_000
 MANY = 0xFFFF             # in place of a row: several rows of the block hold it
-RANGE_ENTRIES = 2_000_000
+RANGE_ENTRIES = 400_000
 
 
 def pack(values: np.ndarray) -> bytes:
