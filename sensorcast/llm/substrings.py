@@ -24,7 +24,7 @@ from .fingerprints import gram_hashes, ranges_for, shared_fingerprints, unpack,
 
 WINDOW = 13
 GRAM = 5                  # words of the gram that deals a window to its shard
-SHARD_WORDS = 1_000_000   # words of the pieces in a shard
+SHARD_WORDS = 300_000   # words of the pieces in a shard
 #: A gram with more different pieces than this deals its windows on by their own hash.
 GRAM_PIECES = 10_000
 U = np.uint64
