@@ -29,6 +29,8 @@ from .fingerprints import gram_hashes, mix, ranges_for, shared_fingerprints, unp
 N, PERCENT = 5, 80
 HUB_ROUNDS = 2
 ORDERS = 3                # one by rarity and two by hash
+PARTS = 4                 # tasks that form the pairs of one bucket
+BITMAP = 16               # 64-bit words of a set's bitmap
 U = np.uint64
 
 
@@ -40,6 +42,24 @@ def shingle_set(text: bytes, n: int = N) -> tuple[np.ndarray, int, int, int]:
     return np.unique(h >> U(16)), len(h), int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Bit h(t) is set for every token t: a bit that only one of two sets has
+    stands for a token that the other lacks."""
+    bits = np.zeros(64 * BITMAP, np.uint8)
+    bits[(mix(tokens ^ U(0xB17)) % U(64 * BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def _at_most(x: str, y: str):
+    """Upper bound of the intersection: the shared tokens of either set less its
+    bits that the other set has not."""
+    def less(a, b):
+        gone = sum((F.bit_count(F.col(f"{a}_bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{b}_bits")[i])))
+                    for i in range(BITMAP)), F.lit(0))
+        return F.col(f"{a}_s") - gone
+    return F.least(less(x, y), less(y, x))
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the remaining orders and the exact comparison."""
     cols = ["cid", "n", "shared", *[f"order{i}" for i in range(1, ORDERS)]]
@@ -135,16 +155,16 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if first <= 0:
                     continue
                 orders = [np.lexsort((t, d))] + [np.argsort(mix(t + U(k * 0x9E37))) for k in range(1, ORDERS)]
-                out.append((cls["a"], size, len(t), t.astype(np.int64),
+                out.append((cls["a"], size, len(t), t.astype(np.int64), bitmap(t),
                             *(t[o[:first]].astype(np.int64) for o in orders)))
-            cols = list(zip(*out, strict=True)) or [[]] * (4 + ORDERS)
-            types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * (1 + ORDERS)
+            cols = list(zip(*out, strict=True)) or [[]] * (5 + ORDERS)
+            types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * (2 + ORDERS)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    names = ["cid", "n", "s", "shared", *[f"order{i}" for i in range(ORDERS)]]
+    names = ["cid", "n", "s", "shared", "bits", *[f"order{i}" for i in range(ORDERS)]]
     sets = written(
         shared_fingerprints(classes, again, ranges_for(entries)).select("payload", "shared", "df")
-        .mapInArrow(prefixes, "cid long, n long, s long, shared array<long>, "
+        .mapInArrow(prefixes, "cid long, n long, s long, shared array<long>, bits array<long>, "
                     + ", ".join(f"order{i} array<long>" for i in range(ORDERS))), "near-sets")
     postings = written(sets.select("cid", "n", "s", F.explode("order0").alias("token")), "near-postings")
 
@@ -167,11 +187,17 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                    .where(possible.format("", "h_"))
                    .select(F.least("cid", "h_cid").alias("a"), F.greatest("cid", "h_cid").alias("b")))
         else:
-            open_ = written(salted(members, mixed.select("token"), ["token"]), "near-open")
-            x, y = (open_.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("cid", "n", "s", "label")])
+            # all pairs of the buckets, dealt over tasks, that the bitmaps let pass
+            open_ = salted(members, mixed.select("token"), ["token"]).join(sets.select("cid", "bits"), "cid")
+            open_ = written(open_, "near-open")
+            x, y = (open_.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("cid", "n", "s", "label", "bits")])
                     for p in "xy")
-            met = (x.join(y, "token").where("x_cid < y_cid and x_label <> y_label")
-                   .where(possible.format("x_", "y_"))
+            x = x.withColumn("part", F.pmod("x_cid", F.lit(PARTS)))
+            y = y.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+            bound = _at_most("x", "y")
+            met = (x.join(y, (x["token"] == y["token"]) & (x["part"] == y["part"])
+                          & (F.col("x_cid") < F.col("y_cid")) & (F.col("x_label") != F.col("y_label"))
+                          & (100 * bound >= percent * (F.col("x_n") + F.col("y_n") - bound)))
                    .select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")))
         pairs = met.distinct()
         if seen is not None:
