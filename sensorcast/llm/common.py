@@ -21,7 +21,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read back: what follows
     starts from files that every executor sees, not from lineage."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,8 @@
 Windows are dealt to shards by the smallest hash of the short grams inside
 them, so that equal windows meet in one shard. Only grams that several documents
 hold open a shard entry. Consecutive windows with the same smallest gram form one
-piece; equal pieces are kept once, with the smallest id of their documents.
+piece; equal pieces are kept once, with the smallest id of their documents. Of
+equal texts only the first goes that way: later copies are removed as a whole.
 
 Each shard builds a compressed FM-index over its pieces (the Burrows-Wheeler
 transform of their word sequence in a wavelet matrix) and streams them against
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import salted, written
-from .fingerprints import gram_hashes, ranges_for, shared_fingerprints, unpack, word_bounds, word_hashes
+from .fingerprints import gram_hashes, ranges_for, shared_fingerprints, unpack, word_hashes
 
 WINDOW = 13
 GRAM = 5                  # words of the gram that deals a window to its shard
@@ -121,11 +122,12 @@ def earliest_holders(pieces: list[bytes], holder: np.ndarray, window: int = WIND
     begin = np.repeat(ends - 1 - lengths, counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
     best = holder[piece[begin]].copy()
     alive = np.arange(len(begin))
-    low, high = np.zeros(len(begin), np.int64), np.full(len(begin), len(symbols), np.int64)
-    for k in range(window - 1, -1, -1):
-        low, high = index.extend(symbols[begin[alive] + k], low, high)
+    low, high = index.first[symbols[begin + window - 1]], index.first[symbols[begin + window - 1] + 1]
+    for k in range(window - 2, -2, -1):
         more = high - low > 1            # another place than the window's own
         alive, low, high = alive[more], low[more], high[more]
+        if k >= 0 and len(alive):
+            low, high = index.extend(symbols[begin[alive] + k], low, high)
     if len(alive):
         held = np.append(holder[piece[index.suffixes]], np.iinfo(np.int64).max)
         starts, which = np.unique(low, return_inverse=True)
@@ -136,15 +138,13 @@ def earliest_holders(pieces: list[bytes], holder: np.ndarray, window: int = WIND
     return np.split(best, np.cumsum(counts)[:-1])
 
 
-_KEYS = "k1 long, k2 long"
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with an order (null ids last) and a 128-bit key of id and text."""
+    """Rows with an order (null ids last) and two hashes of the text; order and
+    first hash are the document's key."""
     i, t = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    known = F.coalesce(i.cast("string"), F.lit("")), F.coalesce(t, F.lit(""))
+    known = F.coalesce(t, F.lit(""))
     return docs.select(i.alias("id"), F.coalesce(i, F.lit(2**63 - 1)).alias("ord"),
-                       F.xxhash64(*known).alias("k1"), F.xxhash64(F.lit(1), known[1], known[0]).alias("k2"),
+                       F.xxhash64(known).alias("t1"), F.xxhash64(F.lit(1), known).alias("t2"),
                        t.cast("binary").alias("raw"))
 
 
@@ -167,88 +167,106 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return np.unique(smallest_grams(word_hashes(raw), window)), 0, 0, 0
 
     shared = written(
-        shared_fingerprints(rows.select(F.struct("k1", "k2").alias("payload"), "raw"), grams,
+        shared_fingerprints(rows.select(F.struct("ord", "t1", "t2").alias("payload"), "raw"), grams,
                             ranges_for((chars or 0) // 30))
-        .where(F.length("shared") > 0).select("payload.k1", "payload.k2", "shared")
-        .dropDuplicates(["k1", "k2"]), "sub-shared")
+        .where(F.length("shared") > 0).select("payload.*", "shared")
+        .dropDuplicates(["ord", "t1"]), "sub-shared")
+    # texts that several documents have, and the first of these
+    firsts = written(rows.groupBy("t1", "t2").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
+                     .where("first_ord < last_ord").drop("last_ord"), "sub-firsts")
+    copies = (salted(rows.select("ord", "t1", "t2"), firsts, ["t1", "t2"]).where("ord > first_ord")
+              .select("ord", "t1").distinct())
+    shared = (salted(shared, firsts, ["t1", "t2"], "left")
+              .where("first_ord is null or ord = first_ord").select("ord", "t1", "shared"))
 
     def cut(batches):
         for b in batches:
             out = [[] for _ in range(6)]
-            for k1, k2, o, raw, fps in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(),
-                                           b.column("ord").to_pylist(), b.column("raw"),
-                                           b.column("shared"), strict=True):
+            for t1, o, raw, fps in zip(b.column("t1").to_pylist(), b.column("ord").to_pylist(), b.column("raw"),
+                                       b.column("shared"), strict=True):
                 raw, fps = raw.as_py(), unpack(fps.as_py())
                 small = smallest_grams(word_hashes(raw), window)
-                edge = np.flatnonzero(np.append(True, small[1:] != small[:-1])) if len(small) else small[:0].astype(np.int64)
+                if not len(small):
+                    continue
+                edge = np.flatnonzero(np.append(True, small[1:] != small[:-1]))
+                hit = np.isin(small[edge], fps)
                 edge = np.append(edge, len(small))
-                hit = np.isin(small[edge[:-1]], fps) if len(small) else np.empty(0, bool)
-                starts, ends = word_bounds(raw)
-                for a, z in zip(edge[:-1][hit], edge[1:][hit], strict=True):
-                    words = b" ".join(raw[starts[i]:ends[i]] for i in range(a, z + window - 1))
-                    for c, v in zip(out, (int(small[a]), words, o, k1, k2, int(a)), strict=True):
+                words = raw.split()
+                for a, z in zip(edge[:-1][hit].tolist(), edge[1:][hit].tolist(), strict=True):
+                    for c, v in zip(out, (int(small[a]), b" ".join(words[a:z + window - 1]), o, t1, a, z - a),
+                                    strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.binary(), *[pa.int64()] * 4], strict=True)],
-                names=["gram", "words", "ord", "k1", "k2", "first"])
-
-    pieces = (rows.join(shared, ["k1", "k2"])
-              .dropDuplicates(["k1", "k2"])
-              .mapInArrow(cut, f"gram long, words binary, ord long, {_KEYS}, first long")
-              .withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64(F.lit(1), "words")))
-    pieces = written(pieces, "sub-pieces")
-
-    distinct = (pieces.groupBy("gram", "h1", "h2").agg(F.min("ord").alias("ord"), F.count("*").alias("n"),
-                                                       F.first("words").alias("words")))
-    distinct = written(distinct, "sub-distinct")
+            types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)],
+                                             names=["gram", "words", "ord", "t1", "first", "n"])
+
+    pieces = written(rows.join(shared, ["ord", "t1"]).dropDuplicates(["ord", "t1"])
+                     .mapInArrow(cut, "gram long, words binary, ord long, t1 long, first int, n int")
+                     .withColumn("h", F.xxhash64("words")), "sub-pieces")
+    # a piece is known by its gram and its hash
+    distinct = written(pieces.groupBy("gram", "h").agg(
+        F.min("ord").alias("ord"), F.count("*").alias("places"), F.first("words").alias("words")), "sub-distinct")
+    per_gram = distinct.groupBy("gram").agg(F.count("*").alias("variants"))
     total = distinct.agg(F.sum(F.length("words") / 6).cast("long")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    often = distinct.groupBy("gram").count().where(F.col("count") > GRAM_PIECES).select("gram", F.lit(True).alias("often"))
-    # The windows of a frequent gram are pieces of their own, dealt by their own hash.
-    parts = salted(distinct, often, ["gram"], "left")
-    text = F.col("words").cast("string")
-    split = F.split(text, " ")
+    parts = distinct.join(per_gram.where("variants > 1"), "gram", "left")
+    # a gram's only piece has no window that another piece of the shard could have
+    only = (parts.where("variants is null").select("gram", "h", "ord", "places", F.lit(0).alias("at"),
+                                                   F.array("ord").alias("holders")))
+    # the windows of a frequent gram are pieces of their own, dealt by their own hash
+    often = F.col("variants") > GRAM_PIECES
+    split = F.split(F.col("words").cast("string"), " ")
     windows = F.transform(F.sequence(F.lit(1), F.size(split) - (window - 1)),
                           lambda i: F.array_join(F.slice(split, i, window), " "))
-    single = (parts.where("often").select("h1", "h2", "ord", F.posexplode(windows).alias("at", "w"))
-              .select("h1", "h2", "ord", F.col("at").cast("long"), F.col("w").cast("binary").alias("words"),
+    single = (parts.where(often).select("gram", "h", "ord", "places", F.posexplode(windows).alias("at", "w"))
+              .select("gram", "h", "ord", "places", "at", F.col("w").cast("binary").alias("words"),
                       F.pmod(F.xxhash64("w"), F.lit(shards)).alias("shard")))
-    whole = (parts.where("often is null")
-             .select("h1", "h2", "ord", F.lit(0).cast("long").alias("at"), "words",
-                     F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard")))
+    whole = (parts.where(~often).select("gram", "h", "ord", "places", F.lit(0).alias("at"), "words",
+                                        F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard")))
 
     def judge(t: pa.Table) -> pa.Table:
         found = earliest_holders([x.as_py() for x in t.column("words")], t.column("ord").to_numpy(), window)
-        return pa.table({"h1": t.column("h1"), "h2": t.column("h2"), "at": t.column("at"),
+        # one holder stands for all windows of a piece where they agree
+        found = [x[:1] if (x == x[0]).all() else x for x in found]
+        return pa.table({**{c: t.column(c) for c in ("gram", "h", "ord", "places", "at")},
                          "holders": pa.array(found, pa.list_(pa.int64()))})
 
-    held = "h1 long, h2 long, at long, holders array<long>"
-    judged = (whole.groupBy("shard").applyInArrow(judge, held)
-              .union(single.groupBy("shard").applyInArrow(judge, held)))
-    judged = written(judged, "sub-judged")
-    places = pieces.select("h1", "h2", "ord", "k1", "k2", "first")
-    starts = (salted(places, judged, ["h1", "h2"])
+    form = "gram long, h long, ord long, places long, at int, holders array<long>"
+    judged = (whole.groupBy("shard").applyInArrow(judge, form).withColumn("alone", F.lit(False))
+              .union(single.groupBy("shard").applyInArrow(judge, form).withColumn("alone", F.lit(True)))
+              .union(only.withColumn("alone", F.lit(False))))
+    # what a single document has and no earlier one removes nothing
+    judged = written(judged.where((F.col("places") > 1) | F.exists("holders", lambda x: x < F.col("ord")))
+                     .select("gram", "h", "at", "alone", "holders"), "sub-judged")
+    # both sides are plain table scans, so Spark can split the rows of a hot piece
+    gone = F.transform("holders", lambda x: x < F.col("ord"))
+    starts = (pieces.select("gram", "h", "ord", "t1", "first", "n").join(judged, ["gram", "h"])
               .where(F.exists("holders", lambda x: x < F.col("ord")))
-              .select("k1", "k2", (F.col("first") + F.col("at")).alias("first"),
-                      F.transform("holders", lambda x: x < F.col("ord")).alias("gone"))
-              .groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "gone")).alias("runs")))
+              .select("ord", "t1", F.struct(
+                  (F.col("first") + F.col("at")).alias("first"),
+                  # a single window of a frequent gram, or all of a piece
+                  F.when(F.col("alone"), F.lit(1)).otherwise(F.col("n")).alias("n"),
+                  F.when(F.size("holders") > 1, gone).alias("gone")).alias("run"))
+              .groupBy("ord", "t1").agg(F.collect_list("run").alias("runs")))
 
     def keep(batches):
         for b in batches:
             ids, n_words, n_gone, kept = b.column("id"), [], [], []
-            for raw, runs in zip(b.column("raw"), b.column("runs"), strict=True):
+            for raw, runs, whole_text in zip(b.column("raw"), b.column("runs"), b.column("copy").to_pylist(),
+                                             strict=True):
                 words = (raw.as_py() or b"").split()
                 runs = runs.as_py()
-                gone = np.zeros(len(words) + 1, np.int64)
-                for r in runs or ():
-                    at = r["first"] + np.flatnonzero(np.array(r["gone"]))
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
-                if runs:
+                left = words
+                if whole_text:
+                    left = words if len(words) < window else []
+                elif runs:
+                    gone = np.zeros(len(words) + 1, np.int64)
+                    for r in runs:
+                        at = r["first"] + (np.arange(r["n"]) if r["gone"] is None else np.flatnonzero(r["gone"]))
+                        np.add.at(gone, at, 1)
+                        np.add.at(gone, at + window, -1)
                     gone = np.cumsum(gone)[:-1] > 0
                     left = [w for w, g in zip(words, gone, strict=True) if not g]
-                else:
-                    left = words
                 n_words.append(len(words))
                 n_gone.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode("utf-8", "replace"))
@@ -256,7 +274,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 [ids, pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())],
                 names=["id", "n_words", "n_removed", "kept_text"])
 
-    starts = written(starts, "sub-starts")
-    out = (rows.join(starts, ["k1", "k2"], "left").select("id", "raw", "runs")
+    none = starts.schema["runs"].dataType
+    marks = written(starts.withColumn("copy", F.lit(False)).unionByName(
+        copies.select("ord", "t1", F.lit(None).cast(none).alias("runs"), F.lit(True).alias("copy"))), "sub-marks")
+    out = (rows.join(marks, ["ord", "t1"], "left").select("id", "raw", "runs", "copy")
            .mapInArrow(keep, "id long, n_words long, n_removed long, kept_text string"))
     return out.withColumnRenamed("id", id_col)
