@@ -8,15 +8,11 @@ relative error metric).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
 class PipelineConfig:
-    # column names of the canonical sensor frame
-    series_col: str = "series_id"
-    ts_col: str = "ts"
-    value_col: str = "value"
     # ingest
     ok_quality: tuple[str, ...] = ("Good",)
     filter_quality: bool = True
@@ -41,17 +37,23 @@ class PipelineConfig:
     # windows
     context: int = 144
     horizon: int = 12
-    within_segment: bool = True
     # relative error metric reported with the others
     relative_metric: str = "smape"
     # rows per (series, chunk) after resampling; bounds every window task
     chunk_buckets: int = 1440
     # True: shuffle the raw readings once by (series, chunk) and share that
-    # exchange between resample and gap fill - right for about one reading per
-    # bucket, as with 1-minute sensors on a 1-minute grid (the default);
-    # False: combine readings map-side first (many readings per bucket)
-    shuffle_raw_once: bool = True
-    extra: dict = field(default_factory=dict)
+    # exchange between resample and gap fill - for about one reading per bucket,
+    # as with 1-minute sensors on a 1-minute grid;
+    # False (the default): combine readings map-side first
+    shuffle_raw_once: bool = False
+    # forecasters: season in buckets, harmonics, patches, and the windows scored
+    period: int = 1440
+    harmonics: int = 3
+    patch_len: int = 16
+    stride: int = 8
+    origins: str = "all"
+    # True: fit and forecast the scaled column, report in original units
+    forecast_scaled: bool = False
 
     def with_(self, **kw) -> "PipelineConfig":
         return replace(self, **kw)
@@ -62,15 +64,17 @@ REFERENCE_INVALID = (("2025-08-01 00:00:00", "2026-04-30 23:59:59"),)
 
 PRESETS: dict[str, PipelineConfig] = {
     "deepar": PipelineConfig(invalid_intervals=REFERENCE_INVALID, per_segment=False,
-                             context=144, horizon=12),
+                             context=144, horizon=12, origins="last_eval"),
     "nbeats": PipelineConfig(invalid_intervals=REFERENCE_INVALID, per_segment=False,
                              fill_limit=None, filter_quality=False, strict_ts=False,
-                             context=144, horizon=12),
+                             context=144, horizon=12, origins="all"),
     "patchtst": PipelineConfig(invalid_intervals=REFERENCE_INVALID, continuity_split=True,
-                               eval_end="2026-07-07 23:59:59", context=144, horizon=12),
-    "tcn": PipelineConfig(invalid_intervals=REFERENCE_INVALID, context=96, horizon=24),
+                               eval_end="2026-07-07 23:59:59", context=144, horizon=12,
+                               patch_len=16, stride=8, origins="no_warmup"),
+    "tcn": PipelineConfig(invalid_intervals=REFERENCE_INVALID, context=96, horizon=24,
+                          origins="no_warmup"),
     "tft": PipelineConfig(invalid_intervals=REFERENCE_INVALID, scale=False, context=96,
-                          horizon=24, relative_metric="mape"),
+                          horizon=24, relative_metric="mape", origins="last_eval"),
 }
 
 # Settings used with the driver's `events` table as a set of five sensors.
@@ -84,6 +88,9 @@ EVENTS = PipelineConfig(
     context=24,
     horizon=6,
     chunk_buckets=96,
-    shuffle_raw_once=False,     # several readings per 15-minute / hourly bucket
+    period=96,
+    patch_len=8,
+    stride=4,
+    origins="eval",
 )
-EVENTS_HOURLY = EVENTS.with_(freq="1 hour")
+EVENTS_HOURLY = EVENTS.with_(freq="1 hour", period=24)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefn import ts_literal
+from .layout import spread_join
 
 
 def _in_any(ts: Column, intervals, half_open: bool = False) -> Column:
@@ -39,10 +40,20 @@ def exclude_interval(df: DataFrame, intervals, ts_col: str = "ts",
     return df.where(~_in_any(F.col(ts_col), intervals, half_open))
 
 
-def label_segment(df: DataFrame, intervals, ts_col: str = "ts",
-                  out_col: str = "segment_id") -> DataFrame:
+def label_segment(df: DataFrame, intervals, ts_col: str = "ts", out_col: str = "segment_id",
+                  series_col: str = "series_id") -> DataFrame:
     """Segment number = how many removed periods lie before the reading
-    (0 = before the first one: segment A, 1 = after it: segment B, ...)."""
+    (0 = before the first one: segment A, 1 = after it: segment B, ...).
+    ``intervals`` as in ``exclude_interval``: text pairs for every series, or a
+    DataFrame (series_id, start, end) of per-series periods, whose ends are
+    gathered per series (one short list each) and joined back spread."""
+    if isinstance(intervals, DataFrame):
+        ends = intervals.groupBy(series_col).agg(F.collect_list("end").alias("_ends"))
+        x = spread_join(df, ends, [series_col], "left", by=ts_col)
+        before = F.size(F.filter("_ends", lambda e: e < F.col(ts_col)))
+        seg = F.when(F.col("_ends").isNull(), F.lit(0)).otherwise(before)
+        return x.select(*[F.col(c) for c in df.columns if c != out_col],
+                        seg.cast("int").alias(out_col))
     seg = F.lit(0)
     for _, end in intervals:
         seg = seg + (F.col(ts_col) > ts_literal(end)).cast("int")
@@ -55,4 +66,8 @@ def invalid_remaining(df: DataFrame, intervals, ts_col: str = "ts") -> DataFrame
                   .alias("invalid_rows"))
 
 
-assert_excluded = invalid_remaining
+def assert_excluded(df: DataFrame, intervals, ts_col: str = "ts") -> DataFrame:
+    """B8 guard form: the same rows; one inside a removed period fails the job."""
+    inside = _in_any(F.col(ts_col), intervals)
+    return df.where(F.when(inside, F.raise_error(F.lit("reading inside a removed period"))
+                           .cast("boolean")).otherwise(F.lit(True)))

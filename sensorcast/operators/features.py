@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import calendar_columns
 from ..sources.writers import materialize
+from .layout import spread_join
 
 
 def calendar_features(df: DataFrame, ts_col: str = "ts") -> DataFrame:
@@ -31,7 +32,7 @@ def target_scales(df: DataFrame, keys=("series_id",), value_col: str = "value",
     src = df.where(F.col(split_col) == "train") if split_col else df
     sc = src.groupBy(*keys).agg(F.avg(value_col).alias("target_center"),
                                 F.stddev_pop(value_col).alias("target_scale"))
-    return df.join(sc, list(keys), "left")
+    return spread_join(df, sc, keys, "left")
 
 
 def encoder_length(df: DataFrame, context: int, idx_col: str = "time_idx",
@@ -40,8 +41,8 @@ def encoder_length(df: DataFrame, context: int, idx_col: str = "time_idx",
     return df.withColumn(out_col, F.least(F.col(idx_col) + F.lit(1), F.lit(context)).cast("long"))
 
 
-def encode_series(df: DataFrame, col: str = "series_id", out_col: str = "series_code") -> DataFrame:
-    """Dense 0-based code of a category in sorted order.
+def series_codes(df: DataFrame, col: str = "series_id", out_col: str = "series_code") -> DataFrame:
+    """(col, code): dense 0-based code of a category in sorted order.
 
     Distributed: the distinct keys are range-sorted, ``monotonically_increasing_id``
     numbers them inside each sorted partition, and a table with one row per
@@ -51,10 +52,13 @@ def encode_series(df: DataFrame, col: str = "series_id", out_col: str = "series_
     keys = keys.select("*", F.monotonically_increasing_id().alias("_mid"))
     keys = materialize(keys.select("*", F.shiftright("_mid", 33).alias("_part")), "series_codes")
     parts = keys.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    # prefix over the per-partition table: a self join on the (tiny) partition table
-    p2 = parts.select(F.col("_part").alias("_q"), F.col("_n").alias("_qn"))
-    offs = (parts.join(p2, F.col("_q") < F.col("_part"), "left")
-            .groupBy("_part", "_m0").agg(F.coalesce(F.sum("_qn"), F.lit(0)).alias("_off")))
-    codes = (keys.join(offs, "_part")
-             .select(col, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long").alias(out_col)))
-    return df.join(codes, col, "left")
+    # prefix over the per-partition table, one row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offs = parts.select("_part", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (keys.join(offs, "_part")
+            .select(col, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long").alias(out_col)))
+
+
+def encode_series(df: DataFrame, col: str = "series_id", out_col: str = "series_code") -> DataFrame:
+    """The code of ``series_codes`` attached to every row."""
+    return spread_join(df, series_codes(df, col, out_col), [col], "left")

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import explode_steps, forecast_frame, last_origin, with_prev
+from ..layout import spread_join
+from .common import explode_steps, forecast_frame, origin_rows, with_prev
 
 # Fixed value: the 0.9 quantile of the standard normal, for 80 % intervals.
 Z80 = 1.2815515655446004
@@ -42,20 +43,15 @@ def _mean_sd(h, phi, c, sigma, y):
 
 
 def ar_forecast(df: DataFrame, params: DataFrame, horizon: int, freq: str,
-                origins: str = "last", value_col: str = "value",
-                model: str = "ar1") -> DataFrame:
+                origins: str = "last", model: str = "ar1", context: int = 0,
+                chunk_buckets: int = 1440) -> DataFrame:
     """Closed-form H-step forecast: mean phi^h*y + c*(1-phi^h)/(1-phi) and sd
     sigma*sqrt((1-phi^2h)/(1-phi^2)); 80 % interval = mean -/+ z*sd.
 
-    ``origins='last'``: one origin per series, the last train row (one last
-    window). ``origins='eval'``: every eval row is an origin (rolling, all
-    windows); its own value is known at forecast time."""
-    if origins == "last":
-        o = last_origin(df, "train", value_col=value_col)
-    else:
-        o = df.where(F.col("split") == "eval").select(
-            "series_id", F.col("ts").alias("origin_ts"), F.col(value_col).alias("origin_value"))
-    x = explode_steps(o.join(params, "series_id"), horizon, freq)
+    ``origins`` is a window mode of ``common.MODES``; an origin's own value is
+    known at forecast time."""
+    o = origin_rows(df, origins, context, horizon, freq, chunk_buckets)
+    x = explode_steps(spread_join(o, params, ["series_id"]), horizon, freq)
     mean, sd = _mean_sd(F.col("step"), F.col("phi"), F.col("c"), F.col("sigma"),
                         F.col("origin_value"))
     x = x.select("*", mean.alias("predicted"), sd.alias("sd"))

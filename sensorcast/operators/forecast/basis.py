@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.timefn import bucket_index
+from ..layout import spread_join
 from .common import explode_steps, forecast_frame, origin_rows
 
 
@@ -39,16 +40,25 @@ def seasonal_fit(df: DataFrame, trend: DataFrame, freq: str, period: int, harmon
                  split_value: str | None = "train") -> DataFrame:
     """Harmonic k of the residual r = value - trend(t):
     a_k = 2 avg(r cos(2 pi k (t mod P) / P)), b_k = 2 avg(r sin(...)).
-    Projection averages, so gaps in the grid do not couple the harmonics."""
+    Projection averages, so gaps in the grid do not couple the harmonics.
+
+    The residual is linear in the trend's parameters, so its averages follow from
+    those of value * wave, wave and t * wave: one partial + final aggregate of
+    the rows, joined with the trend when there is one row per series left."""
     x = df.where(F.col("split") == split_value) if split_value else df
-    x = x.join(trend, "series_id")
     t = _t("ts", freq)
-    r = F.col("value") - trend_value(t=t)
-    aggs = []
+    sums, waves = [], {}
     for k in range(1, harmonics + 1):
-        aggs += [(F.lit(2.0) * F.avg(r * F.cos(_phase(t, k, period)))).alias(f"a_{k}"),
-                 (F.lit(2.0) * F.avg(r * F.sin(_phase(t, k, period)))).alias(f"b_{k}")]
-    return x.groupBy("series_id").agg(*aggs)
+        waves |= {f"a_{k}": F.cos(_phase(t, k, period)), f"b_{k}": F.sin(_phase(t, k, period))}
+    for name, wave in waves.items():
+        sums += [F.avg(F.col("value") * wave).alias(f"v_{name}"), F.avg(wave).alias(f"w_{name}"),
+                 F.avg(t.cast("double") * wave).alias(f"t_{name}")]
+    if not sums:
+        return x.select("series_id").distinct()
+    out = x.groupBy("series_id").agg(*sums).join(trend, "series_id")
+    return out.select("series_id", *[
+        (F.lit(2.0) * (F.col(f"v_{n}") - F.col("intercept") * F.col(f"w_{n}")
+                       - F.col("slope") * F.col(f"t_{n}"))).alias(n) for n in waves])
 
 
 def decompose_value(t: Column, harmonics: int, period: int) -> Column:
@@ -62,10 +72,11 @@ def decompose_value(t: Column, harmonics: int, period: int) -> Column:
 
 def decompose_forecast(df: DataFrame, trend: DataFrame, seasonal: DataFrame, horizon: int,
                        freq: str, period: int, harmonics: int,
-                       model: str = "decompose", origins: str = "eval") -> DataFrame:
-    """Forecast for steps 1..H from every eval origin (or the last train row):
-    the fitted function of the target's time (the origin only fixes which
+                       model: str = "decompose", origins: str = "eval", context: int = 0,
+                       chunk_buckets: int = 1440) -> DataFrame:
+    """Forecast for steps 1..H from the origins of a window mode: the fitted function of the target's time (the origin only fixes which
     targets are asked for)."""
-    o = origin_rows(df, origins)
-    x = explode_steps(o, horizon, freq).join(trend, "series_id").join(seasonal, "series_id")
+    o = origin_rows(df, origins, context, horizon, freq, chunk_buckets).drop("origin_value")
+    params = trend.join(seasonal, "series_id")       # one row per series on both sides
+    x = explode_steps(spread_join(o, params, ["series_id"]), horizon, freq)
     return forecast_frame(x, model, decompose_value(_t("target_ts", freq), harmonics, period))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ...functions.timefn import freq_micros
 from ..layout import CHUNK, with_halo
 from . import linear
-from .common import pick_origins
+from .common import pick_origins, target_names, train_rows
 
 # Kernel size and dilations of the reference network.
 KERNEL = 3
@@ -56,12 +56,14 @@ def causal_filter_bank(df: DataFrame, freq: str, horizon: int = 0, dilations=DIL
 
 
 def filter_linear_forecast(df: DataFrame, horizon: int, freq: str, chunk_rows: int = 4096,
-                           model: str = "filter_linear", origins: str = "eval"):
+                           model: str = "filter_linear", origins: str = "eval",
+                           context: int = 0, w=None):
+    """Fit the shared head on train rows (unless its coefficients ``w`` are
+    given), forecast from the origins of the window mode. Returns (forecasts, W)."""
     feat = causal_filter_bank(df, freq, horizon, chunk_rows=chunk_rows)
     fnames = filter_names()
-    tnames = [f"y_{h}" for h in range(1, horizon + 1)]
-    train = feat.where((F.col("split") == "train") & F.col("targets_ok")
-                       & (F.col("target_split") == "train"))
-    w = linear.fit_head(train, fnames, tnames)
-    ev = pick_origins(feat.withColumnRenamed("ts", "origin_ts"), origins, "origin_ts")
+    if w is None:
+        w = linear.fit_head(train_rows(feat), fnames, target_names(horizon))
+    ev = pick_origins(feat.withColumnsRenamed({"ts": "origin_ts", "time_idx": "origin_idx"}),
+                      origins, context, horizon)
     return linear.predict_head(ev, w, fnames, "value", freq, model), w

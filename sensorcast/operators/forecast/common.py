@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.timefn import add_steps, chunk_index, freq_micros
-from ..layout import CHUNK, neighbour
+from ..layout import CHUNK, neighbour, spread_join
+from ..segments import dense_time_index
 
 FORECAST_COLS = ["model", "series_id", "origin_ts", "step", "target_ts", "q", "predicted"]
 
@@ -25,16 +26,6 @@ def with_prev(df: DataFrame, freq: str, chunk_buckets: int, value_col: str = "va
                     F.when(ok, F.col(f"_pv_{value_col}")).alias(out_col))
 
 
-def last_origin(df: DataFrame, split_value: str = "train", keys=("series_id",),
-                value_col: str = "value") -> DataFrame:
-    """Per series the last row of a split: (series_id, origin_ts, origin_value).
-    A grouped ``max(struct)``: partial aggregation, one row per series."""
-    return (df.where(F.col("split") == split_value).groupBy(*keys)
-            .agg(F.max(F.struct("ts", value_col)).alias("_o"))
-            .select(*keys, F.col("_o.ts").alias("origin_ts"),
-                    F.col(f"_o.{value_col}").alias("origin_value")))
-
-
 def explode_steps(df: DataFrame, horizon: int, freq: str, origin_col: str = "origin_ts") -> DataFrame:
     """One row per step 1..H with its true target time."""
     x = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
@@ -49,19 +40,51 @@ def forecast_frame(df: DataFrame, model: str, predicted: Column, q: Column | Non
                      predicted.cast("double").alias("predicted"), *(extra or []))
 
 
-def origin_rows(df: DataFrame, origins: str = "eval") -> DataFrame:
-    """Forecast origins: every eval row (all windows) or, per series, the last
-    train row (one last window, the origin of a live forecast)."""
-    if origins == "last":
-        return last_origin(df).select("series_id", "origin_ts")
-    return df.where(F.col("split") == "eval").select("series_id", F.col("ts").alias("origin_ts"))
-
-
-def pick_origins(feat: DataFrame, origins: str, ts_col: str = "origin_ts") -> DataFrame:
-    """Feature rows to forecast from: eval rows, or each series' last train
-    row (a per-series max joined back, no per-series sort)."""
-    if origins != "last":
-        return feat.where(F.col("split") == "eval")
-    tr = feat.where(F.col("split") == "train")
-    last = tr.groupBy("series_id").agg(F.max(ts_col).alias("_last"))
-    return tr.join(last, "series_id").where(F.col(ts_col) == F.col("_last")).drop("_last")
+#: Which windows a forecaster is asked for. By time: ``eval`` - every eval row is
+#: an origin, its last windows reach past the range; ``last`` - the last train row
+#: (a live forecast). By row index, full windows only: ``all`` - from the last
+#: train row, with the context before it as warm-up, to the last origin whose
+#: horizon lies in the range; ``no_warmup`` - also the context lies in the range;
+#: ``last_eval`` - the one window over the last rows of the range.
+MODES = ("eval", "last", "all", "no_warmup", "last_eval")
+
+
+def target_names(horizon: int) -> list[str]:
+    return [f"y_{h}" for h in range(1, horizon + 1)]
+
+
+def train_rows(feat: DataFrame) -> DataFrame:
+    """Feature rows whose context and targets lie inside train."""
+    return feat.where((F.col("split") == "train") & F.col("targets_ok")
+                      & (F.col("target_split") == "train"))
+
+
+def pick_origins(df: DataFrame, mode: str, context: int, horizon: int,
+                 idx_col: str = "origin_idx", ts_col: str = "origin_ts") -> DataFrame:
+    """The rows of ``df`` (with ``split`` and a dense row index) that are origins
+    in a window mode. The bounds are one row per series, joined back spread."""
+    if mode == "eval":
+        return df.where(F.col("split") == "eval")
+    if mode not in MODES:
+        raise ValueError(f"unknown window mode {mode!r}: one of {MODES}")
+
+    def at(split):
+        return F.max(F.when(F.col("split") == split, F.col(ts_col if mode == "last" else idx_col)))
+    bounds = df.groupBy("series_id").agg(at("train").alias("_cut"), at("eval").alias("_end"))
+    x = spread_join(df, bounds, ["series_id"], by=ts_col)
+    idx, cut, end = F.col(idx_col), F.col("_cut"), F.col("_end")
+    hit = {"last": F.col(ts_col) == cut,
+           "all": (idx >= cut) & (idx <= end - horizon),
+           "no_warmup": (idx >= cut + context) & (idx <= end - horizon),
+           "last_eval": (idx == end - horizon) & (idx >= cut)}[mode]
+    return x.where(hit).drop("_cut", "_end")
+
+
+def origin_rows(df: DataFrame, mode: str = "eval", context: int = 0, horizon: int = 0,
+                freq: str = "1 minute", chunk_buckets: int = 1440) -> DataFrame:
+    """Forecast origins of a window mode: (series_id, origin_ts, origin_value)."""
+    if mode not in ("eval", "last") and "time_idx" not in df.columns:
+        df = dense_time_index(df, freq, chunk_buckets=chunk_buckets)
+    picked = pick_origins(df, mode, context, horizon, "time_idx", "ts")
+    return picked.select("series_id", F.col("ts").alias("origin_ts"),
+                         F.col("value").alias("origin_value"))

@@ -1,14 +1,16 @@
 """Direct multi-step linear heads fitted by the normal equations.
 
-One aggregate pass computes X'X and X'Y (sums of feature products) over all
-training windows of all series; the (F+1) x (F+1) system is solved on the
-driver (a parameter-size result, F is a handful), and the coefficients are
-applied as literals in a projection: no model state is shipped to executors.
+X'X and X'Y over all training windows of all series: every task reduces its
+Arrow batches to one Gram matrix, and a small aggregate sums these. The
+(F+1) x (F+1) system is solved on the driver (a parameter-size result), and the
+coefficients are applied as literals in a projection: no model state is shipped
+to executors.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,32 +18,53 @@ from ...functions.timefn import add_steps
 from .common import forecast_frame
 
 
+def normal_equations(train: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
+    """Long form (i, j, value): sums of column i of [1, features] times column j
+    of [1, features, targets], j >= i. Rows with a NULL in any of them are left out."""
+    names = [*features, *targets]
+    k = len(features) + 1
+
+    def gram(batches):
+        total = np.zeros((k, len(names) + 1))
+        for b in batches:
+            x = np.empty((b.num_rows, len(names) + 1))
+            x[:, 0] = 1.0
+            for i, c in enumerate(b.columns):
+                x[:, i + 1] = c.to_numpy(zero_copy_only=False)
+            total += x[:, :k].T @ x
+        i, j = np.triu_indices(k, 0, len(names) + 1)
+        yield pa.RecordBatch.from_pydict({"i": i.astype(np.int32), "j": j.astype(np.int32),
+                                          "value": total[i, j]})
+
+    rows = train.select(*[F.col(c).cast("double") for c in names]).dropna()
+    return (rows.mapInArrow(gram, "i int, j int, value double")
+            .groupBy("i", "j").agg(F.sum("value").alias("value")))
+
+
 def fit_head(train: DataFrame, features: list[str], targets: list[str],
              ridge: float = 1e-8) -> np.ndarray:
     """Least squares W ((1 + F) x H) for targets ~ [1, features]."""
-    cols = ["_one", *features]
-    x = train.withColumn("_one", F.lit(1.0))
-    aggs, idx = [], []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            aggs.append(F.sum(F.col(a) * F.col(cols[j])).alias(f"xx_{i}_{j}"))
-            idx.append(("xx", i, j))
-        for h, t in enumerate(targets):
-            aggs.append(F.sum(F.col(a) * F.col(t)).alias(f"xy_{i}_{h}"))
-            idx.append(("xy", i, h))
-    row = x.agg(*aggs).first()
-    k = len(cols)
-    xtx, xty = np.zeros((k, k)), np.zeros((k, len(targets)))
-    for (kind, i, j), v in zip(idx, row):
-        v = 0.0 if v is None else float(v)
-        if kind == "xx":
-            xtx[i, j] = xtx[j, i] = v
-        else:
-            xty[i, j] = v
+    k = len(features) + 1
+    m = np.zeros((k, k + len(targets)))
+    for row in normal_equations(train, features, targets).collect():
+        m[row.i, row.j] = row.value
+        if row.j < k:
+            m[row.j, row.i] = row.value
+    xtx, xty = m[:, :k], m[:, k:]
     scale = max(1.0, float(np.trace(xtx)) / k)
     return np.linalg.solve(xtx + ridge * scale * np.eye(k), xty)
 
 
+def coefficients(table: DataFrame, features: list[str]) -> np.ndarray:
+    """W from a saved coefficient table."""
+    rows = table.collect()
+    terms = {t: i for i, t in enumerate(["intercept", *features])}
+    w = np.zeros((len(terms), max((r.step for r in rows), default=0)))
+    for r in rows:
+        w[terms[r.term], r.step - 1] = r.coef
+    return w
+
+
 def coefficients_frame(spark, w: np.ndarray, features: list[str], model: str) -> DataFrame:
     """The fitted head as a table (model, step, term, coef) for persistence."""
     terms = ["intercept", *features]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ...functions.timefn import freq_micros
 from ..layout import CHUNK, with_halo
 from . import linear
-from .common import pick_origins
+from .common import pick_origins, target_names, train_rows
 
 
 def n_patches(context: int, patch: int, stride: int) -> int:
@@ -55,16 +55,18 @@ def patch_features(df: DataFrame, context: int, horizon: int, patch: int, stride
 
 def patch_linear_forecast(df: DataFrame, context: int, horizon: int, patch: int, stride: int,
                           freq: str, chunk_rows: int = 4096, model: str = "patch_linear",
-                          origins: str = "eval"):
-    """Fit the shared head on train windows (context and targets inside
-    train), forecast from every eval origin (or each series' last train row).
-    Returns (forecasts, W)."""
+                          origins: str = "eval", w=None):
+    """Fit the shared head on train windows (context and targets inside train;
+    unless its coefficients ``w`` are given), forecast from the origins of the
+    window mode. Returns (forecasts, W)."""
     feat = patch_features(df, context, horizon, patch, stride, freq, chunk_rows)
-    fnames = [f"p_{j}" for j in range(n_patches(context, patch, stride))]
-    tnames = [f"y_{h}" for h in range(1, horizon + 1)]
-    train = feat.where((F.col("split") == "train") & F.col("targets_ok")
-                       & (F.col("target_split") == "train"))
-    w = linear.fit_head(train, fnames, tnames)
-    fc = linear.predict_head(pick_origins(feat, origins, "origin_ts"), w, fnames, "ctx_mean",
+    fnames = feature_names(context, patch, stride)
+    if w is None:
+        w = linear.fit_head(train_rows(feat), fnames, target_names(horizon))
+    fc = linear.predict_head(pick_origins(feat, origins, context, horizon), w, fnames, "ctx_mean",
                              freq, model)
     return fc, w
+
+
+def feature_names(context: int, patch: int, stride: int) -> list[str]:
+    return [f"p_{j}" for j in range(n_patches(context, patch, stride))]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.timefn import calendar_columns
+from ..layout import spread_join
 from ..quantiles import group_quantiles
 from .common import explode_steps, forecast_frame, origin_rows
 
@@ -29,12 +30,12 @@ def quantile_profile(df: DataFrame, qs=QUANTILES, method: str = "exact") -> Data
 
 
 def quantile_forecast(df: DataFrame, profile: DataFrame, horizon: int, freq: str,
-                      model: str = "quantile_profile", origins: str = "eval") -> DataFrame:
-    """Every eval origin (or the last train row), steps 1..H, one row per
-    quantile level."""
-    o = origin_rows(df, origins)
+                      model: str = "quantile_profile", origins: str = "eval", context: int = 0,
+                      chunk_buckets: int = 1440) -> DataFrame:
+    """The origins of a window mode, steps 1..H, one row per quantile level."""
+    o = origin_rows(df, origins, context, horizon, freq, chunk_buckets).drop("origin_value")
     x = explode_steps(o, horizon, freq).select("*", *_slots("target_ts"))
-    x = x.join(profile.withColumnRenamed("value", "_qv"), PROFILE_KEYS)
+    x = spread_join(x, profile.withColumnRenamed("value", "_qv"), PROFILE_KEYS, by="origin_ts")
     return forecast_frame(x, model, F.col("_qv"), q=F.col("q"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.timefn import bucket_index, ts_literal
+from ..layout import spread_join
 from . import basis
 
 
@@ -22,7 +23,7 @@ def select_best(df: DataFrame, freq: str, period: int, val_start: str,
     kmax = max(harmonics_grid)
     trend = basis.trend_fit(fit, freq)
     seas = basis.seasonal_fit(fit, trend, freq, period, kmax)
-    x = val.join(trend, "series_id").join(seas, "series_id")
+    x = spread_join(val, trend.join(seas, "series_id"), ["series_id"])
     t = bucket_index("ts", freq)
     cands = {k: F.pow(F.col("value") - basis.decompose_value(t, k, period), 2)
              for k in harmonics_grid}

@@ -74,4 +74,4 @@ def clean_readings(df: DataFrame, ok_quality=("Good",), filter_q: bool = True,
         df = filter_quality(df, ok_quality)
     df = df.select("series_id", parse_ts_expr("ts_raw", strict_ts).alias("ts"),
                    parse_value_expr("value_raw").alias("value"))
-    return drop_missing(df, ["ts", "value"])
+    return drop_missing(df, ["series_id", "ts", "value"])

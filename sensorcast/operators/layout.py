@@ -10,7 +10,15 @@ small per-chunk summary table (one row per series and chunk):
 * ``neighbour``     previous / next row across chunks (lag / lead),
 * ``running_total`` running sum across chunks (prefix of chunk totals),
 * ``with_halo``     copies of the rows near a border into the adjacent chunk, so
-                    frame aggregates over L rows see the rows they need.
+                    frame aggregates over L rows see the rows they need,
+* ``spread_join``   attaches one parameter row per series without sending a
+                    whole series to one task.
+
+Rows without a key belong to no series: ``neighbour`` and ``running_total``
+leave them out, as ingest does. Both sides of their carry join start from one
+exchange by (keys, chunk) with the same columns under the same filter, so Spark
+runs the scan and the exchange once and reuses it (``ReusedExchange``) - as long
+as the columns that nobody needs were dropped before, not after, the operator.
 """
 
 from __future__ import annotations
@@ -19,21 +27,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
+SPREAD = 16
+
+
+def with_keys(df: DataFrame, keys) -> DataFrame:
+    """Rows whose keys are all set."""
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    return df
+
+
+def spread_join(df: DataFrame, params: DataFrame, keys, how: str = "inner",
+                parts: int = SPREAD, by: str | None = None) -> DataFrame:
+    """Equi join of rows with a table of one row per key.
+
+    The rows of a key are dealt over ``parts`` tasks (by the hash of ``by``, by
+    default of all other columns) and the parameter rows are repeated for each,
+    so a hot series never meets its parameters in one task. Where Spark knows or
+    measures the parameter table to be small it broadcasts it and nothing is
+    shuffled."""
+    keys = list(keys)
+    if not keys:
+        raise ValueError("spread_join needs keys")
+    other = [by] if by else [c for c in df.columns if c not in keys] or keys
+    left = df.withColumn("_part", F.pmod(F.xxhash64(*other), F.lit(parts)).cast("int"))
+    right = params.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return left.join(right, [*keys, "_part"], how).drop("_part")
+
+
+def place(df: DataFrame, keys, chunk_col: str, placed: bool) -> DataFrame:
+    """The one exchange that the window and the per-chunk summary share."""
+    return df if placed else df.repartition(*keys, chunk_col)
 
 
 def neighbour(df: DataFrame, keys: list[str], order_col: str, chunk_col: str,
-              cols: list[str], direction: str = "prev", prefix: str = "_p_") -> DataFrame:
+              cols: list[str], direction: str = "prev", prefix: str = "_p_",
+              placed: bool = False) -> DataFrame:
     """Add ``prefix + c`` for ``order_col`` and each of ``cols``: the value of
     the previous (``prev``) or next (``next``) row in ``keys`` ordered by
-    ``order_col``, including across chunk borders."""
+    ``order_col``, including across chunk borders. ``placed``: the rows already
+    lie together by (keys, chunk)."""
     prev = direction == "prev"
     fn = F.lag if prev else F.lead
+    df = place(with_keys(df, keys), keys, chunk_col, placed)
     names = [order_col, *[c for c in cols if c != order_col]]
     w = Window.partitionBy(*keys, chunk_col).orderBy(order_col)
     local = df.select("*", *[fn(c).over(w).alias(f"_nb_{c}") for c in names])
     edge_agg = F.max if prev else F.min
+    # the edge row carries every column, so that both sides need the same ones
+    rest = [c for c in df.columns if c not in (*names, *keys, chunk_col)]
     edge = local.groupBy(*keys, chunk_col).agg(
-        edge_agg(F.struct(*[F.col(c) for c in names])).alias("_edge"))
+        edge_agg(F.struct(*names, *rest)).alias("_edge"))
     ws = Window.partitionBy(*keys).orderBy(chunk_col)
     carry = edge.select(*keys, chunk_col, fn("_edge").over(ws).alias("_carry"))
     out = local.join(carry, [*keys, chunk_col], "left")
@@ -45,13 +89,18 @@ def neighbour(df: DataFrame, keys: list[str], order_col: str, chunk_col: str,
 
 
 def running_total(df: DataFrame, keys: list[str], order_col: str, chunk_col: str,
-                  value: Column, out_col: str, inclusive: bool = True) -> DataFrame:
+                  value: Column, out_col: str, inclusive: bool = True,
+                  placed: bool = False) -> DataFrame:
     """``out_col`` = running sum of ``value`` over ``keys`` ordered by
     ``order_col`` (inclusive or exclusive of the current row), across chunks."""
+    df = place(with_keys(df, keys), keys, chunk_col, placed)
     w = (Window.partitionBy(*keys, chunk_col).orderBy(order_col)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = df.select("*", value.alias("_rv")).select("*", F.sum("_rv").over(w).alias("_run"))
-    totals = local.groupBy(*keys, chunk_col).agg(F.sum("_rv").alias("_tot"))
+    # a witness row per chunk makes both sides need the same columns
+    totals = (local.groupBy(*keys, chunk_col)
+              .agg(F.sum("_rv").alias("_tot"), F.max(F.struct(*df.columns)).alias("_row"))
+              .where(F.col("_row").isNotNull()))
     ws = (Window.partitionBy(*keys).orderBy(chunk_col)
           .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*keys, chunk_col,
@@ -77,8 +126,7 @@ def with_halo(df: DataFrame, idx_col: str, chunk_rows: int, back: int, fwd: int
     border. Frame functions over at most ``back`` rows before and ``fwd`` rows
     after a row are then exact inside ``(series, chunk)`` for the rows the chunk
     owns (``own_col``)."""
-    if back > chunk_rows or fwd > chunk_rows:
-        raise ValueError("halo larger than a chunk; raise chunk_rows")
+    chunk_rows = max(chunk_rows, back, fwd)
     idx = F.col(idx_col)
     c = F.floor(idx / F.lit(chunk_rows)).cast("long")
     pos = idx - c * F.lit(chunk_rows)

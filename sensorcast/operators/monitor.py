@@ -4,28 +4,27 @@ multivariate views, spikes and KPI roll-ups."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import errors as E
 from ..functions.timefn import bucket_start
 from .forecast.common import forecast_frame
+from .layout import spread_join
 
 # Fixed value: logistic approximation of the normal CDF, Phi(z) ~ 1/(1+e^(-1.702 z)).
 LOGISTIC_K = 1.702
 
 
-def flag_anomalies(df: DataFrame, expected: DataFrame, z_limit: float = 3.0) -> DataFrame:
-    """Residual z-score per series. ``expected`` holds (series_id, ts,
-    expected) for train and eval rows; residual mean / population sd come from
-    train rows only, the flag is |z| > z_limit."""
-    x = df.join(expected, ["series_id", "ts"]).withColumn("resid", F.col("value") - F.col("expected"))
+def flag_anomalies(df: DataFrame, expected_col: str = "expected", z_limit: float = 3.0) -> DataFrame:
+    """Residual z-score per series. ``expected_col`` is the model's value
+    for the row's own time; residual mean / population sd come from train rows
+    only, the flag is |z| > z_limit."""
+    x = df.withColumn("resid", F.col("value") - F.col(expected_col))
     st = (x.where(F.col("split") == "train").groupBy("series_id")
           .agg(F.avg("resid").alias("_rm"), F.stddev_pop("resid").alias("_rs")))
     z = F.when(F.col("_rs") > 0, (F.col("resid") - F.col("_rm")) / F.col("_rs"))
-    x = x.join(st, "series_id").withColumn("z", z)
+    x = spread_join(x, st, ["series_id"]).withColumn("z", z)
     return x.withColumn("is_anomaly", F.abs(F.col("z")) > F.lit(z_limit)).drop("_rm", "_rs")
 
 
@@ -36,17 +35,18 @@ def breach_probability(fc: DataFrame, limits: DataFrame, sd_col: str = "sd") ->
     certain = F.when(F.col("predicted") > F.col("limit"), F.lit(1.0)).otherwise(F.lit(0.0))
     prob = F.when(F.col(sd_col) > 0, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(LOGISTIC_K) * z))
                   ).otherwise(certain)
-    return fc.join(limits, "series_id").withColumn("prob_breach", prob)
+    return spread_join(fc, limits, ["series_id"]).withColumn("prob_breach", prob)
 
 
 def interval_coverage(aligned_q: DataFrame, lower_q: float = 0.1, upper_q: float = 0.9,
                       keys=("model",)) -> DataFrame:
     """Share of actuals inside [q_lower, q_upper] of a quantile forecast."""
     k = [*keys, "series_id", "origin_ts", "step"]
-    lo = aligned_q.where(F.abs(F.col("q") - lower_q) < 1e-9).select(
-        *k, F.col("predicted").alias("lo"), "actual")
-    hi = aligned_q.where(F.abs(F.col("q") - upper_q) < 1e-9).select(*k, F.col("predicted").alias("hi"))
-    x = lo.join(hi, k).where(E.is_valid_number("actual"))
+    def level(q):
+        return F.max(F.when(F.abs(F.col("q") - q) < 1e-9, F.col("predicted")))
+    x = (aligned_q.where(E.is_valid_number("actual")).groupBy(*k)
+         .agg(level(lower_q).alias("lo"), level(upper_q).alias("hi"), F.max("actual").alias("actual"))
+         .where(F.col("lo").isNotNull() & F.col("hi").isNotNull()))
     inside = (F.col("actual") >= F.col("lo")) & (F.col("actual") <= F.col("hi"))
     return x.groupBy(*keys).agg(F.avg(inside.cast("double")).alias("coverage"),
                                 F.count(F.lit(1)).alias("n"))
@@ -72,26 +72,41 @@ def ensemble(fc: DataFrame, weights: DataFrame, model: str = "ensemble") -> Data
     return forecast_frame(g, model, F.col("predicted"))
 
 
-def to_wide(df: DataFrame, series: list[str] | None = None, value_col: str = "value") -> DataFrame:
+def to_wide(df: DataFrame, series: list[str], value_col: str = "value") -> DataFrame:
     """One column per sensor on a shared time grid (ts). ``series`` lists
-    the sensors to pivot; by default the distinct keys (a small set) are used."""
-    g = df.groupBy("ts")
-    g = g.pivot("series_id", series) if series is not None else g.pivot("series_id")
-    return g.agg(F.first(value_col))
-
-
-def cross_correlation(wide: DataFrame, series: list[str]) -> DataFrame:
-    """Pearson r of every sensor pair on shared stamps - one aggregate
-    over the wide table (no row pairs are generated)."""
-    pairs = [(a, b) for i, a in enumerate(series) for b in series[i + 1:]]
-    row = wide.agg(*[F.struct(F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("corr"),
-                              F.count(F.when(F.col(f"`{a}`").isNotNull()
-                                             & F.col(f"`{b}`").isNotNull(), 1)).alias("n"))
-                     .alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    arr = F.array(*[F.struct(F.lit(a).alias("series_a"), F.lit(b).alias("series_b"),
-                             F.col(f"p{i}.corr").alias("corr"), F.col(f"p{i}.n").alias("n"))
-                    for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(arr).alias("r")).select("r.*")
+    the sensors, one column each; nothing is collected to find them."""
+    return df.groupBy("ts").pivot("series_id", list(series)).agg(F.first(value_col))
+
+
+def cross_correlation(df: DataFrame, pairs: DataFrame, value_col: str = "value") -> DataFrame:
+    """Pearson r on shared stamps for the sensor pairs of a table (series_a,
+    series_b) - the caller's choice, so the work grows with the pairs asked for.
+
+    Long form: the readings of each wanted sensor are tagged with its pairs,
+    brought together by (pair, ts), and reduced by one partial + final
+    aggregate."""
+    sides = [pairs.select("series_a", "series_b", F.col(c).alias("series_id"), F.lit(c[-1]).alias("_side"))
+             for c in ("series_a", "series_b")]
+    tagged = spread_join(df.select("series_id", "ts", value_col),
+                         sides[0].unionByName(sides[1]), ["series_id"], by="ts")
+
+    def of(side):
+        return F.max(F.when(F.col("_side") == side, F.col(value_col)))
+    both = (tagged.groupBy("series_a", "series_b", "ts").agg(of("a").alias("_a"), of("b").alias("_b")))
+    shared = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return both.groupBy("series_a", "series_b").agg(
+        F.corr("_a", "_b").alias("corr"), F.count(F.when(shared, 1)).alias("n"))
+
+
+def residual_correction(fc: DataFrame, validation: DataFrame, model: str = "corrected") -> DataFrame:
+    """Every point forecast plus its model's mean residual per series and
+    step on a validation run (aligned forecasts, never the evaluation range)."""
+    bias = (validation.where(E.is_valid_number("actual") & E.is_valid_number("predicted"))
+            .groupBy("series_id", "model", "step")
+            .agg(F.avg(F.col("actual") - F.col("predicted")).alias("_bias")))
+    x = spread_join(fc.where(F.col("q").isNull()), bias, ["series_id", "model", "step"], "left")
+    return forecast_frame(x, model, F.col("predicted") + F.coalesce("_bias", F.lit(0.0)),
+                          extra=[F.col("model").alias("base_model")])
 
 
 def flag_spikes(with_prev: DataFrame, k: float = 4.0) -> DataFrame:
@@ -101,7 +116,7 @@ def flag_spikes(with_prev: DataFrame, k: float = 4.0) -> DataFrame:
         "diff", F.col("value") - F.col("prev_value"))
     sd = (x.where(F.col("split") == "train").groupBy("series_id")
           .agg(F.stddev_pop("diff").alias("_sd")))
-    return (x.join(sd, "series_id").withColumn("threshold", F.lit(k) * F.col("_sd"))
+    return (spread_join(x, sd, ["series_id"]).withColumn("threshold", F.lit(k) * F.col("_sd"))
             .where(F.abs(F.col("diff")) > F.col("threshold")).drop("_sd"))
 
 
@@ -117,6 +132,3 @@ def kpi_rollup(df: DataFrame, value_col: str = "value") -> DataFrame:
     return out.withColumn("level", F.when(F.col("hour").isNull(), F.lit("day"))
                           .otherwise(F.lit("hour")))
 
-
-def logistic_cdf(z):
-    return 1.0 / (1.0 + math.exp(-LOGISTIC_K * z))

@@ -53,7 +53,7 @@ def fill_gaps(df: DataFrame, freq: str, limit: int | None = 30,
     # a chunk column from resample_mean(chunk_buckets=...) is reused as is, so
     # the window sits on the aggregate's partitioning (no second exchange)
     x = df if CHUNK in df.columns else df.withColumn(CHUNK, chunk_index(ts_col, freq, chunk_buckets))
-    x = neighbour(x, keys, ts_col, CHUNK, cols, "next", prefix="_n_")
+    x = neighbour(x, keys, ts_col, CHUNK, cols, "next", prefix="_n_", placed=CHUNK in df.columns)
     same = F.col(f"_n_{ts_col}").isNotNull()
     if segment_col:
         same = same & (F.col(f"_n_{segment_col}") == F.col(segment_col))
@@ -67,7 +67,7 @@ def fill_gaps(df: DataFrame, freq: str, limit: int | None = 30,
     n = F.when(same & (gap > 0), n_fill).otherwise(F.lit(0)).cast("long")
     if index_col:
         x = x.select("*", (n + F.lit(1)).alias("_cnt"))
-        x = running_total(x, keys, ts_col, CHUNK, F.col("_cnt"), "_before", inclusive=False)
+        x = running_total(x, keys, ts_col, CHUNK, F.col("_cnt"), "_before", inclusive=False, placed=True)
     if limit is not None and limit <= chunk_buckets:
         # at most `limit` (<= one chunk) rows per origin: generate in place
         x = x.select("*", gap.alias("_gap"),

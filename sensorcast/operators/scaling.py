@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .layout import spread_join
+
 
 def fit_scaler(df: DataFrame, keys=("series_id",), value_col: str = "value",
                split_col: str | None = "split", train_value: str = "train") -> DataFrame:
@@ -19,14 +21,15 @@ def fit_scaler(df: DataFrame, keys=("series_id",), value_col: str = "value",
 
 
 def apply_params(df: DataFrame, params: DataFrame, keys=("series_id",)) -> DataFrame:
-    """Attach per-key parameters. A plain join: Spark broadcasts the
-    parameter table when its measured size is under the broadcast threshold
-    (AQE re-checks at run time) and falls back to a shuffle join otherwise."""
+    """Attach per-key parameters. Spark broadcasts the parameter table when
+    its measured size is under the broadcast threshold (AQE re-checks at run
+    time); otherwise the rows of a key are spread over several tasks. One global
+    row (``keys=()``) is joined on a constant, lazily."""
     if keys:
-        return df.join(params, list(keys), "left")
-    # one global parameter row: read it (a few numbers) and apply as literals
-    row = params.first()
-    return df.select("*", *[F.lit(row[c]).alias(c) for c in params.columns])
+        return spread_join(df, params, keys, "left")
+    one = "_global"
+    return spread_join(df.withColumn(one, F.lit(0)), params.withColumn(one, F.lit(0)), [one],
+                       "left").drop(one)
 
 
 def scale(df: DataFrame, params: DataFrame, keys=("series_id",), value_col: str = "value",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import chunk_index, freq_micros
-from .layout import CHUNK, neighbour, row_index
+from .layout import CHUNK, neighbour, place, row_index, with_keys
 
 
 def _chunked(df: DataFrame, ts_col: str, freq: str, chunk_buckets: int) -> DataFrame:
@@ -37,7 +37,8 @@ def continuous_segments(df: DataFrame, max_gap: str = "60 minutes", freq: str =
     offsets from earlier chunks; one join brings them back."""
     keys = list(keys)
     has_seg = segment_col in df.columns
-    x = _chunked(df, ts_col, freq, chunk_buckets)
+    df = with_keys(df, keys)
+    x = place(_chunked(df, ts_col, freq, chunk_buckets), keys, CHUNK, False)
     w = Window.partitionBy(*keys, CHUNK).orderBy(ts_col)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap_us = F.lit(freq_micros(max_gap))
@@ -52,7 +53,8 @@ def continuous_segments(df: DataFrame, max_gap: str = "60 minutes", freq: str =
     summ = x.groupBy(*keys, CHUNK).agg(
         F.min(F.struct(F.col(ts_col).alias("t"), seg_c[0].alias("s"))).alias("_first"),
         F.max(F.struct(F.col(ts_col).alias("t"), seg_c[0].alias("s"))).alias("_last"),
-        F.sum("_new").alias("_tot"), F.count(F.lit(1)).alias("_n"))
+        F.sum("_new").alias("_tot"), F.count(F.lit(1)).alias("_n"),
+        F.max(F.struct(*df.columns)).alias("_row")).where(F.col("_row").isNotNull())
     ws = Window.partitionBy(*keys).orderBy(CHUNK)
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
     prev_last = F.lag("_last").over(ws)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefn import ts_literal
+from .layout import spread_join
 
 
 def time_split(df: DataFrame, train_end: str, eval_start: str, eval_end: str,
@@ -36,7 +37,7 @@ def split_at_cutoff(df: DataFrame, keys=("series_id",), split_col: str = "split"
     later rows 'eval'. Adds ``cutoff`` and ``part``."""
     cut = (df.where(F.col(split_col) == "train").groupBy(*keys)
            .agg(F.max(idx_col).alias("cutoff")))
-    return (df.join(cut, list(keys), "inner")
+    return (spread_join(df, cut, keys)
             .withColumn("part", F.when(F.col(idx_col) <= F.col("cutoff"), F.lit("train"))
                         .otherwise(F.lit("eval"))))
 

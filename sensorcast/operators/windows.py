@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import errors as E
 from ..functions.timefn import chunk_index
-from .layout import CHUNK, top_k_per_group, with_halo
+from .layout import CHUNK, spread_join, top_k_per_group, with_halo
 
 
 def make_windows(df: DataFrame, context: int, horizon: int, within_segment: bool = True,
@@ -41,7 +41,8 @@ def make_windows(df: DataFrame, context: int, horizon: int, within_segment: bool
     out = out.where(F.col("_own") & F.col("_ok")).drop("_own", "_ok")
     if drop_last:
         last = out.groupBy(*keys).agg(F.max("origin_idx").alias("_last"))
-        out = out.join(last, list(keys)).where(F.col("origin_idx") < F.col("_last")).drop("_last")
+        out = (spread_join(out, last, keys, by="origin_idx")
+               .where(F.col("origin_idx") < F.col("_last")).drop("_last"))
     return out
 
 
@@ -65,7 +66,7 @@ def last_window(df: DataFrame, context: int, horizon: int, keys=("series_id",),
     count joined back and an index filter - no sort of the whole series."""
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     start = F.col("_n") - F.lit(context + horizon)
-    return (df.join(n, list(keys)).where(F.col(idx_col) >= start)
+    return (spread_join(df, n, keys).where(F.col(idx_col) >= start)
             .withColumn("pos", (F.col(idx_col) - start).cast("long"))
             .withColumn("role", F.when(F.col("pos") < context, F.lit("context"))
                         .otherwise(F.lit("horizon"))).drop("_n"))

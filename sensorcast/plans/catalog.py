@@ -13,6 +13,7 @@ from ..config import EVENTS, EVENTS_HOURLY, PipelineConfig
 from ..operators import evaluate as EV
 from ..operators.forecast import autoreg
 from ..sources.tables import sensor_raw
+from . import jobs as J
 from . import oracle as O
 from . import prepare as P
 from .report import rounded
@@ -33,7 +34,9 @@ from ..operators.forecast import basis, causal, patch, score
 from ..operators.forecast import quantile as QF
 from ..operators.forecast import select as SEL
 from ..operators import monitor as MO
-from ..operators.forecast.common import FORECAST_COLS, with_prev
+from ..operators.forecast import linear
+from ..operators.forecast.common import FORECAST_COLS, target_names, train_rows, with_prev
+from ..operators.layout import spread_join
 from ..streaming import stream as ST
 from ..sources.tables import daily_priority_orders, daily_supplier_sales
 from ..sources import writers as WR
@@ -214,7 +217,8 @@ CUT_SQL = O.with_(CHAIN, O.indexed_cte(), """cut AS (
 
 @query("time_index", O.with_(CHAIN, O.indexed_cte()) + "SELECT series_id, ts, time_idx FROM idx")
 def q_time_index(spark, sf):
-    return indexed(spark, sf).select("series_id", "ts", "time_idx")
+    p = prepared(spark, sf).select("series_id", "ts")
+    return SG.dense_time_index(p, CFG.freq, chunk_buckets=CFG.chunk_buckets)
 
 
 @query("cutoff_split", CUT_SQL + "SELECT series_id, ts, time_idx, cutoff, part FROM cut")
@@ -258,6 +262,19 @@ def q_scan_csv(spark, sf):
     return IN.clean_readings(RD.read_raw(spark, path, series_col="series_id"))
 
 
+@query("scan_csv_mixed", O.with_(RAW) + f"""
+SELECT series_id, ts, value FROM raw WHERE quality = 'Good' AND {REAL}""")
+def q_scan_csv_mixed(spark, sf):
+    """A1: files whose headers differ in order and in extra columns."""
+    path = scratch_path(spark, "raw_csv_mixed")
+    raw = sensor_raw_text(spark, sf)
+    half = F.col("series_id").isin(["click", "error"])
+    WR.write_raw_csv(raw.where(half), f"{path}/a")
+    WR.write_raw_csv(raw.where(~half).select(F.lit("x").alias("Extra"), "QualityStatus", "Value", "series_id",
+                                             "DateTime"), f"{path}/b")
+    return IN.clean_readings(RD.read_raw(spark, f"{path}/*", mixed_headers=True))
+
+
 @query("scan_prepared", O.with_(CHAIN) + "SELECT series_id, segment_id, ts, " + O.r("value")
        + ", filled, split FROM prep")
 def q_scan_prepared(spark, sf):
@@ -345,8 +362,8 @@ def q_fill_gaps_unlimited(spark, sf):
 SELECT series_id, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY series_id ORDER BY ts)))
        / 1e6 AS gap_seconds FROM clean""")
 def q_time_gaps(spark, sf):
-    return SG.gap_seconds(clean_df(spark, sf), CFG.freq, chunk_buckets=CFG.chunk_buckets).select(
-        "series_id", "ts", "gap_seconds")
+    return SG.gap_seconds(clean_df(spark, sf).select("series_id", "ts"), CFG.freq,
+                          chunk_buckets=CFG.chunk_buckets)
 
 
 def cont_cte(src: str, max_gap_us: int, name: str = "cs") -> str:
@@ -520,12 +537,10 @@ FROM wins""" for name, expr in arrays.items()]
 def long_form(df, arrays: dict):
     """Registered reports flatten window arrays to the long form
     (series_id, origin_ts, part, pos, value): same content, no array column."""
-    out = None
-    for name, col in arrays.items():
-        x = df.select("series_id", "origin_ts", F.lit(name).alias("part"),
-                      F.posexplode(col).alias("pos", "value"))
-        out = x if out is None else out.unionByName(x)
-    return rounded(out)
+    parts = F.array(*[F.struct(F.lit(name).alias("part"), col.alias("v")) for name, col in arrays.items()])
+    x = df.select("series_id", "origin_ts", F.explode(parts).alias("_p"))
+    return rounded(x.select("series_id", "origin_ts", "_p.part",
+                            F.posexplode("_p.v").alias("pos", "value")))
 
 
 @query("windows_pairs", WIN_SQL + long_form_sql({"x": "x", "y": "y"}))
@@ -615,7 +630,7 @@ SELECT series_id, CAST(dense_rank() OVER (ORDER BY series_id) - 1 AS BIGINT) AS
 FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS series_id FROM events)""")
 def q_encode_series(spark, sf):
     raw = sensor_raw(spark, sf, key="user_id")
-    return FE.encode_series(raw).select("series_id", "series_code").distinct()
+    return FE.series_codes(raw)
 
 
 # ------------------------------------------------------ forecasters F1-F8
@@ -661,11 +676,36 @@ def q_patch_features(spark, sf):
                                         HOURLY.freq, CHUNK_ROWS))
 
 
-@query("patch_linear_forecast")
+#: The heads' values come from a solved system: compared on a coarser grid.
+HEAD_DIGITS = 12
+P_NAMES, Y_NAMES = patch.feature_names(L_, PATCH, STRIDE), target_names(H_)
+PATCH_FEATURES = _patch_sql()[:_patch_sql().rindex("SELECT series_id, ts AS origin_ts")].rstrip() + f""",
+pfeat AS (
+  SELECT *, ts AS origin_ts, (nh = {H_} AND epoch_us(t1) - epoch_us(ts) = {H_ * US_H}) AS targets_ok
+  FROM pf WHERE nc = {L_} AND epoch_us(ts) - epoch_us(t0) = {(L_ - 1) * US_H}),
+ptrain AS (SELECT * FROM pfeat WHERE split = 'train' AND targets_ok AND target_split = 'train')"""
+PATCH_HEAD = [O.solve_ctes("ptrain", P_NAMES, Y_NAMES, "ph"),
+              O.head_forecast_cte("pfeat", P_NAMES, "ctx_mean", H_, US_H, "ph", "patch_linear")]
+FC_OUT = "SELECT model, series_id, origin_ts, step, target_ts, q, "
+
+
+def patch_train(spark, sf):
+    return train_rows(patch.patch_features(hourly_indexed(spark, sf), L_, H_, PATCH, STRIDE,
+                                           HOURLY.freq, CHUNK_ROWS))
+
+
+@query("patch_normal_equations", PATCH_FEATURES + "\n"
+       + O.normal_equations_sql("ptrain", P_NAMES, Y_NAMES))
+def q_patch_normal_equations(spark, sf):
+    return rounded(linear.normal_equations(patch_train(spark, sf), P_NAMES, Y_NAMES))
+
+
+@query("patch_linear_forecast", ",\n".join([PATCH_FEATURES, *PATCH_HEAD]) + "\n" + FC_OUT
+       + O.r("predicted", digits=HEAD_DIGITS) + " FROM ph")
 def q_patch_linear_forecast(spark, sf):
     fc, _ = patch.patch_linear_forecast(hourly_indexed(spark, sf), L_, H_, PATCH, STRIDE,
                                         HOURLY.freq, CHUNK_ROWS)
-    return rounded(fc)
+    return rounded(fc, HEAD_DIGITS)
 
 
 def _causal_sql() -> str:
@@ -688,10 +728,39 @@ def q_causal_filter_bank(spark, sf):
                                              chunk_rows=CHUNK_ROWS))
 
 
-@query("filter_linear_forecast")
+F_NAMES = causal.filter_names()
+
+
+def _filter_features_sql() -> str:
+    back = (causal.KERNEL - 1) * max(causal.DILATIONS)
+    head = _causal_sql()[:_causal_sql().rindex("SELECT series_id, ts, time_idx")].rstrip()
+    leads = ", ".join(f"lead(value, {h}) OVER w - value AS y_{h}" for h in range(1, H_ + 1))
+    return head + f""",
+ffeat AS (SELECT * FROM (
+  SELECT *, {leads}, lead(ts, {H_}) OVER w AS t1, lead(split, {H_}) OVER w AS target_split
+  FROM cf WINDOW w AS (PARTITION BY series_id ORDER BY time_idx))
+  WHERE epoch_us(ts) - epoch_us(t0) = {back * US_H}),
+ftrain AS (SELECT * FROM ffeat WHERE split = 'train' AND target_split = 'train'
+           AND epoch_us(t1) - epoch_us(ts) = {H_ * US_H})"""
+
+
+FILTER_FEATURES = _filter_features_sql()
+FILTER_HEAD = [O.solve_ctes("ftrain", F_NAMES, Y_NAMES, "fh"),
+               O.head_forecast_cte("ffeat", F_NAMES, "value", H_, US_H, "fh", "filter_linear", origin="ts")]
+
+
+@query("filter_normal_equations", FILTER_FEATURES + "\n"
+       + O.normal_equations_sql("ftrain", F_NAMES, Y_NAMES))
+def q_filter_normal_equations(spark, sf):
+    feat = causal.causal_filter_bank(hourly_indexed(spark, sf), HOURLY.freq, H_, chunk_rows=CHUNK_ROWS)
+    return rounded(linear.normal_equations(train_rows(feat), F_NAMES, Y_NAMES))
+
+
+@query("filter_linear_forecast", ",\n".join([FILTER_FEATURES, *FILTER_HEAD]) + "\n" + FC_OUT
+       + O.r("predicted", digits=HEAD_DIGITS) + " FROM fh")
 def q_filter_linear_forecast(spark, sf):
     fc, _ = causal.filter_linear_forecast(hourly_indexed(spark, sf), H_, HOURLY.freq, CHUNK_ROWS)
-    return rounded(fc)
+    return rounded(fc, HEAD_DIGITS)
 
 
 def basis_fit(p):
@@ -927,17 +996,94 @@ def q_forecast_stats(spark, sf):
     return rounded(EV.forecast_stats(aligned_models(spark, sf)))
 
 
-@query("metrics_all_models")
+def _ctes_after(chain: str, text: str) -> str:
+    """The CTE list of ``text`` without the ``chain`` it begins with."""
+    assert text.startswith(chain.rstrip()), "another chain"
+    return text[len(chain.rstrip()):].lstrip(", \n")
+
+
+ALL_MODELS_SQL = ",\n".join([
+    O.with_(H_CHAIN, O.indexed_cte(), AR_EVAL, BASIS, DEC, QP, QFC).rstrip(),
+    _ctes_after(IDX_H, PATCH_FEATURES), *PATCH_HEAD, _ctes_after(IDX_H, FILTER_FEATURES), *FILTER_HEAD,
+    f"""allfc AS (
+  SELECT {FC_COLS}, predicted FROM fc
+  UNION ALL SELECT {FC_COLS}, predicted FROM dcfc
+  UNION ALL SELECT {FC_COLS}, predicted FROM qfc WHERE q = 0.5
+  UNION ALL SELECT {FC_COLS}, predicted FROM ph
+  UNION ALL SELECT {FC_COLS}, predicted FROM fh)""", O.aligned_cte("allfc")]) + "\n"
+
+
+@query("metrics_all_models", ALL_MODELS_SQL + GLOBAL_METRICS)
 def q_metrics_all_models(spark, sf):
-    """All forecasters, the linear heads included (no exact SQL for their fit)."""
+    """All five forecasters from every eval origin, the linear heads included."""
     p = prepared(spark, sf, HOURLY, materialize=True)
-    x = SG.dense_time_index(p, HOURLY.freq, chunk_buckets=HOURLY.chunk_buckets)
-    pl, _ = patch.patch_linear_forecast(x, L_, H_, PATCH, STRIDE, HOURLY.freq, CHUNK_ROWS)
-    fl, _ = causal.filter_linear_forecast(x, H_, HOURLY.freq, CHUNK_ROWS)
-    fc = model_forecasts(p).unionByName(pl).unionByName(fl)
+    return rounded(EV.metrics(EV.align(J.forecast(p, HOURLY, chunk_rows=CHUNK_ROWS), p)))
+
+
+@query("forecast_from_saved", SQL["metrics_all_models"])
+def q_forecast_from_saved(spark, sf):
+    """A10: the five models' tables are saved, loaded and applied: the refit's scores."""
+    p = prepared(spark, sf, HOURLY, materialize=True)
+    path = scratch_path(spark, "models")
+    J.save_models(J.fit_models(p, HOURLY, chunk_rows=CHUNK_ROWS), path)
+    fc = J.predict(p, J.load_models(spark, path), HOURLY, chunk_rows=CHUNK_ROWS)
     return rounded(EV.metrics(EV.align(fc, p)))
 
 
+def _modes_sql() -> str:
+    """AR(1) from the windows of each mode, by row index."""
+    where = {"all": f"time_idx >= cut AND time_idx <= fin - {H_}",
+             "no_warmup": f"time_idx >= cut + {L_} AND time_idx <= fin - {H_}",
+             "last_eval": f"time_idx = fin - {H_} AND time_idx >= cut"}
+    steps = " UNION ALL ".join(
+        f"SELECT '{m}' AS mode, series_id, ts, value FROM bounded WHERE {w}" for m, w in where.items())
+    return O.with_(H_CHAIN, O.indexed_cte(), O.ar_params_cte(HOURLY), f"""bounded AS (
+  SELECT i.*, b.cut, b.fin FROM idx i JOIN (
+    SELECT series_id, max(time_idx) FILTER (WHERE split = 'train') AS cut,
+           max(time_idx) FILTER (WHERE split = 'eval') AS fin FROM idx GROUP BY series_id) b USING (series_id)),
+origins AS ({steps}),
+mfc AS (
+  SELECT o.mode, o.series_id, o.ts + to_microseconds(step * {US_H}) AS target_ts,
+         pow(phi, step) * o.value + c * CASE WHEN phi = 1 THEN CAST(step AS DOUBLE)
+           ELSE (1.0 - pow(phi, step)) / (1.0 - phi) END AS predicted
+  FROM (SELECT *, unnest(range(1, {H_} + 1)) AS step FROM origins) o JOIN arp a USING (series_id)),
+aligned AS (SELECT f.*, p.value AS actual FROM mfc f
+            LEFT JOIN prep p ON p.series_id = f.series_id AND p.ts = f.target_ts)""") \
+        + O.metric_select("mode")
+
+
+@query("metrics_by_window_mode", _modes_sql())
+def q_metrics_by_window_mode(spark, sf):
+    """The reference's evaluation windows: all (warm-up before the range), none
+    without a context inside it, and the one last window."""
+    p = prepared(spark, sf, HOURLY, materialize=True)
+    params = autoreg.ar_fit(p, HOURLY.freq, HOURLY.chunk_buckets)
+    parts = [EV.align(autoreg.ar_forecast(p, params, H_, HOURLY.freq, m, context=L_,
+                                          chunk_buckets=HOURLY.chunk_buckets), p)
+             .withColumn("mode", F.lit(m)) for m in ("all", "no_warmup", "last_eval")]
+    return rounded(EV.metrics(WN.combine(*parts), ("mode",)))
+
+
+@query("residual_correction", O.with_(H_CHAIN, AR_EVAL, O.split_cte(
+    HOURLY.with_(train_end="2024-01-20 23:59:59", eval_start=VAL_START, eval_end=HOURLY.train_end)
+).replace("prep AS", "prepv AS"), O.renamed(
+    O.ar_params_cte(HOURLY) + ",\n" + O.ar_forecast_cte(HOURLY, "eval", "fc"),
+    ["prep", "pv_l", "pv", "arp", "fc_o", "fc_s", "fc"], "v"),
+    O.renamed(O.aligned_cte("fc"), ["prep", "fc", "aligned"], "v"), f"""bias AS (
+  SELECT series_id, step, avg(actual - predicted) AS bias FROM alignedv WHERE {VALID} GROUP BY ALL)""")
+    + f"""SELECT 'corrected' AS model, f.series_id, origin_ts, f.step, target_ts, q,
+       {O.r('predicted + coalesce(bias, 0.0)', 'predicted')}, 'ar1' AS base_model
+FROM fc f LEFT JOIN bias b ON b.series_id = f.series_id AND b.step = f.step""")
+def q_residual_correction(spark, sf):
+    """AR(1) plus its mean residual per series and step on the end of train."""
+    def ar(p):
+        return autoreg.ar_forecast(p, autoreg.ar_fit(p, HOURLY.freq, HOURLY.chunk_buckets), H_,
+                                   HOURLY.freq, "eval").select(*FORECAST_COLS)
+    reg = regular(spark, sf, HOURLY, materialize=True)
+    pv = P.split(reg, VAL_CFG)
+    return rounded(MO.residual_correction(ar(P.split(reg, HOURLY)), EV.align(ar(pv), pv)))
+
+
 # ------------------------------------------------------- extensions X1-X7
 @query("interval_coverage", O.with_(H_CHAIN, QP, QFC, O.aligned_cte("qfc")) + f"""
 SELECT lo.model, {O.r('avg(CAST(lo.actual >= lo.predicted AND lo.actual <= hi.predicted AS DOUBLE))', 'coverage')},
@@ -980,10 +1126,9 @@ def q_anomaly_flags(spark, sf):
     p = prepared(spark, sf, HOURLY)
     tr, se = basis_fit(p)
     from ..functions.timefn import bucket_index
-    expected = (p.select("series_id", "ts").join(tr, "series_id").join(se, "series_id")
-                .select("series_id", "ts", basis.decompose_value(bucket_index("ts", HOURLY.freq),
-                                                                 HARM, PERIOD).alias("expected")))
-    return rounded(MO.flag_anomalies(p, expected).select(
+    x = spread_join(p, tr.join(se, "series_id"), ["series_id"]).withColumn(
+        "expected", basis.decompose_value(bucket_index("ts", HOURLY.freq), HARM, PERIOD))
+    return rounded(MO.flag_anomalies(x).select(
         "series_id", "ts", "value", "expected", "resid", "z", "is_anomaly"))
 
 
@@ -1035,7 +1180,7 @@ WIDE_SQL = O.with_(CHAIN, "wide AS (SELECT ts, " + ", ".join(
 @query("multivariate_wide", WIDE_SQL + "SELECT ts, " + ", ".join(O.r(f'"{s}"', f'"{s}"')
                                                              for s in SENSORS) + " FROM wide")
 def q_multivariate_wide(spark, sf):
-    return rounded(MO.to_wide(prepared(spark, sf)))
+    return rounded(MO.to_wide(prepared(spark, sf), SENSORS))
 
 
 @query("cross_correlation", WIDE_SQL + " UNION ALL ".join(
@@ -1043,9 +1188,9 @@ def q_multivariate_wide(spark, sf):
        count(*) FILTER (WHERE "{a}" IS NOT NULL AND "{b}" IS NOT NULL) AS n FROM wide"""
     for i, a in enumerate(SENSORS) for b in SENSORS[i + 1:]))
 def q_cross_correlation(spark, sf):
-    wide = MO.to_wide(prepared(spark, sf))
-    series = sorted(c for c in wide.columns if c != "ts")
-    return rounded(MO.cross_correlation(wide, series))
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(SENSORS) for b in SENSORS[i + 1:]],
+                                  "series_a string, series_b string")
+    return rounded(MO.cross_correlation(prepared(spark, sf), pairs))
 
 
 @query("spike_flags", O.with_(CHAIN, O.prev_cte(CFG)) + f""", d AS (
@@ -1082,13 +1227,17 @@ def events_stream(spark, sf):
                      _quality().alias("quality"))
 
 
-@query("stream_resample", """
-SELECT event_type AS series_id, time_bucket(INTERVAL '3600 seconds', ts) AS ts,
-       """ + O.r("avg(value)", "value") + """, count(*) AS n
-FROM events GROUP BY event_type, time_bucket(INTERVAL '3600 seconds', ts)""")
+@query("stream_resample", O.with_(RAW) + """, good AS (SELECT * FROM raw WHERE quality = 'Good'),
+w AS (SELECT series_id, time_bucket(INTERVAL '3600 seconds', ts) AS ts, avg(value) AS value, count(*) AS n
+      FROM good GROUP BY ALL)
+SELECT series_id, ts, """ + O.r("value") + """, n FROM w
+WHERE ts + INTERVAL '1 hour' <= (SELECT max(ts) FROM good) - INTERVAL '10 minutes'""")
 def q_stream_resample(spark, sf):
-    s = ST.stream_resample(events_stream(spark, sf), "1 hour", "10 minutes")
-    return rounded(ST.run_to_table(spark, s, "stream_resample", "complete"))
+    """Good readings only, append mode: each window once, when the watermark has
+    passed its end; its state is dropped then."""
+    readings = IN.filter_quality(events_stream(spark, sf))
+    s = ST.stream_resample(readings, "1 hour", "10 minutes")
+    return rounded(ST.run_to_table(spark, s, "stream_resample", "append"))
 
 
 @query("stream_alerts", O.with_(CHAIN, O.params_cte()) + f"""
@@ -1274,11 +1423,29 @@ def q_segment_lengths_strict(spark, sf):
     return SG.segment_lengths(s)
 
 
-@query("quantile_profile_approx")
+# A sketch's value may differ by engine, its rank error may not exceed n / accuracy.
+@query("quantile_profile_approx", O.with_(H_CHAIN) + """SELECT series_id, hour, is_weekend,
+  unnest([CAST(0.1 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.9 AS DOUBLE)]) AS q, n, true AS within_bound
+FROM (SELECT series_id, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 >= 5 AS INTEGER) AS is_weekend,
+             count(*) AS n FROM prep WHERE split = 'train' GROUP BY ALL)""")
 def q_quantile_profile_approx(spark, sf):
-    """F5 with the bounded-memory sketch (``percentile_approx``) instead of
-    exact ranks - the large-scale switch; rows-only (sketches differ by engine)."""
-    return rounded(QF.quantile_profile(prepared(spark, sf, HOURLY), method="approx"))
+    """F5 with the bounded-memory sketch (``percentile_approx``): per slot and
+    level, whether the value's rank is within n / accuracy (+ 1) of the exact one."""
+    from ..functions.timefn import calendar_columns
+    p = prepared(spark, sf, HOURLY)
+    cal = calendar_columns("ts")
+    train = p.where(F.col("split") == "train").select(
+        "series_id", cal["hour"].alias("hour"), cal["is_weekend"].alias("is_weekend"),
+        F.col("value").alias("v"))
+    sketch = QF.quantile_profile(p, method="approx")
+    x = spread_join(train, sketch, ["series_id", "hour", "is_weekend"])
+    counts = x.groupBy("series_id", "hour", "is_weekend", "q").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("value")).alias("below"),
+        F.count_if(F.col("v") <= F.col("value")).alias("upto"))
+    slack = F.col("n") / F.lit(10000.0) + F.lit(1.0)
+    return counts.select("series_id", "hour", "is_weekend", "q", "n",
+                         ((F.col("below") <= F.col("q") * F.col("n") + slack)
+                          & (F.col("upto") >= F.col("q") * F.col("n") - slack)).alias("within_bound"))
 
 
 @query("loss_table", MODELS_SQL + f"""

@@ -11,27 +11,29 @@ from ..config import EVENTS, PipelineConfig
 from ..functions.timefn import freq_micros
 
 # Reported DOUBLEs are rounded to a binary grid that grows with
-# the magnitude: 2^-20 below 2^10, then one step of 2^10 per decade of 2^10
-# (about 6-9 significant digits), none from 2^60 on. Both engines use the same
+# the magnitude: 2^-34 below 2^-10, 2^-28 below 1, 2^-20 below 2^10, then one step
+# of 2^10 per decade of 2^10 (about 6-9 significant digits), none from 2^60 on. Both engines use the same
 # exact IEEE operations, floor(x / g + 0.5) * g, and pick g by exact threshold
 # comparisons. A decimal grid would put exact decimal ties (a mean such as
 # 36.5421875) on a rounding boundary, where summation order decides the last
 # bit; data with decimal fractions does not land on a binary grid's half-points.
 DIGITS = 20
 SCALE = 2.0 ** DIGITS
-GRID = [(2.0 ** 10, 2.0 ** -20), (2.0 ** 20, 2.0 ** -10), (2.0 ** 30, 1.0),
+GRID = [(2.0 ** -10, 2.0 ** -34), (1.0, 2.0 ** -28), (2.0 ** 10, 2.0 ** -20), (2.0 ** 20, 2.0 ** -10), (2.0 ** 30, 1.0),
         (2.0 ** 40, 2.0 ** 10), (2.0 ** 50, 2.0 ** 20), (2.0 ** 60, 2.0 ** 30)]
 
 
-def rnd(expr: str) -> str:
+def rnd(expr: str, digits: int = DIGITS) -> str:
+    """Round to the grid; fewer ``digits`` coarsen every step by powers of two."""
     x = f"({expr})"
+    grid = [(lim, g * 2.0 ** (DIGITS - digits)) for lim, g in GRID]
     arms = " ".join(f"WHEN abs({x}) < {lim!r} THEN floor({x} / {g!r} + 0.5) * {g!r}"
-                    for lim, g in GRID)
+                    for lim, g in grid)
     return f"CASE {arms} ELSE {x} END"
 
 
-def r(expr: str, alias: str | None = None) -> str:
-    return f"{rnd(expr)} AS {alias or expr}"
+def r(expr: str, alias: str | None = None, digits: int = DIGITS) -> str:
+    return f"{rnd(expr, digits)} AS {alias or expr}"
 
 
 def raw_cte(key: str = "event_type") -> str:
@@ -276,3 +278,50 @@ def renamed(sql: str, names: list[str], suffix: str) -> str:
     for n in names:
         sql = re.sub(rf"\b{n}\b", n + suffix, sql)
     return sql
+
+
+def solve_ctes(train: str, features: list[str], targets: list[str], name: str,
+               ridge: float = 1e-8) -> str:
+    """{name}_w: one row with the coefficients w_i_h of the ridge normal equations
+    of ``targets`` on [1, features] over ``train``, by Gauss-Jordan elimination
+    written out column by column."""
+    k, h = len(features) + 1, len(targets)
+    cols = ["1.0", *features]
+    sums = [f"sum({cols[i]} * {cols[j]}) AS m_{i}_{j}" for i in range(k) for j in range(k)]
+    sums += [f"sum({cols[i]} * {t}) AS m_{i}_{k + j}" for i in range(k) for j, t in enumerate(targets)]
+    trace = " + ".join(f"m_{i}_{i}" for i in range(k))
+    out = [f"{name}_s AS (SELECT {', '.join(sums)} FROM {train})"]
+    first = ", ".join(
+        (f"m_{i}_{j} + {ridge!r} * greatest(1.0, ({trace}) / {k}) AS m_{i}_{j}" if i == j else f"m_{i}_{j}")
+        for i in range(k) for j in range(k + h))
+    out.append(f"{name}_0 AS (SELECT {first} FROM {name}_s)")
+    for p in range(k):
+        step = ", ".join(
+            (f"m_{p}_{j} / m_{p}_{p}" if i == p else f"m_{i}_{j} - m_{i}_{p} * (m_{p}_{j} / m_{p}_{p})")
+            + f" AS m_{i}_{j}" for i in range(k) for j in range(p + 1, k + h))
+        keep = ", ".join(f"m_{i}_{j}" for i in range(k) for j in range(p + 1))
+        out.append(f"{name}_{p + 1} AS (SELECT {keep}, {step} FROM {name}_{p})")
+    out.append(f"{name}_w AS (SELECT " + ", ".join(
+        f"m_{i}_{k + j} AS w_{i}_{j}" for i in range(k) for j in range(h)) + f" FROM {name}_{k})")
+    return ",\n".join(out)
+
+
+def head_forecast_cte(src: str, features: list[str], base: str, horizon: int, us: int, name: str,
+                      model: str, origin: str = "origin_ts", where: str = "split = 'eval'") -> str:
+    """{name}: forecasts of the head solved as {name}_w from the rows of ``src``."""
+    preds = ", ".join(
+        f"{base} + w_0_{j} + " + " + ".join(f"w_{i + 1}_{j} * {f}" for i, f in enumerate(features))
+        for j in range(horizon))
+    return f"""{name} AS (
+  SELECT '{model}' AS model, series_id, origin_ts, CAST(step AS INTEGER) AS step,
+         origin_ts + to_microseconds(step * {us}) AS target_ts, CAST(NULL AS DOUBLE) AS q, preds[step] AS predicted
+  FROM (SELECT series_id, {origin} AS origin_ts, [{preds}] AS preds, unnest(range(1, {horizon} + 1)) AS step
+        FROM {src}, {name}_w WHERE {where}))"""
+
+
+def normal_equations_sql(train: str, features: list[str], targets: list[str], digits: int = DIGITS) -> str:
+    """Long form (i, j, value) of X'X (j < k) and X'Y (j >= k)."""
+    cols = ["1.0", *features]
+    return "\nUNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, {r(f'sum({a} * {b})', 'value', digits)} FROM {train}"
+        for i, a in enumerate(cols) for j, b in enumerate([*cols, *targets]) if j >= i)

@@ -28,7 +28,7 @@ def clean(raw: DataFrame, cfg: PipelineConfig) -> DataFrame:
         df = clean_readings(raw, cfg.ok_quality, cfg.filter_quality, cfg.strict_ts)
     else:
         df = filter_quality(raw, cfg.ok_quality) if cfg.filter_quality else raw
-        df = drop_missing(df.select("series_id", "ts", "value"), ["ts", "value"])
+        df = drop_missing(df.select("series_id", "ts", "value"), ["series_id", "ts", "value"])
     df = exclude_interval(df, cfg.invalid_intervals)
     if cfg.per_segment:
         return label_segment(df, cfg.invalid_intervals)
@@ -62,11 +62,11 @@ def prepare(raw: DataFrame, cfg: PipelineConfig, with_index: bool = False,
     shared checkpoint folder; the scaler fit and the scaling both read that
     table instead of re-running scan, resample and fill."""
     sp = split(regularise(clean(raw, cfg), cfg), cfg)
+    if with_index:   # before the scaler's join, so the chunks of a series stay spread
+        sp = dense_time_index(sp, cfg.freq, chunk_buckets=cfg.chunk_buckets)
     if materialize:
         sp = write_materialized(sp, "regular")
     keys = ("series_id",) if cfg.scale_by_series else ()
     params = fit_scaler(sp, keys)
     out = scale(sp, params, keys) if cfg.scale else sp.withColumn("value_scaled", F.col("value"))
-    if with_index:
-        out = dense_time_index(out, cfg.freq, chunk_buckets=cfg.chunk_buckets)
     return out, params

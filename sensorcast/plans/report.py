@@ -13,7 +13,7 @@ def rounded(df: DataFrame, digits: int = DIGITS, keep=("q",)) -> DataFrame:
     ``oracle.GRID`` with floor(x / g + 0.5) * g (float sums differ in the last
     bits by evaluation order). Exact constants
     such as quantile levels (``keep``) stay as they are."""
-    grid = GRID if digits == DIGITS else [(lim, g * 2.0 ** (DIGITS - digits)) for lim, g in GRID]
+    grid = [(lim, g * 2.0 ** (DIGITS - digits)) for lim, g in GRID]
 
     def rnd(v):
         out = None

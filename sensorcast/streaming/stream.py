@@ -7,8 +7,6 @@ batch buckets under any session time zone."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,11 +17,14 @@ from ..session import scratch_path
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType,
                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files arriving under ``path`` (a directory or a glob). A single
-    file path is turned into a one-file glob (the file source lists patterns)."""
-    p = path
-    if os.path.isfile(p):
-        p = p[:-1] + f"[{p[-1]}]"
+    """Parquet files arriving under ``path`` (a directory or a glob). A path that
+    names one file is turned into a one-file glob (the file source lists
+    patterns); a directory written by Spark matches it too, as its files."""
+    p = path.rstrip("/")
+    if p.endswith(".parquet"):
+        jp = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if jp.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jp).isFile():
+            p = p[:-1] + f"[{p[-1]}]"
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
