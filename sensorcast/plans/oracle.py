@@ -323,5 +323,5 @@ def normal_equations_sql(train: str, features: list[str], targets: list[str], di
     """Long form (i, j, value) of X'X (j < k) and X'Y (j >= k)."""
     cols = ["1.0", *features]
     return "\nUNION ALL ".join(
-        f"SELECT {i} AS i, {j} AS j, {r(f'sum({a} * {b})', 'value', digits)} FROM {train}"
+        f"SELECT {i} AS i, {j} AS j, {r(f'coalesce(sum({a} * {b}), 0.0)', 'value', digits)} FROM {train}"
         for i, a in enumerate(cols) for j, b in enumerate([*cols, *targets]) if j >= i)

@@ -1,16 +1,14 @@
 import os, sys
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-"""Every registered query against its DuckDB oracle (sf0.001), and the
-rows-only queries for a non-empty, stable result."""
+"""Every registered sensor query against its DuckDB oracle: at sf0.001, and those
+that need full windows at sf0.01, where there are some."""
 
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 from oracle_check import compare, duck
-
-QUERIES = E.queries()
-SQLS = E.oracle_sql()
+from sensorcast.plans.catalog import QUERIES, SQL as SQLS
 
 
 @pytest.fixture(scope="module")
@@ -21,14 +19,21 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     got = QUERIES[name](spark, SF_SMALL).toPandas()
-    if name in SQLS:
-        ok, msg = compare(got, con.execute(SQLS[name]).df())
-        assert ok, msg
-    else:
-        # rows-only queries (fits without an exact SQL form): at sf0.001 a
-        # sparse sensor may have no full context window, so only the schema
-        # is fixed here; values are covered in test_properties
-        assert len(got.columns) > 0
+    ok, msg = compare(got, con.execute(SQLS[name]).df())
+    assert ok, msg
+
+
+@pytest.mark.parametrize("name, rows", [("windows_pairs", 10_000), ("patch_normal_equations", 57),
+                                        ("patch_linear_forecast", 5_000), ("filter_linear_forecast", 5_000),
+                                        ("metrics_all_models", 5), ("metrics_by_window_mode", 3)])
+def test_windows_and_heads(spark, name, rows):
+    got = QUERIES[name](spark, SF_MID).toPandas()
+    ok, msg = compare(got, duck(SF_MID).execute(SQLS[name]).df())
+    assert ok and len(got) >= rows, msg
+
+
+def test_registered():
+    assert set(QUERIES) <= set(E.queries()) and set(SQLS) <= set(E.oracle_sql())
 
 
 def test_entry(spark):
