@@ -32,6 +32,50 @@ def trend_fit(df: DataFrame, freq: str, split_value: str | None = "train") -> Da
                                       F.count(F.lit(1)).alias("n"))
 
 
+def poly_trend_fit(df: DataFrame, freq: str, degree: int = 2,
+                   split_value: str | None = "train") -> DataFrame:
+    """Polynomial trend of a series: (series_id, mid, half, c_0 .. c_degree, n) in
+    u = (t - mid) / half, where the fitted buckets lie in [-1, 1].
+
+    One aggregate finds the span, a second the sums of u^k and value * u^k; the
+    small system is solved by elimination in one row's columns. A series with too
+    few distinct buckets for the degree has NULL coefficients."""
+    x = df.where(F.col("split") == split_value) if split_value else df
+    t = _t("ts", freq).cast("double")
+    span = x.groupBy("series_id").agg(((F.min(t) + F.max(t)) / 2).alias("mid"),
+                                      F.greatest((F.max(t) - F.min(t)) / 2, F.lit(1.0)).alias("half"))
+    u = (t - F.col("mid")) / F.col("half")
+    x = spread_join(x.select("series_id", "ts", "value"), span, ["series_id"], by="ts").withColumn("_u", u)
+
+    def power(k):
+        return F.lit(1.0) if k == 0 else F.pow(F.col("_u"), F.lit(float(k)))
+    sums = x.groupBy("series_id", "mid", "half").agg(
+        *[F.sum(power(k)).alias(f"s_{k}") for k in range(2 * degree + 1)],
+        *[F.sum(F.col("value") * power(k)).alias(f"v_{k}") for k in range(degree + 1)],
+        F.count(F.lit(1)).alias("n"), F.countDistinct("ts").alias("_times"))
+    k = degree + 1
+    frame = sums.select("series_id", "mid", "half", "n", "_times", *[
+        F.col(f"s_{i + j}" if j < k else f"v_{i}").alias(f"m_{i}_{j}") for i in range(k) for j in range(k + 1)])
+    for p in range(k):                   # Gauss-Jordan, one column at a time
+        pivot = F.col(f"m_{p}_{p}")
+        row = {j: F.try_divide(F.col(f"m_{p}_{j}"), pivot) for j in range(p + 1, k + 1)}
+        frame = frame.select("series_id", "mid", "half", "n", "_times", *[
+            (row[j] if i == p else F.col(f"m_{i}_{j}") - F.col(f"m_{i}_{p}") * row[j]).alias(f"m_{i}_{j}")
+            for i in range(k) for j in range(p + 1, k + 1)])
+    enough = F.col("_times") > degree
+    return frame.select("series_id", "mid", "half",
+                        *[F.when(enough, F.col(f"m_{i}_{k}")).alias(f"c_{i}") for i in range(k)], "n")
+
+
+def poly_trend_value(t: Column, degree: int) -> Column:
+    """The fitted polynomial at bucket t, given the columns of its table."""
+    u = (t.cast("double") - F.col("mid")) / F.col("half")
+    e = F.col(f"c_{degree}")
+    for k in range(degree - 1, -1, -1):
+        e = e * u + F.col(f"c_{k}")
+    return e
+
+
 def trend_value(trend_cols=("intercept", "slope"), t: Column | None = None) -> Column:
     return F.col(trend_cols[0]) + F.col(trend_cols[1]) * t.cast("double")
 

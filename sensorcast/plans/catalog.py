@@ -777,6 +777,28 @@ def q_trend_fit(spark, sf):
     return rounded(basis.trend_fit(prepared(spark, sf, HOURLY), HOURLY.freq))
 
 
+POLY = 3
+POLY_SQL = O.with_(H_CHAIN, f"""pt AS (
+  SELECT series_id, value, CAST(epoch_us(ts) // {US_H} AS DOUBLE) AS t FROM prep WHERE split = 'train'),
+span AS (
+  SELECT series_id, (min(t) + max(t)) / 2 AS mid, greatest((max(t) - min(t)) / 2, 1.0) AS half, count(*) AS n
+  FROM pt GROUP BY series_id),
+pu AS (
+  SELECT *, pow(u, 2.0) AS u2, pow(u, 3.0) AS u3
+  FROM (SELECT p.series_id, p.value, (p.t - s.mid) / s.half AS u FROM pt p JOIN span s USING (series_id)))""",
+                   O.solve_ctes("pu", ["u", "u2", "u3"], ["value"], "pw", 0.0, "series_id"))
+
+
+@query("trend_poly_fit", POLY_SQL + f"""SELECT series_id, {O.r('mid')}, {O.r('half')}, """ + ", ".join(
+    O.r(f"w_{i}_0", f"c_{i}", HEAD_DIGITS) for i in range(POLY + 1)) + """, n
+FROM pw_w JOIN span USING (series_id)""")
+def q_trend_poly_fit(spark, sf):
+    """F2 with a cubic trend."""
+    fit = basis.poly_trend_fit(prepared(spark, sf, HOURLY), HOURLY.freq, POLY)
+    exact = rounded(fit.select("series_id", "mid", "half", "n"))
+    return exact.join(rounded(fit.drop("mid", "half", "n"), HEAD_DIGITS), "series_id")
+
+
 @query("seasonal_fit", O.with_(H_CHAIN, BASIS) + "SELECT series_id, " + ", ".join(
     O.r(f"{c}_{k}") for k in range(1, HARM + 1) for c in "ab") + " FROM se")
 def q_seasonal_fit(spark, sf):

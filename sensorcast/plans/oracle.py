@@ -281,8 +281,8 @@ def renamed(sql: str, names: list[str], suffix: str) -> str:
 
 
 def solve_ctes(train: str, features: list[str], targets: list[str], name: str,
-               ridge: float = 1e-8) -> str:
-    """{name}_w: one row with the coefficients w_i_h of the ridge normal equations
+               ridge: float = 1e-8, by: str = "") -> str:
+    """{name}_w: one row (per value of ``by``) with the coefficients w_i_h of the ridge normal equations
     of ``targets`` on [1, features] over ``train``, by Gauss-Jordan elimination
     written out column by column."""
     k, h = len(features) + 1, len(targets)
@@ -290,18 +290,19 @@ def solve_ctes(train: str, features: list[str], targets: list[str], name: str,
     sums = [f"sum({cols[i]} * {cols[j]}) AS m_{i}_{j}" for i in range(k) for j in range(k)]
     sums += [f"sum({cols[i]} * {t}) AS m_{i}_{k + j}" for i in range(k) for j, t in enumerate(targets)]
     trace = " + ".join(f"m_{i}_{i}" for i in range(k))
-    out = [f"{name}_s AS (SELECT {', '.join(sums)} FROM {train})"]
+    key, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+    out = [f"{name}_s AS (SELECT {key}{', '.join(sums)} FROM {train}{group})"]
     first = ", ".join(
-        (f"m_{i}_{j} + {ridge!r} * greatest(1.0, ({trace}) / {k}) AS m_{i}_{j}" if i == j else f"m_{i}_{j}")
+        (f"m_{i}_{j} + {ridge!r} * greatest(1.0, ({trace}) / {k}) AS m_{i}_{j}" if ridge and i == j else f"m_{i}_{j}")
         for i in range(k) for j in range(k + h))
-    out.append(f"{name}_0 AS (SELECT {first} FROM {name}_s)")
+    out.append(f"{name}_0 AS (SELECT {key}{first} FROM {name}_s)")
     for p in range(k):
         step = ", ".join(
             (f"m_{p}_{j} / m_{p}_{p}" if i == p else f"m_{i}_{j} - m_{i}_{p} * (m_{p}_{j} / m_{p}_{p})")
             + f" AS m_{i}_{j}" for i in range(k) for j in range(p + 1, k + h))
         keep = ", ".join(f"m_{i}_{j}" for i in range(k) for j in range(p + 1))
-        out.append(f"{name}_{p + 1} AS (SELECT {keep}, {step} FROM {name}_{p})")
-    out.append(f"{name}_w AS (SELECT " + ", ".join(
+        out.append(f"{name}_{p + 1} AS (SELECT {key}{keep}, {step} FROM {name}_{p})")
+    out.append(f"{name}_w AS (SELECT {key}" + ", ".join(
         f"m_{i}_{k + j} AS w_{i}_{j}" for i in range(k) for j in range(h)) + f" FROM {name}_{k})")
     return ",\n".join(out)
 

@@ -85,6 +85,19 @@ def test_seasonal_fit_equals_residual_projection(spark):
             assert got[sid][f"b_{k}"] == pytest.approx(2 * (r * np.sin(w)).mean(), abs=1e-7)
 
 
+def test_cubic_trend_equals_polyfit(spark):
+    df = hot_frame(spark, 600).withColumn("split", F.lit("train"))
+    df = df.withColumn("value", F.pow(F.col("time_idx") / 100, 3.0) - 2 * F.col("time_idx") / 100 + F.col("value") / 10)
+    few = df.limit(1).withColumn("series_id", F.lit("few"))
+    fit = basis.poly_trend_fit(df.unionByName(few), "1 minute", 3)
+    got = {r.series_id: r for r in fit.collect()}
+    assert got["few"].c_0 is None and got["few"].n == 1
+    for sid, g in df.toPandas().groupby("series_id"):
+        u = ((g["ts"].astype("datetime64[us]").astype("int64") // 60_000_000) - got[sid].mid) / got[sid].half
+        want = np.polynomial.polynomial.polyfit(u, g["value"], 3)
+        assert [got[sid][f"c_{i}"] for i in range(4)] == pytest.approx(want, abs=1e-8)
+
+
 def test_window_modes(spark):
     L, H = 5, 3
     df = hot_frame(spark, 300).where("series_id = 'hot'")
