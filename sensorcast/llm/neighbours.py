@@ -3,8 +3,9 @@
 The trees are grown on a bounded sample; every vector is then routed down every
 tree to a leaf. A query walks all trees with one shared priority queue, ordered by
 the sum of squared distances to the split planes passed on the wrong side, until
-it has its share of the leaves. Leaves and their queries meet in an equi join, and the
-candidates are ranked exactly, on the original vectors.
+it has its share of the leaves. Leaves (in spans of neighbouring ones, large spans in
+blocks) and their queries meet in an equi join, and the candidates are ranked
+exactly, on the original vectors.
 
 Largest inner product is turned into nearest neighbour by one more component that
 gives all vectors the same norm (the largest one).
@@ -31,7 +32,8 @@ SAMPLE = 20_000
 LEAF = 48                 # sample vectors in a leaf, at most
 LEAVES = 0.05             # share of the leaves of all trees that a query looks into,
 LEAST_LEAVES = 64         # and so many more
-BLOCK = 2048              # vectors of a leaf that one task compares at once
+SPAN = 16                 # neighbouring leaves of a tree that are compared together
+BLOCK = 4096              # vectors of a span that one task compares at once
 
 
 @dataclass
@@ -181,27 +183,32 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id",
         route, f"tree int, leaf long, ids array<long>, v {kind}")
     placed = placed.withColumn("block_of", F.xxhash64("ids"))
     members = written(placed, "ann-leaves")
-    sizes = (members.groupBy("tree", "leaf").count()
+    members = members.withColumn("span", F.floor(F.col("leaf") / SPAN).cast("long"))
+    sizes = (members.groupBy("tree", "span").count()
              .withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("long")))
-    blocks = (members.join(sizes, ["tree", "leaf"])
+    blocks = (members.join(sizes, ["tree", "span"])
               .withColumn("block", F.pmod("block_of", "blocks"))
-              .select("tree", "leaf", "block", "ids", "v"))
+              .select("tree", "span", "block", "leaf", "ids", "v"))
 
     def walk(batches):
         for b in batches:
             x = matrix(b.column("v"))
             up = lifted(x)
             for i in range(len(x)):
-                got = search(forest.value, up[i], n_leaves)
+                spans: dict = {}
+                for t, f in search(forest.value, up[i], n_leaves):
+                    spans.setdefault((t, f // SPAN), []).append(f)
+                k_ = len(spans)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column("id")[i].as_py()] * len(got), pa.int64()),
-                     pa.array([t for t, _ in got], pa.int32()), pa.array([f for _, f in got], pa.int64()),
-                     pa.array([b.column("v")[i].as_py()] * len(got), b.schema.field("v").type)],
-                    names=["query_id", "tree", "leaf", "qv"])
+                    [pa.array([b.column("id")[i].as_py()] * k_, pa.int64()),
+                     pa.array([t for t, _ in spans], pa.int32()), pa.array([g for _, g in spans], pa.int64()),
+                     pa.array(list(spans.values()), pa.list_(pa.int64())),
+                     pa.array([b.column("v")[i].as_py()] * k_, b.schema.field("v").type)],
+                    names=["query_id", "tree", "span", "leaves", "qv"])
 
     queries = rows.where("q").select("id", "v").distinct()
-    asked = (queries.mapInArrow(walk, f"query_id long, tree int, leaf long, qv {kind}")
-             .join(sizes.select("tree", "leaf", "blocks"), ["tree", "leaf"])
+    asked = (queries.mapInArrow(walk, f"query_id long, tree int, span long, leaves array<long>, qv {kind}")
+             .join(sizes.select("tree", "span", "blocks"), ["tree", "span"])
              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .drop("blocks"))
     names = [f.name for f in out_type if f.name != "rank"]
@@ -212,15 +219,19 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id",
             v = np.array(leaf_rows["v"].tolist(), float)
             ids = leaf_rows["ids"].tolist()
             first = np.array([x[0] for x in ids])
-            for q, qv in zip(asks["query_id"], asks["qv"], strict=True):
-                s = _scores(v, np.asarray(qv, float))
+            leaf_of = leaf_rows["leaf"].to_numpy()
+            for q, qv, leaves_ in zip(asks["query_id"], asks["qv"], asks["leaves"], strict=True):
+                mine = np.flatnonzero(np.isin(leaf_of, leaves_))
+                if not len(mine):
+                    continue
+                s = _scores(v[mine], np.asarray(qv, float))
                 best = np.flatnonzero(s >= np.partition(s, -k - 1)[-k - 1]) if len(s) > k else np.arange(len(s))
-                best = best[np.lexsort((first[best], -s[best]))][:k + 1]
-                near = [(-s[j], i) for j in best for i in ids[j] if i != q]
+                best = best[np.lexsort((first[mine[best]], -s[best]))][:k + 1]
+                near = [(-s[j], i) for j in best for i in ids[mine[j]] if i != q]
                 found += [(q, i, -s_) for s_, i in sorted(near)[:k]]
         return pd.DataFrame(found, columns=names)
 
-    ranked = (asked.groupBy("tree", "leaf", "block").cogroup(blocks.groupBy("tree", "leaf", "block"))
+    ranked = (asked.groupBy("tree", "span", "block").cogroup(blocks.groupBy("tree", "span", "block"))
               .applyInPandas(rank, f"query_id long, `{id_col}` long, score double"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     found = (ranked.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -235,12 +246,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id",
     if few.isEmpty():
         return found
     n_blocks = max(1, -(-entries.count() // BLOCK))
-    every = (few.withColumn("tree", F.lit(0)).withColumn("leaf", F.lit(0).cast("long"))
-             .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-             .groupBy("tree", "leaf", "block")
-             .cogroup(entries.select(F.lit(0).alias("tree"), F.lit(0).cast("long").alias("leaf"),
-                                     F.pmod(F.xxhash64("ids"), F.lit(n_blocks)).cast("long").alias("block"), "ids", "v")
-                      .groupBy("tree", "leaf", "block"))
+    place = ["tree", "span", "block"]
+    every = (few.select("query_id", F.lit(0).alias("tree"), F.lit(0).cast("long").alias("span"),
+                        F.array(F.lit(0).cast("long")).alias("leaves"), "qv",
+                        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
+             .groupBy(*place)
+             .cogroup(entries.select(F.lit(0).alias("tree"), F.lit(0).cast("long").alias("span"),
+                                     F.pmod(F.xxhash64("ids"), F.lit(n_blocks)).cast("long").alias("block"),
+                                     F.lit(0).cast("long").alias("leaf"), "ids", "v").groupBy(*place))
              .applyInPandas(rank, f"query_id long, `{id_col}` long, score double")
              .distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
              .select("query_id", F.col("rank").cast("int"), id_col, "score"))
