@@ -4,6 +4,10 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 Parquet and read again as the next one's ``docs``. All but the last return the
 columns they were given; columns beyond those of ``documents`` ride along, and
 ``n_chars`` follows a text that a stage changes.
+
+A stage's scratch tables are deleted when the next one begins: by then the stage's
+result is written, as said above. Don't call a stage on the unwritten result of the
+one before.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorcast.llm.common import table, written
+from sensorcast.llm.common import dropped, recorded, table, written
 from sensorcast.llm.language import fit, identify
 from sensorcast.llm.lines import dedup_lines
 from sensorcast.llm.mixing import first_words, mix_sources
@@ -95,18 +99,37 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizer)
 
 
-STAGES = [("language_id", language), ("line_dedup", line_dedup), ("ngram_jaccard", near_duplicates),
-          ("mix_sources", mixing), ("packing", packing)]
+_scratch: dict[str, list[str]] = {}      # of each stage's last call
+
+
+def _stage(name: str, f, before: str | None):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        dropped(spark, _scratch.pop(before, []))
+        with recorded() as paths:
+            out = f(spark, docs, sf_dir)
+        _scratch[name] = paths
+        return out
+    run_stage.__doc__ = f.__doc__
+    return name, run_stage
+
+
+STAGES = [_stage("language_id", language, None), _stage("line_dedup", line_dedup, "language_id"),
+          _stage("ngram_jaccard", near_duplicates, "line_dedup"), _stage("mix_sources", mixing, "ngram_jaccard"),
+          _stage("packing", packing, "mix_sources")]
 
 # SQL has neither the language model nor the tokenizer; tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written before the next begins."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, f"pipeline-{name}")
+            with recorded() as paths:
+                docs = written(docs, f"pipeline-{name}")
+            if last:                     # the input of this stage has been read
+                dropped(spark, last)
+            last = paths
     return docs
