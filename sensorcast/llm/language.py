@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: The classifier is fitted on about so many labelled documents per language, chosen by
 #: the hash of their id, and on at most FIT_WORDS words of each.
 FIT_DOCS = 2000
-MAX_LANGS = 1000          # languages with the most labelled documents that it learns
+MAX_LANGS = 200           # languages with the most labelled documents that it learns
 FIT_WORDS = 2000
 BUCKETS = 1 << 16         # rows of the hashed feature table
 SWITCH_PENALTY = 6.0      # log-probability a change of language costs
