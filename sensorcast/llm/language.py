@@ -7,11 +7,10 @@ sequence of languages: its runs are the labelled spans, and the language with
 the most letters is the text's.
 """
 
-from __future__ import annotations
-
 import functools
 import itertools
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +28,7 @@ BUCKETS = 1 << 16         # rows of the hashed feature table
 SWITCH_PENALTY = 6.0      # log-probability a change of language costs
 SMOOTHING = 0.5
 SCRIPT_SHARE = 0.001      # a language is a candidate for a script it has this share of words in
-CACHE_WORDS = 400_000     # scored words a task remembers
+CACHE_WORDS = 200_000     # scored words a task remembers
 
 # First code points of the ranges that separate scripts.
 SCRIPT_RANGES = [
@@ -217,10 +216,9 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     return out
 
 
-SCHEMA = ("id long, held_out boolean, lang_pred string, score double, "
-          "spans array<struct<first_word:long,last_word:long,lang:string>>")
+FOUND = "lang_pred string, score double, spans array<struct<first_word:long,last_word:long,lang:string>>"
 #: Texts are labelled together until they have so many words.
-WORDS_AT_ONCE = 1_500_000
+WORDS_AT_ONCE = 600_000
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
@@ -239,7 +237,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     langs = model.langs
     keep = tuple(c for c in keep if c not in (id_col, "held_out", "lang_pred", "score", "spans"))
 
-    def run(batches):
+    span = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("lang", pa.string())]))
+
+    @F.arrow_udf(FOUND)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict[str, int] = {}       # code of a token: its row in the tables
         table = np.zeros((0, len(langs)), np.float32)
         letters = np.zeros(0, np.int64)
@@ -272,10 +273,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
         for b in batches:
             rows, codes, words = [], [], 0
-            for text in b.column("text"):
+            for text in b:
                 tokens = (text.as_py() or "").split()
                 codes.append(np.fromiter((cache.setdefault(x, len(cache)) for x in tokens),
-                                         np.int64, len(tokens)))
+                                         np.int32, len(tokens)))
                 words += len(tokens)
                 if words >= WORDS_AT_ONCE or len(cache) > CACHE_WORDS:
                     rows += labelled(codes)
@@ -285,18 +286,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                         table, letters = table[:0], letters[:0]
             rows += labelled(codes)
             lang, score, spans = zip(*rows, strict=True) if rows else ([], [], [])
-            span = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()),
-                                       ("lang", pa.string())]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("held_out"), pa.array(lang, pa.string()),
-                 pa.array(score, pa.float64()), pa.array(spans, span),
-                 *([b.column("kept")] if keep else [])],
-                names=["id", "held_out", "lang_pred", "score", "spans", *(["kept"] if keep else [])])
-
-    src = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"),
-                      F.col(text_col).cast("string").alias("text"),
-                      *([F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []))
-    schema = SCHEMA + (f", kept {src.schema['kept'].dataType.simpleString()}" if keep else "")
-    out = src.mapInArrow(run, schema)
-    return out.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score", "spans",
+            yield pa.StructArray.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)],
+                names=["lang_pred", "score", "spans"])
+
+    # only texts go to Python; not deterministic for Catalyst, so that it is run once
+    out = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"),
+                      F.struct(F.lit(0).alias("_"), *keep).alias("kept"),
+                      found.asNondeterministic()(F.col(text_col).cast("string")).alias("found"))
+    return out.select(F.col("id").alias(id_col), "held_out", "found.lang_pred", "found.score", "found.spans",
                       *[F.col(f"kept.`{c}`").alias(c) for c in keep])
