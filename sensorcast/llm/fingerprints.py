@@ -267,4 +267,5 @@ def shared_fingerprints(rows: DataFrame, extract: Extract, ranges: int) -> DataF
 
 
 def ranges_for(entries: int | None) -> int:
-    return max(1, math.ceil((entries or 0) / RANGE_ENTRIES))
+    """Hash ranges for so many fingerprints; a few at least, for as many tasks."""
+    return max(32, math.ceil((entries or 0) / RANGE_ENTRIES))
