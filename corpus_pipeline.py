@@ -53,7 +53,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated lines; those of which nothing
     is left go."""
-    found = dedup_lines(_whole(docs, "doc_id", "text"), keep=("doc",))
+    found = dedup_lines(_whole(docs, "doc_id", "text"), keep=("doc",), maximal=True)
     empty = (F.col("n_removed") > 0) & ~F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")
     return (found.where(~F.coalesce(empty, F.lit(False)))
             .select(_with_text(docs, F.col("kept_text")).alias("doc")).select("doc.*"))

@@ -203,6 +203,38 @@ def test_lines_odd_rows(spark, odd, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def runs_of_any_length(rows, min_chars):
+    """(doc, deleted worded lines) where runs of every length count."""
+    docs = {d: [x for x in t.split("\n") if WORD.search(x)] for d, t in rows}
+    first, gone = {}, {d: set() for d in docs}
+    for d in sorted(docs):
+        for i in range(len(docs[d])):
+            for k in range(1, len(docs[d]) - i + 1):
+                s = tuple(docs[d][i:i + k])
+                if first.setdefault(s, (d, i)) < (d, i) and sum(map(len, s)) >= min_chars:
+                    gone[d] |= set(range(i, i + k))
+    return gone
+
+
+@pytest.mark.parametrize("min_chars", [1, 6, 25, 60])
+def test_lines_maximal_runs(spark, min_chars):
+    rng = random.Random(min_chars)
+    docs = [(i, "\n".join(rng.choice(["", " ", "a b", "cd", "e", "fgh ij", "x" * 9, f"own {i}"])
+                          for _ in range(rng.randint(0, 25)))) for i in range(50)]
+    for n, size in ((3, (25,) * 3), (7, (14,) * 7), (3, (45, 45, 10)), (70, (1,) * 70)):
+        block = [f"{n}{'abcdefghij'[j % 10]}{'klmnopqrst'[j // 10]}".ljust(c, "z")[-c:] for j, c in enumerate(size)]
+        for _ in range(2):
+            docs.append((len(docs), "\n".join([f"before {len(docs)}", *block, f"after {len(docs)}"])))
+    got = {r.doc_id: (r.n_removed, r.kept_text)
+           for r in lines.dedup_lines(documents(spark, docs), min_chars=min_chars, maximal=True).collect()}
+    gone = runs_of_any_length(docs, min_chars)
+    for d, t in docs:
+        worded = [x for x in t.split("\n") if WORD.search(x)]
+        left = [x for k, x in enumerate(worded) if k not in gone[d]]
+        assert got[d][0] == len(gone[d])
+        assert [x for x in got[d][1].split("\n") if WORD.search(x)] == left
+
+
 # --- Jaccard join --------------------------------------------------------------------
 def plain_groups(rows, n=5, percent=80):
     sets = []

@@ -74,6 +74,14 @@ def test_language_stage_rejects_letterless(spark):
     assert got.count() > 0.95 * docs.count()
 
 
+def test_line_stage_deletes_repeats_of_any_length(spark):
+    three, seven = ([x * n for x in "abcdefg"[:k]] for k, n in ((3, 25), (7, 14)))
+    docs = documents(spark, [(1, "\n".join(["one", *three, "two"])), (2, "\n".join(["new", *three, "end"])),
+                             (3, "\n".join(["x", *seven])), (4, "\n".join(["y", *seven, "z"]))])
+    got = {r.doc_id: r.text for r in C.STAGES[1][1](spark, docs, SF_SMALL).collect()}
+    assert got[2] == "new\nend" and got[4] == "y\nz" and len(got[1]) == 85 and got[3].count("\n") == 7
+
+
 def test_near_stage_keeps_one_of_each_group(spark):
     text = " ".join(f"w{i}" for i in range(80))
     docs = documents(spark, [(5, text), (3, text + " tail"), (3, text + " tail"), (9, "own words only here now"),
