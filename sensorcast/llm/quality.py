@@ -2,8 +2,8 @@
 
 Every language of the corpus gets two reference histograms, summed over all of
 its documents: character classes and common words. A text is judged by its
-Jensen-Shannon distance to the nearest language; short texts are left to the
-base rule.
+Jensen-Shannon distance to the nearest language; short texts and those of a
+language with too few words for a reference are left to the base rule.
 """
 
 from __future__ import annotations
@@ -16,16 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import salted, written
+
 MIN_WORDS = 50            # base rule, and guard of the histograms
 REPEAT_PCT = 50           # base rule: share of words in repeated 3-word windows
 COMMON_WORDS = 100        # words of a language's reference histogram
-#: A batch reports the words that make up this share of a language's words in
-#: it (at most 1 / share words); what a common word can lose by that is below
-#: the share.
-WORD_SHARE = 0.0005
-#: Languages with a smaller share of all words are not taken as references, so
-#: there are at most 1000.
-LANG_SHARE = 0.001
+#: A language with fewer words in all is no reference; of its documents only the
+#: base rule decides.
+MIN_LANG_WORDS = 1000
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.50
 
@@ -73,9 +71,9 @@ def repeated_words(codes: np.ndarray, n_codes: int) -> int:
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[dict]:
     """Reference histograms of every language, over all documents that name it.
 
-    Batches are summed before the shuffle, a language sends at most
-    1 / WORD_SHARE words per batch. What comes to the driver is bounded: at most
-    1 / LANG_SHARE languages with COMMON_WORDS words each.
+    Batches are summed before the shuffle, and the counts of every word before
+    the COMMON_WORDS most frequent of a language are taken. These, of languages
+    with MIN_LANG_WORDS words or more, come to the driver.
     """
     def count(batches):
         for b in batches:
@@ -86,31 +84,31 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
                 classes[lang] = classes.get(lang, 0) + char_classes(text)
             rows = []
             for lang, c in words.items():
-                total = sum(c.values())
-                rows.append((lang, "words", None, total))
+                rows.append((lang, "words", None, sum(c.values())))
                 rows += [(lang, "class", k.encode(), int(n))
                          for k, n in zip(CLASSES, classes[lang], strict=True)]
-                rows += [(lang, "word", w, n) for w, n in c.items() if n >= WORD_SHARE * total]
+                rows += [(lang, "word", w, n) for w, n in c.items()]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             types = [pa.string(), pa.string(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
                                              names=["lang", "kind", "item", "n"])
 
-    sums = (docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-            .select(F.col(lang_col).cast("string"), F.col(text_col).cast("binary"))
-            .mapInArrow(count, "lang string, kind string, item binary, n long")
-            .groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
-    top = (sums.withColumn("k", F.row_number().over(
+    sums = written(docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+                   .select(F.col(lang_col).cast("string"), F.col(text_col).cast("binary"))
+                   .mapInArrow(count, "lang string, kind string, item binary, n long")
+                   .groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "quality-sums")
+    large = sums.where((F.col("kind") == "words") & (F.col("n") >= MIN_LANG_WORDS)).select("lang")
+    # salted, so that a language's words are cut to the most frequent before they meet
+    top = (salted(sums, large, ["lang"]).withColumn("k", F.row_number().over(
         W.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")))
         .where(F.col("k") <= COMMON_WORDS))
     rows = top.collect()
-    total = sum(r.n for r in rows if r.kind == "words")
     refs = []
-    for lang in sorted({r.lang for r in rows}):
-        mine = [r for r in rows if r.lang == lang]
+    by_lang: dict[str, list] = {}
+    for r in rows:
+        by_lang.setdefault(r.lang, []).append(r)
+    for lang, mine in sorted(by_lang.items()):
         n = sum(r.n for r in mine if r.kind == "words")
-        if n == 0 or n < LANG_SHARE * total:
-            continue
         common = {bytes(r.item): r.n for r in sorted(mine, key=lambda r: r.k) if r.kind == "word"}
         classes = {bytes(r.item).decode(): r.n for r in mine if r.kind == "class"}
         refs.append({"lang": lang, "words": common,
@@ -124,7 +122,7 @@ SCHEMA = ("id long, n_words long, word_chars long, n_symbols long, n_dup_lines l
           "base_failed boolean, kept boolean")
 
 
-def judge_text(text: bytes | None, refs: list[dict]) -> tuple:
+def judge_text(text: bytes | None, refs: list[dict], base_only: bool = False) -> tuple:
     t = text or b""
     words = t.split()
     n = len(words)
@@ -145,7 +143,8 @@ def judge_text(text: bytes | None, refs: list[dict]) -> tuple:
             b = distance(np.append(own, n - own.sum()), r["word_hist"])
             best = min(best, (a + b, a, b, r["lang"]), key=lambda x: x[0])
         _, d_char, d_word, nearest = best
-    kept = not failed and (nearest is None or (d_char <= MAX_CHAR_DISTANCE and d_word <= MAX_WORD_DISTANCE))
+    kept = not failed and (base_only or nearest is None
+                           or (d_char <= MAX_CHAR_DISTANCE and d_word <= MAX_WORD_DISTANCE))
     return (n, chars, symbols, len(lines) - len(set(lines)), repeat, d_char, d_word, nearest, failed, kept)
 
 
@@ -158,24 +157,30 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     in 3-word windows found twice or more. A text fails the base rule with
     fewer than 50 words or more than half of its words repeated; a longer one is
     dropped if its distance to the nearest language is above MAX_CHAR_DISTANCE
-    or MAX_WORD_DISTANCE. Without any reference only the base rule decides.
+    or MAX_WORD_DISTANCE. Without any reference, and where the row names a language
+    that has none, only the base rule decides.
 
     One row per input row; a null or empty text has no words and fails; null ids
     stay null; a null language only keeps the text out of the references;
     repeated rows give repeated results; an empty table gives an empty result.
     """
     refs = language_references(docs, text_col, lang_col) if references is None else references
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     types = [pa.int64()] * 6 + [pa.float64()] * 2 + [pa.string()] + [pa.bool_()] * 2
 
+    known = {None, *(r["lang"] for r in refs)}
+
     def run(batches):
         for b in batches:
-            rows = [judge_text(x.as_py(), refs) for x in b.column(1)]
+            rows = [judge_text(x.as_py(), refs, lang not in known)
+                    for x, lang in zip(b.column(1), b.column(2).to_pylist(), strict=True)]
             cols = list(zip(*rows, strict=True)) or [[]] * 10
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(c, t) for c, t in zip(cols, types[1:], strict=True))],
                 names=names)
 
     out = docs.select(F.col(id_col).cast("long").alias("id"),
-                      F.col(text_col).cast("binary").alias("text")).mapInArrow(run, SCHEMA)
+                      F.col(text_col).cast("binary").alias("text"),
+                      lang.cast("string").alias("lang")).mapInArrow(run, SCHEMA)
     return out.withColumnRenamed("id", id_col)

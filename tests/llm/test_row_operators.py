@@ -123,6 +123,30 @@ def test_quality_keeps_clean_and_drops_foreign_histograms(spark):
     assert not got.kept
 
 
+def test_quality_of_rare_languages(spark):
+    rng = np.random.default_rng(5)
+
+    def text(letters, n):
+        return " ".join("".join(letters[j] for j in rng.integers(0, 6, 2)) for _ in range(n))
+    docs = documents(spark, [(i, text("abcdef", 8000), "en") for i in range(200)]
+                     + [(1000, text("абвгде", 1200), "ru"), (1001, text("กขคงจฉ", 200), "th"),
+                        (1002, text("กขคงจฉ", 200), None)])
+    refs = {r["lang"]: r for r in quality.language_references(docs)}
+    assert sorted(refs) == ["en", "ru"]           # ru has under 0.1% of all words
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(docs).collect()}
+    assert kept[1000] and kept[1001] and not kept[1002] and all(kept[i] for i in range(200))
+
+
+def test_quality_word_counts_are_exact(spark):
+    # every word is far below any share of its batch
+    docs = documents(spark, [(i, " ".join(f"w{j}" for j in range(i, i + 4000)), "en") for i in range(20)])
+    want = Counter(w for r in docs.collect() for w in r.text.split())
+    ref, = quality.language_references(docs)
+    top = sorted(want.items(), key=lambda x: (-x[1], x[0].encode()))[:quality.COMMON_WORDS]
+    assert list(ref["words"].items()) == [(w.encode(), n) for w, n in top]
+    assert ref["word_hist"].sum() == sum(want.values())
+
+
 def test_jensen_shannon_distance():
     a = np.array([1.0, 0, 3])
     assert quality.distance(a, a * 7) == 0
