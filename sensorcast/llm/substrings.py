@@ -10,7 +10,8 @@ Each shard builds a compressed FM-index over its pieces (the Burrows-Wheeler
 transform of their word sequence in a wavelet matrix) and streams them against
 it: backward search extends every window word by word, as long as the interval
 holds more than the window itself. The windows whose matching statistic reaches
-the threshold take the smallest id of their interval.
+the threshold take the smallest id of their interval. The pieces of a very frequent
+gram go through no shard: their windows are grouped, with partial aggregates.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .fingerprints import gram_hashes, ranges_for, shared_fingerprints, unpack,
 WINDOW = 13
 GRAM = 5                  # words of the gram that deals a window to its shard
 SHARD_WORDS = 300_000   # words of the pieces in a shard
-#: A gram with more different pieces than this deals its windows on by their own hash.
+#: The windows of a gram with more different pieces than this are grouped one by one.
 GRAM_PIECES = 10_000
 U = np.uint64
 
@@ -213,14 +214,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a gram's only piece has no window that another piece of the shard could have
     only = (parts.where("variants is null").select("gram", "h", "ord", "places", F.lit(0).alias("at"),
                                                    F.array("ord").alias("holders")))
-    # the windows of a frequent gram are pieces of their own, dealt by their own hash
+    # equal windows of a frequent gram are one row, with their smallest holder
     often = F.col("variants") > GRAM_PIECES
     split = F.split(F.col("words").cast("string"), " ")
     windows = F.transform(F.sequence(F.lit(1), F.size(split) - (window - 1)),
                           lambda i: F.array_join(F.slice(split, i, window), " "))
     single = (parts.where(often).select("gram", "h", "ord", "places", F.posexplode(windows).alias("at", "w"))
-              .select("gram", "h", "ord", "places", "at", F.col("w").cast("binary").alias("words"),
-                      F.pmod(F.xxhash64("w"), F.lit(shards)).alias("shard")))
+              .select("gram", "h", "ord", "places", "at", F.xxhash64("w").alias("w1"),
+                      F.xxhash64(F.lit(1), "w").alias("w2")))
+    # a window without another piece has no earlier holder and needs no row
+    held = (single.groupBy("w1", "w2").agg(F.min("ord").alias("holder"), F.count("*").alias("pieces"),
+                                           F.max("places").alias("most"))
+            .where((F.col("pieces") > 1) | (F.col("most") > 1)).select("w1", "w2", "holder"))
+    single = (salted(single, held, ["w1", "w2"])
+              .select("gram", "h", "ord", "places", "at", F.array("holder").alias("holders")))
     whole = (parts.where(~often).select("gram", "h", "ord", "places", F.lit(0).alias("at"), "words",
                                         F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard")))
 
@@ -233,7 +240,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     form = "gram long, h long, ord long, places long, at int, holders array<long>"
     judged = (whole.groupBy("shard").applyInArrow(judge, form).withColumn("alone", F.lit(False))
-              .union(single.groupBy("shard").applyInArrow(judge, form).withColumn("alone", F.lit(True)))
+              .union(single.withColumn("alone", F.lit(True)))
               .union(only.withColumn("alone", F.lit(False))))
     # what a single document has and no earlier one removes nothing
     judged = written(judged.where((F.col("places") > 1) | F.exists("holders", lambda x: x < F.col("ord")))

@@ -130,6 +130,24 @@ def test_substrings_with_frequent_grams_and_small_shards(spark, monkeypatch):
     assert repeats(docs) == plain_repeats(rows_of(docs))
 
 
+def test_windows_of_frequent_grams_meet_in_no_arrow_group(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "GRAM_PIECES", 3)
+    plans, write = {}, substrings.written
+
+    def record(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+    monkeypatch.setattr(substrings, "written", record)
+    # one passage in every document, each time with other words around it
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = [(i, f"{' '.join(f'a{i}x{k}' for k in range(9))} {passage} {' '.join(f'z{i}x{k}' for k in range(9))}")
+            for i in range(40)]
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(documents(spark, docs)).collect()}
+    assert got == {i: 40 if i else 0 for i in range(40)}
+    # only the pieces of other grams, GRAM_PIECES at most, are dealt to shards
+    assert plans["sub-judged"].count("FlatMapGroupsInArrow") == 1
+
+
 def test_fm_index_intervals():
     rng = np.random.default_rng(5)
     seq = np.append(rng.integers(1, 4, 300), 0)
