@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 
 #: The classifier is fitted on about so many labelled documents per language, chosen by
-#: the hash of their id, and on at most FIT_WORDS words of each.
+#: the hash of their id, and on the whole of each.
 FIT_DOCS = 2000
-MAX_LANGS = 200           # languages with the most labelled documents that it learns
-FIT_WORDS = 2000
+PIECE_WORDS = 2000        # words of a text that are counted at once
 BUCKETS = 1 << 16         # rows of the hashed feature table
+CELLS = BUCKETS * 200     # numbers in it: with more languages it has fewer rows
 SWITCH_PENALTY = 6.0      # log-probability a change of language costs
 SMOOTHING = 0.5
 SCRIPT_SHARE = 0.001      # a language is a candidate for a script it has this share of words in
@@ -64,7 +64,16 @@ def _points(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(table[np.minimum(p, len(table) - 1)], p, 0), ends
 
 
-def _features(p: np.ndarray) -> np.ndarray:
+def _buckets(n_langs: int) -> int:
+    """Rows of the feature table: all languages are learned, so that of more than
+    CELLS / BUCKETS each has fewer rows."""
+    rows = BUCKETS
+    while rows > 256 and rows * n_langs > CELLS:
+        rows //= 2
+    return rows
+
+
+def _features(p: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Buckets of the 2-, 3- and 4-gram around every code point (columns); the 0
     between words is part of the grams at a word's borders."""
     k = np.uint64(0x9E3779B97F4A7C15)
@@ -74,7 +83,7 @@ def _features(p: np.ndarray) -> np.ndarray:
     # where the letter before is a border, what stands beyond it has no say
     four = (three * k ^ three >> np.uint64(31)) * k ^ np.where(q[1:-2] > 1, q[:-3], 1)
     grams = np.stack([two * np.uint64(3), three * np.uint64(5), four * np.uint64(7)], 1)
-    return ((grams * k) >> np.uint64(48)).astype(np.int64) % BUCKETS
+    return ((grams * k) >> np.uint64(48)).astype(np.int64) % buckets
 
 
 def _scripts(p: np.ndarray) -> np.ndarray:
@@ -84,7 +93,7 @@ def _scripts(p: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    scores: np.ndarray               # BUCKETS x languages, log-probabilities
+    scores: np.ndarray               # buckets x languages, log-probabilities
     scripts: np.ndarray              # scripts x languages, candidate or not
 
     def score(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +104,7 @@ class Model:
         n = np.add.reduceat(letter.astype(np.int64), starts)
         at = np.flatnonzero(letter)
         every = np.zeros((len(p), len(self.langs)), np.float32)
-        for column in _features(p)[at].T:
+        for column in _features(p, len(self.scores))[at].T:
             every[at] += self.scores[column]
         # the script of a token's first letter narrows its languages
         may = self.scripts[_scripts(p)]
@@ -120,18 +129,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Model:
     """Model from the documents that have a language and are not held out.
 
-    The fitting sample is bounded (FIT_DOCS per language, MAX_LANGS languages); its
-    counts are summed per task before the shuffle, and BUCKETS x languages numbers
-    come to the driver.
+    The fitting sample is bounded (FIT_DOCS per language), every language is learned;
+    its counts are summed per task before the shuffle, and at most CELLS numbers (256
+    a language, if there are very many) come to the driver.
     """
     lang = F.col(lang_col).cast("string")
     known = docs.where(lang.isNotNull() & F.col(text_col).isNotNull()
                        & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    sizes = known.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    shares = {r["lang"]: min(1.0, FIT_DOCS / r["count"]) for r in sizes.collect()}
-    if not shares:
+    sizes = known.groupBy(lang.alias("lang")).count().collect()
+    buckets = _buckets(len(sizes))
+    if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
-    share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[lang]
+    # languages with fewer documents are taken whole
+    shares = [x for r in sizes if r["count"] > FIT_DOCS for x in (r["lang"], FIT_DOCS / r["count"])]
+    share = F.coalesce(F.create_map(*map(F.lit, shares))[lang], F.lit(1.0)) if shares else F.lit(1.0)
     # a hash of the id in [0, 1) below the language's share: a filter, no shuffle of texts
     chance = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 11) / F.lit(float(1 << 53))
     sample = known.where(chance < share).select(lang.alias("lang"), F.col(text_col).alias("text"))
@@ -141,13 +152,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         scripts: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = tables.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                t = tables.setdefault(lang, np.zeros(buckets, np.int64))
                 s = scripts.setdefault(lang, np.zeros(len(SCRIPTS), np.int64))
-                tokens = text.as_py().split()[:FIT_WORDS]
-                if tokens:
-                    p, _ = _points(tokens)
+                tokens = text.as_py().split()
+                for k in range(0, len(tokens), PIECE_WORDS):
+                    p, _ = _points(tokens[k:k + PIECE_WORDS])
                     at = np.flatnonzero(p)
-                    t += np.bincount(_features(p)[at].ravel(), minlength=BUCKETS)
+                    t += np.bincount(_features(p, buckets)[at].ravel(), minlength=buckets)
                     s += np.bincount(_scripts(p[at]), minlength=len(SCRIPTS))
         for lang, t in tables.items():
             at = np.flatnonzero(t)
@@ -160,15 +171,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = (sample.mapInArrow(count, "lang string, item long, n long")
             .groupBy("lang", "item").agg(F.sum("n").alias("n")).toPandas())
     langs = sorted(rows["lang"].unique())
-    scores = np.zeros((BUCKETS, len(langs)))
+    scores = np.zeros((buckets, len(langs)))
     scripts = np.zeros((len(SCRIPTS), len(langs)))
-    for i, lang in enumerate(langs):
-        mine = rows[rows["lang"] == lang]
+    for i, (_, mine) in enumerate(rows.groupby("lang", sort=True)):
         gram, script = mine[mine["item"] >= 0], mine[mine["item"] < 0]
         scores[gram["item"], i] = gram["n"]
         scripts[-1 - script["item"].to_numpy(), i] = script["n"]
     if langs:
-        scores = np.log((scores + SMOOTHING) / (scores.sum(0) + SMOOTHING * BUCKETS))
+        scores = np.log((scores + SMOOTHING) / (scores.sum(0) + SMOOTHING * buckets))
         scripts = scripts / np.maximum(1, scripts.sum(0))
     return Model(langs, scores.astype(np.float32), scripts >= SCRIPT_SHARE)
 
@@ -181,19 +191,20 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     """
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     lengths = np.array([len(scores[i]) for i in order])
-    out: list[np.ndarray] = [np.zeros(len(s), np.int16) for s in scores]
+    kind = np.int16 if not scores or scores[0].shape[1] < 1 << 15 else np.int32
+    out: list[np.ndarray] = [np.zeros(len(s), kind) for s in scores]
     if not len(lengths) or not lengths[0] or not scores[0].shape[1]:
         return out
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     flat = np.concatenate([scores[i] for i in order])
     k = flat.shape[1]
     penalty = np.float32(penalty)
-    back = np.zeros((len(flat), k), np.int16)       # best predecessor of each label
+    back = np.zeros((len(flat), k), kind)       # best predecessor of each label
     alive = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right")
     best = flat[starts[:alive[0]]].copy()
     final = np.zeros((len(lengths), k), np.float32)
     final[:alive[0]] = best
-    own = np.arange(k, dtype=np.int16)
+    own = np.arange(k, dtype=kind)
     for t in range(1, lengths[0]):
         n = alive[t]
         best = best[:n]
@@ -204,8 +215,8 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
         back[at] = np.where(stay, own, top[:, None])
         best = np.where(stay, best, switch) + flat[at]
         final[:n] = best
-    labels = np.zeros(len(flat), np.int16)
-    now = final.argmax(1).astype(np.int16)
+    labels = np.zeros(len(flat), kind)
+    now = final.argmax(1).astype(kind)
     for t in range(lengths[0] - 1, -1, -1):
         n = alive[t]
         at = starts[:n] + t
@@ -217,7 +228,8 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 
 
 FOUND = "lang_pred string, score double, spans array<struct<first_word:long,last_word:long,lang:string>>"
-#: Texts are labelled together until they have so many words.
+#: Texts are labelled together until they have so many words; of more than 20 languages,
+#: whose scores take more room, proportionally fewer (as of the remembered words).
 WORDS_AT_ONCE = 600_000
 
 
@@ -235,6 +247,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows give repeated results, an empty table gives an empty result.
     """
     langs = model.langs
+    room = 20 / max(20, len(langs))
     keep = tuple(c for c in keep if c not in (id_col, "held_out", "lang_pred", "score", "spans"))
 
     span = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("lang", pa.string())]))
@@ -278,10 +291,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 codes.append(np.fromiter((cache.setdefault(x, len(cache)) for x in tokens),
                                          np.int32, len(tokens)))
                 words += len(tokens)
-                if words >= WORDS_AT_ONCE or len(cache) > CACHE_WORDS:
+                if words >= room * WORDS_AT_ONCE or len(cache) > room * CACHE_WORDS:
                     rows += labelled(codes)
                     codes, words = [], 0
-                    if len(cache) > CACHE_WORDS:
+                    if len(cache) > room * CACHE_WORDS:
                         cache.clear()
                         table, letters = table[:0], letters[:0]
             rows += labelled(codes)

@@ -194,6 +194,28 @@ def test_language_held_out_accuracy_and_rules(spark, odd, empty):
     assert {r.lang_pred for r in language.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_language_learns_every_label(spark):
+    rng = np.random.default_rng(7)
+    langs = [f"l{i:03d}" for i in range(230)]
+    vocabulary = {x: ["".join(chr(97 + j) for j in rng.integers(0, 26, 6)) for _ in range(12)] for x in langs}
+    docs = documents(spark, [(i * 230 + k, " ".join(rng.choice(vocabulary[x], 60)), x)
+                             for k, x in enumerate(langs) for i in range(12)])
+    model = language.fit(docs)
+    assert model.langs == langs and model.scores.size <= language.CELLS
+    got = language.identify(docs, model, keep=("lang",)).where("held_out").toPandas()
+    assert set(got["lang"]) == set(got["lang_pred"]) and (got["lang"] == got["lang_pred"]).mean() > 0.99
+
+
+def test_language_is_fitted_on_whole_texts(spark):
+    same = "the common opening of all " * 600                  # 3,000 words
+    rows = [(i, same + own * 400, lang) for i, (own, lang) in
+            enumerate([("kolo mapa ", "aa"), ("verk stig ", "bb")] * 10)]
+    model = language.fit(documents(spark, rows))
+    got = {r.doc_id: r.lang_pred for r in language.identify(
+        documents(spark, [(1, "kolo mapa"), (2, "verk stig")]), model).collect()}
+    assert got == {1: "aa", 2: "bb"}
+
+
 def test_language_spans_of_mixed_text(spark):
     docs = table(spark, SF_MID, "documents")
     model = language.fit(docs)
