@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .common import table
+from .conversations import prefix_trie
 from .language import fit, identify
 from .licenses import scan_licenses
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .near import ngram_jaccard
 from .neighbours import nearest
+from .odd_sketches import near_duplicates
 from .packing import byte_bpe, pack
 from .quality import quality_rules
+from .spelling import spelling_variants
 from .substrings import remove_repeats
 from .url_filter import filter_urls
 
@@ -97,3 +100,18 @@ def _repeats(spark, sf_dir):
 def _lines(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op11_spelling_variants", sql.SPELLING)
+def _spelling(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_minhash_near_dedup", sql.NEAR)
+def _near(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_trie", sql.TRIE)
+def _trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))

@@ -17,7 +17,7 @@ from sensorcast.llm.queries import QUERIES, SQL
 
 def test_all_queries_are_registered():
     got = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in got) == 1
     assert "pipeline" in got
 
