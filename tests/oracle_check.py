@@ -33,6 +33,8 @@ def _norm(df: pd.DataFrame) -> pd.DataFrame:
     for c in df.columns:
         if pd.api.types.is_datetime64_any_dtype(df[c]):
             df[c] = pd.to_datetime(df[c]).dt.tz_localize(None).astype("datetime64[us]")
+        elif pd.api.types.is_extension_array_dtype(df[c]) and pd.api.types.is_integer_dtype(df[c]):
+            df[c] = df[c].astype("float64" if df[c].isna().any() else "int64")
         elif df[c].dtype == object:
             df[c] = df[c].map(lambda v: repr(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else v)
     return df
