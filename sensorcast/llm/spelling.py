@@ -30,7 +30,8 @@ RUN = "[A-Za-z\\u00C0-\\u00FF]+"
 DROP = 97
 MIN_LENGTH, MIN_COUNT = 5, 3
 DIMS = 32                 # a to z, and the other letters by code point
-CELL = 32_768             # words of a cell, and searches that a task runs in it
+CELL = 131_072            # words of a cell; every further one is searched by most words
+ASKS = 32_768             # searches that a task runs in a cell
 SAMPLE = 8_192            # words of a cell from which its next splits are chosen
 LEAF = 8                  # words below which the tree of a task ends
 SEARCHES = 1_024          # run down a tree at once
@@ -39,14 +40,14 @@ _DIM = np.array([(c - 97) if 97 <= c < 123 else 26 + c % (DIMS - 26) for c in ra
 
 
 def letters(words) -> np.ndarray:
-    """Words of one length as a matrix of code points."""
+    """Words of one length as a matrix of code points, all below 256."""
     words = list(words)
-    return np.array(words, f"U{len(words[0])}").view(np.uint32).reshape(len(words), -1)
+    return np.array(words, f"U{len(words[0])}").view(np.uint32).reshape(len(words), -1).astype(np.uint8)
 
 
 def vectors(codes: np.ndarray) -> np.ndarray:
     """Letter counts, at most 255 each (a smaller distance prunes less, never more)."""
-    at = _DIM[codes & 255] + np.arange(len(codes))[:, None] * DIMS
+    at = _DIM[codes] + np.arange(len(codes))[:, None] * DIMS
     return np.minimum(np.bincount(at.ravel(), minlength=len(codes) * DIMS), 255).reshape(-1, DIMS).astype(np.int16)
 
 
@@ -123,7 +124,7 @@ class Tree:
 _ALL = np.zeros(DIMS, np.int64), np.full(DIMS, 255, np.int64)
 
 
-def near_pairs(long: np.ndarray, short: np.ndarray, tree: Tree, v_long: np.ndarray):
+def near_pairs(long: np.ndarray, short: np.ndarray, tree: Tree):
     """Chunks (i, j) of places of ``short`` and of ``long``, words one edit apart; both
     of one length, or ``long`` one letter longer. ``tree`` holds the vectors of ``long``."""
     same = long.shape[1] == short.shape[1]
@@ -134,14 +135,11 @@ def near_pairs(long: np.ndarray, short: np.ndarray, tree: Tree, v_long: np.ndarr
     begin[leaves] = np.cumsum([0, *sizes[leaves]])[:-1]
     for at in range(0, len(short), SEARCHES):
         w = short[at:at + SEARCHES]
-        v = vectors(w)
-        q, leaf = tree.within(v, np.full(len(w), reach))
+        q, leaf = tree.within(vectors(w), np.full(len(w), reach))
         n = sizes[leaf]
         first = np.cumsum(n) - n
         x = flat[np.repeat(begin[leaf] - first, n) + np.arange(n.sum())]
         q = np.repeat(q, n)
-        near = np.abs(v[q] - v_long[x]).sum(axis=1) <= reach
-        q, x = q[near], x[near]
         a, b = w[q], long[x]
         if same:
             good = (a != b).sum(axis=1) == 1
@@ -232,7 +230,7 @@ def _boxes(trees: DataFrame) -> DataFrame:
     return trees.mapInArrow(run, "cell string, lo binary, hi binary")
 
 
-def near_words(words: DataFrame, cell_words: int = CELL, sample: int = SAMPLE) -> DataFrame:
+def near_words(words: DataFrame, cell_words: int = CELL, sample: int = SAMPLE, asks_each: int = ASKS) -> DataFrame:
     """(word, n_near, n, form): per word with a near one their number, and of the most
     frequent (of equal ones the smallest) its count and itself."""
     start = F.length("word").cast("string")
@@ -268,14 +266,15 @@ def near_words(words: DataFrame, cell_words: int = CELL, sample: int = SAMPLE) -
         boxes = written(_boxes(trees), "spell-boxes")
     index = reduce(DataFrame.unionByName, [*done_index, index])
     asks = reduce(DataFrame.unionByName, [*done_asks, asks])
-    return _searched(index, asks, cell_words)
+    return _searched(index, asks, cell_words, asks_each)
 
 
-def _searched(index: DataFrame, asks: DataFrame, cell_words: int) -> DataFrame:
+def _searched(index: DataFrame, asks: DataFrame, cell_words: int, asks_each: int) -> DataFrame:
     """Searches in cells; a cell of too many words or searches is dealt in blocks."""
     both = written(index.withColumn("reach", F.lit(0)).unionByName(asks), "spell-cells")
     number = F.greatest(F.count("*"), F.ceil(F.sum(F.length("word")) / 64))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rows") / cell_words)).cast("long")
+    each = F.when(F.col("held"), F.lit(cell_words)).otherwise(F.lit(asks_each))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rows") / each)).cast("long")
     sizes = both.groupBy("cell", (F.col("reach") == 0).alias("held")).agg(number.alias("rows")).withColumn("parts", parts)
     sizes = written(sizes.groupBy("cell").agg(
         F.coalesce(F.max(F.when(F.col("held"), F.col("parts"))), F.lit(1)).alias("held_parts"),
@@ -294,14 +293,13 @@ def _searched(index: DataFrame, asks: DataFrame, cell_words: int) -> DataFrame:
         out = []
         if len(x):
             codes = letters(x["word"])
-            v = vectors(codes)
-            tree = Tree(v, *_ALL, LEAF)
+            tree = Tree(vectors(codes), *_ALL, LEAF)
             for reach in (2, 1):
                 q = t[t["reach"] == reach].reset_index()
                 # with a reach of 1 the words are one letter shorter
                 if not len(q):
                     continue
-                for i, j in near_pairs(codes, letters(q["word"]), tree, v):
+                for i, j in near_pairs(codes, letters(q["word"]), tree):
                     out.append((q["index"].to_numpy()[i], x["index"].to_numpy()[j]))
                     if reach == 1:
                         out.append(out[-1][::-1])
