@@ -35,11 +35,12 @@ ROWS, BANDS = 4, 24
 HUB_ROUNDS = 2
 TILE = 1024               # members of a bucket that are compared with as many at once
 GROUP_ROWS = 20_000       # members of small buckets that one task looks at
+FEW_PAIRS = 100_000       # of 32 bytes each: these are broadcast
 U = np.uint64
 
 _rng = np.random.default_rng(12)
-_XOR = _rng.integers(1, 2**63, SAMPLES, dtype=np.int64).astype(U)
-_MUL = _rng.integers(1, 2**63, SAMPLES, dtype=np.int64).astype(U) | U(1)
+_XOR = _rng.integers(1, 2**32, SAMPLES, dtype=np.uint32)
+_MUL = _rng.integers(1, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 
 
 def shingles(text: bytes, n: int = N) -> np.ndarray:
@@ -49,11 +50,12 @@ def shingles(text: bytes, n: int = N) -> np.ndarray:
 
 def samples(tokens: np.ndarray) -> np.ndarray:
     """The smallest value of a set under each hash function."""
-    low = np.full(SAMPLES, U(2**64 - 1))
-    with np.errstate(over="ignore"):
-        for k in range(0, len(tokens), 1024):
-            low = np.minimum(low, ((tokens[k:k + 1024, None] ^ _XOR) * _MUL).min(axis=0))
-    return low
+    low, tokens = np.full(SAMPLES, np.uint32(2**32 - 1)), (tokens >> U(32)).astype(np.uint32)
+    for k in range(0, len(tokens), 256):
+        h = tokens[k:k + 256, None] ^ _XOR
+        h *= _MUL
+        np.minimum(low, h.min(axis=0), out=low)
+    return low.astype(U)
 
 
 def odd_sketch(low: np.ndarray) -> np.ndarray:
@@ -92,32 +94,40 @@ def bands(low: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def _sets(rows: DataFrame, n: int, payload: str) -> DataFrame:
-    """(payload, n, cid, bands, sketch, fps) of rows (payload, raw); a text without
+def _sets(rows: DataFrame, n: int) -> DataFrame:
+    """(id, k1, k2, n, cid, bands, sketch) of rows (id, k1, k2, raw); a text without
     words has no cid."""
     def run(batches):
         for b in batches:
-            size, cid, band, sketch, fps = [], [], [], [], []
+            size, cid, band, sketch = [], [], [], []
             for raw in b.column("raw"):
                 t = shingles(raw.as_py() or b"", n)
                 size.append(len(t))
                 if not len(t):
-                    cid.append(None), band.append(None), sketch.append(None), fps.append(None)
+                    cid.append(None), band.append(None), sketch.append(None)
                     continue
                 low = samples(t)
-                with np.errstate(over="ignore"):
-                    ends = np.array([mix(t).sum(dtype=U), mix(t ^ U(0x5555)).sum(dtype=U)])
-                cid.append(ends.tobytes())
+                cid.append(np.array([mix(t).sum(dtype=U), mix(t ^ U(0x5555)).sum(dtype=U)]).tobytes())
                 band.append(bands(low))
                 sketch.append(odd_sketch(low))
-                fps.append(pack(np.unique(t >> U(16))))
             yield pa.RecordBatch.from_arrays(
-                [b.column("payload"), pa.array(size, pa.int64()), pa.array(cid, pa.binary()),
-                 pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())),
-                 pa.array(fps, pa.binary())], names=["payload", "n", "cid", "bands", "sketch", "fps"])
+                [*(b.column(c) for c in ("id", "k1", "k2")), pa.array(size, pa.int64()), pa.array(cid, pa.binary()),
+                 pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                names=["id", "k1", "k2", "n", "cid", "bands", "sketch"])
+
+    return rows.mapInArrow(run, "id long, k1 long, k2 long, n long, cid binary, bands array<long>, sketch array<long>")
 
-    return rows.mapInArrow(run, f"payload {payload}, n long, cid binary, bands array<long>, "
-                                "sketch array<long>, fps binary")
+
+def _full(rows: DataFrame, n: int) -> DataFrame:
+    """(cid, n, fps) of rows (cid, raw): the whole sets, packed."""
+    def run(batches):
+        for b in batches:
+            sets = [shingles(raw.as_py(), n) for raw in b.column("raw")]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("cid"), pa.array([len(t) for t in sets], pa.int64()),
+                 pa.array([pack(np.unique(t >> U(16))) for t in sets], pa.binary())], names=["cid", "n", "fps"])
+
+    return rows.mapInArrow(run, "cid binary, n long, fps binary")
 
 
 def _near_sketches(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
@@ -131,9 +141,11 @@ def _near_sketches(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have the similarity."""
-    x, y = (full.select(F.col("cid").alias(p), F.col("n").alias(f"{p}_n"), F.col("fps").alias(f"{p}_f"))
-            for p in "ab")
+    """The pairs (of a written table) whose full sets have the similarity."""
+    if pairs.count() <= FEW_PAIRS:          # so the sets need not be shuffled to find their pairs
+        pairs = F.broadcast(pairs)
+    x, y = (pairs.join(full.withColumnRenamed("cid", p), p)
+            .select("a", "b", F.col("n").alias(f"{p}_n"), F.col("fps").alias(f"{p}_f")) for p in "ab")
 
     def compare(batches):
         for t in batches:
@@ -144,8 +156,8 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (p + q - common))
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return (salted(salted(pairs, x, ["a"]), y, ["b"])
-            .select("a", "b", "a_n", "b_n", "a_f", "b_f").mapInArrow(compare, "a binary, b binary"))
+    return (x.join(y, ["a", "b"]).select("a", "b", "a_n", "b_n", "a_f", "b_f")
+            .mapInArrow(compare, "a binary, b binary"))
 
 
 def _tiles(open_: DataFrame, percent: int) -> DataFrame:
@@ -217,23 +229,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result. Sets are told apart by 128-bit hashes, shingles of a
     candidate pair by 48-bit ones; every bucket and every candidate is looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("payload"),
-                       F.col(text_col).cast("string").cast("binary").alias("raw"))
-    sets = written(_sets(rows, n, "long").withColumn("row", F.monotonically_increasing_id()), "odd-sets")
+    i, t = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    known = F.coalesce(i.cast("string"), F.lit(""))
+    rows = docs.select(i.alias("id"), F.xxhash64(known, t).alias("k1"), F.xxhash64(F.lit(1), t, known).alias("k2"),
+                       t.cast("binary").alias("raw"))
+    sets = written(_sets(rows, n).withColumn("row", F.monotonically_increasing_id()), "odd-sets")
+    held = sets.where("cid is not null")
 
     # Buckets with several classes of equal sets.
-    post = (sets.where("cid is not null").select("cid", F.explode("bands").alias("band"))
-            .groupBy("band", "cid").agg(F.lit(1).alias("one")).select("band", "cid"))
-    post = written(post, "odd-postings")
+    post = held.select("cid", F.explode("bands").alias("band"))
     shared = written(post.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
                      .where("lo <> hi").select("band"), "odd-buckets")
-    post = written(salted(post, shared, ["band"]), "odd-shared")
+    post = written(salted(post, shared, ["band"]).distinct(), "odd-shared")
     suspects = written(post.select("cid").distinct(), "odd-suspects")
+    slim = written(held.select("cid", "n", "sketch").join(suspects, "cid", "left_semi")
+                   .groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "odd-slim")
     # any row of a class stands for it: all of them hold the same set
-    mark = sets.where("cid is not null").groupBy("cid").agg(F.min("row").alias("row"))
-    chosen = written(mark.join(suspects, "cid", "left_semi").select("row"), "odd-chosen")
-    full = written(sets.join(chosen, "row", "left_semi").select("cid", "n", "sketch", "fps"), "odd-full")
-    slim = full.select("cid", "n", "sketch")
+    chosen = written(held.groupBy("cid").agg(F.min(F.struct("k1", "k2")).alias("k")).join(suspects, "cid", "left_semi")
+                     .select("cid", "k.*"), "odd-chosen")
+    full = written(_full(rows.select("k1", "k2", "raw").join(chosen, ["k1", "k2"]).select("cid", "raw"), n)
+                   .groupBy("cid").agg(F.first("n").alias("n"), F.first("fps").alias("fps")), "odd-full")
 
     labels = suspects.select("cid", F.col("cid").alias("label"))
     seen = None
@@ -263,7 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = _joined(labels, written(links, "odd-links"))
 
     # From classes back to rows; a class without candidates is its own component.
-    own = sets.select("row", F.col("payload").alias("id"), "n", "cid")
+    own = sets.select("row", "id", "n", "cid")
     known = own.where("cid is not null")
     grouped = written(salted(known, labels, ["cid"], "left")
                       .select("row", "id", "n", F.coalesce("label", "cid").alias("label")), "odd-rows")
