@@ -31,7 +31,8 @@ from .common import salted, written
 #: Conversations that share a head, and the largest number of turns plus one.
 FAMILY, HEADS = 5, 9
 SPAN = 64                 # turns of a piece
-CONTAINER = 20_000        # different suffixes that a task sorts at once
+CONTAINER = 2_000         # different suffixes that are sorted and swept at once
+SHARD = 20_000            # suffixes that a task holds, in many containers
 BLOCK = 256               # conversation ids that are joined before a node's are hashed
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -276,14 +277,14 @@ def prefix_trie(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     open_, burst, below, ends = _burst(classes.select(
         "cls", F.md5(F.concat_ws("/", F.col("k").cast("string"), "head")).alias("box"),
         (F.col("k") * span).alias("depth"), "ids", "bytes", "n", "m"), container)
-    shards = max(8, -(-classes.count() // container))
+    shards = max(8, -(-classes.count() // SHARD))
     no = F.lit(0).cast("long")
     first = written(_swept(open_.withColumns({"weight": no, "leaves": no}), shards), "trie-swept")
 
     columns = ["conv_id", "depth", "parent", "n_convs", "bytes"]
-    root = classes.where("k = 0").agg(F.min("m").alias("conv_id"), F.sum("n").alias("n_convs")).where(
-        "conv_id is not null").select("conv_id", no.alias("depth"), F.lit(None).cast("long").alias("parent"),
-                                      "n_convs", no.alias("bytes"))
+    root = written(classes.where("k = 0").groupBy("k").agg(F.min("m").alias("conv_id"), F.sum("n").alias("n_convs"))
+                   .select("conv_id", F.col("k").alias("depth"), F.lit(None).cast("long").alias("parent"),
+                           "n_convs", no.alias("bytes")), "trie-root")
     nodes = first.where("cls is null").select(*columns).unionByName(burst.select(*columns)).unionByName(root)
     children = (nodes.where("parent is not null")
                 .groupBy(F.col("parent").alias("conv_id"), (F.col("depth") - 1).alias("depth"))
@@ -303,8 +304,9 @@ def prefix_trie(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     at_burst = below.join(weights, "cls").groupBy("box").agg(*weigh)
     sums = sums.unionByName(burst.select("box", "conv_id", "depth").join(at_burst, "box", "left")
                             .withColumns(weighed).drop("box"))
-    total = classes.where("k = 0").join(weights, "cls").groupBy((F.col("k") * 0).alias("depth")).agg(*weigh)
-    sums = sums.unionByName(root.select("conv_id", "depth").join(total, "depth").select("conv_id", "depth", "weight", "leaves"))
+    total = (classes.where("k = 0").select("cls", F.col("m").alias("conv_id")).join(weights, "cls", "left")
+             .agg(F.min("conv_id").alias("conv_id"), *weigh).withColumns(weighed))
+    sums = sums.unionByName(total.where("conv_id is not null").select("conv_id", no.alias("depth"), "weight", "leaves"))
 
     # What lies above a node on the path of the conversation that names it.
     step = F.floor(F.col("depth") / span)
