@@ -64,14 +64,22 @@ def n_words(text: Column) -> Column:
     return F.when(squeezed == "", F.lit(0)).otherwise(spaces + 1).cast("long")
 
 
+def known_small(df: DataFrame) -> bool:
+    """Whether Spark plans ``df`` at a size that it would broadcast."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 def salted(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
            salts: int = 16) -> DataFrame:
     """Equi join whose left side may have a hot key and whose right side has one
     small row per key: the left rows of a key are dealt over ``salts`` tasks
-    and the right rows are repeated for each. Spark still broadcasts the right
-    side where its size is known to be small."""
+    and the right rows are repeated for each. A right side that Spark knows to be
+    small is broadcast as it is: its repeated rows would be planned at the same size."""
     if any(c.lower() == "_salt" for c in left.columns + right.columns):
         raise ValueError("_salt is a reserved column name")
+    if known_small(right):
+        return left.join(right, on, how)
     rest = [c for c in left.columns if c not in on] or on
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)))
     return (spread.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"),

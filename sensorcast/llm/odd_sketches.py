@@ -33,8 +33,8 @@ BITS = 1024               # of an odd sketch
 #: A pair of similarity 0.85 shares no bucket with probability (1 - 0.85^4)^24 < 3e-8.
 ROWS, BANDS = 4, 24
 HUB_ROUNDS = 2
-TILE = 1024               # members of a bucket that are compared with as many at once
-GROUP_ROWS = 20_000       # members of small buckets that one task looks at
+TILE_LOAD = 1 << 19       # shingles of members of a bucket that are compared with as many
+GROUP_LOAD = 1 << 22      # shingles of the small buckets that one task looks at
 FEW_PAIRS = 100_000       # of 32 bytes each: these are broadcast
 U = np.uint64
 
@@ -160,45 +160,98 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(compare, "a binary, b binary"))
 
 
-def _tiles(open_: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (band, cid, n, label, sketch) of one bucket that lie in
-    different components and that sizes and sketches let pass."""
-    sizes = written(open_.groupBy("band").agg(F.count("*").alias("members")), "odd-open-sizes")
-    total = sizes.agg(F.sum("members")).first()[0] or 0
-    groups = -(-total // GROUP_ROWS)
-    blocks = F.ceil(F.col("members") / TILE).cast("long")
-    dealt = (salted(open_, sizes, ["band"]).withColumn("blocks", blocks)
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy() for c in column.chunks]).view(U).reshape(rows, -1)
+
+
+def _candidates(t: pa.Table, percent: int):
+    """Chunks (p, q, lo, hi): row p and the rows q of other components in its bucket and
+    tile, rows lo to hi, that size and sketch let pass; of the buckets that a pair shares,
+    only the first names it."""
+    rows = t.num_rows
+    band, n, block, i, j = (t.column(c).to_numpy() for c in ("band", "n", "block", "i", "j"))
+    label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    sketch, bands_ = _matrix(t.column("sketch"), rows), _matrix(t.column("bands"), rows)
+    limit = most_bits(percent)
+    cut = np.flatnonzero((np.diff(band, prepend=band[0]) != 0) | (np.diff(i, prepend=i[0]) != 0)
+                         | (np.diff(j, prepend=j[0]) != 0))
+    for lo, hi in zip([0, *cut], [*cut, rows], strict=True):
+        right = lo + np.flatnonzero(block[lo:hi] == j[lo])
+        for p in lo + np.flatnonzero(block[lo:hi] == i[lo]):
+            q = right[right > p] if i[lo] == j[lo] else right
+            q = q[(label[q] != label[p]) & (100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p]))]
+            q = q[np.bitwise_count(sketch[q] ^ sketch[p]).sum(axis=1, dtype=np.int64) <= limit]
+            same = bands_[q] == bands_[p]
+            q = q[bands_[p][same.argmax(axis=1)] == np.array(band[lo]).astype(U)]
+            if len(q):
+                yield p, q, lo, hi
+
+
+def _common(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets as bit rows over the tokens that several of them hold, in chunks."""
+    tokens, count = np.unique(np.concatenate(sets), return_counts=True)
+    tokens = tokens[count > 1]
+    chunks = []
+    for at in range(0, len(tokens), 1 << 16):
+        some = tokens[at:at + (1 << 16)]
+        bits = np.zeros((len(sets), -(-len(some) // 64) * 64), np.uint8)
+        for k, x in enumerate(sets):
+            bits[k, np.searchsorted(some, np.intersect1d(x, some, assume_unique=True))] = 1
+        chunks.append(np.packbits(bits, axis=1).view(U))
+    return chunks
+
+
+def _tiles(open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members (band, cid, n, label, sketch, bands) of one bucket
+    in different components; of the links of a tile only as many as connect its
+    members. A first look finds the members that have candidates in a tile, so that
+    only their sets are sent."""
+    load = F.sum(F.col("n") + 64)
+    sizes = written(open_.groupBy("band").agg(F.ceil(load / TILE_LOAD).alias("blocks"), load.alias("load")), "odd-tiles")
+    total = sizes.agg(F.sum("load")).first()[0] or 0
+    groups = max(1, -(-total // GROUP_LOAD))
+    dealt = (salted(open_, sizes.select("band", "blocks"), ["band"])
              .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("band", "cid", "n", "label", "sketch", "block",
+             .select("band", "cid", "n", "label", "sketch", "bands", "block",
                      F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                     F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("band"), F.lit(max(1, groups))))
-                     .otherwise(F.col("band")).alias("grp"), (F.col("blocks") == 1).alias("small")))
-    limit = most_bits(percent)
-
-    def look(t: pa.Table) -> pa.Table:
-        t = t.sort_by("band")
-        band, n, block = (t.column(c).to_numpy() for c in ("band", "n", "block"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        cid, label = (np.array(t.column(c).to_pylist(), object) for c in ("cid", "label"))
-        s = np.array(t.column("sketch").to_pylist(), np.int64).reshape(len(band), -1)
-        s = s.view(U)                   # bits of negative numbers count as well
-        cut = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-        a, b = [], []
-        for lo, hi in zip(cut, [*cut[1:], len(band)], strict=True):
-            own = block[lo:hi] == i
-            left, right = lo + np.flatnonzero(own), lo + np.flatnonzero(block[lo:hi] == j)
-            for p in left:
-                q = right[right > p] if i == j else right
-                q = q[(100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p]))]
-                q = q[np.bitwise_count(s[q] ^ s[p]).sum(axis=1, dtype=np.int64) <= limit]
-                for r in q:
-                    if label[p] != label[r]:
-                        a.append(min(cid[p], cid[r]))
-                        b.append(max(cid[p], cid[r]))
+                     F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("band"), F.lit(groups)))
+                     .otherwise(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))).alias("grp")))
+    order = [("band", "ascending"), ("i", "ascending"), ("j", "ascending")]
+
+    def flag(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        busy = np.zeros(t.num_rows, bool)
+        for p, q, _, _ in _candidates(t, percent):
+            busy[p] = busy[q] = True
+        return t.filter(pa.array(busy))
+
+    def link(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        n, cid = t.column("n").to_numpy(), t.column("cid").to_pylist()
+        root, bits = list(range(t.num_rows)), []
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        a, b, end = [], [], 0
+        for p, q, lo, hi in _candidates(t, percent):
+            if hi != end:
+                bits, end = _common([unpack(x.as_py()) for x in t.column("fps").slice(lo, hi - lo)]), hi
+            both = sum((np.bitwise_count(c[q - lo] & c[p - lo]).sum(axis=1, dtype=np.int64) for c in bits),
+                       np.zeros(len(q), np.int64))
+            for r in q[100 * both >= percent * (n[p] + n[q] - both)]:
+                x, y = find(int(p)), find(int(r))
+                if x != y:
+                    root[x] = y
+                    a.append(min(cid[p], cid[r])), b.append(max(cid[p], cid[r]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return dealt.groupBy("grp", "small", "i", "j").applyInArrow(look, "a binary, b binary").distinct()
+    busy = written(dealt.groupBy("grp").applyInArrow(flag, dealt.schema), "odd-busy")
+    return (salted(busy, full.select("cid", "fps"), ["cid"]).groupBy("grp").applyInArrow(link, "a binary, b binary")
+            .distinct())
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -242,8 +295,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      .where("lo <> hi").select("band"), "odd-buckets")
     post = written(salted(post, shared, ["band"]).distinct(), "odd-shared")
     suspects = written(post.select("cid").distinct(), "odd-suspects")
-    slim = written(held.select("cid", "n", "sketch").join(suspects, "cid", "left_semi")
-                   .groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "odd-slim")
+    slim = written(held.select("cid", "n", "sketch", "bands").join(suspects, "cid", "left_semi")
+                   .groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "bands")]), "odd-slim")
     # any row of a class stands for it: all of them hold the same set
     chosen = written(held.groupBy("cid").agg(F.min(F.struct("k1", "k2")).alias("k")).join(suspects, "cid", "left_semi")
                      .select("cid", "k.*"), "odd-chosen")
@@ -271,9 +324,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = _near_sketches(met, slim, percent)
         else:
             open_ = salted(members, mixed.select("band"), ["band"]).join(slim, "cid")
-            pairs = _tiles(written(open_, "odd-open"), percent)
-            if seen is not None:
-                pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            labels = _joined(labels, written(_tiles(written(open_, "odd-open"), full, percent), "odd-links"))
+            break
         links = _verified(written(pairs, "odd-pairs"), full, percent)
         labels = _joined(labels, written(links, "odd-links"))
 

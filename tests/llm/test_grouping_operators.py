@@ -144,7 +144,7 @@ def test_near_against_brute_force(spark, odd):
 
 def test_near_tiles_find_what_hubs_miss(spark, monkeypatch):
     monkeypatch.setattr(S, "HUB_ROUNDS", 0)
-    monkeypatch.setattr(S, "TILE", 7)
+    monkeypatch.setattr(S, "TILE_LOAD", 1300)
     texts = chain(40, 6)
     docs = documents(spark, list(enumerate(texts)))
     got = S.near_duplicates(docs).collect()
