@@ -135,6 +135,7 @@ def shared_fingerprints(rows: DataFrame, extract: Extract, ranges: int) -> DataF
         def flush(held, kept):
             nonlocal block
             name = part << 24 | block
+            place = int(mix(np.array([name], U))[0] % U(ranges))     # names are multiples of the number of ranges
             block += 1
             lengths = [len(x[0]) for x in held]
             every = np.concatenate([x[0] for x in held])
@@ -151,7 +152,7 @@ def shared_fingerprints(rows: DataFrame, extract: Extract, ranges: int) -> DataF
             used = [r for r in range(ranges) if bounds[r + 1] > bounds[r]]
             cut = [slice(bounds[r], bounds[r + 1]) for r in used]
             # what the block holds more than once goes straight to its answer
-            out = {"range": [*used, name % ranges], "block": [name] * (len(used) + 1),
+            out = {"range": [*used, place], "block": [name] * (len(used) + 1),
                    "kind": [0] * len(used) + [1],
                    "fps": [*(pack(one[c]) for c in cut), pack(every[many])],
                    "who": [*(who[c].tobytes() for c in cut), row[many].astype("<u2").tobytes()],
@@ -164,7 +165,7 @@ def shared_fingerprints(rows: DataFrame, extract: Extract, ranges: int) -> DataF
                  *(none(pa.int64(), len(cut) + 1) for _ in "nab")], names=names)
             k = len(held)
             own = pa.RecordBatch.from_arrays(
-                [pa.array([name % ranges] * k, pa.int32()), pa.array([name] * k, pa.int64()),
+                [pa.array([place] * k, pa.int32()), pa.array([name] * k, pa.int64()),
                  pa.array([2] * k, pa.int32()), *(none(pa.binary(), k) for _ in range(3)),
                  pa.array(range(k), pa.int32()), pa.concat_arrays(kept),
                  *(pa.array([x[i] for x in held], pa.int64()) for i in (1, 2, 3))], names=names)

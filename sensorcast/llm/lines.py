@@ -8,9 +8,10 @@ longest common prefix has at least that many lines; the place that comes first
 in an interval stays, the others are later copies. A suffix that is alone in its
 interval cannot lie in a longer one and leaves the computation.
 
-Runs of other lengths: the rank of the first and of the last 2^k lines of a run
-name its content, if it has 2^k to 2^(k+1) - 1 lines. A longest repeated run is
-the union of its shortest parts with enough characters, so only these are compared.
+The rank of the first and of the last 2^k lines of a run name its content, if it has
+2^k to 2^(k+1) - 1 lines. A longest repeated run is the union of its shortest parts
+with enough characters, so only these are compared, and no depth beyond the longest of
+them is ranked.
 
 Only DataFrame functions; every depth is written to the shared folder.
 """
@@ -38,18 +39,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 
 def _ranked(rows: DataFrame, by: list[str], depth: int) -> DataFrame:
-    """``rows`` (place, by, chars) that share their value of ``by`` with another
-    place, with the rank of that value and whether they come after its first
-    place."""
+    """``rows`` (place, by and more) that share their value of ``by`` with another
+    place, with the rank of that value."""
     place = F.struct("ord", *_DOC, "seq")
     groups = (rows.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last"))
               .where(F.col("first") != F.col("last"))
               .orderBy(*by)                                  # the order of the suffixes
-              .select(*by, "first", F.monotonically_increasing_id().alias("rank")))
+              .select(*by, F.monotonically_increasing_id().alias("rank")))
     groups = written(groups, f"lines-groups-{depth}")
-    out = (salted(rows, groups, by, salts=8)
-           .select("ord", *_DOC, "seq", "rank", "chars", "part", (place != F.col("first")).alias("later")))
-    return written(out, f"lines-ranked-{depth}")
+    return written(salted(rows, groups, by, salts=8).drop(*by), f"lines-ranked-{depth}")
 
 
 def _islands(level: DataFrame, min_chars: int) -> DataFrame:
@@ -98,41 +96,27 @@ def _later_runs(runs: DataFrame, level: DataFrame, depth: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   min_chars: int = MIN_CHARS, maximal: bool = False) -> DataFrame:
-    """(k1, k2, seqs): per document which of its worded lines (from 0) are deleted;
-    with ``maximal`` by runs of every length."""
+                   min_chars: int = MIN_CHARS) -> DataFrame:
+    """(k1, k2, seqs): per document which of its worded lines (from 0) are deleted."""
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
     rows = (docs.where(F.col(text_col).isNotNull())
             .select(*_keyed(docs, id_col, text_col),
                     F.posexplode(F.filter(lines, _worded)).alias("seq", "line"))
             .select("ord", *_DOC, F.col("seq").cast("long"), F.xxhash64("line").alias("id1"),
-                    F.hash("line").alias("id2"), F.length("line").cast("long").alias("chars"),
-                    F.lit(0).cast("long").alias("part")))
+                    F.hash("line").alias("id2"), F.length("line").cast("long").alias("chars")))
     # rows that repeat id and text are one document
     level = _ranked(rows, ["id1", "id2"], 1).dropDuplicates([*_DOC, "seq"])
-    depth, gone = 1, None
-    if maximal:
-        level = _islands(level, min_chars)
-        runs = _shortest(level, min_chars)
-    while True:
-        if maximal:
-            found = _later_runs(runs, level, depth)
-        else:
-            # a run whose halves are both long enough is deleted through them
-            found = (level.where(F.col("later") & (F.col("chars") >= min_chars) & (F.col("part") < min_chars))
-                     .select(*_DOC, F.explode(F.sequence("seq", F.col("seq") + (depth - 1))).alias("seq")))
-        gone = found if gone is None else gone.union(found)
-        # runs of min_chars lines have min_chars characters: longer ones add nothing
-        if (2 * depth > min_chars if maximal else depth >= min_chars) or level.isEmpty():
-            break
-        after = level.select(*_DOC, (F.col("seq") - depth).alias("seq"), F.col("rank").alias("rank2"),
-                             F.col("chars").alias("chars2"))
+    level = _islands(level, min_chars)
+    runs = written(_shortest(level, min_chars), "lines-runs")
+    longest = runs.agg(F.max("n")).first()[0] or 0
+    depth, gone = 1, _later_runs(runs, level, 1)
+    while 2 * depth <= longest:
+        after = level.select(*_DOC, (F.col("seq") - depth).alias("seq"), F.col("rank").alias("rank2"))
         pairs = (level.join(after, [*_DOC, "seq"])
-                 .select("ord", *_DOC, "seq", F.col("rank").alias("rank1"), "rank2",
-                         (F.col("chars") + F.col("chars2")).alias("chars"),
-                         F.least("chars", "chars2").alias("part")))
+                 .select("ord", *_DOC, "seq", F.col("rank").alias("rank1"), "rank2"))
         depth *= 2
         level = _ranked(pairs, ["rank1", "rank2"], depth)
+        gone = gone.union(_later_runs(runs, level, depth))
     return gone.distinct().groupBy(*_DOC).agg(F.collect_list("seq").alias("seqs"))
 
 
@@ -155,14 +139,13 @@ def _without(text: Column, seqs: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                min_chars: int = MIN_CHARS, keep: tuple[str, ...] = (),
-                maximal: bool = False) -> DataFrame:
+                min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every document without the later copies of repeated line runs.
 
     Lines end at ``\\n``; those without a character other than white space stay
-    where they are and are passed over. A run of 2^k consecutive lines (with
-    ``maximal`` of any number of them) with ``min_chars`` or more characters in all is a later copy if the same lines
-    also start at an earlier place: in a document with a smaller id, of equal
+    where they are and are passed over. A run of any number of consecutive lines with
+    ``min_chars`` or more characters in all is a later copy if the same lines also
+    start at an earlier place: in a document with a smaller id, of equal
     ids in that with the smaller key, or further up in the same document; its
     lines are deleted. One row per input row: (id_col, n_lines, n_removed,
     kept_text) and the columns in ``keep``. A null text has 0 lines and stays
@@ -171,7 +154,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result.
     """
     text = F.col(text_col).cast("string")
-    gone = written(repeated_lines(docs, id_col, text_col, min_chars, maximal), "lines-gone")
+    gone = written(repeated_lines(docs, id_col, text_col, min_chars), "lines-gone")
     keep = tuple(c for c in keep if c not in (id_col, "n_lines", "n_removed", "kept_text"))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *_keyed(docs, id_col, text_col)[1:],
                        F.struct(*keep).alias("kept") if keep else F.lit(None).cast("string").alias("kept"))

@@ -1,10 +1,13 @@
 """Packing: mixture-controlled sequences by deficit round-robin.
 
-The tokenized documents of a source form its queue. The queues are dealt to
-groups of windows in proportion to their lengths: group g holds the tokens of a
-source between floor(total * g / groups) and floor(total * (g + 1) / groups), so
+The tokenized documents of a source, long ones in pieces, form its queue in the order
+of a hash of id, text and piece, so that it depends on the documents alone. The queues
+are dealt to groups of windows in proportion to their lengths: group g holds the tokens
+of a source between floor(total * g / groups) and floor(total * (g + 1) / groups), so
 every group has the target mixture, whatever a source's size, and what rounding
-leaves over carries to the next group. Inside a group, a deficit round-robin
+leaves over carries to the next group. Where a document lies follows from the lengths
+of the hash ranges before its own and, inside a range, from its group: a group gets
+whole ranges and cuts them at its borders. Inside a group, a deficit round-robin
 fills window after window: each window credits every source with its share of
 the window, the source with the largest deficit is served next, and deficits
 carry to the next window.
@@ -16,18 +19,19 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import salted, written
+from .fingerprints import mix
 
 WINDOW = 2048
 END_ID = 1                # fixed value: the id that ends a document
 GROUP_WINDOWS = 1024      # windows a task packs at once (2 M tokens)
+GROUP_RANGES = 32         # hash ranges of about a group's tokens; border ranges go to two groups
+PIECE = 1 << 15           # tokens of a document that stay together in its queue
 #: A served source gets at least so many tokens, so that a document is not torn
 #: into a shred per window; what it gets early is a negative deficit.
 LEAST_PIECE = 256
@@ -70,28 +74,29 @@ def byte_bpe(json_path: str, ranks_path: str | None = None) -> Callable[[], Call
 
 
 def tokenized(docs: DataFrame, tokenizer, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(part, source, start, id, n, ids): every document's ids with the end id, and where
-    they begin among the tokens that its task read of its source."""
+    """(source, key, id, total, begin, n, ids): the pieces of every document's ids with
+    the end id, and a hash of the document and the piece."""
     def run(batches):
         encode = tokenizer()
-        part = TaskContext.get().partitionId()
-        ahead: dict = {}
         for b in batches:
-            start, ids, n = [], [], []
-            for source, text in zip(b.column("source").to_pylist(), b.column("text"), strict=True):
-                x = np.array([*encode(text.as_py() or ""), END_ID], np.uint32)
-                start.append(ahead.get(source, 0))
-                ahead[source] = start[-1] + len(x)
-                n.append(len(x))
-                ids.append(x.astype("<u2").tobytes() if x.max() < 65536 else x.astype("<u4").tobytes())
+            cols: list[list] = [[] for _ in range(7)]
+            for row in zip(b.column("source").to_pylist(), b.column("key").to_pylist(), b.column("id").to_pylist(),
+                           b.column("text"), strict=True):
+                x = np.array([*encode(row[3].as_py() or ""), END_ID], np.uint32)
+                kind = "<u2" if x.max() < 65536 else "<u4"
+                for k in range(0, len(x), PIECE):
+                    part = x[k:k + PIECE]
+                    key = int(mix(np.array([row[1] & (1 << 64) - 1], np.uint64) ^ mix(np.array([k], np.uint64)))[0] >> np.uint64(4))
+                    for c, v in zip(cols, (row[0], key, row[2], len(x), k, len(part), part.astype(kind).tobytes()), strict=True):
+                        c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(n), pa.int64()), b.column("source"), pa.array(start, pa.int64()),
-                 b.column("id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                names=["part", "source", "start", "id", "n", "ids"])
+                [pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 5, pa.binary()), strict=True)],
+                names=["source", "key", "id", "total", "begin", "n", "ids"])
 
-    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
-                        F.col(source_col).cast("string").alias("source"))
-            .mapInArrow(run, "part long, source string, start long, id long, n long, ids binary"))
+    i, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    key = F.xxhash64(F.coalesce(i.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    return (docs.select(i.alias("id"), text.alias("text"), F.col(source_col).cast("string").alias("source"), key.alias("key"))
+            .mapInArrow(run, "source string, key long, id long, total long, begin long, n long, ids binary"))
 
 
 def round_robin(lengths: list[np.ndarray], window: int = WINDOW,
@@ -148,52 +153,57 @@ def pack(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_col: str = "te
     and groups as it needs, an empty table gives an empty result.
     """
     tok = written(tokenized(docs, tokenizer, id_col, text_col, source_col), "pack-tokens")
-    key = [F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name")]
-    # One row per (task, source): where its tokens begin in the source's queue.
-    parts = tok.groupBy("part", *key).agg(F.sum("n").alias("tokens"))
-    by_source = W.partitionBy("no_source", "name")
-    queue = (parts.withColumn("ahead", F.coalesce(F.sum("tokens").over(
-                by_source.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-             .withColumn("total", F.sum("tokens").over(by_source)))
-    # written, so that its size is known: a small one is broadcast and no ids are shuffled
-    queue = written(queue, "pack-queues")
-    n_sources, total = queue.agg(F.countDistinct("no_source", "name"), F.sum("tokens")).first()
+    tok = tok.select(F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name"),
+                     *[c for c in tok.columns if c != "source"])
+    name = ["no_source", "name"]
+    # written, so that their sizes are known: small ones are broadcast and no ids are shuffled
+    sources = written(tok.groupBy(*name).agg(F.sum("n").alias("tokens"))
+                      .withColumn("ranges", F.ceil(F.col("tokens") * GROUP_RANGES / (window * group_windows))),
+                      "pack-sources")
+    n_sources, total = sources.agg(F.count("*"), F.sum("tokens")).first()
     groups = max(1, -(-(total or 0) // (window * group_windows)))
     stride = group_windows + 2 + (n_sources or 0) // window
-
-    edge = lambda g: F.expr(f"cast(cast(total as decimal(20,0)) * cast({g} as decimal(18,0)) div {groups} as long)")
+    ranged = (salted(tok, sources, name, salts=4)
+              .withColumn("range", F.expr("cast(cast(key as decimal(20,0)) * ranges div 1152921504606846976 as long)")))
+    # One row per source and hash range: where its tokens begin in the source's queue.
+    queue = (ranged.groupBy(*name, "range", "tokens").agg(F.sum("n").alias("held"))
+             .withColumn("ahead", F.coalesce(F.sum("held").over(
+                 W.partitionBy(*name).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))
     group_of = lambda t: F.expr(
-        f"cast((cast({t} + 1 as decimal(20,0)) * cast({groups} as decimal(18,0)) - 1) div cast(total as decimal(20,0)) as long)")
-    placed = (salted(tok.select(*key, "part", "start", "id", "n", "ids"),
-                     queue.drop("tokens"), ["part", "no_source", "name"], salts=4)
-              .withColumn("first", F.col("ahead") + F.col("start"))
-              .withColumn("last", F.col("first") + F.col("n") - 1)
-              .withColumn("grp", F.explode(F.sequence(group_of("first"), group_of("last")))))
-    width = (F.length("ids") / F.col("n")).cast("int")
-    begin = F.greatest(F.lit(0).cast("long"), edge("grp") - F.col("first"))
-    end = F.least(F.col("n"), edge("grp + 1") - F.col("first"))
-    dealt = (placed.withColumn("begin", begin).withColumn("len", end - begin)
-             .withColumn("width", width)
-             .select("grp", "no_source", "name", "first", "id", "n", "begin", "len", "width",
-                     F.expr("substring(ids, cast(begin * width as int) + 1, cast(len * width as int))").alias("ids"))
-             .where(F.col("len") > 0))
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["no_source", "name", "first"], kind="stable")
-        grp = int(pdf["grp"].iloc[0])
-        docs_of = [d for _, d in pdf.groupby(["no_source", "name"], sort=True)]
-        arrays = [[np.frombuffer(x, "<u2" if w == 2 else "<u4") for x, w in zip(d["ids"], d["width"], strict=True)]
-                  for d in docs_of]
-        cols = [(d["id"].tolist(), d["begin"].to_numpy(), d["n"].to_numpy(),
-                 None if d["no_source"].iloc[0] else d["name"].iloc[0]) for d in docs_of]
-        rows = []
-        for q, i, at, n, w, offset in round_robin([d["len"].to_numpy() for d in docs_of], window):
-            raw = arrays[q][i][at:at + n].astype("<u4").tobytes()
-            ids, begins, ns, name = cols[q]
-            rows.append((ids[i], int(begins[i]) + at, n, zlib.crc32(raw), int(ns[i]),
-                         grp * stride + w, offset, name, raw if with_ids else None))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
-        out["id"] = out["id"].astype("Int64")
-        return out
-
-    return dealt.groupBy("grp").applyInPandas(fill, PIECES).withColumnRenamed("id", id_col)
+        f"cast((cast({t} + 1 as decimal(20,0)) * cast({groups} as decimal(18,0)) - 1) div cast(tokens as decimal(20,0)) as long)")
+    queue = written(queue.select(*name, "range", "ahead", F.sequence(group_of("ahead"), group_of("ahead + held - 1"))
+                                 .alias("grps")), "pack-queues")
+    dealt = (salted(ranged, queue, [*name, "range"], salts=4)
+             .select(F.explode("grps").alias("grp"), *name, "tokens", "ahead", "key", "id", "begin", "total", "n", "ids"))
+
+    def fill(t: pa.Table) -> pa.Table:
+        grp = t.column("grp")[0].as_py()
+        t = t.sort_by([(c, "ascending") for c in (*name, "ahead", "key", "id", "begin")])
+        ids, n, begin = t.column("ids"), t.column("n").to_numpy(), t.column("begin").to_numpy()
+        own, sums, cut = t.column("id").to_pylist(), t.column("total").to_pylist(), []
+        label = [(a, b) for a, b in zip(t.column("no_source").to_pylist(), t.column("name").to_pylist(), strict=True)]
+        ahead, tokens = t.column("ahead").to_numpy(), t.column("tokens").to_numpy()
+        new = np.flatnonzero([k == 0 or label[k] != label[k - 1] or ahead[k] != ahead[k - 1] for k in range(len(n))])
+        before = np.cumsum(n) - n
+        first = before - np.repeat(before[new], np.diff([*new, len(n)])) + ahead
+        queues: dict = {}
+        for k, name_ in enumerate(label):
+            lo, hi = int(tokens[k]) * grp // groups, int(tokens[k]) * (grp + 1) // groups
+            a, z = max(0, lo - int(first[k])), min(int(n[k]), hi - int(first[k]))
+            if a < z:
+                raw = np.frombuffer(ids[k].as_py(), "<u2" if len(ids[k].as_py()) == 2 * n[k] else "<u4")
+                queues.setdefault(name_, []).append((k, a, raw[a:z]))
+        cols: list[list] = [[] for _ in PIECES.split(", ")]
+        lists = [queues[k] for k in sorted(queues)]
+        names = [None if k[0] else k[1] for k in sorted(queues)]
+        for q, i, at, m, w, offset in round_robin([np.array([len(x[2]) for x in d]) for d in lists], window):
+            k, a, x = lists[q][i]
+            raw = x[at:at + m].astype("<u4").tobytes()
+            for c, v in zip(cols, (own[k], int(begin[k]) + a + at, m, zlib.crc32(raw), sums[k], grp * stride + w, offset,
+                                   names[q], raw if with_ids else None), strict=True):
+                c.append(v)
+        types = [pa.int64()] * 7 + [pa.string(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)],
+                                    names=[c.split()[0] for c in PIECES.split(", ")])
+
+    return dealt.groupBy("grp").applyInArrow(fill, PIECES).withColumnRenamed("id", id_col)

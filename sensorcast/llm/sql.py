@@ -103,19 +103,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
-# Runs of 1, 2, 4, ... 64 lines; at 64 lines a run has 60 characters anyway.
-_RUNS = "\n  UNION ALL ".join(
-    f"""SELECT doc_id, i, {k} AS len, md5(array_to_string(l[i:i + {k - 1}], chr(10))) AS s,
-         list_sum(list_transform(l[i:i + {k - 1}], lambda x: length(x))) AS chars
-  FROM (SELECT doc_id, l, unnest(range(1, len(l) - {k - 2})) AS i FROM docs WHERE len(l) >= {k})"""
-    for k in (1, 2, 4, 8, 16, 32, 64))
-
 LINES = rf"""
 WITH docs AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS every,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
-runs AS ({_RUNS}),
+-- a worded line has a character, so a run of 60 lines has 60 and longer ones add nothing
+runs AS (
+  SELECT doc_id, i, len, md5(array_to_string(l[i:i + len - 1], chr(10))) AS s,
+         list_sum(list_transform(l[i:i + len - 1], lambda x: length(x))) AS chars
+  FROM (SELECT doc_id, l, i, unnest(range(1, least(60, len(l) - i + 1) + 1)) AS len
+        FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM docs))),
 firsts AS (SELECT len, s, min({{'d': doc_id, 'i': i}}) AS first FROM runs GROUP BY len, s),
 gone AS (
   SELECT DISTINCT doc_id, unnest(range(i, i + len)) AS seq

@@ -163,7 +163,7 @@ def test_fm_index_intervals():
 
 # --- line dedup ------------------------------------------------------------------
 def plain_lines(rows, min_chars):
-    """Every run of 2^k worded lines at its first place stays."""
+    """Every run of worded lines at its first place stays."""
     docs = {}
     for d, t in rows:
         if t is not None:
@@ -178,7 +178,7 @@ def plain_lines(rows, min_chars):
                 first[s] = min(first.get(s, (float("inf"),)), (key[0], i))
                 if sum(map(len, s)) >= min_chars:
                     runs.append((key, i, s))
-            k *= 2
+            k += 1
     gone = defaultdict(set)
     for key, i, s in runs:
         if first[s] < (key[0], i):
@@ -244,7 +244,7 @@ def test_lines_maximal_runs(spark, min_chars):
         for _ in range(2):
             docs.append((len(docs), "\n".join([f"before {len(docs)}", *block, f"after {len(docs)}"])))
     got = {r.doc_id: (r.n_removed, r.kept_text)
-           for r in lines.dedup_lines(documents(spark, docs), min_chars=min_chars, maximal=True).collect()}
+           for r in lines.dedup_lines(documents(spark, docs), min_chars=min_chars).collect()}
     gone = runs_of_any_length(docs, min_chars)
     for d, t in docs:
         worded = [x for x in t.split("\n") if WORD.search(x)]
@@ -377,6 +377,21 @@ def test_pack_round_trip(spark, odd, empty):
     assert packing.pack(empty, tokenizer()).count() == 0
 
 
+def test_pack_depends_on_documents_alone(spark):
+    """The same rows in other orders and partitions give the same pieces."""
+    docs = table(spark, SF_SMALL, "documents")
+    docs = docs.unionByName(docs.limit(9)).unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    got = [Counter(tuple(r) for r in packing.pack(d, tokenizer(), window=256, group_windows=16).drop("ids").collect())
+           for d in (docs, docs.orderBy(F.desc("text")).coalesce(1), docs.repartition(7, "source"))]
+    assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_pack_cuts_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECE", 50)
+    docs = documents(spark, [(k, " ".join(f"w{j}" for j in range(k * 40)), "en", "ab"[k % 2]) for k in range(12)])
+    check_pack(docs, packing.pack(docs, tokenizer(), window=64, group_windows=4).collect(), 64)
+
+
 def test_pack_mixture_and_groups(spark):
     docs = table(spark, SF_SMALL, "documents")
     pieces = packing.pack(docs, tokenizer(), window=256, group_windows=16).collect()
