@@ -32,7 +32,7 @@ SAMPLES = 256
 BITS = 1024               # of an odd sketch
 #: A pair of similarity 0.85 shares no bucket with probability (1 - 0.85^4)^24 < 3e-8.
 ROWS, BANDS = 4, 24
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
 TILE_LOAD = 1 << 19       # shingles of members of a bucket that are compared with as many
 GROUP_LOAD = 1 << 22      # shingles of the small buckets that one task looks at
 FEW_PAIRS = 100_000       # of 32 bytes each: these are broadcast
@@ -135,7 +135,7 @@ def _near_sketches(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame
     x, y = (slim.select(F.col("cid").alias(p), F.col("n").alias(f"{p}_n"), F.col("sketch").alias(f"{p}_s"))
             for p in "ab")
     apart = sum((F.bit_count(F.col("a_s")[i].bitwiseXOR(F.col("b_s")[i])) for i in range(BITS // 64)), F.lit(0))
-    return (salted(salted(pairs, x, ["a"]), y, ["b"])
+    return (salted(salted(pairs, x, ["a"], salts=4), y, ["b"], salts=4)
             .where((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
                    & (apart <= most_bits(percent))).select("a", "b"))
 
@@ -250,8 +250,8 @@ def _tiles(open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     busy = written(dealt.groupBy("grp").applyInArrow(flag, dealt.schema), "odd-busy")
-    return (salted(busy, full.select("cid", "fps"), ["cid"]).groupBy("grp").applyInArrow(link, "a binary, b binary")
-            .distinct())
+    # a member lies in few buckets, so its set needs no salt
+    return busy.join(full.select("cid", "fps"), "cid").groupBy("grp").applyInArrow(link, "a binary, b binary").distinct()
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -20,12 +20,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import salted, written
-from .fingerprints import mix
 
 WINDOW = 2048
 END_ID = 1                # fixed value: the id that ends a document
@@ -79,16 +79,16 @@ def tokenized(docs: DataFrame, tokenizer, id_col: str, text_col: str, source_col
     def run(batches):
         encode = tokenizer()
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            rows: list[tuple] = []
             for row in zip(b.column("source").to_pylist(), b.column("key").to_pylist(), b.column("id").to_pylist(),
                            b.column("text"), strict=True):
                 x = np.array([*encode(row[3].as_py() or ""), END_ID], np.uint32)
                 kind = "<u2" if x.max() < 65536 else "<u4"
                 for k in range(0, len(x), PIECE):
                     part = x[k:k + PIECE]
-                    key = int(mix(np.array([row[1] & (1 << 64) - 1], np.uint64) ^ mix(np.array([k], np.uint64)))[0] >> np.uint64(4))
-                    for c, v in zip(cols, (row[0], key, row[2], len(x), k, len(part), part.astype(kind).tobytes()), strict=True):
-                        c.append(v)
+                    key = ((row[1] ^ k * 0x9E3779B97F4A7C15) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1) >> 4
+                    rows.append((row[0], key, row[2], len(x), k, len(part), part.astype(kind).tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 5, pa.binary()), strict=True)],
                 names=["source", "key", "id", "total", "begin", "n", "ids"])
@@ -178,8 +178,9 @@ def pack(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_col: str = "te
 
     def fill(t: pa.Table) -> pa.Table:
         grp = t.column("grp")[0].as_py()
-        t = t.sort_by([(c, "ascending") for c in (*name, "ahead", "key", "id", "begin")])
-        ids, n, begin = t.column("ids"), t.column("n").to_numpy(), t.column("begin").to_numpy()
+        order = pc.sort_indices(t.drop_columns(["ids"]), [(c, "ascending") for c in (*name, "ahead", "key", "id", "begin")])
+        ids, t = t.column("ids"), t.drop_columns(["ids"]).take(order)
+        order, n, begin = order.to_pylist(), t.column("n").to_numpy(), t.column("begin").to_numpy()
         own, sums, cut = t.column("id").to_pylist(), t.column("total").to_pylist(), []
         label = [(a, b) for a, b in zip(t.column("no_source").to_pylist(), t.column("name").to_pylist(), strict=True)]
         ahead, tokens = t.column("ahead").to_numpy(), t.column("tokens").to_numpy()
@@ -191,17 +192,18 @@ def pack(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_col: str = "te
             lo, hi = int(tokens[k]) * grp // groups, int(tokens[k]) * (grp + 1) // groups
             a, z = max(0, lo - int(first[k])), min(int(n[k]), hi - int(first[k]))
             if a < z:
-                raw = np.frombuffer(ids[k].as_py(), "<u2" if len(ids[k].as_py()) == 2 * n[k] else "<u4")
+                raw = ids[order[k]].as_buffer()
+                raw = np.frombuffer(raw, "<u2" if raw.size == 2 * n[k] else "<u4")
                 queues.setdefault(name_, []).append((k, a, raw[a:z]))
-        cols: list[list] = [[] for _ in PIECES.split(", ")]
+        rows = []
         lists = [queues[k] for k in sorted(queues)]
         names = [None if k[0] else k[1] for k in sorted(queues)]
         for q, i, at, m, w, offset in round_robin([np.array([len(x[2]) for x in d]) for d in lists], window):
             k, a, x = lists[q][i]
             raw = x[at:at + m].astype("<u4").tobytes()
-            for c, v in zip(cols, (own[k], int(begin[k]) + a + at, m, zlib.crc32(raw), sums[k], grp * stride + w, offset,
-                                   names[q], raw if with_ids else None), strict=True):
-                c.append(v)
+            rows.append((own[k], int(begin[k]) + a + at, m, zlib.crc32(raw), sums[k], grp * stride + w, offset,
+                         names[q], raw if with_ids else None))
+        cols = list(zip(*rows, strict=True)) or [()] * 9
         types = [pa.int64()] * 7 + [pa.string(), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)],
                                     names=[c.split()[0] for c in PIECES.split(", ")])
