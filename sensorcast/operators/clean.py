@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timefn import ts_literal
+from ..functions.timefn import chunk_index, ts_literal
 from .layout import spread_join
 
+#: Per-series periods are met day by day.
+DAY = "1 day"
+
 
 def _in_any(ts: Column, intervals, half_open: bool = False) -> Column:
     cond = F.lit(False)
@@ -26,15 +29,20 @@ def exclude_interval(df: DataFrame, intervals, ts_col: str = "ts",
     23:59:59 lets 23:59:59.5 escape, as it does in the reference).
 
     ``intervals`` is a list of ``(start, end)`` text pairs valid for every
-    series, or a DataFrame ``(series_id, start, end)`` of per-series periods,
-    applied as a range anti join (Spark picks broadcast or sort-merge by size).
+    series, or a DataFrame ``(series_id, start, end)`` of per-series periods. These
+    are cut into the days they touch and met by an equi join on (series, day), so a
+    reading sees the periods of its day only, however many its sensor has, and a hot
+    sensor is spread over its days. A period without a start, or that ends before it
+    starts, removes nothing.
     """
     if isinstance(intervals, DataFrame):
-        iv = intervals.select(F.col(series_col).alias("_sid"), F.col("start").alias("_s"),
-                              F.col("end").alias("_e"))
-        cond = ((df[series_col] == iv["_sid"]) & (df[ts_col] >= iv["_s"])
-                & (df[ts_col] <= iv["_e"]))
-        return df.join(iv, cond, "left_anti")
+        iv = (intervals.select(F.col(series_col).alias("_sid"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+              .where(F.col("_s") <= F.col("_e"))
+              .select("*", F.explode(F.sequence(chunk_index("_s", DAY, 1), chunk_index("_e", DAY, 1))).alias("_iday")))
+        x = df.withColumn("_day", chunk_index(ts_col, DAY, 1))
+        inside = x[ts_col] < iv["_e"] if half_open else x[ts_col] <= iv["_e"]
+        cond = ((x[series_col] == iv["_sid"]) & (x["_day"] == iv["_iday"]) & (x[ts_col] >= iv["_s"]) & inside)
+        return x.join(iv, cond, "left_anti").drop("_day")
     if not intervals:
         return df
     return df.where(~_in_any(F.col(ts_col), intervals, half_open))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ...functions.timefn import bucket_index
 from ..layout import spread_join
 from .common import explode_steps, forecast_frame, origin_rows
+from .solve import gram_sums, solve_rows
 
 
 def _t(ts: str | Column, freq: str) -> Column:
@@ -52,7 +53,9 @@ def poly_trend_fit(df: DataFrame, freq: str, degree: int = 2,
     sums = x.groupBy("series_id", "mid", "half").agg(
         *[F.sum(power(k)).alias(f"s_{k}") for k in range(2 * degree + 1)],
         *[F.sum(F.col("value") * power(k)).alias(f"v_{k}") for k in range(degree + 1)],
-        F.count(F.lit(1)).alias("n"), F.countDistinct("ts").alias("_times"))
+        F.count(F.lit(1)).alias("n"), F.max("ts").alias("_last"), F.min("ts").alias("_first"))
+    # the input is resampled: one row per bucket, so the rows are distinct times
+    sums = sums.withColumn("_times", F.when(F.col("_first") == F.col("_last"), 1).otherwise(F.col("n")))
     k = degree + 1
     frame = sums.select("series_id", "mid", "half", "n", "_times", *[
         F.col(f"s_{i + j}" if j < k else f"v_{i}").alias(f"m_{i}_{j}") for i in range(k) for j in range(k + 1)])
@@ -105,6 +108,34 @@ def seasonal_fit(df: DataFrame, trend: DataFrame, freq: str, period: int, harmon
                        - F.col("slope") * F.col(f"t_{n}"))).alias(n) for n in waves])
 
 
+def joint_fit(df: DataFrame, freq: str, period: int, harmonics: int,
+              split_value: str | None = "train") -> DataFrame:
+    """Line and harmonics of a series by one least-squares fit: (series_id, intercept,
+    slope, a_1, b_1, ..., n), to be used wherever ``trend_fit`` and ``seasonal_fit``
+    are. Projections are exact on a full grid only; where buckets are missing the line
+    and the waves are not orthogonal, and only the joint system separates them.
+
+    One aggregate finds the span, a second one small Gram matrix per series in
+    u = (t - mid) / half; it is solved by Cholesky in the tasks. A series with too few
+    buckets, or all at the same phases, has NULL coefficients."""
+    x = df.where(F.col("split") == split_value) if split_value else df
+    x = x.where(F.col("value").isNotNull())
+    t = _t("ts", freq).cast("double")
+    span = x.groupBy("series_id").agg(((F.min(t) + F.max(t)) / 2).alias("mid"),
+                                      F.greatest((F.max(t) - F.min(t)) / 2, F.lit(1.0)).alias("half"))
+    x = spread_join(x.select("series_id", "ts", "value"), span, ["series_id"], by="ts")
+    waves = {f"{c}_{k}": f(_phase(_t("ts", freq), k, period))
+             for k in range(1, harmonics + 1) for c, f in (("a", F.cos), ("b", F.sin))}
+    x = x.select("series_id", "mid", "half", "value", ((t - F.col("mid")) / F.col("half")).alias("u"),
+                 *[w.alias(n) for n, w in waves.items()])
+    columns = [F.lit(1.0), F.col("u"), *[F.col(n) for n in waves]]
+    sums = x.groupBy("series_id", "mid", "half").agg(*gram_sums(columns, F.col("value")), F.count(F.lit(1)).alias("n"))
+    c = solve_rows(sums, ["series_id", "mid", "half", "n"], len(columns))
+    return c.select("series_id", (F.col("c_0") - F.col("c_1") * F.col("mid") / F.col("half")).alias("intercept"),
+                    (F.col("c_1") / F.col("half")).alias("slope"),
+                    *[F.col(f"c_{i}").alias(n) for i, n in enumerate(waves, 2)], "n")
+
+
 def decompose_value(t: Column, harmonics: int, period: int) -> Column:
     """trend(t) + sum_k a_k cos + b_k sin, given trend and seasonal columns."""
     e = trend_value(t=t)

@@ -37,18 +37,26 @@ def with_keys(df: DataFrame, keys) -> DataFrame:
     return df
 
 
+def known_small(df: DataFrame) -> bool:
+    """Whether Spark plans ``df`` at a size that it would broadcast."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 def spread_join(df: DataFrame, params: DataFrame, keys, how: str = "inner",
                 parts: int = SPREAD, by: str | None = None) -> DataFrame:
     """Equi join of rows with a table of one row per key.
 
     The rows of a key are dealt over ``parts`` tasks (by the hash of ``by``, by
     default of all other columns) and the parameter rows are repeated for each,
-    so a hot series never meets its parameters in one task. Where Spark knows or
-    measures the parameter table to be small it broadcasts it and nothing is
-    shuffled."""
+    so a hot series never meets its parameters in one task. A parameter table that
+    Spark knows to be small is broadcast as it is and nothing is shuffled: its repeated
+    rows would be planned at the same size, and broadcast ``parts`` times over."""
     keys = list(keys)
     if not keys:
         raise ValueError("spread_join needs keys")
+    if known_small(params):
+        return df.join(params, keys, how)
     other = [by] if by else [c for c in df.columns if c not in keys] or keys
     left = df.withColumn("_part", F.pmod(F.xxhash64(*other), F.lit(parts)).cast("int"))
     right = params.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))

@@ -4,13 +4,13 @@ multivariate views, spikes and KPI roll-ups."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import errors as E
 from ..functions.timefn import bucket_start
 from .forecast.common import forecast_frame
-from .layout import spread_join
+from .layout import CHUNK, spread_join, with_halo
 
 # Fixed value: logistic approximation of the normal CDF, Phi(z) ~ 1/(1+e^(-1.702 z)).
 LOGISTIC_K = 1.702
@@ -66,7 +66,7 @@ def inverse_rmse_weights(metrics_df: DataFrame, keys=("series_id",)) -> DataFram
 def ensemble(fc: DataFrame, weights: DataFrame, model: str = "ensemble") -> DataFrame:
     """Weighted mean of point forecasts sharing (series, origin, step);
     weights renormalised over the models present for each row."""
-    x = fc.where(F.col("q").isNull()).join(weights, ["series_id", "model"])
+    x = spread_join(fc.where(F.col("q").isNull()), weights, ["series_id", "model"], by="origin_ts")
     g = x.groupBy("series_id", "origin_ts", "step", "target_ts").agg(
         (F.sum(F.col("weight") * F.col("predicted")) / F.sum("weight")).alias("predicted"))
     return forecast_frame(g, model, F.col("predicted"))
@@ -132,3 +132,65 @@ def kpi_rollup(df: DataFrame, value_col: str = "value") -> DataFrame:
     return out.withColumn("level", F.when(F.col("hour").isNull(), F.lit("day"))
                           .otherwise(F.lit("hour")))
 
+
+
+# Fixed value: the MAD of a normal distribution times this is its sd.
+MAD_TO_SD = 1.4826
+
+
+def _median(ordered: Column) -> Column:
+    n = F.size(ordered)
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+
+def hampel_spikes(df: DataFrame, half: int = 6, limit: float = 3.0, chunk_rows: int = 1440,
+                  idx_col: str = "time_idx") -> DataFrame:
+    """Rows further from the median of the ``half`` rows on either side (and their
+    own) than ``limit`` robust sd, MAD_TO_SD times the median absolute deviation. A
+    spike moves neither, so neighbouring spikes don't hide each other. Input has a dense
+    row index; frames lie in (series, chunk) with a halo of ``half`` rows, so a task
+    holds one chunk. Around a constant stretch (MAD 0) every other value is a spike."""
+    x = with_halo(df.where(F.col("value").isNotNull()), idx_col, chunk_rows, back=half, fwd=half)
+    w = Window.partitionBy("series_id", CHUNK).orderBy(idx_col).rowsBetween(-half, half)
+    x = x.select("*", F.sort_array(F.collect_list("value").over(w)).alias("_near")).where("_own")
+    x = x.withColumn("median", _median(F.col("_near")))
+    away = F.sort_array(F.transform("_near", lambda v: F.abs(v - F.col("median"))))
+    x = x.withColumn("robust_sd", F.lit(MAD_TO_SD) * _median(away))
+    return (x.where(F.abs(F.col("value") - F.col("median")) > F.lit(limit) * F.col("robust_sd"))
+            .drop("_near", "_own", CHUNK))
+
+
+def normal_draw(*key: Column) -> Column:
+    """A standard normal number that is a function of its key alone (MD5 counter,
+    Box-Muller): the same on every engine, partitioning and rerun."""
+    def uniform(part: str) -> Column:
+        digest = F.md5(F.concat_ws(":", *[k.cast("string") for k in key], F.lit(part)))
+        return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0 ** 52)
+    return (F.sqrt(-2.0 * F.log(uniform("a") + F.lit(2.0 ** -53))) * F.cos(F.lit(2.0 * 3.141592653589793) * uniform("b")))
+
+
+def time_to_breach(origins: DataFrame, params: DataFrame, limits: DataFrame, horizon: int,
+                   paths: int = 200, seed: int = 0) -> DataFrame:
+    """Probability that a series has passed its limit by step 1..H of an AR(1).
+
+    A breach at some step is not a breach at this step: the first passage needs whole
+    paths. ``paths`` paths per origin (series_id, origin_ts, origin_value) are simulated
+    row by row with draws keyed by (seed, series, origin, path, step). Returns
+    (series_id, origin_ts, step, prob_by, mean_step), ``mean_step`` over the paths that
+    breach, null if none does. Series without parameters or a limit are left out."""
+    x = spread_join(spread_join(origins, params.select("series_id", "phi", "c", "sigma"), ["series_id"], by="origin_ts"),
+                    limits, ["series_id"], by="origin_ts")
+    x = x.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))))
+    key = (F.lit(seed), F.col("series_id"), F.unix_micros(F.col("origin_ts").cast("timestamp")), F.col("path"))
+
+    def walk(state: Column, step: Column) -> Column:
+        y = F.col("c") + F.col("phi") * state["y"] + F.col("sigma") * normal_draw(*key, step)
+        hit = F.when(state["hit"] > 0, state["hit"]).when(y > F.col("limit"), step).otherwise(F.lit(0))
+        return F.struct(y.alias("y"), hit.alias("hit"))
+    start = F.struct(F.col("origin_value").alias("y"), F.lit(0).alias("hit"))
+    x = x.select("series_id", "origin_ts", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, walk)["hit"].alias("hit"))
+    by = [F.avg(((F.col("hit") > 0) & (F.col("hit") <= h)).cast("double")) for h in range(1, horizon + 1)]
+    x = x.groupBy("series_id", "origin_ts").agg(F.array(*by).alias("by"),
+                                                F.avg(F.when(F.col("hit") > 0, F.col("hit"))).alias("mean_step"))
+    return x.select("series_id", "origin_ts", F.posexplode("by").alias("_i", "prob_by"), "mean_step").select(
+        "series_id", "origin_ts", (F.col("_i") + 1).alias("step"), "prob_by", "mean_step")

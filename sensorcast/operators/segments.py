@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import chunk_index, freq_micros
-from .layout import CHUNK, neighbour, place, row_index, with_keys
+from .layout import CHUNK, neighbour, place, row_index, spread_join, with_keys
 
 
 def _chunked(df: DataFrame, ts_col: str, freq: str, chunk_buckets: int) -> DataFrame:
@@ -81,7 +81,7 @@ def keep_long_segments(df: DataFrame, min_length: int = 3, keys=("series_id",),
     grouped count joined back (partial aggregation, no per-segment task)."""
     sizes = (df.groupBy(*keys, segment_col).agg(F.count(F.lit(1)).alias("_n"))
              .where(F.col("_n") >= F.lit(min_length)).drop("_n"))
-    return df.join(sizes, [*keys, segment_col], "left_semi")
+    return spread_join(df, sizes, [*keys, segment_col], "left_semi", by="ts" if "ts" in df.columns else None)
 
 
 def dense_time_index(df: DataFrame, freq: str = "1 minute", keys=("series_id",),

@@ -965,7 +965,7 @@ SELECT series_id, origin_ts, step, {O.r('actual')}, {O.r('predicted')} FROM alig
 def q_unscale(spark, sf):
     p, fc = ar_rolling(spark, sf)
     params = SC.fit_scaler(p)
-    a = EV.align(fc, p).join(params, "series_id")
+    a = spread_join(EV.align(fc, p), params, ["series_id"], by="target_ts")
     scaled = a.select("series_id", "origin_ts", "step",
                       ((F.col("actual") - F.col("mean")) / F.col("std")).alias("actual"),
                       ((F.col("predicted") - F.col("mean")) / F.col("std")).alias("predicted"),
@@ -1477,3 +1477,6 @@ FROM aligned WHERE {VALID} GROUP BY model""")
 def q_loss_table(spark, sf):
     """the MSE / RMSE loss view of every checkable forecaster."""
     return rounded(EV.loss_table(aligned_models(spark, sf)))
+
+
+from . import catalog_models  # noqa: E402,F401  (registers the model and monitoring queries)

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timefn import from_micros, to_micros
+from ..functions.timefn import freq_interval, from_micros, to_micros
+from ..operators.layout import spread_join
 from ..session import scratch_path
 
 
@@ -51,12 +52,27 @@ def stream_resample(readings: DataFrame, freq: str = "1 hour", watermark: str =
 
 def stream_alerts(readings: DataFrame, params: DataFrame, z_limit: float = 3.0) -> DataFrame:
     """Stream-static join with the scaler table; rows with |z| > z_limit."""
-    x = readings.join(params, "series_id")
+    x = spread_join(readings, params, ["series_id"], by="ts")
     z = (F.col("value") - F.col("mean")) / F.col("std")
     return x.withColumn("z", z).where(F.abs(F.col("z")) > F.lit(z_limit)).select(
         "series_id", "ts", "value", "z")
 
 
+def stream_scores(forecasts: DataFrame, readings: DataFrame, freq: str, delay: str = "10 minutes") -> DataFrame:
+    """Online scoring: every reading with the forecasts of its bucket, as both arrive.
+
+    A stream-stream join on the sensor and a time range (target_ts <= ts < target_ts +
+    freq) with watermarks on both sides, so a side's rows are kept only until no partner
+    can come. Append mode; rows later than ``delay`` are lost for the score."""
+    f = forecasts.withColumn("_ft", event_time("target_ts")).withWatermark("_ft", delay)
+    a = (readings.select(F.col("series_id").alias("_series"), "ts", F.col("value").alias("actual"))
+         .withColumn("_at", event_time("ts")).withWatermark("_at", delay))
+    met = f.join(a, (F.col("series_id") == F.col("_series")) & (F.col("_at") >= F.col("_ft"))
+                 & (F.col("_at") < F.col("_ft") + F.expr(f"INTERVAL {freq_interval(freq)}")))
+    return met.select("model", "series_id", "origin_ts", "step", "target_ts", "ts", "predicted", "actual",
+                      (F.col("predicted") - F.col("actual")).alias("error"))
+
+
 def run_to_table(spark: SparkSession, stream_df: DataFrame, name: str,
                  output_mode: str = "append") -> DataFrame:
     """Run a streaming query until the available input is processed
