@@ -1,11 +1,12 @@
 """conditional quantiles by regression on known inputs (the contract of a model with
 quantile outputs and known future covariates).
 
-Per series and level q, the pinball loss of value - x'b is minimised over the calendar
-features x of the time stamp. Each pass replaces the loss by the quadratic that touches
-it at the residuals of the pass before (weights 1 / (eps + |r|), a push of 2q - 1), so
-a pass is one weighted Gram matrix per (series, q) by partial aggregates and one small
-solution per key; the loss never rises. The coefficients of a pass are written to the
+Per series and level q, a smooth stand-in of the pinball loss of value - x'b,
+(|r| - eps ln(eps + |r|)) / 2 + (q - 1/2) r, is minimised over the calendar features x
+of the time stamp. Each pass replaces it by the quadratic that touches it at the
+residuals of the pass before (weights 1 / (eps + |r|), a push of 2q - 1), so a pass is
+one weighted Gram matrix per (series, q) by partial aggregates and one small solution
+per key. The coefficients of a pass are written to the
 shared folder, so a lost executor repeats one pass at most.
 """
 
@@ -23,11 +24,17 @@ from .common import explode_steps, forecast_frame, origin_rows
 from .solve import gram_sums, solve_rows
 
 QUANTILES = (0.1, 0.5, 0.9)
-PASSES = 10
-SMOOTH = 0.05             # eps in standard deviations of the series
+PASSES = 12
+#: eps in standard deviations of the series: wide in the first pass, then narrower to a
+#: floor. A wide eps moves the outer levels outwards, a narrow one alone settles slowly.
+SMOOTH, NARROWER, FLOOR = 0.2, 0.6, 0.005
 RIDGE = 1e-9
 
 
+def smoothing(step: int) -> float:
+    return max(FLOOR, SMOOTH * NARROWER ** (step - 1))
+
+
 def design(ts: str, freq: str, period: int, harmonics: int) -> list[Column]:
     """[1, weekend, cos and sin of each harmonic of the period], all known beforehand."""
     at = F.pmod(bucket_index(ts, freq), F.lit(period)) / F.lit(float(period))
@@ -43,9 +50,9 @@ def _value(features: list[Column]) -> Column:
 
 
 def quantile_regression(df: DataFrame, freq: str, period: int, harmonics: int = 2,
-                        quantiles=QUANTILES, passes: int = PASSES, smooth: float = SMOOTH,
+                        quantiles=QUANTILES, passes: int = PASSES,
                         ridge: float = RIDGE, split_value: str | None = "train") -> DataFrame:
-    """Coefficients (series_id, q, n, eps, c_0 .. c_{k-1}) of ``design`` per series
+    """Coefficients (series_id, q, n, scale, c_0 .. c_{k-1}) of ``design`` per series
     and level. Rows without a value take no part; a series whose features are
     linearly dependent (no weekend, say) gets the ridge solution, one without rows
     none. The first pass is least squares."""
@@ -57,18 +64,18 @@ def quantile_regression(df: DataFrame, freq: str, period: int, harmonics: int =
                  *[f.alias(f"f_{i}") for i, f in enumerate(design("ts", freq, period, harmonics))])
     sums = x.groupBy("series_id").agg(
         *gram_sums(names, F.col("value")), F.count(F.lit(1)).alias("n"),
-        F.greatest(F.lit(smooth) * F.stddev_pop("value"), F.lit(1e-9)).alias("eps"))
-    fit = solve_rows(sums, ["series_id", "n", "eps"], k, ridge)
+        F.greatest(F.stddev_pop("value"), F.lit(1e-9)).alias("scale"))
+    fit = solve_rows(sums, ["series_id", "n", "scale"], k, ridge)
     fit = fit.select("series_id", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q"),
-                     "n", "eps", *names_of(k))
+                     "n", "scale", *names_of(k))
     fit = materialize(fit, "quantreg-0")
     for step in range(1, passes + 1):
         rows = spread_join(x, _by_series(fit, k), ["series_id"], by="ts")
         rows = rows.select("series_id", "value", *[f"f_{i}" for i in range(k)], F.inline("fits"))
-        weight = 1.0 / (F.col("eps") + F.abs(F.col("value") - _value(names)))
-        sums = (rows.withColumn("w", weight).groupBy("series_id", "q", "n", "eps")
+        weight = 1.0 / (F.lit(smoothing(step)) * F.col("scale") + F.abs(F.col("value") - _value(names)))
+        sums = (rows.withColumn("w", weight).groupBy("series_id", "q", "n", "scale")
                 .agg(*gram_sums(names, F.col("value"), F.col("w"), 2.0 * F.col("q") - 1.0)))
-        fit = materialize(solve_rows(sums, ["series_id", "q", "n", "eps"], k, ridge), f"quantreg-{step}")
+        fit = materialize(solve_rows(sums, ["series_id", "q", "n", "scale"], k, ridge), f"quantreg-{step}")
     return fit
 
 
@@ -78,7 +85,7 @@ def names_of(k: int) -> list[str]:
 
 def _by_series(fit: DataFrame, k: int) -> DataFrame:
     """One row per series with the fits of all levels, so rows meet them in one join."""
-    return fit.groupBy("series_id").agg(F.collect_list(F.struct("q", "n", "eps", *names_of(k))).alias("fits"))
+    return fit.groupBy("series_id").agg(F.collect_list(F.struct("q", "n", "scale", *names_of(k))).alias("fits"))
 
 
 def quantile_regression_forecast(df: DataFrame, fit: DataFrame, horizon: int, freq: str, period: int,

@@ -14,6 +14,7 @@ from ..operators import scaling as SC
 from ..operators.forecast import autoreg, basis
 from ..operators.forecast import quantile as QF
 from ..operators.forecast import quantreg as QR
+from ..operators.leadlag import best_lag, lead_lag
 from ..operators.segments import dense_time_index
 from ..session import scratch_path
 from ..sources import readers as RD
@@ -22,7 +23,7 @@ from ..sources.tables import sensor_raw
 from ..streaming import monitor as SM
 from ..streaming import stream as ST
 from . import oracle as O
-from .catalog import (CHAIN, CFG, FC_COLS, H_, H_CHAIN, HARM, HEAD_DIGITS, HOURLY, PERIOD, QFC, QP, RAW, US_H, ar_rolling,
+from .catalog import (CHAIN, CFG, FC_COLS, H_, H_CHAIN, HARM, HEAD_DIGITS, HOURLY, PERIOD, QFC, QP, RAW, SENSORS, US_H, ar_rolling,
                       events_stream, prepared, query)
 from .report import rounded
 
@@ -64,12 +65,12 @@ def quantreg_ctes() -> str:
     out = [f"""qrx AS MATERIALIZED (
   SELECT series_id, CAST(value AS DOUBLE) AS value, {f} FROM prep
   WHERE split = 'train' AND value IS NOT NULL AND NOT isnan(value)),
-qre AS (SELECT series_id, count(*) AS n, greatest({QR.SMOOTH!r} * stddev_pop(value), 1e-9) AS eps FROM qrx GROUP BY series_id)""",
+qre AS (SELECT series_id, count(*) AS n, greatest(stddev_pop(value), 1e-9) AS scale FROM qrx GROUP BY series_id)""",
            weighted_solve("qrx", "series_id", "qri", QK, QR.RIDGE, "1.0", "0.0"),
            "qr0 AS (SELECT *, unnest([" + ", ".join(f"CAST({q} AS DOUBLE)" for q in QR.QUANTILES) + "]) AS q FROM qri)"]
     for p in range(1, QR.PASSES + 1):
         out.append(f"""qrw{p} AS (
-  SELECT x.*, w.q, 1.0 / (e.eps + abs(x.value - ({_dot()}))) AS w
+  SELECT x.*, w.q, 1.0 / ({QR.smoothing(p)!r} * e.scale + abs(x.value - ({_dot()}))) AS w
   FROM qrx x JOIN qr{p - 1} w USING (series_id) JOIN qre e USING (series_id))""")
         out.append(weighted_solve(f"qrw{p}", "series_id, q", f"qr{p}", QK, QR.RIDGE, "w", "2.0 * q - 1.0"))
     return ",\n".join(out)
@@ -93,8 +94,8 @@ def quantreg(p):
 @query("quantile_regression", O.with_(H_CHAIN, QREG) + "SELECT w.series_id, w.q, e.n, " + ", ".join(
     O.r(f"c_{i}", digits=HEAD_DIGITS) for i in range(QK)) + f" FROM qr{QR.PASSES} w JOIN qre e USING (series_id)")
 def q_quantile_regression(spark, sf):
-    """quantiles given weekend and two daily harmonics, ten reweighted passes."""
-    return rounded(quantreg(prepared(spark, sf, HOURLY, materialize=True)).drop("eps"), HEAD_DIGITS)
+    """quantiles given weekend and two daily harmonics, twelve reweighted passes."""
+    return rounded(quantreg(prepared(spark, sf, HOURLY, materialize=True)).drop("scale"), HEAD_DIGITS)
 
 
 def quantreg_fc(p):
@@ -381,3 +382,29 @@ def q_stream_scores(spark, sf):
     readings = events_stream(spark, sf).where(F.col("quality") == "Good")
     s = ST.stream_scores(ST.file_stream(spark, path, fc.schema), readings, HOURLY.freq)
     return rounded(ST.run_to_table(spark, s, "stream_scores", "append"))
+
+
+# --------------------------------------------------------------------- lead and lag
+MAX_LAG = 12
+
+
+@query("lead_lag", O.with_(H_CHAIN, f"""dv AS (
+  SELECT series_id, epoch_us(ts) // {US_H} AS t, value - avg(value) OVER (PARTITION BY series_id) AS d FROM prep),
+sq AS (SELECT series_id, var_pop(value) * count(*) AS s FROM prep GROUP BY series_id),
+lagged_sums AS (
+  SELECT a.series_id AS series_a, b.series_id AS series_b, l.lag, sum(a.d * b.d) AS total
+  FROM dv a CROSS JOIN (SELECT unnest(range(-{MAX_LAG}, {MAX_LAG} + 1)) AS lag) l
+  JOIN dv b ON b.t = a.t + l.lag AND a.series_id < b.series_id GROUP BY ALL),
+cc AS (
+  SELECT series_a, series_b, lag, total / sqrt(x.s * y.s) AS corr
+  FROM lagged_sums JOIN sq x ON x.series_id = series_a JOIN sq y ON y.series_id = series_b)""") + f"""
+SELECT series_a, series_b, arg_max(lag, (abs(corr), -abs(lag), lag)) AS lag,
+       {O.r('arg_max(corr, (abs(corr), -abs(lag), lag))', 'corr', HEAD_DIGITS)},
+       {O.r('max(corr) FILTER (WHERE lag = 0)', 'corr_0', HEAD_DIGITS)}
+FROM cc GROUP BY series_a, series_b""")
+def q_lead_lag(spark, sf):
+    """The best of 25 lags for every pair of sensors."""
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(SENSORS) for b in SENSORS[i + 1:]],
+                                  "series_a string, series_b string")
+    p = prepared(spark, sf, HOURLY, materialize=True)
+    return rounded(best_lag(lead_lag(p, pairs, MAX_LAG, HOURLY.freq, HOURLY.chunk_buckets)), HEAD_DIGITS)
