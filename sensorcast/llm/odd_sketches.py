@@ -32,10 +32,9 @@ SAMPLES = 256
 BITS = 1024               # of an odd sketch
 #: A pair of similarity 0.85 shares no bucket with probability (1 - 0.85^4)^24 < 3e-8.
 ROWS, BANDS = 4, 24
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 TILE_LOAD = 1 << 19       # shingles of members of a bucket that are compared with as many
 GROUP_LOAD = 1 << 22      # shingles of the small buckets that one task looks at
-FEW_PAIRS = 100_000       # of 32 bytes each: these are broadcast
 U = np.uint64
 
 _rng = np.random.default_rng(12)
@@ -141,9 +140,7 @@ def _near_sketches(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (of a written table) whose full sets have the similarity."""
-    if pairs.count() <= FEW_PAIRS:          # so the sets need not be shuffled to find their pairs
-        pairs = F.broadcast(pairs)
+    """The pairs whose full sets have the similarity."""
     x, y = (pairs.join(full.withColumnRenamed("cid", p), p)
             .select("a", "b", F.col("n").alias(f"{p}_n"), F.col("fps").alias(f"{p}_f")) for p in "ab")
 
@@ -293,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     post = held.select("cid", F.explode("bands").alias("band"))
     shared = written(post.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
                      .where("lo <> hi").select("band"), "odd-buckets")
-    post = written(salted(post, shared, ["band"]).distinct(), "odd-shared")
+    post = written(salted(post, shared, ["band"], salts=4).distinct(), "odd-shared")
     suspects = written(post.select("cid").distinct(), "odd-suspects")
     slim = written(held.select("cid", "n", "sketch", "bands").join(suspects, "cid", "left_semi")
                    .groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "bands")]), "odd-slim")
@@ -315,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if mixed.isEmpty():
             break
         if turn < HUB_ROUNDS:
-            met = (salted(members, mixed, ["band"]).where("label <> hub_label")
+            met = (salted(members, mixed, ["band"], salts=4).where("label <> hub_label")
                    .select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct())
             if seen is not None:
                 met = met.join(seen, ["a", "b"], "left_anti")
@@ -323,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             seen = met if seen is None else seen.union(met)
             pairs = _near_sketches(met, slim, percent)
         else:
-            open_ = salted(members, mixed.select("band"), ["band"]).join(slim, "cid")
+            open_ = salted(members, mixed.select("band"), ["band"], salts=4).join(slim, "cid")
             labels = _joined(labels, written(_tiles(written(open_, "odd-open"), full, percent), "odd-links"))
             break
         links = _verified(written(pairs, "odd-pairs"), full, percent)
