@@ -23,7 +23,25 @@ from pyspark.sql import functions as F
 # Phrases of the base rule and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Public license notices in template markup. Each begins with mandatory words.
+_BSD_CLAUSES = (
+    "redistribution and use in source and binary forms with or without modification are permitted "
+    "provided that the following conditions are met [[1]] redistributions of source code must retain "
+    "the above copyright notice this list of conditions and the following disclaimer [[2]] "
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions "
+    "and the following disclaimer in the documentation and or other materials provided with the "
+    "distribution")
+_BSD_DISCLAIMER = (
+    "this software is provided by {{1-6}} as is and any express or implied warranties including but "
+    "not limited to the implied warranties of merchantability and fitness for a particular purpose are "
+    "disclaimed in no event shall {{1-6}} be liable for any direct indirect incidental special "
+    "exemplary or consequential damages including but not limited to procurement of substitute goods "
+    "or services loss of use data or profits or business interruption however caused and on any theory "
+    "of liability whether in contract strict liability or tort including negligence or otherwise "
+    "arising in any way out of the use of this software even if advised of the possibility of such "
+    "damage")
+
+# Public license notices, openings and, under labels with "-full" or a clause count,
+# whole wordings in template markup. Each begins with mandatory words.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license [[version]] 2 0 "
                   "[[the license you may not use this file except in compliance with the license]]",
@@ -44,6 +62,31 @@ TEMPLATES = {
            "or without fee is hereby granted",
     "cc-by-nc": "licensed under [[a]] [[the]] [[creative commons]] cc by nc [[4 0]]",
     "cc-by-sa": "licensed under [[a]] [[the]] [[creative commons]] cc by sa [[4 0]]",
+    "mit-full": "permission is hereby granted free of charge to any person obtaining a copy of this "
+                "{{1-8}} the software to deal in the software without restriction including without "
+                "limitation the rights to use copy modify merge publish distribute sublicense and or "
+                "sell copies of the software and to permit persons to whom the software is furnished "
+                "to do so subject to the following conditions the above copyright notice and this "
+                "permission notice [[including the next paragraph]] shall be included in all copies "
+                "or substantial portions of the software the software is provided as is without "
+                "warranty of any kind express or implied including but not limited to the warranties "
+                "of merchantability fitness for a particular purpose and noninfringement in no event "
+                "shall the authors or copyright holders be liable for any claim damages or other "
+                "liability whether in an action of contract tort or otherwise arising from out of or "
+                "in connection with the software or the use or other dealings in the software",
+    "bsd-2-clause": f"{_BSD_CLAUSES} {_BSD_DISCLAIMER}",
+    "bsd-3-clause": f"{_BSD_CLAUSES} [[3]] neither the name of {{{{1-12}}}} may be used to endorse or "
+                    f"promote products derived from this software without specific prior written "
+                    f"permission {_BSD_DISCLAIMER}",
+    "isc-full": "permission to use copy modify and or distribute this software for any purpose with "
+                "or without fee is hereby granted provided that the above copyright notice and this "
+                "permission notice appear in all copies the software is provided as is and the author "
+                "disclaims all warranties with regard to this software including all implied "
+                "warranties of merchantability and fitness in no event shall the author be liable for "
+                "any special direct indirect or consequential damages or any damages whatsoever "
+                "resulting from loss of use data or profits whether in an action of contract "
+                "negligence or other tortious action arising out of or in connection with the use or "
+                "performance of this software",
 }
 
 #: A-Z lower-cased, other ASCII characters that end a word turned into spaces.
@@ -148,11 +191,16 @@ def scan_text(text: bytes | None, phrases: dict[bytes, str],
     """(n_words, n_base, first, last, base labels, labels, score) of one text."""
     t = normalised(text or b"")
     n = t.count(b" ") - 1
-    starts, base, more, score = [], set(), set(), 0.0
+    n_base, first, last, base, more, score = 0, None, None, set(), set(), 0.0
     if b"licen" in t or any(b"licen" not in p for p in phrases):
         for phrase, label in phrases.items():
+            word = seen = 0                  # the word at a place: spaces since the one before
             for at in _places(t, phrase):
-                starts.append(t.count(b" ", 0, at))
+                word += t.count(b" ", seen, at)
+                seen = at
+                n_base += 1
+                first = word if first is None else min(first, word)
+                last = word if last is None else max(last, word)
                 base.add(label)
     for a in automata:
         if a.label in more:
@@ -165,8 +213,8 @@ def scan_text(text: bytes | None, phrases: dict[bytes, str],
                 break
     if base:
         score = max(score, 0.5)
-    return (n, len(starts), min(starts, default=None), max(starts, default=None),
-            ",".join(sorted(base)), ",".join(sorted(base | more)), float(score))
+    return (n, n_base, first, last, ",".join(sorted(base)), ",".join(sorted(base | more)),
+            float(score))
 
 
 SCHEMA = ("id long, n_words long, n_base long, first_word long, last_word long, "
@@ -184,7 +232,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     largest of their starts. ``labels`` adds the labels of the templates
     accepted anywhere in the text. ``score``: 1 for an accepted template, else
     the largest share of mandatory words an automaton read (below 1), at least
-    0.5 with a base phrase, 0 without any sign.
+    0.5 with a base phrase, 0 without any sign. ``mit``, ``bsd`` and ``isc`` stand for
+    the opening sentence alone, whatever follows it; ``mit-full``, ``bsd-2-clause``,
+    ``bsd-3-clause`` and ``isc-full`` for the whole wording. The work on a text grows
+    with its length, however many phrases it repeats.
 
     One row per input row, in one pass without a shuffle; a null or empty text
     has no words, no labels and score 0; null ids stay null; repeated rows give
