@@ -27,11 +27,9 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://([^/?#]*)([^?#]*)", 2), F.lit(""))
 
 
-def _suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), n),
-                       lambda i: F.array_join(F.slice(labels, i, n), "."))
+def _labels(host: Column) -> Column:
+    """Number of a host's labels, empty ones included."""
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id",
@@ -55,20 +53,25 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id",
              .groupBy("r_host", "r_path", "digest")
              .agg(F.max("r_verdict").alias("r_verdict"))
              .withColumn("key", F.substring("digest", 1, KEY_DIGITS)))
-    # Prefixes are cut where some rule ends: one number per path length in the
-    # rules, so at most as many as the longest rule path has characters.
+    # Prefixes are cut where some rule ends and suffixes begin where some rule does: one
+    # number per path length and label count in the rules, at most as many as the longest
+    # rule has characters. A host of many labels makes no more suffixes than that.
     lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().collect())
+    labels = sorted(r[0] for r in rules.select(_labels(F.col("r_host"))).distinct().collect())
 
     urls = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
                         host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"),
                     lambda n: n <= F.length("path"))
+    ends = F.filter(F.array(*[F.lit(n) for n in labels]).cast("array<int>"),
+                    lambda n: n <= _labels(F.col("host")))
     expressions = (urls
-                   .withColumn("suffix", F.explode(_suffixes(F.col("host"))))
+                   .withColumn("end", F.explode_outer(ends))
+                   .withColumn("suffix", F.expr("substring_index(host, '.', -end)"))
                    .withColumn("cut", F.explode_outer(cuts))
                    .withColumn("prefix", F.expr("substring(path, 1, cut)"))
                    .withColumn("full", F.sha2(F.concat_ws("\n", "suffix", "prefix"), 256))
-                   .withColumn("key", F.when(F.col("cut").isNotNull(),
+                   .withColumn("key", F.when(F.col("cut").isNotNull() & F.col("end").isNotNull(),
                                              F.substring("full", 1, KEY_DIGITS))))
     hit = ((F.col("digest") == F.col("full")) & (F.col("r_host") == F.col("suffix"))
            & (F.col("r_path") == F.col("prefix")))
