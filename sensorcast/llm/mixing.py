@@ -39,8 +39,12 @@ def targets(totals: list[tuple], weights: list[float], max_epochs: int = MAX_EPO
 
 
 def random_key(id_col: Column, text: Column | None = None, seed: int = 0) -> Column:
-    """A key in [0, 2^60) that looks random and depends on the document alone."""
-    parts = [F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("null"))]
+    """A key in [0, 2^60) that looks random and depends on the document alone: on its
+    id or, without one, on its ``text``."""
+    unnamed = F.lit("null")
+    if text is not None:
+        unnamed = F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))
+    parts = [F.lit(str(seed)), F.coalesce(id_col.cast("string"), unnamed)]
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
 
 
@@ -58,14 +62,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     epochs, cut) and the columns in ``keep``. ``taken`` = epochs * size + cut,
     where ``cut`` words come from the last, incomplete epoch (0 <= cut <= size);
     the taken words of a source sum to floor(target). Order within a source:
-    key, then id, then size; repeated rows are neighbours there and are cut one
-    after the other. Null and empty texts have size 0 and are taken 0 times;
+    key, then id, then size, then a hash of the text; repeated rows are neighbours
+    there and are cut one after the other. Rows without an id get their key from the
+    text, so many of them are no hot range. Null and empty texts have size 0 and are taken 0 times;
     null sources are a source of their own; an empty table gives an empty
     result.
     """
     sized = written(docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
-        n_words(F.col(text_col)).alias("size"), random_key(F.col(id_col), seed=seed).alias("key"),
+        n_words(F.col(text_col)).alias("size"),
+        random_key(F.col(id_col), F.col(text_col).cast("string"), seed).alias("key"),
+        F.xxhash64(F.col(text_col)).alias("tie"),
         F.struct(*[F.col(c) for c in keep]).alias("kept") if keep else F.lit(None).cast("string").alias("kept")),
         "mix-sizes")
     spark = docs.sparkSession
@@ -86,7 +93,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 60)) * F.col("ranges"))))
     in_range = W.partitionBy("no_source", "name", "range")
     local = placed.withColumn("before", F.sum("size").over(
-        in_range.orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)))
+        in_range.orderBy("key", "id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)))
     # One row per source and key range: the words in the ranges before it.
     ranges = (placed.groupBy("no_source", "name", "range").agg(F.sum("size").alias("words"))
               .withColumn("offset", F.sum("words").over(
