@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import written
+from .common import salted, written
 
 TREES = 12
 #: The trees are grown on at most so many vectors, those with the smallest hash.
@@ -33,7 +33,9 @@ LEAF = 48                 # sample vectors in a leaf, at most
 LEAVES = 0.05             # share of the leaves of all trees that a query looks into,
 LEAST_LEAVES = 64         # and so many more
 SPAN = 16                 # neighbouring leaves of a tree that are compared together
-BLOCK = 4096              # vectors of a span that one task compares at once
+BLOCK = 4096              # vectors of a span that one task compares at once,
+ASKS = 4096               # with at most so many queries or a few more
+WALKS = 32                # tasks that look for the leaves of the queries, at least
 
 
 @dataclass
@@ -133,7 +135,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id",
     non-finite component take no part, nor do rows without an id or those whose
     length differs from the most frequent one; repeated rows count once; an empty
     table gives an empty result. With fewer than ``k`` candidates found in its
-    leaves a query goes on to further leaves, up to all of them.
+    leaves a query goes on to further leaves, up to all of them. One comparison holds
+    about BLOCK vectors and ASKS queries, however many share a region.
     """
     spark = vectors.sparkSession
     rows = (vectors.where(F.col(id_col).isNotNull() & is_query.isNotNull())
@@ -186,9 +189,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id",
     members = members.withColumn("span", F.floor(F.col("leaf") / SPAN).cast("long"))
     sizes = (members.groupBy("tree", "span").count()
              .withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("long")))
-    blocks = (members.join(sizes, ["tree", "span"])
-              .withColumn("block", F.pmod("block_of", "blocks"))
-              .select("tree", "span", "block", "leaf", "ids", "v"))
 
     def walk(batches):
         for b in batches:
@@ -206,11 +206,22 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id",
                      pa.array([b.column("v")[i].as_py()] * k_, b.schema.field("v").type)],
                     names=["query_id", "tree", "span", "leaves", "qv"])
 
+    parts = max(WALKS, spark.sparkContext.defaultParallelism)
     queries = rows.where("q").select("id", "v").distinct()
-    asked = (queries.mapInArrow(walk, f"query_id long, tree int, span long, leaves array<long>, qv {kind}")
-             .join(sizes.select("tree", "span", "blocks"), ["tree", "span"])
+    asks = written(queries.repartition(parts, "id").mapInArrow(
+        walk, f"query_id long, tree int, span long, leaves array<long>, qv {kind}"), "ann-asks")
+    # A span that many queries ask for is compared in blocks of queries, too.
+    busy = asks.groupBy("tree", "span").agg(F.ceil(F.count("*") / ASKS).cast("long").alias("turns"))
+    places = written(sizes.join(busy, ["tree", "span"]).select("tree", "span", "blocks", "turns"), "ann-places")
+    turn_of = F.xxhash64("query_id", F.lit("turn"))
+    asked = (salted(asks, places.select("tree", "span", "blocks", "turns"), ["tree", "span"])
+             .withColumn("turn", F.pmod(turn_of, F.col("turns")))
              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .drop("blocks"))
+             .drop("blocks", "turns"))
+    blocks = (salted(members, places, ["tree", "span"])
+              .withColumn("block", F.pmod("block_of", "blocks"))
+              .withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+              .select("tree", "span", "block", "turn", "leaf", "ids", "v"))
     names = [f.name for f in out_type if f.name != "rank"]
 
     def rank(asks: pd.DataFrame, leaf_rows: pd.DataFrame) -> pd.DataFrame:
@@ -231,7 +242,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id",
                 found += [(q, i, -s_) for s_, i in sorted(near)[:k]]
         return pd.DataFrame(found, columns=names)
 
-    ranked = (asked.groupBy("tree", "span", "block").cogroup(blocks.groupBy("tree", "span", "block"))
+    place = ["tree", "span", "block", "turn"]
+    ranked = (asked.groupBy(*place).cogroup(blocks.groupBy(*place))
               .applyInPandas(rank, f"query_id long, `{id_col}` long, score double"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     found = (ranked.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -246,14 +258,18 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id",
     if few.isEmpty():
         return found
     n_blocks = max(1, -(-entries.count() // BLOCK))
-    place = ["tree", "span", "block"]
-    every = (few.select("query_id", F.lit(0).alias("tree"), F.lit(0).cast("long").alias("span"),
-                        F.array(F.lit(0).cast("long")).alias("leaves"), "qv",
-                        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
+    n_turns = max(1, -(-few.count() // ASKS))
+
+    def every_of(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    one = [F.lit(0).alias("tree"), F.lit(0).cast("long").alias("span")]
+    every = (few.select("query_id", *one, F.array(F.lit(0).cast("long")).alias("leaves"), "qv",
+                        F.pmod(turn_of, F.lit(n_turns)).alias("turn"), every_of(n_blocks).alias("block"))
              .groupBy(*place)
-             .cogroup(entries.select(F.lit(0).alias("tree"), F.lit(0).cast("long").alias("span"),
-                                     F.pmod(F.xxhash64("ids"), F.lit(n_blocks)).cast("long").alias("block"),
-                                     F.lit(0).cast("long").alias("leaf"), "ids", "v").groupBy(*place))
+             .cogroup(entries.select(*one, F.pmod(F.xxhash64("ids"), F.lit(n_blocks)).alias("block"),
+                                     every_of(n_turns).alias("turn"), F.lit(0).cast("long").alias("leaf"),
+                                     "ids", "v").groupBy(*place))
              .applyInPandas(rank, f"query_id long, `{id_col}` long, score double")
              .distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
              .select("query_id", F.col("rank").cast("int"), id_col, "score"))
