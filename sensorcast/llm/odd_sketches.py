@@ -35,6 +35,7 @@ ROWS, BANDS = 4, 24
 HUB_ROUNDS = 2
 TILE_LOAD = 1 << 19       # shingles of members of a bucket that are compared with as many
 GROUP_LOAD = 1 << 22      # shingles of the small buckets that one task looks at
+FILTER_BITS = 24          # of a filter of keys: 2^18 words of 64 bits at most, however many keys
 U = np.uint64
 
 _rng = np.random.default_rng(12)
@@ -129,6 +130,17 @@ def _full(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "cid binary, n long, fps binary")
 
 
+def _likely(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key is one of ``keys``, and some more whose key's hash has the bit
+    of another one's: a filter of bounded size, in front of the join that decides."""
+    at = F.pmod(F.xxhash64(*on), F.lit(1 << FILTER_BITS))
+    word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+    bits = written(keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word")
+                   .agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")), "odd-filter")
+    return (rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word")
+            .where(F.expr("shiftright(_bits, _bit) & 1 = 1")).drop("_word", "_bit", "_bits"))
+
+
 def _near_sketches(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their sizes and odd sketches let pass."""
     x, y = (slim.select(F.col("cid").alias(p), F.col("n").alias(f"{p}_n"), F.col("sketch").alias(f"{p}_s"))
@@ -292,12 +304,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      .where("lo <> hi").select("band"), "odd-buckets")
     post = written(salted(post, shared, ["band"], salts=4).distinct(), "odd-shared")
     suspects = written(post.select("cid").distinct(), "odd-suspects")
-    slim = written(held.select("cid", "n", "sketch", "bands").join(suspects, "cid", "left_semi")
+    some = _likely(held, suspects, ["cid"])
+    slim = written(some.select("cid", "n", "sketch", "bands").join(suspects, "cid", "left_semi")
                    .groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "bands")]), "odd-slim")
     # any row of a class stands for it: all of them hold the same set
-    chosen = written(held.groupBy("cid").agg(F.min(F.struct("k1", "k2")).alias("k")).join(suspects, "cid", "left_semi")
+    chosen = written(some.groupBy("cid").agg(F.min(F.struct("k1", "k2")).alias("k")).join(suspects, "cid", "left_semi")
                      .select("cid", "k.*"), "odd-chosen")
-    full = written(_full(rows.select("k1", "k2", "raw").join(chosen, ["k1", "k2"]).select("cid", "raw"), n)
+    texts = _likely(rows.select("k1", "k2", "raw"), chosen, ["k1", "k2"])
+    full = written(_full(texts.join(chosen, ["k1", "k2"]).select("cid", "raw"), n)
                    .groupBy("cid").agg(F.first("n").alias("n"), F.first("fps").alias("fps")), "odd-full")
 
     labels = suspects.select("cid", F.col("cid").alias("label"))
