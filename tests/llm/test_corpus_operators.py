@@ -322,6 +322,14 @@ def test_mix_meets_targets(spark, odd, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mix_deals_rows_without_an_id(spark):
+    docs = documents(spark, [(None, f"a b c{i}", None, "s") for i in range(2000)])
+    keys = docs.select(mixing.random_key(F.col("doc_id"), F.col("text")).alias("k"))
+    assert keys.distinct().count() == 2000
+    got = mixing.mix_sources(docs, weights={"s": 1}).toPandas()
+    assert len(got) == 2000 and got["taken"].sum() == 6000
+
+
 def test_mix_ranges_do_not_change_the_result(spark, monkeypatch):
     docs = documents(spark, made_up(10, 200))
     whole = Counter(map(tuple, mixing.mix_sources(docs).collect()))
@@ -449,6 +457,14 @@ def test_neighbours_recall_and_scores(spark):
     assert hit / (20 * got["query_id"].nunique()) >= 0.9
 
 
+def test_neighbours_blocks_of_queries_do_not_change_the_result(spark, monkeypatch):
+    df = table(spark, SF_SMALL, "embeddings")
+    whole = Counter(map(tuple, neighbours.nearest(df, F.col("vec_id") % 2 == 0, leaves=0.1).collect()))
+    monkeypatch.setattr(neighbours, "ASKS", 7)
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    assert Counter(map(tuple, neighbours.nearest(df, F.col("vec_id") % 2 == 0, leaves=0.1).collect())) == whole
+
+
 def test_neighbours_odd_vectors(spark):
     good = [(i, [float(i % 7), 1.0, float(i % 3)], i) for i in range(40)]
     odd = [(100, None, 1), (101, [0.0, 0.0, 0.0], 1), (102, [1.0, None, 2.0], 1), (103, [1.0, float("nan"), 2.0], 1),

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import SF_SMALL, documents
+from pyspark.sql import functions as F
 
 from sensorcast.llm import conversations as T
 from sensorcast.llm import odd_sketches as S
@@ -239,3 +240,12 @@ def test_trie_empty_and_turnless(spark):
     # conversations that take more turns from an absent family than they have themselves
     rows = [(c, 0, "user", "hello") for c in range(1, 40) if c % 5]
     assert trie_rows(T.prefix_trie(spark.createDataFrame(rows, SCHEMA))) == plain_trie(rows)
+
+
+def test_filter_of_keys_loses_none(spark, monkeypatch):
+    monkeypatch.setattr(S, "FILTER_BITS", 12)
+    rows = spark.range(20_000).withColumn("k", F.col("id") * 7)
+    keys = rows.where("id % 50 = 0").select("k")
+    got = S._likely(rows, keys, ["k"])
+    assert got.columns == ["id", "k"] and got.join(keys, "k").count() == 400 and got.count() < 4000
+    assert S._likely(rows, keys.limit(0), ["k"]).count() == 0

@@ -1,6 +1,7 @@
 """Operators that judge each row: licenses, quality, language, url filters."""
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -86,6 +87,26 @@ def test_license_templates_are_found(spark):
     assert got[3] == ("apache,apache-2.0", 1.0) and got[4] == ("cc-by-nc", 1.0) and got[5] == ("", 0.0)
 
 
+def test_license_openings_are_not_whole_licenses(spark):
+    fill = {r"\[\[[^\]]*\]\]": "", r"\{\{\d+-\d+\}\}": "word"}
+    for label, opening in (("mit-full", "mit"), ("bsd-2-clause", "bsd"), ("bsd-3-clause", "bsd"), ("isc-full", "isc")):
+        whole = licenses.TEMPLATES[label]
+        for mark, words in fill.items():
+            whole = re.sub(mark, words, whole)
+        changed = whole.rsplit(" ", 3)[0] + " for good not evil"
+        got = [r.labels.split(",") for r in licenses.scan_licenses(
+            documents(spark, [(1, whole), (2, changed)])).orderBy("doc_id").collect()]
+        assert got == [sorted({label, opening}), [opening]]
+
+
+def test_license_scan_is_linear():
+    text = ("mit license xx " * 70_000).encode()
+    phrases = {b" " + k.encode() + b" ": v for k, v in licenses.PHRASES.items()}
+    began = time.process_time()
+    n, n_base, first, last, *_ = licenses.scan_text(text, phrases, [])
+    assert (n, n_base, first, last) == (210_000, 70_000, 0, 209_997) and time.process_time() - began < 1
+
+
 # --- quality --------------------------------------------------------------
 def plain_quality(text):
     t = text or ""
@@ -243,7 +264,8 @@ def test_urls_against_every_rule(spark):
     urls = [None, "", "no scheme.com/", "http://", "HTTP://WWW.Example.COM/en/x?q=/es/#f", "http://example.com",
             "https://example.com/en", "https://m.example.com/en/1", "http://a.net/es/", "http://net/es/?x",
             "http://xnet/es/", "http://a.b.c.www.example.com/en/", "http://example.com./en/", "x://y://z.com/",
-            "http://user@example.com:80/en/", "http://ex.com/ü/é?ö", "http://ex.com/" + "a/" * 5000]
+            "http://user@example.com:80/en/", "http://ex.com/ü/é?ö", "http://ex.com/" + "a/" * 5000,
+            "http://" + "a." * 20_000 + "www.example.com/en/", "http://" + "." * 300 + "/en/"]
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("ex.com", "/ü", "block"), ("ex.com", "", "allow"), ("net", "/es/", "block")]
     pages = spark.createDataFrame([(i, u, "h", 5) for i, u in enumerate(urls)] + [(3, urls[4], "h", 5)],
