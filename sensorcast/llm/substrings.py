@@ -27,8 +27,9 @@ from .fingerprints import gram_hashes, ranges_for, shared_fingerprints, unpack,
 WINDOW = 13
 GRAM = 5                  # words of the gram that deals a window to its shard
 SHARD_WORDS = 300_000   # words of the pieces in a shard
-#: The windows of a gram with more different pieces than this are grouped one by one.
-GRAM_PIECES = 10_000
+#: The windows of a gram whose different pieces have more words are grouped one by one.
+GRAM_WORDS = 100_000
+PIECE_WINDOWS = 4096      # windows of a piece, at most: a repetitive text is one run of them
 U = np.uint64
 
 
@@ -189,7 +190,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 small = smallest_grams(word_hashes(raw), window)
                 if not len(small):
                     continue
-                edge = np.flatnonzero(np.append(True, small[1:] != small[:-1]))
+                new = np.flatnonzero(np.append(True, small[1:] != small[:-1]))
+                runs = np.diff(np.append(new, len(small)))
+                edge = np.concatenate([np.arange(a, a + n, PIECE_WINDOWS) for a, n in zip(new, runs, strict=True)]
+                                      ) if runs.max() > PIECE_WINDOWS else new
                 hit = np.isin(small[edge], fps)
                 edge = np.append(edge, len(small))
                 words = raw.split()
@@ -206,16 +210,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                      .withColumn("h", F.xxhash64("words")), "sub-pieces")
     # a piece is known by its gram and its hash
     distinct = written(pieces.groupBy("gram", "h").agg(
-        F.min("ord").alias("ord"), F.count("*").alias("places"), F.first("words").alias("words")), "sub-distinct")
-    per_gram = distinct.groupBy("gram").agg(F.count("*").alias("variants"))
-    total = distinct.agg(F.sum(F.length("words") / 6).cast("long")).first()[0] or 0
+        F.min("ord").alias("ord"), F.count("*").alias("places"), F.first("words").alias("words"),
+        (F.max("n") + window - 1).cast("long").alias("n_words")), "sub-distinct")
+    per_gram = distinct.groupBy("gram").agg(F.count("*").alias("variants"), F.sum("n_words").alias("gram_words"))
+    total = distinct.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
     parts = distinct.join(per_gram.where("variants > 1"), "gram", "left")
     # a gram's only piece has no window that another piece of the shard could have
     only = (parts.where("variants is null").select("gram", "h", "ord", "places", F.lit(0).alias("at"),
                                                    F.array("ord").alias("holders")))
     # equal windows of a frequent gram are one row, with their smallest holder
-    often = F.col("variants") > GRAM_PIECES
+    often = F.col("gram_words") > GRAM_WORDS
     split = F.split(F.col("words").cast("string"), " ")
     windows = F.transform(F.sequence(F.lit(1), F.size(split) - (window - 1)),
                           lambda i: F.array_join(F.slice(split, i, window), " "))
