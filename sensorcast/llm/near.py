@@ -18,6 +18,10 @@ no link is lost.
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +33,7 @@ from .fingerprints import gram_hashes, mix, ranges_for, shared_fingerprints, unp
 N, PERCENT = 5, 80
 HUB_ROUNDS = 2
 ORDERS = 3                # one by rarity and two by hash
-PARTS = 4                 # tasks that form the pairs of one bucket
+TILE_ROWS = 2048          # sets of a bucket that are compared with as many at once, or a few more
 BITMAP = 16               # 64-bit words of a set's bitmap
 U = np.uint64
 
@@ -60,6 +64,42 @@ def _at_most(x: str, y: str):
     return F.least(less(x, y), less(y, x))
 
 
+def _tiled_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets of one bucket in different components that their bitmaps
+    let pass. Sets whose sizes can be similar lie in the same size class or in two
+    neighbouring ones, so only these meet; a large class is cut into blocks, and a task
+    compares one block with another."""
+    # a little wider than the largest ratio of sizes, so that rounding separates no pair
+    step = 1.001 * max(math.log(100 / percent), 1e-3)
+    rows = open_.withColumn("level", F.floor(F.log("n") / step))
+    # classes of more than one block, as seen from themselves and from their neighbours
+    large = written(rows.groupBy("token", "level").agg(F.ceil(F.count("*") / TILE_ROWS).cast("long").alias("blocks"))
+                    .where("blocks > 1"), "near-blocks")
+    for name, up in (("own", 0), ("above", 1), ("below", -1)):
+        rows = (salted(rows, large.select("token", (F.col("level") - up).alias("level"), F.col("blocks").alias(name)),
+                       ["token", "level"], "left").withColumn(name, F.coalesce(name, F.lit(1))))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("own")))
+
+    def side(p: str, place: str, other: str, neighbour: str) -> DataFrame:
+        """Every set once for each block that it meets: of its own class (up = 0), and
+        of the class above (x) or below (y), up = 1."""
+        def met(up: int, blocks: str):
+            return F.transform(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1),
+                               lambda k: F.struct(F.lit(up).alias("up"), k.alias(other)))
+        low = F.col("level") - (F.col("meet.up") if p == "y" else F.lit(0))
+        return (rows.withColumn("meet", F.explode(F.concat(met(0, "own"), met(1, neighbour))))
+                .select("token", low.alias("low"), "meet.up", F.col("block").alias(place), f"meet.{other}",
+                        *[F.col(c).alias(f"{p}_{c}") for c in ("cid", "n", "s", "label", "bits")]))
+
+    x, y = side("x", "i", "j", "above"), side("y", "j", "i", "below")
+    bound = _at_most("x", "y")
+    same = [x[c] == y[c] for c in ("token", "low", "up", "i", "j")]
+    return (x.join(y, functools.reduce(operator.and_, same)
+                   & ((x["up"] == 1) | (F.col("x_cid") < F.col("y_cid"))) & (F.col("x_label") != F.col("y_label"))
+                   & (100 * bound >= percent * (F.col("x_n") + F.col("y_n") - bound)))
+            .select(F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b")))
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the remaining orders and the exact comparison."""
     cols = ["cid", "n", "shared", *[f"order{i}" for i in range(1, ORDERS)]]
@@ -187,18 +227,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                    .where(possible.format("", "h_"))
                    .select(F.least("cid", "h_cid").alias("a"), F.greatest("cid", "h_cid").alias("b")))
         else:
-            # all pairs of the buckets, dealt over tasks, that the bitmaps let pass
             open_ = salted(members, mixed.select("token"), ["token"]).join(sets.select("cid", "bits"), "cid")
-            open_ = written(open_, "near-open")
-            x, y = (open_.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("cid", "n", "s", "label", "bits")])
-                    for p in "xy")
-            x = x.withColumn("part", F.pmod("x_cid", F.lit(PARTS)))
-            y = y.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
-            bound = _at_most("x", "y")
-            met = (x.join(y, (x["token"] == y["token"]) & (x["part"] == y["part"])
-                          & (F.col("x_cid") < F.col("y_cid")) & (F.col("x_label") != F.col("y_label"))
-                          & (100 * bound >= percent * (F.col("x_n") + F.col("y_n") - bound)))
-                   .select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")))
+            met = _tiled_pairs(written(open_, "near-open"), percent)
         pairs = met.distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
