@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 
 #: The classifier is fitted on about so many labelled documents per language, chosen by
 #: the hash of their id, and on the whole of each.
 FIT_DOCS = 2000
 PIECE_WORDS = 2000        # words of a text that are counted at once
-BUCKETS = 1 << 16         # rows of the hashed feature table
-CELLS = BUCKETS * 200     # numbers in it: with more languages it has fewer rows
+BUCKETS = 1 << 16         # rows of the hashed feature table: a quarter MB for every language
 SWITCH_PENALTY = 6.0      # log-probability a change of language costs
 SMOOTHING = 0.5
 SCRIPT_SHARE = 0.001      # a language is a candidate for a script it has this share of words in
@@ -40,7 +40,7 @@ SCRIPT_RANGES = [
     (0x3190, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"),
     (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"),
     (0xFE00, "other"), (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"),
-    (0x10000, "other"), (0x20000, "han"), (0x30000, "other")]
+    (0x10000, "other"), (0x20000, "han"), (0x40000, "other")]
 _STARTS = np.array([a for a, _ in SCRIPT_RANGES])
 SCRIPTS = sorted({s for _, s in SCRIPT_RANGES})
 _SCRIPT = np.array([SCRIPTS.index(s) for _, s in SCRIPT_RANGES])
@@ -48,7 +48,7 @@ _SCRIPT = np.array([SCRIPTS.index(s) for _, s in SCRIPT_RANGES])
 
 @functools.cache
 def _is_letter() -> np.ndarray:
-    """By code point; what lies above the last script range is no letter."""
+    """By code point; planes above the last script range hold no letters."""
     return np.array([chr(i).isalpha() for i in range(SCRIPT_RANGES[-1][0])] + [False])
 
 
@@ -64,16 +64,7 @@ def _points(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(table[np.minimum(p, len(table) - 1)], p, 0), ends
 
 
-def _buckets(n_langs: int) -> int:
-    """Rows of the feature table: all languages are learned, so that of more than
-    CELLS / BUCKETS each has fewer rows."""
-    rows = BUCKETS
-    while rows > 256 and rows * n_langs > CELLS:
-        rows //= 2
-    return rows
-
-
-def _features(p: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+def _features(p: np.ndarray) -> np.ndarray:
     """Buckets of the 2-, 3- and 4-gram around every code point (columns); the 0
     between words is part of the grams at a word's borders."""
     k = np.uint64(0x9E3779B97F4A7C15)
@@ -83,7 +74,7 @@ def _features(p: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     # where the letter before is a border, what stands beyond it has no say
     four = (three * k ^ three >> np.uint64(31)) * k ^ np.where(q[1:-2] > 1, q[:-3], 1)
     grams = np.stack([two * np.uint64(3), three * np.uint64(5), four * np.uint64(7)], 1)
-    return ((grams * k) >> np.uint64(48)).astype(np.int64) % buckets
+    return ((grams * k) >> np.uint64(48)).astype(np.int64)      # 16 bits: BUCKETS
 
 
 def _scripts(p: np.ndarray) -> np.ndarray:
@@ -104,7 +95,7 @@ class Model:
         n = np.add.reduceat(letter.astype(np.int64), starts)
         at = np.flatnonzero(letter)
         every = np.zeros((len(p), len(self.langs)), np.float32)
-        for column in _features(p, len(self.scores))[at].T:
+        for column in _features(p)[at].T:
             every[at] += self.scores[column]
         # the script of a token's first letter narrows its languages
         may = self.scripts[_scripts(p)]
@@ -130,14 +121,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Model from the documents that have a language and are not held out.
 
     The fitting sample is bounded (FIT_DOCS per language), every language is learned;
-    its counts are summed per task before the shuffle, and at most CELLS numbers (256
-    a language, if there are very many) come to the driver.
+    its counts are summed per task before the shuffle and come to the driver language
+    by language, into a table of BUCKETS numbers for each.
     """
     lang = F.col(lang_col).cast("string")
     known = docs.where(lang.isNotNull() & F.col(text_col).isNotNull()
                        & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     sizes = known.groupBy(lang.alias("lang")).count().collect()
-    buckets = _buckets(len(sizes))
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
     # languages with fewer documents are taken whole
@@ -152,35 +142,40 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         scripts: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = tables.setdefault(lang, np.zeros(buckets, np.int64))
+                t = tables.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 s = scripts.setdefault(lang, np.zeros(len(SCRIPTS), np.int64))
                 tokens = text.as_py().split()
                 for k in range(0, len(tokens), PIECE_WORDS):
                     p, _ = _points(tokens[k:k + PIECE_WORDS])
                     at = np.flatnonzero(p)
-                    t += np.bincount(_features(p, buckets)[at].ravel(), minlength=buckets)
+                    t += np.bincount(_features(p)[at].ravel(), minlength=BUCKETS)
                     s += np.bincount(_scripts(p[at]), minlength=len(SCRIPTS))
         for lang, t in tables.items():
             at = np.flatnonzero(t)
             sc = np.flatnonzero(scripts[lang])
             yield pa.RecordBatch.from_pydict({
                 "lang": [lang] * (len(at) + len(sc)),
-                "item": np.concatenate([at, -1 - sc]).astype(np.int64),
+                "item": np.concatenate([at, -1 - sc]).astype(np.int32),
                 "n": np.concatenate([t[at], scripts[lang][sc]]).astype(np.int64)})
 
-    rows = (sample.mapInArrow(count, "lang string, item long, n long")
-            .groupBy("lang", "item").agg(F.sum("n").alias("n")).toPandas())
-    langs = sorted(rows["lang"].unique())
-    scores = np.zeros((buckets, len(langs)))
+    # a language's counts are one row of two arrays, at most BUCKETS long
+    rows = written(sample.mapInArrow(count, "lang string, item int, n long")
+                   .groupBy("lang", "item").agg(F.sum("n").alias("n"))
+                   .groupBy("lang").agg(F.collect_list(F.struct("item", "n")).alias("counts"))
+                   .select("lang", "counts.item", "counts.n"), "lang-counts")
+    langs = sorted(r.lang for r in rows.select("lang").collect())
+    place = {lang: i for i, lang in enumerate(langs)}
+    scores = np.zeros((BUCKETS, len(langs)), np.float32)
     scripts = np.zeros((len(SCRIPTS), len(langs)))
-    for i, (_, mine) in enumerate(rows.groupby("lang", sort=True)):
-        gram, script = mine[mine["item"] >= 0], mine[mine["item"] < 0]
-        scores[gram["item"], i] = gram["n"]
-        scripts[-1 - script["item"].to_numpy(), i] = script["n"]
-    if langs:
-        scores = np.log((scores + SMOOTHING) / (scores.sum(0) + SMOOTHING * buckets))
-        scripts = scripts / np.maximum(1, scripts.sum(0))
-    return Model(langs, scores.astype(np.float32), scripts >= SCRIPT_SHARE)
+    for r in rows.toLocalIterator():
+        item, n, i = np.array(r.item), np.array(r.n, float), place[r.lang]
+        gram = item >= 0
+        mine = np.zeros(BUCKETS)
+        mine[item[gram]] = n[gram]
+        scores[:, i] = np.log((mine + SMOOTHING) / (mine.sum() + SMOOTHING * BUCKETS))
+        scripts[-1 - item[~gram], i] = n[~gram]
+    scripts = scripts / np.maximum(1, scripts.sum(0))
+    return Model(langs, scores, scripts >= SCRIPT_SHARE)
 
 
 def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
