@@ -124,14 +124,14 @@ def test_substrings_against_all_windows(spark, odd, empty):
 
 
 def test_substrings_with_frequent_grams_and_small_shards(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "GRAM_PIECES", 1)
+    monkeypatch.setattr(substrings, "GRAM_WORDS", 13)
     monkeypatch.setattr(substrings, "SHARD_WORDS", 50)
     docs = documents(spark, made_up(2, 80, vocabulary=1))
     assert repeats(docs) == plain_repeats(rows_of(docs))
 
 
 def test_windows_of_frequent_grams_meet_in_no_arrow_group(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "GRAM_PIECES", 3)
+    monkeypatch.setattr(substrings, "GRAM_WORDS", 60)
     plans, write = {}, substrings.written
 
     def record(df, name):
@@ -144,10 +144,29 @@ def test_windows_of_frequent_grams_meet_in_no_arrow_group(spark, monkeypatch):
             for i in range(40)]
     got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(documents(spark, docs)).collect()}
     assert got == {i: 40 if i else 0 for i in range(40)}
-    # only the pieces of other grams, GRAM_PIECES at most, are dealt to shards
+    # only the pieces of other grams, of GRAM_WORDS words at most, are dealt to shards
     assert plans["sub-judged"].count("FlatMapGroupsInArrow") == 1
 
 
+def test_substrings_of_long_repetitive_texts(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "PIECE_WINDOWS", 16)
+    texts = [" ".join(["spam"] * n) for n in (200, 90, 41)] + [
+        "start " + " ".join(["spam"] * 120) + " end", " ".join(["ham spam"] * 70), " ".join(["spam ham"] * 70)]
+    docs = documents(spark, list(enumerate(texts)))
+    for words in (10_000, 100):          # in shards, and window by window
+        monkeypatch.setattr(substrings, "GRAM_WORDS", words)
+        assert repeats(docs) == plain_repeats(rows_of(docs))
+    # no piece is longer than its bound, however long the text
+    tables, write = {}, substrings.written
+
+    def record(df, name):
+        tables[name] = write(df, name)
+        return tables[name]
+    monkeypatch.setattr(substrings, "written", record)
+    substrings.remove_repeats(docs).collect()
+    assert 1 < tables["sub-pieces"].agg(F.max("n")).first()[0] <= 16
+
+
 def test_fm_index_intervals():
     rng = np.random.default_rng(5)
     seq = np.append(rng.integers(1, 4, 300), 0)
@@ -292,6 +311,22 @@ def test_jaccard_against_all_pairs(spark, odd, empty, rounds, monkeypatch):
     assert near.ngram_jaccard(empty).count() == 0
 
 
+def test_tiled_pairs_are_all_similar_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near, "TILE_ROWS", 5)
+    rng = np.random.default_rng(4)
+    sizes = [int(n) for n in rng.integers(1, 60, 60)] + [4, 5, 16, 20, 25] + [40] * 20
+    base = rng.integers(0, 2**47, 70).astype(np.uint64)
+    sets = [base[:n] for n in sizes]     # one bucket; similarity is the ratio of the sizes
+    rows = [(1, i, n, n, i // 2, near.bitmap(x).tolist()) for i, (n, x) in enumerate(zip(sizes, sets, strict=True))]
+    open_ = spark.createDataFrame(rows, "token long, cid long, n long, s long, label long, bits array<long>")
+    got = [(r.a, r.b) for r in near._tiled_pairs(open_, 80).collect()]
+    want = {(i, j) for j in range(len(sizes)) for i in range(j)
+            if i // 2 != j // 2 and 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j])}
+    assert len(got) == len(set(got)) and want <= set(got)
+    n_of = dict(enumerate(sizes))
+    assert all(a < b and 1.3 * min(n_of[a], n_of[b]) >= max(n_of[a], n_of[b]) for a, b in got)
+
+
 def test_jaccard_chain_of_near_copies(spark):
     base = [f"t{i}" for i in range(200)]
     chain = [(100 - i, " ".join(base[3 * i:] + [f"u{k}" for k in range(3 * i)])) for i in range(12)]

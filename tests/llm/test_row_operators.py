@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import LONG, ODD, SF_MID, documents  # noqa: F401
+from conftest import LONG, ODD, SF_MID, SF_SMALL, documents  # noqa: F401
 
 from sensorcast.llm import language, licenses, quality
 from sensorcast.llm.common import n_words, table
@@ -222,11 +222,33 @@ def test_language_learns_every_label(spark):
     docs = documents(spark, [(i * 230 + k, " ".join(rng.choice(vocabulary[x], 60)), x)
                              for k, x in enumerate(langs) for i in range(12)])
     model = language.fit(docs)
-    assert model.langs == langs and model.scores.size <= language.CELLS
+    assert model.langs == langs and model.scores.shape == (language.BUCKETS, len(langs))
     got = language.identify(docs, model, keep=("lang",)).where("held_out").toPandas()
     assert set(got["lang"]) == set(got["lang_pred"]) and (got["lang"] == got["lang_pred"]).mean() > 0.99
 
 
+def test_language_does_not_change_with_the_number_of_labels(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, r.text, r.lang) for i, r in enumerate(table(spark, SF_SMALL, "documents").where("lang is not null").collect())]
+    few = language.fit(documents(spark, rows))
+    # 300 more labels in a script of their own
+    more = [(10_000 + 8 * k + i, " ".join("".join(chr(0x10A0 + c) for c in rng.integers(0, 38, 5)) for _ in range(9)), f"x{k}")
+            for k in range(300) for i in range(4)]
+    many = language.fit(documents(spark, rows + more))
+    assert len(many.langs) == len(few.langs) + 300
+    at = [many.langs.index(x) for x in few.langs]
+    assert (many.scores[:, at] == few.scores).all()
+    a, b = ({r.doc_id: (r.lang_pred, r.spans) for r in language.identify(documents(spark, rows), m).collect()}
+            for m in (few, many))
+    assert a == b
+
+
+def test_language_of_letters_in_high_planes(spark):
+    model = language.fit(documents(spark, [(i, "\u6f22\u5b57 \u6587", "zh") for i in range(9)]))
+    rows = language.identify(documents(spark, [(1, chr(0x30010) * 3), (2, chr(0xE0001)), (3, chr(0x1F600))]), model).collect()
+    assert [r.lang_pred for r in rows] == ["zh", "und", "und"]
+
+
 def test_language_is_fitted_on_whole_texts(spark):
     same = "the common opening of all " * 600                  # 3,000 words
     rows = [(i, same + own * 400, lang) for i, (own, lang) in
