@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timefn import freq_interval, from_micros, to_micros
+from ..functions.timefn import bucket_index, freq_interval, freq_micros, from_micros, to_micros
 from ..operators.layout import spread_join
 from ..session import scratch_path
 
@@ -63,11 +63,19 @@ def stream_scores(forecasts: DataFrame, readings: DataFrame, freq: str, delay: s
 
     A stream-stream join on the sensor and a time range (target_ts <= ts < target_ts +
     freq) with watermarks on both sides, so a side's rows are kept only until no partner
-    can come. Append mode; rows later than ``delay`` are lost for the score."""
-    f = forecasts.withColumn("_ft", event_time("target_ts")).withWatermark("_ft", delay)
+    can come. The join key also holds the grid bucket of the time: a reading meets the
+    forecasts whose span touches its bucket, not all of its sensor's, and a sensor is
+    dealt over as many keys as it has buckets. A span off the grid touches two buckets, a
+    reading lies in one, so a pair meets once. Append mode; rows later than ``delay`` are
+    lost for the score."""
+    last = F.timestamp_add("MICROSECOND", F.lit(freq_micros(freq) - 1), F.col("target_ts"))
+    f = (forecasts.withColumn("_ft", event_time("target_ts")).withWatermark("_ft", delay)
+         .withColumn("_span", F.explode(F.sequence(bucket_index("target_ts", freq), bucket_index(last, freq)))))
     a = (readings.select(F.col("series_id").alias("_series"), "ts", F.col("value").alias("actual"))
-         .withColumn("_at", event_time("ts")).withWatermark("_at", delay))
-    met = f.join(a, (F.col("series_id") == F.col("_series")) & (F.col("_at") >= F.col("_ft"))
+         .withColumn("_at", event_time("ts")).withWatermark("_at", delay)
+         .withColumn("_bucket", bucket_index("ts", freq)))
+    met = f.join(a, (F.col("series_id") == F.col("_series")) & (F.col("_span") == F.col("_bucket"))
+                 & (F.col("_at") >= F.col("_ft"))
                  & (F.col("_at") < F.col("_ft") + F.expr(f"INTERVAL {freq_interval(freq)}")))
     return met.select("model", "series_id", "origin_ts", "step", "target_ts", "ts", "predicted", "actual",
                       (F.col("predicted") - F.col("actual")).alias("error"))

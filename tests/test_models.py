@@ -6,6 +6,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -336,3 +337,22 @@ def test_drift_alarms_do_not_depend_on_arrival(spark):
 def test_stream_scores_match_alignment(spark):
     got = QUERIES["stream_scores"](spark, SF_SMALL)
     assert got.count() > 0 and got.where("ts < target_ts or abs(error - (predicted - actual)) > 1e-6").isEmpty()
+
+
+def test_stream_scores_meet_by_bucket_and_once(spark):
+    """The join key holds the bucket; spans off the grid touch two buckets, and a pair meets once."""
+    minute = timedelta(minutes=1)
+    targets = [START + minute * k for k in (0, 25, 60, 90, 119)]
+    times = [START + minute * k for k in range(-5, 200, 5)] + [START + timedelta(microseconds=25 * 60_000_000 - 1)]
+    a, b = (scratch_path(spark, f"scores-{x}") for x in "ab")
+    spark.createDataFrame([("m", s, START, 1, t, 1.0) for s in "xy" for t in targets],
+                          "model string, series_id string, origin_ts timestamp_ntz, step int, target_ts timestamp_ntz, "
+                          "predicted double").write.parquet(a)
+    spark.createDataFrame([(s, t, 2.0) for s in "xy" for t in times],
+                          "series_id string, ts timestamp_ntz, value double").write.parquet(b)
+    fc, readings = (ST.file_stream(spark, p, spark.read.parquet(p).schema) for p in (a, b))
+    met = ST.stream_scores(fc, readings, "1 hour")
+    got = Counter((x.series_id, x.target_ts, x.ts) for x in ST.run_to_table(spark, met, "scores_test").collect())
+    assert got == Counter((s, t, u) for s in "xy" for t in targets for u in times if t <= u < t + minute * 60)
+    join = next(x for x in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    assert "_span" in join and "_bucket" in join
