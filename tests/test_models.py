@@ -339,6 +339,91 @@ def test_stream_scores_match_alignment(spark):
     assert got.count() > 0 and got.where("ts < target_ts or abs(error - (predicted - actual)) > 1e-6").isEmpty()
 
 
+class _Value:
+    def __init__(self):
+        self.x = None
+
+    def exists(self):
+        return self.x is not None
+
+    def get(self):
+        return self.x
+
+    def update(self, x):
+        self.x = x
+
+    def clear(self):
+        self.x = None
+
+
+class _Map(dict):
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class _Handle:
+    """State and timers of one sensor, in this process."""
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, *_):
+        return _Value()
+
+    def getMapState(self, *_):
+        return _Map()
+
+    def listTimers(self):
+        return sorted(self.timers)
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.timers.discard(t)
+
+
+class _Watermark:
+    def __init__(self, us):
+        self.us = us
+
+    def getCurrentWatermarkInMs(self):
+        return self.us // 1000
+
+
+def test_drift_state_lies_in_blocks_and_is_merged_in_parts(monkeypatch):
+    """Python holds a run or the open blocks of all runs, not all readings of a sensor."""
+    monkeypatch.setattr(SM, "RUN", 64)
+    monkeypatch.setattr(SM, "BLOCK", 8)
+    r = np.random.default_rng(3)
+    rows = [("a", START + timedelta(seconds=int(t)), float(z)) for t, z in zip(
+        r.integers(0, 4000, 900), np.append(r.normal(0.4, 1, 500), r.integers(-2, 3, 400)), strict=True)]
+    rows += [("a", START + timedelta(seconds=9000 + k), float(-k % 3)) for k in range(200)]
+    rows += [("a", START + timedelta(seconds=9500), 1.0)] * 300      # one time, more than a run
+    r.shuffle(rows)
+    us = {t: round((t - datetime(1970, 1, 1)).total_seconds()) * 1_000_000 for _, t, _ in rows}
+    monitor = SM.DriftMonitor(0.5, 4.0, 600_000_000, 10**15)
+    monitor.init(_Handle())
+    seen, due = [], monitor._due
+    monitor._due = lambda *a: (seen.append(len(x)) or x for x in due(*a))
+    pdfs = [pd.DataFrame({"us": [us[t] for _, t, _ in part], "z": [float(z) for _, _, z in part]})
+            for part in (rows[k:k + 50] for k in range(0, len(rows), 50))]
+    assert list(monitor.handleInputRows(("a",), iter(pdfs), _Watermark(0))) == []
+    assert len(monitor.waiting) >= len(rows) // 8 and all(len(v[0]) <= 16 * 8 for v in monitor.waiting.values())
+    got = Counter()
+    for now in (us[rows[0][1]] // 2 + us[min(rows, key=lambda x: x[1])[1]] // 2, us[min(rows, key=lambda x: x[1])[1]] + 9_500_000_000):
+        for pdf in monitor.handleExpiredTimer(("a",), _Watermark(now), None):
+            got += Counter(("a", datetime(1970, 1, 1) + timedelta(microseconds=u), k) for u, k in zip(pdf["us"], pdf["kind"], strict=True))
+    runs = -(-len(rows) // 64)
+    assert not monitor.waiting and sum(seen) == len(rows) and max(seen) <= 64 + 8 * (runs + 1)
+    assert got == batch_alarms(rows, 0.5, 4.0, timedelta(minutes=10), START + timedelta(seconds=9500))
+
+
 def test_stream_scores_meet_by_bucket_and_once(spark):
     """The join key holds the bucket; spans off the grid touch two buckets, and a pair meets once."""
     minute = timedelta(minutes=1)
