@@ -300,33 +300,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Buckets with several classes of equal sets.
     post = held.select("cid", F.explode("bands").alias("band"))
-    shared = written(post.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
-                     .where("lo <> hi").select("band"), "odd-buckets")
-    post = written(salted(post, shared, ["band"], salts=4).distinct(), "odd-shared")
+    shared = written(post.groupBy("band").agg(F.min("cid").alias("hub"), F.max("cid").alias("hi"))
+                     .where("hub <> hi").select("band", "hub"), "odd-buckets")
+    post = written(salted(_likely(post, shared, ["band"]), shared, ["band"], salts=4).distinct(), "odd-shared")
     suspects = written(post.select("cid").distinct(), "odd-suspects")
     some = _likely(held, suspects, ["cid"])
-    slim = written(some.select("cid", "n", "sketch", "bands").join(suspects, "cid", "left_semi")
+    # inner joins: Spark would push a semi join below the filter
+    slim = written(some.select("cid", "n", "sketch", "bands").join(suspects, "cid")
                    .groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "bands")]), "odd-slim")
     # any row of a class stands for it: all of them hold the same set
-    chosen = written(some.groupBy("cid").agg(F.min(F.struct("k1", "k2")).alias("k")).join(suspects, "cid", "left_semi")
+    chosen = written(some.groupBy("cid").agg(F.min(F.struct("k1", "k2")).alias("k")).join(suspects, "cid")
                      .select("cid", "k.*"), "odd-chosen")
     texts = _likely(rows.select("k1", "k2", "raw"), chosen, ["k1", "k2"])
-    full = written(_full(texts.join(chosen, ["k1", "k2"]).select("cid", "raw"), n)
-                   .groupBy("cid").agg(F.first("n").alias("n"), F.first("fps").alias("fps")), "odd-full")
+    # rows that repeat id and text have the same keys: one is left where the join has put them
+    full = written(_full(texts.join(chosen, ["k1", "k2"]).groupBy("k1", "k2")
+                         .agg(F.first("cid").alias("cid"), F.first("raw").alias("raw")).select("cid", "raw"), n), "odd-full")
 
     labels = suspects.select("cid", F.col("cid").alias("label"))
     seen = None
     for turn in range(HUB_ROUNDS + 1):
-        members = post.join(labels, "cid")
-        chance = F.struct((F.lit(0) if turn == 0 else F.xxhash64("cid", F.lit(turn))).alias("chance"),
-                          F.col("cid").alias("hub"), F.col("label").alias("hub_label"))
-        mixed = written(members.groupBy("band")
-                        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(chance).alias("h"))
-                        .where("lo <> hi").select("band", "h.hub", "h.hub_label"), "odd-mixed")
-        if mixed.isEmpty():
-            break
+        if turn == 0:
+            # every class is its own component, and the smallest of a bucket is its hub
+            members = post.select("band", "cid", F.col("cid").alias("label"), "hub", F.col("hub").alias("hub_label"))
+            post = post.select("band", "cid")
+        else:
+            members = post.join(labels, "cid")
+            chance = F.struct(F.xxhash64("cid", F.lit(turn)).alias("chance"),
+                              F.col("cid").alias("hub"), F.col("label").alias("hub_label"))
+            mixed = written(members.groupBy("band")
+                            .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(chance).alias("h"))
+                            .where("lo <> hi").select("band", "h.hub", "h.hub_label"), "odd-mixed")
+            if mixed.isEmpty():
+                break
+            # a bucket with one component keeps it: only the others are looked at from here on
+            members = written(salted(_likely(members, mixed, ["band"]), mixed, ["band"], salts=4), "odd-members")
+            post = members.select("band", "cid")
         if turn < HUB_ROUNDS:
-            met = (salted(members, mixed, ["band"], salts=4).where("label <> hub_label")
+            met = (members.where("label <> hub_label")
                    .select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct())
             if seen is not None:
                 met = met.join(seen, ["a", "b"], "left_anti")
@@ -334,7 +344,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             seen = met if seen is None else seen.union(met)
             pairs = _near_sketches(met, slim, percent)
         else:
-            open_ = salted(members, mixed.select("band"), ["band"], salts=4).join(slim, "cid")
+            open_ = members.select("band", "cid", "label").join(slim, "cid")
             labels = _joined(labels, written(_tiles(written(open_, "odd-open"), full, percent), "odd-links"))
             break
         links = _verified(written(pairs, "odd-pairs"), full, percent)
@@ -343,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # From classes back to rows; a class without candidates is its own component.
     own = sets.select("row", "id", "n", "cid")
     known = own.where("cid is not null")
-    grouped = written(salted(known, labels, ["cid"], "left")
+    grouped = written(salted(known, labels.where("label <> cid"), ["cid"], "left")
                       .select("row", "id", "n", F.coalesce("label", "cid").alias("label")), "odd-rows")
     best = grouped.groupBy("label").agg(
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sensorcast.llm import conversations as T
 from sensorcast.llm import odd_sketches as S
 from sensorcast.llm import spelling as P
-from sensorcast.llm.common import table
+from sensorcast.llm.common import recorded, table
 
 # ------------------------------------------------------------------ spelling variants
 
@@ -152,6 +152,26 @@ def test_near_tiles_find_what_hubs_miss(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_near(list(enumerate(texts)))
 
 
+def test_near_later_rounds_look_at_open_buckets_only(spark):
+    """Joins that broadcast nothing give the same; a round's members lie in buckets that
+    held several components."""
+    texts = chain(8, 14) + [" ".join(f"v{k}" for k in range(90) if k != j) for j in range(20)] * 2   # the chain has no links
+    docs = documents(spark, list(enumerate(texts)))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with recorded() as paths:
+            got = S.near_duplicates(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_near(list(enumerate(texts)))
+    rounds = [spark.read.parquet(x) for x in paths if "odd-members" in x]
+    all_ = next(spark.read.parquet(x) for x in paths if "odd-shared" in x).count()
+    assert rounds and all(x.count() < all_ for x in rounds)
+    for x in rounds:
+        assert x.groupBy("band").agg(F.countDistinct("label").alias("n")).where("n < 2").isEmpty()
+
+
 def test_sketches_estimate_and_never_drop():
     rng = np.random.default_rng(5)
     for common, own in ((400, 0), (340, 30), (300, 60), (170, 15), (34, 3)):
