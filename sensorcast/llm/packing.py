@@ -15,6 +15,7 @@ carry to the next window.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -37,7 +38,7 @@ PIECE = 1 << 15           # tokens of a document that stay together in its queue
 LEAST_PIECE = 256
 #: The rank file gives the same ids faster; it is used for texts whose letters
 #: both libraries class alike.
-_PLAIN = "[^\\x00-\\u024F\\u2010-\\u2027]"
+_ODD = "[^\\x00-\\u024F\\u2010-\\u2027]"
 
 
 def byte_bpe(json_path: str, ranks_path: str | None = None) -> Callable[[], Callable[[list[str]], list]]:
@@ -63,10 +64,10 @@ def byte_bpe(json_path: str, ranks_path: str | None = None) -> Callable[[], Call
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        odd = re.compile(_PLAIN + "|<\\|")
+        odd = re.compile(_ODD)
 
         def encode(text: str) -> list[int]:
-            if fast is None or odd.search(text):
+            if fast is None or "<|" in text or not text.isascii() and odd.search(text):
                 return slow.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
         return encode
@@ -108,24 +109,25 @@ def round_robin(lengths: list[np.ndarray], window: int = WINDOW,
     tokens, a served queue pays what it gets.
     """
     totals = np.array([float(x.sum()) for x in lengths])
-    left = totals.copy()
+    left = [int(x.sum()) for x in lengths]
+    rest = sum(left)
     share = totals / totals.sum() * window
-    deficit = np.zeros(len(lengths))
+    deficit = np.where(totals > 0, 0.0, -np.inf)     # a queue that is empty is never the largest
+    queues = [x.tolist() for x in lengths]
     at = [0] * len(lengths)              # document at the head of each queue
     used = [0] * len(lengths)            # tokens of it that are gone
     w = 0
-    while left.sum() > 0:
+    while rest:
         deficit += share
         space = window
-        while space:
-            q = int(np.where(left > 0, deficit, -np.inf).argmax())
-            if left[q] <= 0:
-                break
-            have = int(lengths[q][at[q]]) - used[q]
-            n = min(have, space, max(least, int(np.ceil(deficit[q]))))
+        while space and rest:
+            q = int(deficit.argmax())
+            have = queues[q][at[q]] - used[q]
+            n = min(have, space, max(least, math.ceil(deficit[q])))
             yield q, at[q], used[q], n, w, window - space
-            deficit[q] -= n
             left[q] -= n
+            deficit[q] = deficit[q] - n if left[q] else -np.inf
+            rest -= n
             space -= n
             used[q] += n
             if n == have:
@@ -200,9 +202,9 @@ def pack(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_col: str = "te
         names = [None if k[0] else k[1] for k in sorted(queues)]
         for q, i, at, m, w, offset in round_robin([np.array([len(x[2]) for x in d]) for d in lists], window):
             k, a, x = lists[q][i]
-            raw = x[at:at + m].astype("<u4").tobytes()
-            rows.append((own[k], int(begin[k]) + a + at, m, zlib.crc32(raw), sums[k], grp * stride + w, offset,
-                         names[q], raw if with_ids else None))
+            part = x[at:at + m].astype("<u4")
+            rows.append((own[k], int(begin[k]) + a + at, m, zlib.crc32(part), sums[k], grp * stride + w, offset,
+                         names[q], part.tobytes() if with_ids else None))
         cols = list(zip(*rows, strict=True)) or [()] * 9
         types = [pa.int64()] * 7 + [pa.string(), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)],

@@ -466,6 +466,52 @@ def test_round_robin_fills_windows():
     assert all(used[w] == 512 for w in range(max(used)))
 
 
+def test_round_robin_serves_the_largest_deficit_and_skips_empty_queues():
+    rng = np.random.default_rng(9)
+    for window, least in ((64, 16), (512, 64), (2048, 256)):
+        q = [rng.integers(1, 900, 40), np.array([], np.int64), rng.integers(1, 60, 200), rng.integers(1, 9000, 3)]
+        totals = [int(x.sum()) for x in q]
+        left, deficit, at, used, want, w = totals[:], [0.0] * 4, [0] * 4, [0] * 4, [], 0
+        while sum(left):
+            deficit = [d + t / sum(totals) * window for d, t in zip(deficit, totals, strict=True)]
+            space = window
+            while space and sum(left):
+                i = max((k for k in range(4) if left[k]), key=lambda k: (deficit[k], -k))
+                n = min(int(q[i][at[i]]) - used[i], space, max(least, int(np.ceil(deficit[i]))))
+                want.append((i, at[i], used[i], n, w, window - space))
+                deficit[i], left[i], space, used[i] = deficit[i] - n, left[i] - n, space - n, used[i] + n
+                if used[i] == q[i][at[i]]:
+                    at[i], used[i] = at[i] + 1, 0
+            w += 1
+        assert list(packing.round_robin(q, window, least)) == want
+
+
+def test_letters_are_looked_at_only_where_a_text_has_other_than_ascii(monkeypatch):
+    import re
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    seen, compile_ = [], re.compile
+
+    class Spy:
+        def __init__(self, pattern):
+            self.pattern = compile_(pattern)
+
+        def search(self, text):
+            seen.append(text)
+            return self.pattern.search(text)
+
+    load = packing.byte_bpe(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"))
+    with monkeypatch.context() as m:
+        m.setattr(re, "compile", lambda p, *a: Spy(p) if p.startswith("[^") else compile_(p, *a))
+        encode = load()
+    texts = ["plain words, 12 of them", "<|endoftext|> here", "caf\u00e9 \u00df", "\u4f60\u597d <|", "\u0bb5\u0ba3", ""]
+    slow = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert [list(encode(t)) for t in texts] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
+    assert seen == [texts[2], texts[4]]
+
+
 # --- nearest neighbours ----------------------------------------------------------------
 def exact(ids, x, q, k):
     s = (x * x[q]).sum(1)
