@@ -439,5 +439,5 @@ def test_stream_scores_meet_by_bucket_and_once(spark):
     met = ST.stream_scores(fc, readings, "1 hour")
     got = Counter((x.series_id, x.target_ts, x.ts) for x in ST.run_to_table(spark, met, "scores_test").collect())
     assert got == Counter((s, t, u) for s in "xy" for t in targets for u in times if t <= u < t + minute * 60)
-    join = next(x for x in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    join = next(x for x in met._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in x)
     assert "_span" in join and "_bucket" in join
